@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 #: Bytes of text that a kernel works on at once; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -22,6 +25,8 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_granary_shipped", False):
         return spark
+    if spark.conf.get(_BATCH) == "10000":  # the default takes no account of long texts
+        spark.conf.set(_BATCH, "1000")
     base = getattr(sc, "_temp_dir", None) or tempfile.mkdtemp()
     at = os.path.join(base, "granary_src.zip")
     with zipfile.ZipFile(at, "w") as z:
@@ -69,7 +74,8 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
 def _lengths(col: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
-    return pc.fill_null(pc.binary_length(col), 0).to_pylist()
+    n = pc.list_value_length(col) if pa.types.is_list(col.type) else pc.binary_length(col)
+    return pc.fill_null(n, 0).to_pylist()
 
 
 def map_slices(df: DataFrame, column: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -84,6 +90,23 @@ def map_slices(df: DataFrame, column: str, kernel: Callable[[pa.RecordBatch], pa
     return df.mapInArrow(run, schema)
 
 
+def arrow_scalar(kernel: Callable[..., pa.Array], return_type: str) -> Callable[..., Column]:
+    """A scalar Arrow function that gives ``kernel`` slices bounded by the bytes of its first column.
+
+    It counts as non-deterministic only so that a filter on its result doesn't evaluate it a second time.
+    """
+
+    def run(col: pa.Array, *more: pa.Array) -> pa.Array:
+        names = [str(i) for i in range(1 + len(more))]
+        batch = pa.RecordBatch.from_arrays([col, *more], names)
+        out = [kernel(*piece.columns) for piece in by_bytes(batch, "0")]
+        return pa.concat_arrays(out) if out else kernel(*batch.columns)
+
+    with warnings.catch_warnings():  # the kind is named, as the number of columns is open
+        warnings.simplefilter("ignore", UserWarning)
+        return F.arrow_udf(run, return_type, ArrowUDFType.SCALAR).asNondeterministic()
+
+
 def text_bytes(col: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text; a null is empty."""
     for v in col.cast(pa.large_binary()) if pa.types.is_large_string(col.type) else col.cast(pa.binary()):

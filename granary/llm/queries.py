@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm.bpe import op2_bpe
+from granary.llm.decontaminate import op1_decontaminate
 from granary.llm.simhash import op9_simhash
 
 
@@ -16,7 +18,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    found = [op1_decontaminate, op2_bpe, op9_simhash]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
