@@ -21,6 +21,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,12 @@ from granary.llm.common import arrow_scalar, columns_kept, read, ship
 CACHE_WORDS = 400_000
 #: Words held at once while a long text is worked through.
 _STEP = 100_000
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(1)
-def _classes() -> tuple[str, str]:
-    """Character classes of the letters and of the numbers, as the library's pre-tokenizer has them.
+def _classes() -> list[list[list[int]]]:
+    """First and last code points of the runs of the letters and of the numbers, as the library's pre-tokenizer has them.
 
     Two Unicode tables are at hand, of unlike age; where they differ, the library is asked.
     """
@@ -57,17 +58,33 @@ def _classes() -> tuple[str, str]:
                 runs[-1][1] = c
             else:
                 runs.append([c, c])
-        out.append("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs))
-    return out[0], out[1]
+        out.append(runs)
+    return out
 
 
-@lru_cache(1)
-def _pattern() -> re.Pattern[str]:
-    """The byte-level pre-tokenizer's pattern in terms of ``re``: contractions, letters, numbers, others, white space."""
-    (letter, number), s = _classes(), _SPACES
+def _pattern_up_to(top: int) -> re.Pattern[str]:
+    """The byte-level pre-tokenizer's pattern in terms of ``re``, for texts without code points above ``top``:
+    contractions, letters, numbers, others, white space."""
+    letter, number = ("".join(f"\\U{a:08x}-\\U{min(b, top):08x}" for a, b in runs if a <= top) for runs in _classes())
+    s = "".join(c for c in _SPACES if ord(c) <= top)
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{s}{letter}{number}]+|[{s}]+(?![^{s}])|[{s}]+")
 
 
+@lru_cache(1)
+def _patterns() -> list[tuple[re.Pattern[str], re.Pattern[str]]]:
+    """By growing range: what finds a character above it, and the pattern for texts without such; small classes are fast."""
+    return [(re.compile(f"[\\U{top + 1:08x}-\\U{sys.maxunicode:08x}]"), _pattern_up_to(top)) for top in (0xFF, 0xFFFF)]
+
+
+@lru_cache(1)
+def _full() -> re.Pattern[str]:
+    return _pattern_up_to(sys.maxunicode)
+
+
+def _pattern_for(text: str) -> re.Pattern[str]:
+    return next((p for above, p in _patterns() if not above.search(text)), None) or _full()
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -182,7 +199,7 @@ class Encoder:
 
     def _words(self, text: str) -> Iterator[list[str]]:
         """The pre-tokenizer's words in bounded lists; an added token stands as a list of its own."""
-        split, find = self.vocabulary.split, _pattern()
+        split, find = self.vocabulary.split, _pattern_for(text)
         for part in split.split(text) if split else [text]:
             if split and part in self.vocabulary.added:
                 yield [part]
@@ -198,7 +215,7 @@ class Encoder:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {w: self.cache[w] for w in words if w in self.cache}
         for b, ids in self.vocabulary.encode_words(new):
-            self.cache[new[b]] = np.array(ids, "<u4").tobytes()
+            self.cache[new[b]] = pack(f"<{len(ids)}I", *ids)
         for s, i in self.vocabulary.added.items():
             self.cache[s] = i.to_bytes(4, "little")
 
