@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm.bpe import op2_bpe
+from granary.llm.chat import OP8_SQL, op8_chat
 from granary.llm.decontaminate import op1_decontaminate
+from granary.llm.sharding import op6_sharding
 from granary.llm.simhash import op9_simhash
+from granary.llm.token_counts import op3_token_counts
+from granary.llm.topk import OP7_SQL, op7_topk
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +22,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_bpe, op9_simhash]
+    found = [op1_decontaminate, op2_bpe, op3_token_counts, op6_sharding, op7_topk, op8_chat, op9_simhash]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_topk": OP7_SQL, "op8_chat": OP8_SQL}
