@@ -13,6 +13,7 @@ from granary.llm.sharding import op6_sharding
 from granary.llm.simhash import op9_simhash
 from granary.llm.token_counts import op3_token_counts
 from granary.llm.topk import OP7_SQL, op7_topk
+from granary.llm.toxicity import op4_toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_bpe, op3_token_counts, op6_sharding, op7_topk, op8_chat, op9_simhash]
+    found = [op1_decontaminate, op2_bpe, op3_token_counts, op4_toxicity, op6_sharding, op7_topk, op8_chat, op9_simhash]
     return {f.__name__: f for f in found}
 
 
