@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from granary.llm.bpe import op2_bpe
 from granary.llm.chat import OP8_SQL, op8_chat
 from granary.llm.decontaminate import op1_decontaminate
+from granary.llm.pii import op10_pii
 from granary.llm.quality import op5_quality
 from granary.llm.sharding import op6_sharding
 from granary.llm.simhash import op9_simhash
@@ -24,7 +25,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_bpe, op3_token_counts, op4_toxicity, op5_quality, op6_sharding, op7_topk, op8_chat, op9_simhash]
+    found = [op1_decontaminate, op2_bpe, op3_token_counts, op4_toxicity, op5_quality, op6_sharding, op7_topk, op8_chat, op9_simhash, op10_pii, pipeline]
     return {f.__name__: f for f in found}
 
 
