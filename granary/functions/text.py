@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Letters and those that sound alike in queries by single letters.
 SOUND_ALIKES = {"t": "qQ", "d": "fF", "n": "x|", "r": "V", "y": "X", "i": "e", "o": "Ea", "u": "a", "f": "P", "w": "v"}
@@ -14,12 +15,12 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōūṁ
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfd(col: pa.Array) -> pa.Array:
     return pa.array([None if v is None else unicodedata.normalize("NFD", v) for v in col.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfc(col: pa.Array) -> pa.Array:
     return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in col.to_pylist()], pa.string())
 
@@ -127,7 +128,7 @@ def indel(a: str, b: str) -> float:
     return 1 - (len(a) + len(b) - 2 * row[-1]) / (len(a) + len(b))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def indel_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else indel(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 

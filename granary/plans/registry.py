@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import retrieval
+from granary.plans import browsing, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, browsing)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ MOST_CLIENTS = 50_000
 
 def client_key(header: Column, forwarded: Column, socket: Column, hops: int) -> Column:
     """A trusted header, else the address ``hops`` from the right of the forwarded list, else the socket's."""
-    chain = F.filter(F.transform(F.split(text_of(forwarded), ","), F.trim), lambda a: a != "")
+    chain = F.filter(F.transform(F.split(text_of(forwarded), ","), lambda a: F.trim(a)), lambda a: a != "")
     at = F.try_element_at(chain, F.lit(-hops)) if hops else F.lit(None).cast("string")
     return normalize_ip(F.coalesce(F.nullif(F.trim(text_of(header)), F.lit("")), at, socket))
 
