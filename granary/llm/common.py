@@ -128,5 +128,7 @@ def cut_points(b: bytes, size: int, stops: bytes) -> Iterator[bytes]:
 
 
 def columns_kept(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``df`` reduced to ``columns`` (own name -> column), found exactly although other names may clash in case."""
-    return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+    """``df`` reduced to ``columns`` (own name -> column). They are found by place, so that other columns whose names
+    differ in case only, or are those that an operator uses inside, don't matter."""
+    at = {c: df.columns.index(c) for c in columns.values()}
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{at[c]}").alias(k) for k, c in columns.items()])

@@ -2,8 +2,9 @@
 
 A sentence's chance is a logistic function of the weights of its distinct words; a word weighs what it and its prefixes
 of four and five letters have been given, so unseen forms of a known stem count. The document's chance is the noisy-or
-of its sentences, and only document labels are needed to fit it by gradient descent. What may have a weight is settled
-first: the words and prefixes that toxic documents of the sample have far more often than others do.
+of its sentences that hold anything with a weight, and of one leak a document for what no weight explains; so the length
+of a clean text adds nothing. Only document labels are needed to fit all of it by gradient descent. What may have a weight
+is settled first: the words and prefixes that toxic documents of the sample have far more often than others do.
 
 Fitting uses at most ``SAMPLE`` labelled documents (a parameter), of which only the sentences' chosen features reach the
 driver. Scoring covers whole texts and every row; it also says which sentences offend, and how much.
@@ -64,17 +65,17 @@ def _sentences(index: dict[str, int]) -> Any:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float]:
-    """Weights by feature, and the bias of a sentence. Without labels of both kinds nothing weighs anything."""
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float, float]:
+    """Weights by feature, the bias of a sentence, and the leak of a document. Without labels of both kinds nothing weighs anything."""
     ship(docs.sparkSession)
     drawn, sizes = sample(docs, labels, "toxic", rows, id_col, text_col)
     got = {r[0]: r[1] for r in drawn.groupBy("y").count().collect()}  # two rows
     if not got.get(0) or not got.get(1):
-        return {}, -12.0
+        return {}, -12.0, -12.0
     chosen = _chosen(drawn, got[1], got[0])
     index = {f: i for i, f in enumerate(chosen)}
     table = map_slices(drawn, "text", _sentences(index), "y int, n long, hits array<array<int>>").toPandas()  # at most ``rows`` short rows
-    y, n = table["y"].to_numpy(), table["n"].to_numpy().astype(float)
+    y, full = table["y"].to_numpy(), (table["n"].to_numpy() > 0).astype(float)
     doc, sent, feat = [], [], []
     for d, hits in enumerate(table["hits"]):
         for h in hits:
@@ -82,29 +83,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int =
             feat += [int(i) for i in h]
             doc.append(d)
     doc_, sent_, feat_ = (np.array(x, np.int64) for x in (doc, sent, feat))
-    bare = n - np.bincount(doc_, minlength=len(y))
     weight = np.where(y == 1, sizes[1] / got[1], sizes[0] / got[0])
     weight /= weight.sum()
-    w, b = np.zeros(len(chosen)), -6.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w, b, leak = np.zeros(len(chosen)), -6.0, -4.0
+    m, v = np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)
     plus = lambda z: np.logaddexp(0, z)
     for step in range(1, steps + 1):
         z = b + np.bincount(sent_, w[feat_], len(doc_))
-        total = bare * plus(b) + np.bincount(doc_, plus(z), len(y))
+        total = full * plus(leak) + np.bincount(doc_, plus(z), len(y))
         slope = weight * np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1)
         dz = slope[doc_] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feat_, dz[sent_], len(chosen)) + 1e-5 * w, dz.sum() + (slope * bare).sum() / (1 + np.exp(-b)))
+        grad = np.append(np.bincount(feat_, dz[sent_], len(chosen)) + 1e-5 * w, [dz.sum(), (slope * full).sum() / (1 + np.exp(-leak))])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return {f: float(x) for f, x in zip(chosen, w, strict=True)}, float(b)
+        w, b, leak = w - move[:-2], b - move[-2], leak - move[-1]
+    return {f: float(x) for f, x in zip(chosen, w, strict=True)}, float(b), float(leak)
 
 
 _SCORED = "struct<score: double, sentences: array<struct<start: int, end: int, p: double>>>"
 _SCORED_ARROW = pa.struct([("score", pa.float64()), ("sentences", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
 
 
-def score_column(text: Column, weights: dict[str, float], bias: float, offends: float = 0.5) -> Column:
+def score_column(text: Column, weights: dict[str, float], bias: float, leak: float, offends: float = 0.5) -> Column:
     """score: the noisy-or over sentences; sentences: those of a chance of ``offends`` or more, by code points.
 
     A null or empty text, and one without words, has no sentence and scores 0.
@@ -119,19 +119,18 @@ def score_column(text: Column, weights: dict[str, float], bias: float, offends:
 
     def run(col: pa.Array) -> pa.Array:
         out = []
-        rest = float(np.logaddexp(0, bias))
+        rest = float(np.logaddexp(0, leak))
         for text in col.to_pylist():
             low = (text or "").lower()
             words = set(_WORD.findall(low))
             hit = {w for w in words if (known[w] if w in known else weigh(w))}
             if not hit:
-                n = sum(1 for s in _SENTENCE.findall(low) if _WORD.search(s))
-                out.append((float(-np.expm1(-n * rest)), []))
+                out.append((float(-np.expm1(-rest)) if words else 0.0, []))
                 continue
-            total, found = 0.0, []
+            total, found = rest, []
             for s in _SENTENCE.finditer(text):
                 own = set(_WORD.findall(s[0].lower()))
-                if own:
+                if own & hit:
                     z = bias + sum(known.get(w, 0.0) for w in sorted(own & hit))
                     total += float(np.logaddexp(0, z))
                     p = 1 / (1 + float(np.exp(-z)))
@@ -145,15 +144,15 @@ def score_column(text: Column, weights: dict[str, float], bias: float, offends:
 
 def score(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, sentences): a row for each row of ``docs``; repeated rows repeat."""
-    weights, bias = fit(docs, labels, rows=rows, id_col=id_col, text_col=text_col)
+    model = fit(docs, labels, rows=rows, id_col=id_col, text_col=text_col)
     own = columns_kept(docs, {"doc_id": id_col, "text": text_col})
-    return own.select("doc_id", score_column(F.col("text"), weights, bias).alias("s")).select("doc_id", "s.score", "s.sentences")
+    return own.select("doc_id", score_column(F.col("text"), *model).alias("s")).select("doc_id", "s.score", "s.sentences")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, at: float = 0.5, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``at`` or more; all columns stay."""
-    weights, bias = fit(docs, labels, rows=rows, id_col=id_col, text_col=text_col)
-    return docs.withColumn("__toxicity", score_column(F.col(f"`{text_col}`"), weights, bias)).filter(F.col("__toxicity.score") < at).drop("__toxicity")
+    model = fit(docs, labels, rows=rows, id_col=id_col, text_col=text_col)
+    return docs.withColumn("__toxicity", score_column(F.col(f"`{text_col}`"), *model)).filter(F.col("__toxicity.score") < at).drop("__toxicity")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
