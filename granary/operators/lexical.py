@@ -80,3 +80,11 @@ def count_anywhere(token_rows: DataFrame, keys: str) -> DataFrame:
         raise ValueError(f"a count takes at most {MOST} letters")
     cond = in_ranges("token", keys)
     return token_rows.filter(F.lit(False) if cond is None else cond).agg(F.countDistinct("line_id").alias("n"))
+
+
+def count_batch(token_rows: DataFrame, queries: DataFrame, length: int) -> DataFrame:
+    """(keys, n) for many queries (keys) of one length: codes have a fixed width, so a range of tokens is an equal head,
+    and the search is an equi-join with partial counts. Queries that nothing meets are left out."""
+    q = queries.select("keys", char_codes(F.col("keys")).alias("head"))
+    heads = token_rows.select("line_id", F.substring("token", 1, 4 * length).alias("head")).distinct()
+    return heads.groupBy("head").agg(F.count("*").alias("n")).join(q, "head").select("keys", "n")

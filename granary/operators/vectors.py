@@ -108,6 +108,43 @@ def similar_many(index: DataFrame, items: Sequence[int], k: int = 10, *, depth_c
     return out
 
 
+def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block: int = BATCH_QUERIES) -> DataFrame:
+    """(qid, rank, id, score) for a DataFrame (qid, qrow, q) of queries, by matrix products.
+
+    The queries go to all rows in blocks of about ``block``, which is all that is broadcast. Each Arrow batch gives its
+    k best for each query, a window keeps the k best of these.
+    """
+    spark = index.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
+        qid, qrow = (own.column(c).to_numpy() for c in ("qid", "qrow"))
+        q = np.array(own.column("q").to_pylist(), float).reshape(len(qid), -1)
+        sent = spark.sparkContext.broadcast((qid, qrow, q))
+
+        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            qid, qrow, q = sent.value
+            for batch in batches:
+                if not batch.num_rows or not len(qid):
+                    continue
+                codes = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                row = batch.column(0).to_numpy()
+                score = np.floor(q @ codes.T.astype(float) * batch.column(3).to_numpy().astype(float) * 1e6 + 0.5) / 1e6
+                score[qrow[:, None] == row] = -np.inf
+                n = min(k, len(row))
+                order = np.lexsort((np.broadcast_to(row, score.shape), -score), axis=1)[:, :n]
+                kept = np.take_along_axis(score, order, 1).ravel()
+                ok = np.isfinite(kept)
+                ids = batch.column(1).to_numpy()[order].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)[ok]), pa.array(row[order].ravel()[ok]), pa.array(ids[ok]), pa.array(kept[ok])], ["qid", "row", "id", "score"])
+
+        part = index.filter("mask").select("row", "id", "codes", "scale").mapInArrow(run, "qid long, row long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("row"))))
+    return ranked.filter(F.col("rank") <= k).select("qid", "rank", "id", "score")
+
+
 def multi_query_search(index: DataFrame, queries: Sequence[Sequence[float]], k: int = 20, depth: int = 40, *, where: Column | None = None) -> DataFrame:
     """(row, score): the sum over queries of 1 / (60 + rank) among each one's ``depth`` best; not rounded, ties by row."""
     from granary.functions.numeric import RRF_OFFSET
@@ -129,4 +166,4 @@ def project_index(vectors: DataFrame, id_col: str, components: list[list[float]]
     return vectors.select(F.col(id_col).alias("id"), project(F.col(vector_col), components, mean).alias("v"))
 
 
-__all__ = ["build_index", "l2_normalize", "multi_query_search", "project_index", "query_of", "score_floor", "search", "search_arrow", "similar_many", "similar_to"]
+__all__ = ["build_index", "l2_normalize", "multi_query_search", "neighbours_batch", "project_index", "query_of", "score_floor", "search", "search_arrow", "similar_many", "similar_to"]

@@ -90,6 +90,13 @@ def vec_neighbours_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.similar_many(T.index(spark, sf), items, 5).select("qid", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+def vec_neighbours_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Five neighbours of every vector that isn't masked."""
+    i = T.index(spark, sf)
+    asked = i.filter("mask").select(F.col("id").alias("qid"), F.col("row").alias("qrow"), dequantize(F.col("codes"), F.col("scale")).alias("q"))
+    return vectors.neighbours_batch(i, asked, 5).select("qid", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
 def pca_project(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector on a fixed cosine basis, centred on the mean of all."""
     e = T.read(spark, sf, "embeddings")
@@ -194,6 +201,12 @@ def fl_count(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.count_anywhere(lexical.tokens(_lines(spark, sf)), "ti")
 
 
+def fl_count_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that hold the two first letters of any part's name, for each such pair (676 at most)."""
+    asked = T.names(spark, sf).filter(F.length("letters") >= 2).select(F.substring("letters", 1, 2).alias("keys")).distinct()
+    return lexical.count_batch(lexical.tokens(_lines(spark, sf)), asked, 2)
+
+
 def fl_variant(spark: SparkSession, sf: str) -> DataFrame:
     codes = L.char_codes(F.col("letters"))
     return T.names(spark, sf).select("line_id", L.variant_codes(codes).alias("variant")).filter("variant IS NOT NULL")
@@ -213,7 +226,7 @@ _VAR = "list_transform({}, lambda c: CASE c WHEN '103' THEN '090' WHEN '106' THE
 
 
 def queries() -> dict:
-    found = [vec_quantize, vec_dequantize, vec_search, vec_search_kernel, vec_similar, vec_search_work, vec_score_floor, vec_neighbours_by_label, pca_project, corpus_multi_query, rrf_fuse_indexes, rrf_weighted, rrf_owner, rrf_related, rrf_hits, rrf_corpora, fl_codes, fl_tokens, fl_anywhere, fl_start, fl_count, fl_variant, fl_match_span]
+    found = [vec_quantize, vec_dequantize, vec_search, vec_search_kernel, vec_similar, vec_search_work, vec_score_floor, vec_neighbours_by_label, vec_neighbours_all, pca_project, corpus_multi_query, rrf_fuse_indexes, rrf_weighted, rrf_owner, rrf_related, rrf_hits, rrf_corpora, fl_codes, fl_tokens, fl_anywhere, fl_start, fl_count, fl_count_batch, fl_variant, fl_match_span]
     return {f.__name__: f for f in found}
 
 
@@ -232,6 +245,9 @@ def oracle_sql() -> dict[str, str]:
         "vec_neighbours_by_label": f"""WITH i AS MATERIALIZED ({index}), q AS (SELECT id AS qid, {_deq()} AS q FROM i WHERE id IN (SELECT min(vec_id) FROM embeddings WHERE label <> 0 GROUP BY label)),
           s AS (SELECT qid, id, {R6.format(_DOT.format(a="codes", b="q") + " * scale::DOUBLE")} AS score FROM i, q WHERE mask AND id <> qid)
           SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, score FROM s) WHERE rank <= 5""",
+        "vec_neighbours_all": f"""WITH i AS MATERIALIZED ({index}), q AS (SELECT id AS qid, {_deq()} AS q FROM i WHERE mask),
+          s AS (SELECT qid, id, {R6.format(_DOT.format(a="codes", b="q") + " * scale::DOUBLE")} AS score FROM i, q WHERE mask AND id <> qid)
+          SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, score FROM s) WHERE rank <= 5""",
         "pca_project": f"""WITH m AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(embedding[i]::DOUBLE) AS a FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i)),
           c AS (SELECT vec_id, list_transform(list_zip(embedding, mean), lambda z: (z[1]::DOUBLE - z[2])::FLOAT) AS v FROM embeddings, m),
           w AS (SELECT unnest(range(0, {PIVOT_DIM})) AS c, unnest([{", ".join(_sql_list(r) for r in COMPONENTS)}]) AS r),
@@ -251,6 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "fl_anywhere": f"SELECT line_id, letters, instr(letters, 'tea') - 1 AS match_pos FROM ({_LINES}) WHERE contains(letters, 'tea') ORDER BY length(letters), line_id LIMIT 20",
         "fl_start": f"SELECT line_id, letters, 0::BIGINT AS match_pos FROM ({_LINES}) WHERE starts_with(letters, 'to') ORDER BY length(letters), line_id LIMIT 20",
         "fl_count": f"SELECT count(DISTINCT line_id) AS n FROM ({_LINES}) WHERE contains(letters, 'ti')",
+        "fl_count_batch": f"SELECT keys, count(*) AS n FROM (SELECT DISTINCT letters[1:2] AS keys FROM ({_NAMES}) WHERE length(letters) >= 2) JOIN ({_LINES}) ON contains(letters, keys) GROUP BY keys",
         "fl_variant": f"SELECT line_id, ',' || array_to_string({_VAR.format('c')}, ',') AS variant FROM (SELECT line_id, {_CODES} AS c FROM ({_NAMES})) WHERE {_VAR.format('c')} <> c",
         "fl_match_span": f"SELECT line_id, instr(replace(letters, 'S', 's'), 'sti') - 1 AS at FROM ({_LINES}) WHERE contains(letters, 'sti')",
     }
