@@ -119,8 +119,10 @@ def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block
     out = None
     for b in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
+        if not own.num_rows and out is not None:
+            continue
         qid, qrow = (own.column(c).to_numpy() for c in ("qid", "qrow"))
-        q = np.array(own.column("q").to_pylist(), float).reshape(len(qid), -1)
+        q = np.array(own.column("q").to_pylist(), float).reshape(len(qid), -1 if len(qid) else 0)
         sent = spark.sparkContext.broadcast((qid, qrow, q))
 
         def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:

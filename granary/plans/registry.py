@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import browsing, retrieval
+from granary.plans import browsing, records, retrieval
 
-_MODULES = (retrieval, browsing)
+_MODULES = (retrieval, browsing, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
