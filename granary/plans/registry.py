@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.functions.shipping import ship
 from granary.plans import browsing, records, retrieval
 
 _MODULES = (retrieval, browsing, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rrf_fuse_indexes(spark, sf_dir)
+    return retrieval.rrf_fuse_indexes(ship(spark), sf_dir)
+
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in _MODULES for k, f in m.queries().items()}
+    return {k: _shipped(f) for m in _MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
