@@ -2,39 +2,28 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import warnings
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
+from granary.functions import shipping
+
 #: Bytes of text that a kernel works on at once; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_ROOT = Path(__file__).resolve().parents[2]
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once a Spark application: they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_granary_shipped", False):
-        return spark
-    if spark.conf.get(_BATCH) == "10000":  # the default takes no account of long texts
+    """Give the executors this package, and Arrow batches fewer rows than the default, which takes no account of long
+    texts. A number of rows that was set by hand stays."""
+    if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, "1000")
-    base = getattr(sc, "_temp_dir", None) or tempfile.mkdtemp()
-    at = os.path.join(base, "granary_src.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted((_ROOT / "granary").rglob("*.py")):
-            z.write(p, str(p.relative_to(_ROOT)))
-    sc.addPyFile(at)
-    sc._granary_shipped = True
-    return spark
+    return shipping.ship(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
