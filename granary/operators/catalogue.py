@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granary.functions.text import fold_native, fold_roman, letter_classes, loose_roman
 
@@ -75,4 +76,53 @@ def match_lines(lines: DataFrame, group: str, position: str, query: str, *, nati
     return hit.groupBy(group).agg(F.min(F.struct(position, native))[native].alias("matched_line"))
 
 
-__all__ = ["covers", "facet_counts", "filtered", "fold_roman", "granth_order", "letters_mode", "match_lines", "page", "with_images"]
+
+def raag_facet(items: DataFrame, raags: DataFrame, notes: DataFrame) -> DataFrame:
+    """(key, english, used, prescribed, noted, place) of every raag that is used, prescribed or has notes.
+
+    Those of the book come first, by their own or their parent's order, parents before children, then by name.
+    """
+    used = items.groupBy(F.col("raag_used_key").alias("key")).agg(F.count("*").alias("used"))
+    prescribed = items.groupBy(F.col("raag_shabad_key").alias("key")).agg(F.count("*").alias("prescribed"))
+    noted = notes.groupBy(F.col("raag_key").alias("key")).agg(F.count("*").alias("noted"))
+    parents = raags.select(F.col("key").alias("parent_key"), F.col("ggs_order").alias("parent_order"))
+    r = raags.join(F.broadcast(parents), "parent_key", "left")
+    for counts in (used, prescribed, noted):
+        r = r.join(counts, "key", "left")
+    r = r.fillna(0, ["used", "prescribed", "noted"]).filter("used + prescribed + noted > 0")
+    order = [F.desc("in_ggs"), granth_order(F.col("ggs_order"), F.col("parent_order")), F.col("parent_key").isNotNull(), F.asc("english")]
+    place = F.row_number().over(Window.orderBy(*order))  # a vocabulary's rows
+    return r.select("key", "english", "used", "prescribed", "noted", place.cast("long").alias("place"))
+
+
+def list_items(items: DataFrame, *, raag: str | None = None, raag_shabad: str | None = None, author: str | None = None, book: str | None = None, taal: str | None = None, shabad: int | None = None, verified: bool | None = None, matched: DataFrame | None = None) -> DataFrame:
+    """The items that all given filters let through. ``matched`` (shabad_id, matched_line) keeps those of matched groups
+    and shows the line where it isn't the item's own first line."""
+    same = lambda c, v: None if v is None else F.col(c) == v
+    out = filtered(items, [None if raag is None else covers("raag_used_key", "raag_used_parent_key", raag), same("raag_shabad_key", raag_shabad), same("author_key", author), same("book_key", book), same("taal_key", taal), same("shabad_id", shabad), None if verified is None else F.col("verified") == int(verified)])
+    if matched is None:
+        return out
+    out = out.join(matched, "shabad_id")
+    return out.withColumn("matched_line", F.when(~F.col("matched_line").eqNullSafe(F.col("first_line")), F.col("matched_line")))
+
+
+def item_order() -> list[Column]:
+    """Items without a group last, then by page, book and place in it."""
+    return [F.col("shabad_id").isNull(), F.asc_nulls_last("ang"), F.asc("book_key"), F.asc("ordinal")]
+
+
+def cards(items: DataFrame, names: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Items with names for their keys: for each column (table, key, name), a column ``<column>_name``; the key itself
+    where the table has no such name."""
+    for column, (table, key, name) in names.items():
+        side = table.select(F.col(key).alias("__k"), F.col(name).alias("__n")).dropDuplicates(["__k"])
+        items = items.join(F.broadcast(side), F.col(column) == F.col("__k"), "left").withColumn(f"{column}_name", F.coalesce("__n", column)).drop("__k", "__n")
+    return items
+
+
+def item(items: DataFrame, images: DataFrame, key: str, value: str) -> DataFrame:
+    """One item with its images in order and the number of others of its group."""
+    own = items.filter(F.col(key) == value)
+    others = items.groupBy("shabad_id").agg((F.count("*") - 1).alias("others"))
+    pics = images.filter(F.col(key) == value).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "kind", "url", "path"))).alias("images"))
+    return own.join(pics, key, "left").join(others, "shabad_id", "left").fillna(0, ["others"])
