@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 RRF_OFFSET, LEAST, TOP_CODE = 60, 1e-12, 127
 
 
+def vector(xs: Sequence[float]) -> Column:
+    """A constant array<double>, as one piece of SQL: a call for each number would cost more than the search."""
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")")
+
+
 def round_half_up(x: Column, places: int) -> Column:
     """floor(x * 10^p + 0.5) / 10^p; unlike round(), halves of negative numbers go up too."""
     by = float(10**places)
@@ -57,8 +63,8 @@ def project(v: Column, components: list[list[float]], mean: list[float]) -> Colu
     """Rows of ``components`` times the centred vector, normalised; between the steps values are in single precision."""
     if any(len(r) != len(mean) for r in components):
         raise ValueError("components and mean differ in their dimension")
-    centred = F.zip_with(v, F.lit(mean).cast("array<double>"), lambda x, m: (x.cast("double") - m).cast("float"))
-    rows = F.lit(components).cast("array<array<double>>")
+    centred = F.zip_with(v, vector(mean), lambda x, m: (x.cast("double") - m).cast("float"))
+    rows = F.array(*map(vector, components))
     out = F.transform(F.array(centred), lambda c: F.transform(rows, lambda r: dot(r, c).cast("float")))[0]
     return l2_normalize(out).cast("array<float>")
 

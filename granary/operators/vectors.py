@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.functions.numeric import clamp_k, dequantize, dot, l2_normalize, quantize, round6, scale_of
+from granary.functions.numeric import RRF_OFFSET, clamp_k, dequantize, dot, project, quantize, round6, scale_of, vector
 
 #: Queries that go to all rows at once; more go in several rounds.
 BATCH_QUERIES = 2_000
@@ -51,7 +51,7 @@ def search(index: DataFrame, query: Sequence[float], k: float = 10, *, dim: int
     """The ``k`` best rows with their score. ``min_score`` cuts what is under it after the k best are taken."""
     q = _checked(query, dim)
     n = clamp_k(k, 2**31 - 1)
-    score = round6(dot(F.col("codes"), F.lit(q).cast("array<double>")) * F.col("scale").cast("double"))
+    score = round6(dot(F.col("codes"), vector(q)) * F.col("scale").cast("double"))
     found = _rows(index, mask, where, exclude_row).withColumn("score", score).drop("codes", "scale")
     best = found.orderBy(F.desc("score"), F.asc("row")).limit(n)
     return best if min_score is None else best.filter(F.col("score") >= min_score)
@@ -149,8 +149,6 @@ def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block
 
 def multi_query_search(index: DataFrame, queries: Sequence[Sequence[float]], k: int = 20, depth: int = 40, *, where: Column | None = None) -> DataFrame:
     """(row, score): the sum over queries of 1 / (60 + rank) among each one's ``depth`` best; not rounded, ties by row."""
-    from granary.functions.numeric import RRF_OFFSET
-
     lists = None
     for n, q in enumerate(queries):
         hits = search(index, q, depth, where=where).select("row", "score", F.lit(n).alias("n"))
@@ -163,9 +161,7 @@ def multi_query_search(index: DataFrame, queries: Sequence[Sequence[float]], k:
 
 
 def project_index(vectors: DataFrame, id_col: str, components: list[list[float]], mean: list[float], vector_col: str) -> DataFrame:
-    from granary.functions.numeric import project
-
     return vectors.select(F.col(id_col).alias("id"), project(F.col(vector_col), components, mean).alias("v"))
 
 
-__all__ = ["build_index", "l2_normalize", "multi_query_search", "neighbours_batch", "project_index", "query_of", "score_floor", "search", "search_arrow", "similar_many", "similar_to"]
+__all__ = ["build_index", "multi_query_search", "neighbours_batch", "project_index", "query_of", "score_floor", "search", "search_arrow", "similar_many", "similar_to"]
