@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import arrow_scalar, columns_kept, map_slices, read, ship
 from granary.llm.labels import fold, sample
 
-SAMPLE, FEATURES, STEPS = 12_000, 4096, 400
+SAMPLE, FEATURES, STEPS = 8_000, 4096, 400
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 _CACHE = 500_000
 
@@ -74,15 +74,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int =
         return {}, -12.0, -12.0
     chosen = _chosen(drawn, got[1], got[0])
     index = {f: i for i, f in enumerate(chosen)}
-    table = map_slices(drawn, "text", _sentences(index), "y int, n long, hits array<array<int>>").toPandas()  # at most ``rows`` short rows
-    y, full = table["y"].to_numpy(), (table["n"].to_numpy() > 0).astype(float)
-    doc, sent, feat = [], [], []
-    for d, hits in enumerate(table["hits"]):
-        for h in hits:
-            sent += [len(doc)] * len(h)
-            feat += [int(i) for i in h]
-            doc.append(d)
-    doc_, sent_, feat_ = (np.array(x, np.int64) for x in (doc, sent, feat))
+    table = map_slices(drawn, "text", _sentences(index), "y int, n long, hits array<array<int>>").toArrow()  # at most ``rows`` short rows
+    y, full = table.column("y").to_numpy(), (table.column("n").to_numpy() > 0).astype(float)
+    by_doc = table.column("hits").combine_chunks()
+    by_sentence = by_doc.flatten()
+    feat_ = by_sentence.flatten().to_numpy().astype(np.int64)
+    doc_ = np.repeat(np.arange(len(y)), np.diff(by_doc.offsets.to_numpy()))
+    sent_ = np.repeat(np.arange(len(doc_)), np.diff(by_sentence.offsets.to_numpy()))
+    del table, by_doc, by_sentence
     weight = np.where(y == 1, sizes[1] / got[1], sizes[0] / got[0])
     weight /= weight.sum()
     w, b, leak = np.zeros(len(chosen)), -6.0, -4.0
