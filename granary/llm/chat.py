@@ -86,27 +86,42 @@ def masked(formatted: str, path: str, learn: str) -> tuple[list[int], np.ndarray
 _SEGMENT = "conv_id long, segment int, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 
 
-def _segments(path: str, learn: str, chars: int) -> Any:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, number, held, turns = None, 0, 0, []
+#: Segments, and their characters, in one Arrow batch.
+_ROWS, _CHARS = 256, 1 << 20
+
+
+def _lists(parts: list[Any], kind: Any) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
 
-        def flush() -> pa.RecordBatch:
-            formatted = render(turns)
-            ids, starts, ends, loss = masked(formatted, path, learn)
-            row = [[key], [number], [formatted], [ids], [starts], [ends], [loss]]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["conv_id", "segment", "formatted", "ids", "starts", "ends", "loss"])
 
+def _batch(rows: list[tuple[int | None, int, str]], path: str, learn: str) -> pa.RecordBatch:
+    ids, starts, ends, loss = zip(*(masked(f, path, learn) for _, _, f in rows), strict=True)
+    key, number, formatted = zip(*rows, strict=True)
+    ints = [_lists([np.asarray(x, np.int32) for x in part], pa.int32()) for part in (ids, starts, ends)]
+    columns = [pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(formatted, pa.string()), *ints, _lists(list(loss), pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["conv_id", "segment", "formatted", "ids", "starts", "ends", "loss"])
+
+
+def _segments(path: str, learn: str, chars: int) -> Any:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, held, turns, rows, waiting = None, 0, 0, [], [], 0
         for batch in batches:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if turns and (conv != key or held >= chars):
-                    yield flush()
+                    rows.append((key, number, render(turns)))
+                    waiting += held
                     number, held, turns = (number + 1 if conv == key else 0), 0, []
+                    if len(rows) >= _ROWS or waiting >= _CHARS:
+                        yield _batch(rows, path, learn)
+                        rows, waiting = [], 0
                 key = conv
                 turns.append((role or "", text or ""))
                 held += len(turns[-1][1])
         if turns:
-            yield flush()
+            rows.append((key, number, render(turns)))
+        if rows:
+            yield _batch(rows, path, learn)
 
     return run
 
@@ -130,21 +145,24 @@ _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 def _digests(learn: str) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, Any] | None = None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-        def out(s: dict[str, Any]) -> pa.RecordBatch:
-            row = [s["key"], s["turns"], s["all"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["long"]]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [c.split()[0] for c in _DIGEST.split(", ")])
+        def out(done: list[dict[str, Any]]) -> pa.RecordBatch:
+            rows = [(s["key"], s["turns"], s["all"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["long"]) for s in done]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _DIGEST.split(", ")])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if state is None or r["segment"] == 0:
+            done = []
+            key, number, texts = (batch.column(i).to_pylist() for i in range(3))
+            at = batch.column(4).offsets.to_numpy() - batch.column(4).offsets[0].as_py()
+            all_starts, all_ends, all_loss = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5, 6))
+            for r, formatted in enumerate(texts):
+                if state is None or number[r] == 0:
                     if state:
-                        yield out(state)
-                    state = {"key": r["conv_id"], "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "long": 0}
-                formatted = r["formatted"]
-                loss = np.array(r["loss"], bool)
-                starts, ends = np.array(r["starts"], np.int64)[loss], np.array(r["ends"], np.int64)[loss]
+                        done.append(state)
+                    state = {"key": key[r], "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "long": 0}
+                loss = all_loss[at[r] : at[r + 1]].astype(bool)
+                starts, ends = all_starts[at[r] : at[r + 1]][loss], all_ends[at[r] : at[r + 1]][loss]
                 for role, a, b in parse(formatted):
                     state["turns"] += 1
                     state["all"].update(f"{role}\n{unescape(formatted[a:b])}\n".encode())
@@ -159,8 +177,10 @@ def _digests(learn: str) -> Any:
                     state["chars"] += len(text)
                     state["loss"].update(text.encode())
                 state["long"] += len(formatted)
+            if done:
+                yield out(done)
         if state:
-            yield out(state)
+            yield out([state])
 
     return run
 
