@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import columns_kept, cut, cut_points, map_slices, read
 from granary.llm.graph import components
+from granary.llm.near_copies import near_copies
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -106,12 +107,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id. All columns stay as they are.
 
-    Rows without an id stay, as nothing names them. Of rows that repeat a kept id, one stays.
+    Fingerprints link rows, or with a ``similarity`` the Jaccard similarity of their shingles of ``shingle`` words. Rows
+    without an id stay, as nothing names them. Of rows that repeat a kept id, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col) if similarity is None else near_copies(docs, id_col, text_col, shingle=shingle, similarity=similarity)
     gone = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
     kept = docs.join(gone.distinct().hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
     repeats = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count()

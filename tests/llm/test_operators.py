@@ -383,6 +383,54 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
 
 
+def plain_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        out[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return out
+
+
+def plain_kept(texts):
+    """The least id of each component of links at a Jaccard similarity of 0.8 or more."""
+    sets, least, changed = plain_sets(texts), {i: i for i in texts}, True
+    links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(least[i], least[j])
+            if least[i] != low or least[j] != low:
+                least[i] = least[j] = low
+                changed = True
+    return set(least.values())
+
+
+def edited_copies():
+    """Originals of 20 to 300 words, and copies with 1 to 12 words changed at random; a common line in half of them."""
+    rng = random.Random(11)
+    texts, line = {}, "this line stands in very many of the texts at hand"
+    for i in range(40):
+        w = [rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(rng.choice([20, 60, 150, 300]))]
+        for c in range(4):
+            own = list(w)
+            for _ in range(rng.randint(1, 12) if c else 0):
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+            texts[1000 - 10 * i - c] = " ".join(own) + (f"\n{line}" if i % 2 else "")
+    return texts
+
+
+def test_edited_copies_are_near_copies(spark):
+    import corpus_pipeline
+
+    texts = edited_copies() | {1: None, 2: "", 3: "One two", 4: "one  TWO", 5: "one two three", 6: LONG}
+    d = spark.createDataFrame([*texts.items(), (None, "one two"), (3, "One two")], "doc_id long, text string").repartition(3)
+    want = plain_kept(texts)
+    assert len(want) < len(texts) - 30
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, SF).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(want) and kept.count(None) == 1
+    assert corpus_pipeline.drop_near_copies(spark, d.limit(0), SF).count() == 0
+
+
 # ---- 10
 
 
