@@ -111,8 +111,6 @@ def score_column(text: Column, weights: dict[str, float], bias: float, leak: flo
     known: dict[str, float] = {}
 
     def weigh(word: str) -> float:
-        if len(known) > _CACHE:
-            known.clear()
         x = known[word] = sum(weights.get(f, 0.0) for f in features(word))
         return x
 
@@ -120,17 +118,19 @@ def score_column(text: Column, weights: dict[str, float], bias: float, leak: flo
         out = []
         rest = float(np.logaddexp(0, leak))
         for text in col.to_pylist():
+            if len(known) > _CACHE:  # between documents only
+                known.clear()
             low = (text or "").lower()
             words = set(_WORD.findall(low))
-            hit = {w for w in words if (known[w] if w in known else weigh(w))}
+            hit = {w: x for w in words if (x := known[w] if w in known else weigh(w))}
             if not hit:
                 out.append((float(-np.expm1(-rest)) if words else 0.0, []))
                 continue
             total, found = rest, []
             for s in _SENTENCE.finditer(text):
                 own = set(_WORD.findall(s[0].lower()))
-                if own & hit:
-                    z = bias + sum(known.get(w, 0.0) for w in sorted(own & hit))
+                if own & hit.keys():
+                    z = bias + sum(hit[w] for w in sorted(own & hit.keys()))
                     total += float(np.logaddexp(0, z))
                     p = 1 / (1 + float(np.exp(-z)))
                     if p >= offends:

@@ -174,6 +174,17 @@ def test_toxicity_finds_sentences(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_word_cache(spark, monkeypatch):
+    offending = [f"{a}{b}zq" for a in "abc" for b in "xyz"]
+    docs = spark.createDataFrame([(i, f"plain{i} words. " + " ".join(offending[: i + 1]) + " here.") for i in range(9)], "doc_id long, text string").coalesce(1)
+    model = ({w: 2.0 for w in offending}, -9.0, -12.0)
+    scores = lambda: {r.doc_id: r.s for r in docs.select("doc_id", toxicity.score_column(F.col("text"), *model).score.alias("s")).collect()}
+    want = {i: 1 - 1 / (1 + np.exp(-12)) / (1 + np.exp(2.0 * (i + 1) - 9)) for i in range(9)}
+    assert scores() == pytest.approx(want)
+    monkeypatch.setattr(toxicity, "_CACHE", 5)
+    assert scores() == pytest.approx(want)
+
+
 def test_held_out_rows_are_not_learned(spark):
     docs, labels = labelled(spark)
     held = labels.filter("crc32(cast(doc_id as string)) % 5 = 0")
