@@ -8,7 +8,7 @@ it. What validation says stays as it was: a number that passes its Luhn test pas
 IBAN's check digits are computed anew.
 
 All of it is DataFrame functions: a text is split at the matches and put together again with the replaced ones.
-Documents without a digit or an @ are not searched at all.
+Documents without a digit, an @, ``password=`` or ``AKIA`` hold no match and are not searched at all.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ PATTERNS = {
     "number": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every match holds one of these.
+_HINT = "[0-9@]|password=|AKIA"
 
 
 def _drawn(key: str, tag: str, r: Column, x: Column) -> Column:
@@ -252,7 +254,7 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
         return F.struct(F.when(F.size(found) > 0, whole).otherwise(text).alias("text"), F.size(found).cast("long").alias("found"))
 
     none = F.array().cast("array<string>")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
+    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
     return _let(found, replaced)
 
 
