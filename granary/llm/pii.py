@@ -220,11 +220,14 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
 
 
+def _iban_valid(v: Column) -> Column:
+    return _mod97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1
+
+
 def _iban(v: Column, key: str) -> Column:
     country, rest = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.length(v))
-    valid = _mod97(F.concat(rest, F.substring(v, 1, 4))) == 1
     new = lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
-    return F.when(valid, _let(permute_text(rest, key, "iban"), new)).otherwise(v)
+    return _let(permute_text(rest, key, "iban"), new)
 
 
 def _secret(v: Column, key: str) -> Column:
@@ -235,12 +238,19 @@ def _access_key(v: Column, key: str) -> Column:
     return F.concat(F.substring(v, 1, 4), permute_text(F.substring(v, 5, 16), key, "access_key"))
 
 
-def pseudonym(v: Column, key: str) -> Column:
-    """The pseudonym of one match; a match that its kind's validation refuses stays as it is."""
-    kinds: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "secret": _secret, "access_key": _access_key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "number": _number}
-    out = F.when(v.contains("@"), _email(v, key))
-    for kind in ("iban", "secret", "access_key", "ip", "date", "ssn", "phone", "number"):
-        out = out.when(v.rlike(f"^(?:{PATTERNS[kind]})$"), kinds[kind](v, key))
+def pseudonym(v: Column, key: str, password: Column) -> Column:
+    """The pseudonym of one match; a match that its kind's validation refuses stays as it is.
+
+    What has an IBAN's shape but not its check digits may still be a secret or, where ``password`` says so, a password.
+    """
+    kinds: dict[str, Callable[[Column, str], Column]] = {"secret": _secret, "access_key": _access_key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "number": _number}
+    is_a = lambda kind: v.rlike(f"^(?:{PATTERNS[kind]})$")
+    out = F.when(v.contains("@"), _email(v, key)).when(is_a("iban") & _iban_valid(v), _iban(v, key))
+    for kind in ("secret", "access_key"):
+        out = out.when(is_a(kind), kinds[kind](v, key))
+    out = out.when(is_a("iban") & ~password, v)
+    for kind in ("ip", "date", "ssn", "phone", "number"):
+        out = out.when(is_a(kind), kinds[kind](v, key))
     return out.otherwise(permute_text(v, key, "password"))  # what follows "password=" is found by what stands before it
 
 
@@ -248,10 +258,12 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     """struct(text, found): the text with all matches replaced, and the number of matches. A null text stays null."""
 
     def replaced(found: Column) -> Column:
-        between = F.split(text, _ANY, -1)
-        values = F.array_append(F.transform(found, lambda v: pseudonym(v, key)), F.lit(""))
-        whole = F.array_join(F.flatten(F.zip_with(between, values, lambda p, v: F.array(p, v))), "")
-        return F.struct(F.when(F.size(found) > 0, whole).otherwise(text).alias("text"), F.size(found).cast("long").alias("found"))
+        def whole(between: Column) -> Column:
+            before = lambda i: F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), F.get(between, i))
+            values = F.array_append(F.transform(found, lambda v, i: pseudonym(v, key, before(i).endswith("password="))), F.lit(""))
+            return F.array_join(F.flatten(F.zip_with(between, values, lambda p, v: F.array(p, v))), "")
+
+        return F.struct(F.when(F.size(found) > 0, _let(F.split(text, _ANY, -1), whole)).otherwise(text).alias("text"), F.size(found).cast("long").alias("found"))
 
     none = F.array().cast("array<string>")
     found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)

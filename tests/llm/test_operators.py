@@ -490,6 +490,17 @@ def test_pii_without_a_digit_or_an_at(spark):
     assert [f"{o} 1" for o in out[:2]] == out[2:]
 
 
+def test_pii_of_the_shape_of_an_iban(spark):
+    secret, word, wrong = "AB12CDEF0123456789ABCDEF01234567", "GB00WESTXYZ98765432", "GB00WEST12345698765432"
+    texts = [f"token {secret}.", f"password={word}", f"a.b@c.password={word}", f"password=hunter22 {wrong} {word}", "password=GB82WEST12345698765432 GB82WEST12345698765432"]
+    out = masked(spark, texts)
+    assert secret not in out[0] and re.fullmatch(r"token [A-F]{2}[0-9]{2}[A-F]{4}[0-9]{10}[A-F]{6}[0-9]{8}\.", out[0])
+    assert word not in out[1] and word not in out[2] and out[1].split("=")[1] == out[2].split("=")[1]
+    assert out[3].endswith(f" {wrong} {word}") and "hunter22" not in out[3]
+    a, b = out[4].removeprefix("password=").split()
+    assert a == b != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1
+
+
 def test_pii_is_a_permutation(spark):
     every = [f"{a:03d}" for a in range(1000)]
     df = spark.createDataFrame([(x,) for x in every], "d string").select(pii.permute_digits(F.col("d"), "k", "t").alias("o"))
