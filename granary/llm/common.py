@@ -26,15 +26,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return shipping.ship(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the context's checkpoint folder, else what ``spark.checkpoint.dir`` names.
 
-    A folder of our own is set only where neither the context nor that setting has one (as in tests).
+    Where neither is set, one process that is driver and executor gets a folder of its own; a cluster gets an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    if found := sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="granary-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in :func:`shared_folder`."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -119,5 +128,19 @@ def cut_points(b: bytes, size: int, stops: bytes) -> Iterator[bytes]:
 def columns_kept(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``df`` reduced to ``columns`` (own name -> column). They are found by place, so that other columns whose names
     differ in case only, or are those that an operator uses inside, don't matter."""
-    at = {c: df.columns.index(c) for c in columns.values()}
+    at = {c: _place(df, c) for c in columns.values()}
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{at[c]}").alias(k) for k, c in columns.items()])
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """``df`` with its columns named by their places, so that names which differ in case only, or are used inside an
+    operator, don't clash; and the name by place of a column. Give results the names of ``df`` again by ``toDF``."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), lambda name: f"_{_place(df, name)}"
+
+
+def _place(df: DataFrame, name: str) -> int:
+    """Where the column of exactly this name is, or the only one whose name differs in case alone."""
+    same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(same) != 1:
+        raise ValueError(f"{len(same)} columns are named {name}")
+    return same[0]

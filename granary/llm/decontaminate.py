@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from functools import lru_cache
 from typing import Any
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_scalar, columns_kept, map_slices, read, ship
+from granary.llm.common import arrow_scalar, by_place, columns_kept, cut, map_slices, read, ship
 
 WORDS = 10
 #: (window, item) pairs in one broadcast: some 30 MB with ordinary words.
@@ -172,28 +173,32 @@ def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", out_col:
     A null text has no words. Items that are null or have no words have no window; the windows of an item without an
     id hit, and stand as a null in ``items``. Repeated items count once. An empty benchmark hits nothing.
     """
+    if out_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{out_col} is a column already")
     ship(docs.sparkSession)
-    wins = benchmark_windows(bench, item_id, item_text)
+    own, at = by_place(docs)
+    wins = cut(benchmark_windows(bench, item_id, item_text))
     n = max(1, -(-wins.count() // block))
     for k in range(n):
         part = wins.filter(F.pmod(F.xxhash64("win", "item_id"), F.lit(n)) == k) if n > 1 else wins
         rows = part.toArrow()
-        sent: Any = docs.sparkSession.sparkContext.broadcast((rows.column("win").to_pylist(), rows.column("item_id").to_pylist()))
+        sent: Any = docs.sparkSession.sparkContext.broadcast((uuid4().hex, rows.column("win").to_pylist(), rows.column("item_id").to_pylist()))
         look = arrow_scalar(_scanner(sent), _STATE)
-        col = F.col(f"`{text_col}`")
-        docs = docs.withColumn(out_col, look(col, F.col(out_col)) if k else look(col))
-    return docs
+        col = F.col(at(text_col))
+        own = own.withColumn("state", look(col, F.col("state")) if k else look(col))
+    return own.toDF(*docs.columns, out_col)
 
 
-_HELD: dict[int, Block] = {}
+_HELD: dict[str, Block] = {}
 
 
 def _scanner(sent: Any) -> Any:
     def run(col: pa.Array, state: pa.Array | None = None) -> pa.Array:
-        block = _HELD.get(id(sent.value))
+        name, *wins = sent.value
+        block = _HELD.get(name)
         if block is None:
             _HELD.clear()
-            block = _HELD[id(sent.value)] = Block(*sent.value)
+            block = _HELD[name] = Block(*wins)
         return block.scan(col, state)
 
     return run
@@ -202,17 +207,21 @@ def _scanner(sent: Any) -> Any:
 def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) with the hit words cut out of their texts.
 
-    A cut span runs from the first byte of its first word to the last byte of its last. All columns stay.
+    A cut span runs from the first byte of its first word to the last byte of its last. All columns stay, and so do rows
+    with a null or empty text; repeated rows stay or go together.
     """
-    col = "__contamination"
-    found = scan(docs, bench, text_col=text_col, out_col=col)
-    if remove == "documents":
-        return found.filter(F.size(F.col(f"{col}.hit")) == 0).drop(col)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    cutter = arrow_scalar(_without, "string")
-    hit = F.size(F.col(f"{col}.hit")) > 0
-    return found.withColumn(text_col, F.when(hit, cutter(F.col(f"`{text_col}`"), F.col(f"{col}.hit"))).otherwise(F.col(f"`{text_col}`"))).drop(col)
+    own, at = by_place(docs)
+    text = at(text_col)
+    found = scan(own, bench, text_col=text, out_col="found")
+    hit = F.size(F.col("found.hit")) > 0
+    if remove == "spans":
+        cutter = arrow_scalar(_without, "string")
+        found = found.withColumn(text, F.when(hit, cutter(F.col(text), F.col("found.hit"))).otherwise(F.col(text)))
+    else:
+        found = found.filter(~hit)
+    return found.drop("found").toDF(*docs.columns)
 
 
 def _without(col: pa.Array, hits: pa.Array) -> pa.Array:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import columns_kept, read
+from granary.llm.common import by_place, columns_kept, read
 
 SIZE, MOST_SLOTS, SHARDS = 65_537, 1_000_003, 64
 
@@ -51,7 +51,8 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 def assign(df: DataFrame, key: str, shards: list[str], *, size: int = SIZE, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """``df`` with the slot and the shard's name of every row. Equal keys go together; no row is lost or moved.
 
-    The columns that it adds must have names of their own. An empty table stays empty.
+    Null keys are one key; an empty one, and one of any length, is hashed whole. Repeated rows stay. The columns that it
+    adds must have names of their own. An empty table stays empty.
     """
     taken = {c.lower() for c in df.columns}
     if {slot_col.lower(), shard_col.lower()} & taken:
@@ -59,9 +60,9 @@ def assign(df: DataFrame, key: str, shards: list[str], *, size: int = SIZE, slot
     table = lookup_table(shards, size)
     spark = df.sparkSession
     owners = spark.createDataFrame([(i, shards[x]) for i, x in enumerate(table)], "__slot int, __shard string")
-    placed = df.withColumn(slot_col, slot_of(F.col(f"`{key}`"), size))
-    joined = placed.join(F.broadcast(owners), F.col(slot_col) == F.col("__slot"))
-    return joined.drop("__slot").withColumnRenamed("__shard", shard_col)
+    own, at = by_place(df)
+    joined = own.withColumn("slot", slot_of(F.col(at(key)), size)).join(F.broadcast(owners), F.col("slot") == F.col("__slot"))
+    return joined.drop("__slot").toDF(*df.columns, slot_col, shard_col)
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: list[str], *, size: int = SIZE, files: int = 8) -> None:

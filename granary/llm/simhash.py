@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import columns_kept, cut, cut_points, map_slices, read
+from granary.llm.common import by_place, columns_kept, cut, cut_points, map_slices, read
 from granary.llm.graph import components
 from granary.llm.near_copies import near_copies
 
@@ -111,16 +111,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each component: that of the smallest id. All columns stay as they are.
 
     Fingerprints link rows, or with a ``similarity`` the Jaccard similarity of their shingles of ``shingle`` words. Rows
-    without an id stay, as nothing names them. Of rows that repeat a kept id, one stays.
+    without an id stay, as nothing names them. Of rows that repeat a kept id, one stays. Empty and null texts are copies of
+    each other. An empty table stays empty.
     """
+    own, at = by_place(docs)
+    name = at(id_col)
     found = near_duplicates(docs, id_col, text_col) if similarity is None else near_copies(docs, id_col, text_col, shingle=shingle, similarity=similarity)
     gone = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone.distinct().hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    kept = own.join(gone.distinct().hint("shuffle_hash"), F.col(name).cast("long") == F.col("__gone"), "left_anti")
     repeats = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeats:
-        return kept
-    whole, bare = kept.filter(F.col(id_col).isNotNull()), kept.filter(F.col(id_col).isNull())
-    return whole.dropDuplicates([id_col]).unionByName(bare)
+    if repeats:
+        kept = kept.filter(F.col(name).isNotNull()).dropDuplicates([name]).unionByName(kept.filter(F.col(name).isNull()))
+    return kept.toDF(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
