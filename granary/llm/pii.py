@@ -1,14 +1,19 @@
 """Personal data to format-preserving pseudonyms: a keyed Feistel permutation within each value's own format.
 
-E-mail and IPv4 addresses, phone numbers, account and card numbers, IBANs, social security numbers, dates,
-access keys, passwords and hexadecimal secrets are found by one pattern, validated, and replaced by other values of the same kind and shape. Each
-round adds, modulo the size of one half's domain, a number drawn from SHA-256 of the key and the other half; so each
-format is permuted: unlike values stay unlike, equal values become equal everywhere, and whoever has the key can undo
-it. What validation says stays as it was: a number that passes its Luhn test passes it after, dates stay dates, an
-IBAN's check digits are computed anew.
-
-All of it is DataFrame functions: a text is split at the matches and put together again with the replaced ones.
-Documents without a digit, an @, ``password=`` or ``AKIA`` hold no match and are not searched at all.
+E-mail and IPv4 addresses, phone numbers, card numbers, IBANs (in one piece or in groups of four), social security numbers,
+dates, access keys, passwords and hexadecimal secrets are found by one pattern, validated, and replaced by other values of
+the same kind and shape. Each round adds, modulo the size of one half's domain, a number drawn from SHA-256 of the key and
+the other half; so each format is permuted: unlike values stay unlike, equal values become equal everywhere, and whoever has
+the key can undo it. What validation says stays as it was: card numbers pass their Luhn test after as before, dates stay
+dates, an IBAN's check digits are computed anew. Numbers of 13 to 19 digits that fail the Luhn test, days that no calendar
+has, and what else fails its kind's validation, stay as they are, unless they follow ``password=``.
+
+All of it is DataFrame functions: a text is split at the matches and put together again with the replaced ones. Every text
+is searched, whatever its length, and secrets, passwords and addresses have no longest length.
+
+Null texts stay null and empty ones empty. Rows are only mapped, so repeated rows, rows with a null or repeated id and extra
+columns come out as they went in, and an empty table stays empty. The key stands in the query's plan: keep event logs as you
+keep the key.
 """
 
 from __future__ import annotations
@@ -18,20 +23,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import columns_kept, read
+from granary.llm.common import by_place, columns_kept, read
 
 ROUNDS = 10
-KEY = "granary"
+#: The setting that names the key, and a key for where it is unset. That one is public: it hides nothing from its readers.
+KEY_SETTING, PUBLIC_KEY = "spark.granary.pii.key", "granary"
 FIRST_YEAR, YEARS = 1900, 200
+_MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Each alternative starts where no longer token of its kind can have begun, so no text is searched twice.
+_LOCAL = "A-Za-z0-9À-ɏ._%+-"
+#: What stands before a password.
+_PASSWORD = r"(?i:password|passwd|pwd)(?:\s?=\s?[\"']?|[\"']\s?:\s?[\"'])"
+#: Each alternative starts where no longer token of its kind can have begun and repeats single classes only, so no text is
+#: searched twice and no long one exhausts the stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,7}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9][A-Za-z0-9.-]*(?<![.-])\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[0-9]{0,63}[A-Fa-f])(?=[A-Fa-f]{0,63}[0-9])(?:[0-9a-f]{26,64}|[0-9A-F]{26,64})(?![A-Za-z0-9])",
+    "iban_groups": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: (?![A-Z]{2}[0-9]{2} )[A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{26,}+(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<=password=)[A-Za-z0-9]{6,64}(?![A-Za-z0-9])",
+    "password": rf"(?<={_PASSWORD})[^\s\"'<>,;&]+(?<![.:!?)])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -39,8 +51,6 @@ PATTERNS = {
     "number": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every match holds one of these.
-_HINT = "[0-9@]|password=|AKIA"
 
 
 def _drawn(key: str, tag: str, r: Column, x: Column) -> Column:
@@ -135,13 +145,13 @@ def luhn_sum(payload: Column) -> Column:
 
 
 def _number(v: Column, key: str) -> Column:
-    """The digits before the last are permuted; the last keeps its distance from the Luhn check digit."""
+    """Of numbers that pass the Luhn test the digits before the last are permuted; the last is the check digit."""
 
     def out(d: Column) -> Column:
         n = F.length(d)
         old = F.substring(d, F.lit(1), n - 1)
-        off = F.pmod(F.substring(d, n, F.lit(1)).cast("int") + luhn_sum(old), F.lit(10))
-        return _let(permute_digits(old, key, "number"), lambda new: _refill(v, F.concat(new, F.pmod(off - luhn_sum(new), F.lit(10)).cast("string"))))
+        valid = F.pmod(F.substring(d, n, F.lit(1)).cast("int") + luhn_sum(old), F.lit(10)) == 0
+        return F.when(valid, _let(permute_digits(old, key, "number"), lambda new: _refill(v, F.concat(new, F.pmod(-luhn_sum(new), F.lit(10)).cast("string")))))
 
     return _let(_digits(v), out)
 
@@ -157,9 +167,9 @@ def _phone(v: Column, key: str) -> Column:
 
 
 def _email(v: Column, key: str) -> Column:
-    """The top-level domain and all punctuation stay."""
-    head = F.regexp_extract(v, r"^(.*)(\.[A-Za-z]+)$", 1)
-    return F.concat(permute_text(head, key, "email"), F.regexp_extract(v, r"^(.*)(\.[A-Za-z]+)$", 2))
+    """The top-level domain and all punctuation stay; what stands before the first letter or digit is no part of it."""
+    parts = r"^([._%+-]*)(.*)(\.[A-Za-z]+)$"
+    return F.concat(F.regexp_extract(v, parts, 1), permute_text(F.regexp_extract(v, parts, 2), key, "email"), F.regexp_extract(v, parts, 3))
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -173,18 +183,19 @@ def _ip(v: Column, key: str) -> Column:
 
 
 def _ssn(v: Column, key: str) -> Column:
-    """Areas 001 to 899 but 666, groups from 01, serials from 0001; others are no such number and stay."""
+    """Areas 001 to 899 but 666, groups from 01, serials from 0001; others are no such number."""
     area, group, serial = (F.substring(v, p, n).cast("long") for p, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = area - 1 - F.when(area > 666, 1).otherwise(0)
     moved = feistel(place, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
     show = lambda s: F.format_string("%03d-%02d-%04d", s["a"] + 1 + F.when(s["a"] >= 665, 1).otherwise(0), F.floor(s["b"] / 9999) + 1, s["b"] % 9999 + 1)
-    return F.when(valid, _let(moved, show)).otherwise(v)
+    return F.when(valid, _let(moved, show))
 
 
 def _date(v: Column, key: str) -> Column:
-    """Years from 1900 to 2099. Years and the 365 days of a common year are permuted with each other; 29 February moves
-    among leap years. With slashes, the month comes first; where only the day can, just the year moves."""
+    """Years from 1900 to 2099. Years and the 365 days of a common year are permuted with each other, and the 49 leap days
+    among themselves. With slashes the month comes first; dates where only the day can come first, 221 in a common year,
+    are permuted among themselves."""
     year_first = v.rlike("^[0-9]{4}")
     sep = F.when(year_first, F.substring(v, 5, 1)).otherwise(F.substring(v, 3, 1))
     year = F.when(year_first, F.substring(v, 1, 4)).otherwise(F.substring(v, 7, 4)).cast("long")
@@ -208,10 +219,21 @@ def _date(v: Column, key: str) -> Column:
 
     moved = _let(feistel(year - FIRST_YEAR, common, F.lit(YEARS), F.lit(365), key, "date"), from_place)
     leap = F.floor((year - 1904) / 4)  # 49 leap years, from 1904 to 2096
-    leaping = F.when((leap >= 0) & (year != 1900), show(1904 + 4 * F.pmod(leap + _drawn(key, "leap", F.lit(0), F.lit("")), F.lit(49)), F.lit(2), F.lit(29))).otherwise(v)
-    turned = show(FIRST_YEAR + F.pmod(year - FIRST_YEAR + _drawn(key, "year", F.lit(0), F.concat_ws("-", month, day)), F.lit(YEARS)), month, day)
-    usual = F.when((month == 2) & (day == 29), leaping).otherwise(moved)
-    return F.when(~known, v).when(swapped & real(day, month) & ~((day == 2) & (month == 29)), turned).when(~swapped & real(month, day), usual).otherwise(v)
+    leaping = _let(feistel(F.floor(leap / 7), leap % 7, F.lit(7), F.lit(7), key, "leap"), lambda s: s["a"] * 7 + s["b"])
+    # Days from the 13th on of a common year, in order: the months' first places, and 0 to 220.
+    before = [sum(n - 12 for n in _MONTHS[:k]) for k in range(12)]
+    firsts = F.array(*map(F.lit, before))
+
+    def from_late(s: Column) -> Column:
+        return _let(F.size(F.filter(firsts, lambda x: x <= s["b"])), lambda m: shown_late(s["a"] + FIRST_YEAR, m, s["b"] - F.element_at(firsts, m) + 13))
+
+    shown_late = lambda y, m, d: F.format_string("%02d%s%02d%s%04d", d, sep, m, sep, y)
+    # Where only the day can come first, ``month`` holds the day and ``day`` the month.
+    late = _let(feistel(year - FIRST_YEAR, F.element_at(firsts, F.greatest(F.lit(1), F.least(F.lit(12), day))) + month - 13, F.lit(YEARS), F.lit(before[-1] + 19), key, "day first"), from_late)
+    leaps = lambda m, d: (m == 2) & (d == 29)
+    usual = F.when(leaps(month, day), _let(leaping, lambda x: show(1904 + 4 * x, F.lit(2), F.lit(29)))).otherwise(moved)
+    turned = F.when(leaps(day, month), _let(leaping, lambda x: shown_late(1904 + 4 * x, F.lit(2), F.lit(29)))).otherwise(late)
+    return F.when(known & swapped & real(day, month), turned).when(known & ~swapped & real(month, day), usual)
 
 
 def _mod97(text: Column) -> Column:
@@ -227,7 +249,26 @@ def _iban_valid(v: Column) -> Column:
 def _iban(v: Column, key: str) -> Column:
     country, rest = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.length(v))
     new = lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
-    return _let(permute_text(rest, key, "iban"), new)
+    return F.when(_iban_valid(v), _let(permute_text(rest, key, "iban"), new))
+
+
+def _iban_groups(v: Column, key: str) -> Column:
+    """An IBAN in groups of four, or the most groups that make one; spaces stay where they were. In what is no IBAN, card
+    numbers are looked for."""
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    groups = F.split(v, " ")
+    tries = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    found = F.filter(tries, lambda x: (F.length(bare(x)) >= 15) & _iban_valid(bare(x)))
+    spaced = lambda x: F.trim(F.regexp_replace(x, "(.{4})", "$1 "))
+    whole = _let(F.get(found, 0), lambda x: F.concat(spaced(_iban(bare(x), key)), F.substring(v, F.length(x) + 1, F.length(v))))
+    numbers = F.regexp_extract_all(v, F.lit(PATTERNS["number"]), F.lit(0))
+    inner = _joined(F.split(v, PATTERNS["number"], -1), F.transform(numbers, lambda x: F.coalesce(_number(x, key), x)))
+    return F.when(F.size(found) > 0, whole).when(F.size(numbers) > 0, inner)
+
+
+def _joined(between: Column, values: Column) -> Column:
+    """Texts with values between them."""
+    return F.array_join(F.flatten(F.zip_with(between, F.array_append(values, F.lit("")), lambda p, x: F.array(p, x))), "")
 
 
 def _secret(v: Column, key: str) -> Column:
@@ -239,44 +280,44 @@ def _access_key(v: Column, key: str) -> Column:
 
 
 def pseudonym(v: Column, key: str, password: Column) -> Column:
-    """The pseudonym of one match; a match that its kind's validation refuses stays as it is.
-
-    What has an IBAN's shape but not its check digits may still be a secret or, where ``password`` says so, a password.
-    """
-    kinds: dict[str, Callable[[Column, str], Column]] = {"secret": _secret, "access_key": _access_key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "number": _number}
-    is_a = lambda kind: v.rlike(f"^(?:{PATTERNS[kind]})$")
-    out = F.when(v.contains("@"), _email(v, key)).when(is_a("iban") & _iban_valid(v), _iban(v, key))
-    for kind in ("secret", "access_key"):
-        out = out.when(is_a(kind), kinds[kind](v, key))
-    out = out.when(is_a("iban") & ~password, v)
-    for kind in ("ip", "date", "ssn", "phone", "number"):
-        out = out.when(is_a(kind), kinds[kind](v, key))
-    return out.otherwise(permute_text(v, key, "password"))  # what follows "password=" is found by what stands before it
+    """The pseudonym of one match, by the first kind that its shape and its validation allow. A match that none allows
+    stays as it is, or where ``password`` says so is a password."""
+    kinds: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "iban_groups": _iban_groups, "secret": _secret, "access_key": _access_key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "number": _number}
+    tried = [F.when(v.rlike(f"^(?:{PATTERNS[kind]})$"), one(v, key)) for kind, one in kinds.items()]
+    return F.coalesce(*tried, F.when(password, permute_text(v, key, "password")), v)
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
-    """struct(text, found): the text with all matches replaced, and the number of matches. A null text stays null."""
+def pseudonymised(text: Column, key: str) -> Column:
+    """struct(text, found): the text with all matches replaced, and the number of values that changed. A null text stays null."""
 
     def replaced(found: Column) -> Column:
         def whole(between: Column) -> Column:
             before = lambda i: F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), F.get(between, i))
-            values = F.array_append(F.transform(found, lambda v, i: pseudonym(v, key, before(i).endswith("password="))), F.lit(""))
-            return F.array_join(F.flatten(F.zip_with(between, values, lambda p, v: F.array(p, v))), "")
+            values = F.transform(found, lambda v, i: pseudonym(v, key, F.right(before(i), F.lit(16)).rlike(f"{_PASSWORD}$")))
+            changed = lambda new: F.aggregate(F.zip_with(found, new, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+            return _let(values, lambda new: F.struct(_joined(between, new).alias("text"), changed(new).alias("found")))
+
+        return F.when(F.size(found) > 0, _let(F.split(text, _ANY, -1), whole)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("found")))
+
+    return _let(F.coalesce(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.array().cast("array<string>")), replaced)
 
-        return F.struct(F.when(F.size(found) > 0, _let(F.split(text, _ANY, -1), whole)).otherwise(text).alias("text"), F.size(found).cast("long").alias("found"))
 
-    none = F.array().cast("array<string>")
-    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(none)
-    return _let(found, replaced)
+def key_of(spark: SparkSession) -> str:
+    """The key that ``KEY_SETTING`` holds; where it is unset, the public one."""
+    return spark.conf.get(KEY_SETTING, None) or PUBLIC_KEY
 
 
-def pseudonymise(docs: DataFrame, *, key: str = KEY, text_col: str = "text", found_col: str | None = None) -> DataFrame:
-    """``docs`` with the texts' personal data replaced; with ``found_col``, also the number of matches. Rows are only
-    mapped: none is lost, and repeated rows stay equal."""
-    made = docs.withColumn("__pii", pseudonymised(F.col(f"`{text_col}`"), key)).withColumn(text_col, F.col("__pii.text"))
-    return (made.withColumn(found_col, F.coalesce("__pii.found", F.lit(0).cast("long"))) if found_col else made).drop("__pii")
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
+    """``docs`` with the texts' personal data replaced; with ``found_col``, also the number of values that changed. Rows are
+    only mapped: none is lost, and repeated rows stay equal."""
+    if not key:
+        raise ValueError("the key is empty")
+    own, at = by_place(docs)
+    made = own.withColumn("pii", pseudonymised(F.col(at(text_col)), key))
+    columns = [F.col("pii.text").alias(c) if c == at(text_col) else F.col(c) for c in own.columns]
+    return made.select(*columns, *([F.col("pii.found")] if found_col else [])).toDF(*docs.columns, *([found_col] if found_col else []))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns_kept(read(spark, sf_dir, "documents"), {"doc_id": "doc_id", "text": "text"})
-    return pseudonymise(docs, found_col="n_found").select("doc_id", "text", "n_found")
+    return pseudonymise(docs, key=key_of(spark), found_col="n_found").select("doc_id", "text", "n_found")
