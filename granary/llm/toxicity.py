@@ -4,7 +4,8 @@ A sentence's chance is a logistic function of the weights of its distinct words;
 of four and five letters have been given, so unseen forms of a known stem count. The document's chance is the noisy-or
 of its sentences that hold anything with a weight, and of one leak a document for what no weight explains; so the length
 of a clean text adds nothing. Only document labels are needed to fit all of it by gradient descent. What may have a weight
-is settled first: the words and prefixes that toxic documents of the sample have far more often than others do.
+is settled first: every word and prefix that toxic documents of the sample have far more often than others do, by
+``LEAST`` and ``ABOVE``. These two and ``RIDGE`` were chosen on the folds that are learned from.
 
 Fitting uses at most ``SAMPLE`` labelled documents (a parameter), of which only the sentences' chosen features reach the
 driver. Scoring covers whole texts and every row; it also says which sentences offend, and how much.
@@ -21,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_scalar, columns_kept, map_slices, read, ship
+from granary.llm.common import arrow_scalar, by_place, columns_kept, map_slices, read, ship
 from granary.llm.labels import fold, sample
 
-SAMPLE, FEATURES, STEPS = 8_000, 4096, 400
+SAMPLE, STEPS = 8_000, 400
+#: A feature stands in so many toxic documents at least, by so many standard deviations more than its share; and the
+#: penalty on squared weights, by which forms of a stem share theirs.
+LEAST, ABOVE, RIDGE = 3, 2.5, 3e-4
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 _CACHE = 500_000
 
@@ -42,14 +46,14 @@ def _document_features(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], ["f", "y", "n"])
 
 
-def _chosen(rows: DataFrame, n_pos: int, n_neg: int) -> list[str]:
-    """At most FEATURES features, by how far their count in toxic documents is above what the others' share would give."""
+def _chosen(rows: DataFrame, n_pos: int, n_neg: int, least: int, above: float) -> list[str]:
+    """The features whose count in toxic documents is that far above what the others' share would give."""
     counted = map_slices(rows, "text", _document_features, "f string, y int, n long")
     both = counted.groupBy("f").agg(F.sum(F.col("n") * F.col("y")).alias("pos"), F.sum(F.col("n") * (1 - F.col("y"))).alias("neg"))
     due = (F.col("neg") + 0.5) * (n_pos / max(1, n_neg))
     z = (F.col("pos") - due) / F.sqrt(F.col("pos") + due)
-    top = both.filter("pos >= 3").withColumn("z", z).filter("z > 1.5").orderBy(F.desc("z"), "f").limit(FEATURES)
-    return [r[0] for r in top.select("f").collect()]
+    top = both.filter(F.col("pos") >= least).withColumn("z", z).filter(F.col("z") > above).orderBy(F.desc("z"), "f")
+    return [r[0] for r in top.select("f").collect()]  # of a bounded sample, those that stand in toxic texts only
 
 
 def _sentences(index: dict[str, int]) -> Any:
@@ -65,14 +69,14 @@ def _sentences(index: dict[str, int]) -> Any:
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int = STEPS, least: int = LEAST, above: float = ABOVE, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float, float]:
     """Weights by feature, the bias of a sentence, and the leak of a document. Without labels of both kinds nothing weighs anything."""
     ship(docs.sparkSession)
     drawn, sizes = sample(docs, labels, "toxic", rows, id_col, text_col)
     got = {r[0]: r[1] for r in drawn.groupBy("y").count().collect()}  # two rows
     if not got.get(0) or not got.get(1):
         return {}, -12.0, -12.0
-    chosen = _chosen(drawn, got[1], got[0])
+    chosen = _chosen(drawn, got[1], got[0], least, above)
     index = {f: i for i, f in enumerate(chosen)}
     table = map_slices(drawn, "text", _sentences(index), "y int, n long, hits array<array<int>>").toArrow()  # at most ``rows`` short rows
     y, full = table.column("y").to_numpy(), (table.column("n").to_numpy() > 0).astype(float)
@@ -92,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int =
         total = full * plus(leak) + np.bincount(doc_, plus(z), len(y))
         slope = weight * np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1)
         dz = slope[doc_] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feat_, dz[sent_], len(chosen)) + 1e-5 * w, [dz.sum(), (slope * full).sum() / (1 + np.exp(-leak))])
+        grad = np.append(np.bincount(feat_, dz[sent_], len(chosen)) + ridge * w, [dz.sum(), (slope * full).sum() / (1 + np.exp(-leak))])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b, leak = w - move[:-2], b - move[-2], leak - move[-1]
@@ -141,17 +145,20 @@ def score_column(text: Column, weights: dict[str, float], bias: float, leak: flo
     return arrow_scalar(run, _SCORED)(text)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, sentences): a row for each row of ``docs``; repeated rows repeat."""
-    model = fit(docs, labels, rows=rows, id_col=id_col, text_col=text_col)
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: Any) -> DataFrame:
+    """(doc_id, score, sentences): a row for each row of ``docs``; repeated rows repeat. ``how`` goes to :func:`fit`."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
     own = columns_kept(docs, {"doc_id": id_col, "text": text_col})
     return own.select("doc_id", score_column(F.col("text"), *model).alias("s")).select("doc_id", "s.score", "s.sentences")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, at: float = 0.5, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``at`` or more; all columns stay."""
+    """``docs`` without the rows that score ``at`` or more; all columns stay. Null and empty texts stay, and repeated rows
+    stay or go together."""
     model = fit(docs, labels, rows=rows, id_col=id_col, text_col=text_col)
-    return docs.withColumn("__toxicity", score_column(F.col(f"`{text_col}`"), *model)).filter(F.col("__toxicity.score") < at).drop("__toxicity")
+    own, named = by_place(docs)
+    scored = own.withColumn("toxicity", score_column(F.col(named(text_col)), *model))
+    return scored.filter(F.col("toxicity.score") < at).drop("toxicity").toDF(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
