@@ -6,11 +6,14 @@ their document's, and after each fit the lines of bad documents that look good a
 document's quality is the mean of its lines' forward-backward marginals weighted by length, put on the scale of chances
 by a logistic curve fitted to the same documents.
 
-Fitting uses at most ``SAMPLE`` labelled documents and ``LINES`` of their lines (parameters); scoring covers whole texts.
+Fitting uses at most ``SAMPLE`` labelled documents and about ``LINES`` of their lines (parameters), in chains of at most
+``CHAIN`` lines: a longer document is several. Which chains is settled by a hash, so long and short documents have their
+share. Scoring covers whole texts, each as one chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Any
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import arrow_scalar, columns_kept, map_slices, read, ship
 from granary.llm.labels import fold, sample
 
-SAMPLE, LINES, ROUNDS, STEPS = 4_000, 60_000, 3, 100
+SAMPLE, LINES, CHAIN, ROUNDS, STEPS = 4_000, 60_000, 1_000, 3, 100
 #: Cells of a padded group of documents that a pass works on at once.
 _CELLS = 200_000
 _KINDS = 6
@@ -220,26 +223,36 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.n
     return Model(model.theta, model.moves, max(float(a), 0.1), float(b))
 
 
-def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [line_features(t) for t in batch.column(0).to_pylist()]
-    xs = pa.array([x.ravel() for x, _ in found], pa.list_(pa.float32()))
-    return pa.RecordBatch.from_arrays([batch.column(1), xs, pa.array([n for _, n in found], pa.list_(pa.float64()))], ["y", "x", "n"])
+def _sampled(share: float, most: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Chains of ``most`` lines at most; of all of them a ``share``, by a hash of the text and the chain's place."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        from xxhash import xxh64_intdigest
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, lines: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The model, or None where labelled texts of both kinds are lacking. Of the sample, documents of over 1000 lines
-    are left out, and those after the first ``lines`` lines in the order of a hash."""
+        keys, ys, xs, ns = [], [], [], []
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, n = line_features(text)
+            for k, lo in enumerate(range(0, len(n), most)):
+                key = xxh64_intdigest(text.encode(), k)
+                if key < share * 2.0**64:
+                    keys.append(key >> 1)
+                    ys.append(y)
+                    xs.append(x[lo : lo + most].ravel())
+                    ns.append(n[lo : lo + most])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float32())), pa.array(ns, pa.list_(pa.float64()))], ["key", "y", "x", "n"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, lines: int = LINES, chain_lines: int = CHAIN, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """The model, or None where labelled texts of both kinds are lacking."""
     ship(docs.sparkSession)
     drawn, sizes = sample(docs, labels, "quality", rows, id_col, text_col)
-    few = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < 1000
-    table = map_slices(drawn.filter(few).orderBy(F.xxhash64("text")), "text", _sampled, "y int, x array<float>, n array<double>").toPandas()
-    found, y, held = [], [], 0
-    for label, x, n in table.itertuples(index=False):
-        if len(n) and held + len(n) <= lines:
-            found.append((np.asarray(x, np.float32).reshape(-1, _OWN), np.asarray(n, float)))
-            y.append(label)
-            held += len(n)
-    ys = np.array(y, int)
+    held = drawn.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    sampled = map_slices(drawn, "text", _sampled(lines / max(lines, held), chain_lines), "key long, y int, x array<float>, n array<double>")
+    table = sampled.orderBy("key", "y").toPandas()  # about ``lines`` lines
+    found = [(np.asarray(x, np.float32).reshape(-1, _OWN), np.asarray(n, float)) for x, n in zip(table["x"], table["n"], strict=True)]
+    ys = table["y"].to_numpy(int)
     if not len(ys) or ys.min() == ys.max():
         return None
     weight = np.where(ys == 1, sizes[1] / (ys == 1).sum(), sizes[0] / (ys == 0).sum())
@@ -264,9 +277,9 @@ def score_column(text: Column, model: Model | None) -> Column:
     return arrow_scalar(run, _SCORED)(text)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, lines): a row for each row of ``docs``; repeated rows repeat."""
-    model = fit(docs, labels, rows=rows, id_col=id_col, text_col=text_col)
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: Any) -> DataFrame:
+    """(doc_id, score, lines): a row for each row of ``docs``; repeated rows repeat. ``how`` goes to :func:`fit`."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
     own = columns_kept(docs, {"doc_id": id_col, "text": text_col})
     return own.select("doc_id", score_column(F.col("text"), model).alias("s")).select("doc_id", "s.score", "s.lines")
 
