@@ -3,8 +3,8 @@
 A boundary between two characters is safe if no piece of the vocabulary holds both of them in a row: no merge can cross
 it, so the counts on both sides add up. Texts longer than ``PIECE_CHARS`` are split at such places, before a space that
 follows another character or before a line break; that the model's pieces don't cross them is checked when it is read.
-Pieces of many texts go to the library in batches of about ``BATCH_BYTES`` characters, so that no call holds the tokens
-of more than that, and only the sums leave the function.
+Pieces of many texts go to the library in batches of about ``BATCH_BYTES`` bytes, so that no call holds the tokens of more
+than that, and only the sums leave the function.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class Counter:
             for k, p in enumerate(self.pieces(t) if t else ()):
                 batch.append((i, p))
                 firsts.append(k == 0)
-                held += len(p)
+                held += len(p) if p.isascii() else len(p.encode())
                 if held >= BATCH_BYTES:
                     self._lengths(batch, sums, firsts)
                     batch, firsts, held = [], [], 0
