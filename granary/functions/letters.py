@@ -97,10 +97,15 @@ def word_letters(line: str) -> list[str]:
     return out
 
 
+def typed_keys(query: str | None) -> str:
+    """A query's letters as keys: white space goes, dots fold, letters of the script become the keys that write them."""
+    bare = unicodedata.normalize("NFC", query or "").replace(DOT, "")
+    return "".join(DOTTED.get(c, c) for c in bare if not c.isspace()).translate(str.maketrans(LETTERS, KEYS))
+
+
 def highlight(line: str | None, letters: str | None, query: str | None) -> tuple[int, int] | None:
     """First and last word, inclusive, of the first match of a query's letters in a line; None if there is none."""
-    typed = unicodedata.normalize("NFC", query or "").replace(DOT, "")
-    typed = "".join(DOTTED.get(c, c) for c in typed if not c.isspace()).translate(str.maketrans(LETTERS, KEYS))
+    typed = typed_keys(query)
     if not line or not letters or not typed:
         return None
     pairs = {chr(int(a)): chr(int(b)) for a, b in VARIANTS.items()}

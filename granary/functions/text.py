@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -11,8 +12,6 @@ from pyspark.sql.types import DoubleType, StringType
 
 #: Letters and those that sound alike in queries by single letters.
 SOUND_ALIKES = {"t": "qQ", "d": "fF", "n": "x|", "r": "V", "y": "X", "i": "e", "o": "Ea", "u": "a", "f": "P", "w": "v"}
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōūṁṃṅñṇṭḍṛṣś"
-_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 
 @F.arrow_udf(StringType())
@@ -34,9 +33,10 @@ def collapse(v: Column) -> Column:
     return F.trim(F.regexp_replace(v, r"\s+", " "))
 
 
-def strip_accents(v: Column, anything: bool = False) -> Column:
-    """Common Latin letters by a table in the plan; with ``anything``, whatever Unicode can decompose."""
-    return F.regexp_replace(nfd(v), r"\p{Mn}", "") if anything else F.regexp_replace(F.translate(v, _ACCENTED, _PLAIN), r"[̀-ͯ]", "")
+def strip_accents(v: Column) -> Column:
+    """Whatever Unicode can decompose, without the marks from U+0300 to U+036F. Texts in ASCII need no Python, but the
+    function is one of those to apply where a table is made, not where it is read."""
+    return F.regexp_replace(nfd(v), r"[\x{0300}-\x{036F}]", "")
 
 
 def fold_native(v: Column) -> Column:
@@ -68,10 +68,22 @@ def loose_roman(v: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.when(F.length(w) > 2, F.regexp_replace(w, "[iu]$", "")).otherwise(w)), " ")
 
 
+def fold_native_text(text: str | None) -> str:
+    """:func:`fold_native` of one text, after composing what can be."""
+    return " ".join(unicodedata.normalize("NFC", text or "").replace("਼", "").replace("ੱ", "").split())
+
+
+def loose_roman_text(text: str | None) -> str:
+    """:func:`loose_roman` of one text, for queries."""
+    s = re.sub(r"[̀-ͯ'’()]", "", unicodedata.normalize("NFD", (text or "").lower()))
+    s = re.sub(r"([bcdgjklmnpqrstvxz])h", r"\1", re.sub(r"[^a-z]+", " ", s))
+    s = re.sub(r"[ou]", "u", re.sub(r"[eiy]", "i", s)).translate(str.maketrans("wzf", "vjp"))
+    words = re.sub(r"([a-z])\1+", r"\1", s).split()
+    return " ".join(re.sub("[iu]$", "", w) if len(w) > 2 else w for w in words)
+
+
 def letter_classes(query: str) -> str:
     """A pattern in which every letter also meets its other case and what sounds like it."""
-    import re
-
     return "".join(f"[{re.escape(''.join(dict.fromkeys(c.lower() + c.upper() + SOUND_ALIKES.get(c.lower(), ''))))}]" for c in query if not c.isspace())
 
 

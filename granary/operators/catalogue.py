@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.functions.text import fold_native, fold_roman, letter_classes, loose_roman
+from granary.functions.letters import VARIANTS
+from granary.functions.text import fold_native_text, letter_classes, loose_roman_text
+from granary.operators import lexical
 
 PAGE, MOST = 20, 100
 
@@ -53,28 +55,40 @@ def with_images(items: DataFrame, images: DataFrame, key: str) -> DataFrame:
     return items.withColumn("image", F.coalesce("thumb.url", "thumb.path", "full.url", "full.path")).drop("thumb", "full")
 
 
+#: Vowels typed whole, and the letters that carry them.
+CARRIERS = str.maketrans("ਆਐਔਇਈਏਉਊਓ", "ਅਅਅੲੲੲੳੳੳ")
+
+
 def letters_mode(query: str) -> bool:
     """A query without spaces, or of two or more single Latin letters with spaces between."""
     parts = query.split()
     return len(parts) == 1 or len(parts) >= 2 and all(len(p) == 1 and p.isascii() and p.isalpha() for p in parts)
 
 
-def match_lines(lines: DataFrame, group: str, position: str, query: str, *, native: str, roman: str, letters: str) -> DataFrame:
-    """(group, line): each group's first line that one of the modes finds.
-
-    A folded part of the line; a loose spelling of its transliteration, if the query has a space; and in letters mode the
-    first letters of consecutive words, from two Latin letters on by letters that sound alike.
-    """
-    folded = " ".join(query.split())
-    tests = [F.contains(fold_native(F.col(native)), fold_native(F.lit(folded)))]
-    if " " in folded:
-        tests.append((loose_roman(F.lit(folded)) != "") & F.contains(loose_roman(F.col(roman)), loose_roman(F.lit(folded))))
-    bare = "".join(folded.split())
-    if letters_mode(query) and len(bare) >= 2 and bare.isascii():
-        tests.append(F.col(letters).rlike(letter_classes(bare)))
-    hit = lines.filter(reduce(lambda a, b: a | b, tests) if folded else F.lit(False))
-    return hit.groupBy(group).agg(F.min(F.struct(position, native))[native].alias("matched_line"))
-
+def match_test(query: str, *, native: str, loose: str | None = None, letters: str | None = None, codes: str | None = None) -> Column:
+    """Whether a line is found, from its folds: a folded part of it; a loose spelling of its transliteration, if the query
+    has a space; and in letters mode, from two letters on, the first letters of consecutive words, by their codes with
+    the dotted variant or, if they are Latin, by letters that sound alike."""
+    folded = fold_native_text(query)
+    if not folded:
+        return F.lit(False)
+    tests = [F.contains(F.col(native), F.lit(folded))]
+    if loose and " " in folded and (spelled := loose_roman_text(folded)):
+        tests.append(F.contains(F.col(loose), F.lit(spelled)))
+    bare = "".join(query.split())
+    if letters_mode(query) and len(bare) >= 2:
+        if codes and (q := lexical.query_string(bare.translate(CARRIERS))):
+            variant = ",".join(VARIANTS.get(c, c) for c in q.split(","))
+            tests += [F.contains(F.col(codes), F.lit(x)) for x in dict.fromkeys((q, variant))]
+        if letters and bare.isascii() and bare.isalpha():
+            tests.append(F.col(letters).rlike(letter_classes(bare)))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def match_lines(lines: DataFrame, group: str, position: str, query: str, *, shown: str, **folds: str | None) -> DataFrame:
+    """(group, matched_line): each group's first line that :func:`match_test` finds by the columns ``folds``."""
+    hit = lines.filter(match_test(query, **folds))
+    return hit.groupBy(group).agg(F.min(F.struct(position, shown))[shown].alias("matched_line"))
 
 
 def raag_facet(items: DataFrame, raags: DataFrame, notes: DataFrame) -> DataFrame:

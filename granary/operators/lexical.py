@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.letters import VARIANTS, char_codes, suffix_tokens
+from granary.functions.letters import OPERATORS, VARIANTS, char_codes, suffix_tokens, typed_keys, variant_codes
 
 MOST = 16
 
@@ -20,16 +20,22 @@ def encode(lines: DataFrame, letters_col: str = "letters") -> DataFrame:
 
 
 def tokens(lines: DataFrame) -> DataFrame:
-    """(token, line_id, pos) of every suffix of every line."""
-    return lines.select("line_id", F.posexplode(suffix_tokens(F.col("codes"), MOST)).alias("pos", "token")).select("token", "line_id", "pos")
+    """(token, line_id, pos, n) of every suffix of every line; ``n`` is the number of the line's letters."""
+    return lines.select("line_id", F.length("letters").alias("n"), F.posexplode(suffix_tokens(F.col("codes"), MOST)).alias("pos", "token")).select("token", "line_id", "pos", "n")
+
+
+def in_order(token_rows: DataFrame, files: int) -> DataFrame:
+    """Tokens in ranges, so that a search reads few row groups; a token that many lines have lies in several files."""
+    return token_rows.repartitionByRange(files, "token", "line_id").sortWithinPartitions("token", "line_id")
 
 
 def write_tokens(lines: DataFrame, path: str, files: int) -> None:
-    tokens(lines).repartitionByRange(files, "token", "line_id").sortWithinPartitions("token").write.parquet(path)
+    in_order(tokens(lines), files).write.parquet(path)
 
 
 def query_string(keys: str) -> str:
-    return "".join(c if c in "+-*\"'" else f",{'0' if ord(c) < 100 else ''}{ord(c)}" for c in keys if not c.isspace())
+    """The codes of a query in keys or in letters of the script."""
+    return "".join(c if c in OPERATORS else f",{'0' if ord(c) < 100 else ''}{ord(c)}" for c in typed_keys(keys))
 
 
 def in_ranges(col: str, keys: str) -> Column | None:
@@ -45,20 +51,26 @@ def in_ranges(col: str, keys: str) -> Column | None:
 def _long(keys: str) -> Column | None:
     """What a line must hold if the query is longer than a token."""
     q = query_string(keys)
-    if len("".join(keys.split())) <= MOST:
+    if len(typed_keys(keys)) <= MOST:
         return None
     return F.contains("codes", F.lit(q)) | F.contains("codes", F.lit(",".join(VARIANTS.get(c, c) for c in q.split(","))))
 
 
 def _head(keys: str) -> str:
-    return "".join(keys.split())[:MOST]
+    return typed_keys(keys)[:MOST]
 
 
 def anywhere(token_rows: DataFrame, lines: DataFrame, keys: str, limit: int | None = 20) -> DataFrame:
     """Lines that hold the letters in a row, with the first place; the shortest lines first, then by id."""
     cond, rest = in_ranges("token", _head(keys)), _long(keys)
-    hit = token_rows.filter(F.lit(False) if cond is None else cond).groupBy("line_id").agg(F.min("pos").alias("match_pos"))
-    found = lines.join(hit, "line_id")
+    hit = token_rows.filter(F.lit(False) if cond is None else cond).groupBy("line_id").agg(F.min("pos").alias("match_pos"), F.min("n").alias("__n"))
+    if limit is not None and rest is None:  # the best are known from the tokens alone; then their lines are read by id
+        best = hit.orderBy("__n", "line_id").limit(limit).select("line_id", "match_pos").collect()  # 1000 at most
+        if not best:
+            return lines.limit(0).withColumn("match_pos", F.lit(0))
+        own = lines.sparkSession.createDataFrame(best, "line_id long, match_pos int")
+        return lines.filter(F.col("line_id").isin([r.line_id for r in best])).join(F.broadcast(own), "line_id").orderBy(F.length("letters"), "line_id")
+    found = lines.join(hit.drop("__n"), "line_id")
     if rest is not None:  # the place is that of the whole query
         q = query_string(keys)
         variant = ",".join(VARIANTS.get(c, c) for c in q.split(","))
@@ -74,17 +86,22 @@ def start(lines: DataFrame, keys: str, limit: int | None = 20) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def count_anywhere(token_rows: DataFrame, keys: str) -> DataFrame:
-    """The number of lines that :func:`anywhere` would give without a limit, for a query of at most MOST letters."""
-    if len("".join(keys.split())) > MOST:
-        raise ValueError(f"a count takes at most {MOST} letters")
+def count_anywhere(token_rows: DataFrame, keys: str, lines: DataFrame | None = None) -> DataFrame:
+    """The number of lines that :func:`anywhere` would give without a limit. A query of over MOST letters needs the lines."""
+    if len(typed_keys(keys)) > MOST:
+        if lines is None:
+            raise ValueError(f"a count by tokens alone takes at most {MOST} letters")
+        return anywhere(token_rows, lines, keys, None).agg(F.count("*").alias("n"))
     cond = in_ranges("token", keys)
     return token_rows.filter(F.lit(False) if cond is None else cond).agg(F.countDistinct("line_id").alias("n"))
 
 
 def count_batch(token_rows: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     """(keys, n) for many queries (keys) of one length: codes have a fixed width, so a range of tokens is an equal head,
-    and the search is an equi-join with partial counts. Queries that nothing meets are left out."""
-    q = queries.select("keys", char_codes(F.col("keys")).alias("head"))
-    heads = token_rows.select("line_id", F.substring("token", 1, 4 * length).alias("head")).distinct()
-    return heads.groupBy("head").agg(F.count("*").alias("n")).join(q, "head").select("keys", "n")
+    and the search is an equi-join with partial counts. A query with letters that have dotted variants has two heads.
+    Queries that nothing meets are left out."""
+    direct = queries.select("keys", char_codes(F.col("keys")).alias("head"))
+    dotted = direct.select("keys", variant_codes(F.col("head")).alias("head")).filter("head IS NOT NULL")
+    heads = token_rows.select("line_id", F.substring("token", 1, 4 * length).alias("head"))
+    met = heads.join(direct.unionByName(dotted), "head").select("keys", "line_id").distinct()
+    return met.groupBy("keys").agg(F.count("*").alias("n"))

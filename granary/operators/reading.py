@@ -25,10 +25,10 @@ def is_stanza_end(text: Column) -> Column:
 
 def stanza_flags(lines: DataFrame, group: str, position: str, kind: str, ends: Column) -> DataFrame:
     """``in_stanza``: a refrain line, or a plain line with none but plain lines, that end no stanza, up to the next
-    refrain line."""
-    w = Window.partitionBy(group).orderBy(position).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    refrain line. The window runs backwards, so its frame only grows: the work is linear in a group's lines."""
+    w = Window.partitionBy(group).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     breaker = (F.col(kind) != "line") | ends
-    following = F.first(F.when(breaker, F.col(kind)), ignorenulls=True).over(w)
+    following = F.last(F.when(breaker, F.col(kind)), ignorenulls=True).over(w)
     return lines.withColumn("in_stanza", (F.col(kind) == "rahao") | (~breaker & F.coalesce(following == "rahao", F.lit(False))))
 
 

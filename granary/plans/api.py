@@ -67,7 +67,7 @@ def first_letters(lines: DataFrame, tokens: DataFrame, q: str | None, mode: str
         rows = lexical.start(lines, q, n)
         return Answer(rows, {"mode": "start", "total": rows.count()})
     rows = lexical.anywhere(tokens, lines, q, n)
-    total = lexical.count_anywhere(tokens, q).first()["n"] if len("".join(q.split())) <= lexical.MOST else lexical.anywhere(tokens, lines, q, None).count()
+    total = lexical.count_anywhere(tokens, q, lines).first()["n"]
     return Answer(rows, {"mode": "anywhere", "total": total})
 
 

@@ -121,12 +121,11 @@ def catalog_thumb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_lines(spark: SparkSession, sf: str) -> DataFrame:
-    x = T.lines(spark, sf)
-    return catalogue.match_lines(x, "group_id", "pos", "the and", native="line", roman="line", letters="letters")
+    return catalogue.match_lines(T.lines(spark, sf), "group_id", "pos", "the and", shown="line", native="native", loose="loose", letters="letters", codes="codes")
 
 
 def fold_roman(spark: SparkSession, sf: str) -> DataFrame:
-    return T.lines(spark, sf).select("line_id", X.fold_roman(F.col("line")).alias("folded"))
+    return T.lines(spark, sf).select("line_id", "folded")
 
 
 def loose_roman(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,15 +182,14 @@ _L = f"""SELECT doc_id * {T.LINES_A_GROUP} + i - 1 AS line_id, doc_id AS group_i
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"""
 _K = "CASE role WHEN 'system' THEN 'heading' WHEN 'user' THEN 'line' WHEN 'assistant' THEN 'rahao' END"
 _REQ = "SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events WHERE event_type <> 'error'"
-_ACC, _PLA = X._ACCENTED, X._PLAIN
 
 
 def _fold_sql(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({x}), '{_ACC}', '{_PLA}'), '[̀-ͯ]', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 def _loose_sql(x: str) -> str:
-    x = f"regexp_replace(regexp_replace(translate(lower({x}), '{_ACC}', '{_PLA}'), '[''’()̀-ͯ]', '', 'g'), '[^a-z]+', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace(strip_accents(lower({x})), '[''’()]', '', 'g'), '[^a-z]+', ' ', 'g')"
     for a, b in (("([bcdgjklmnpqrstvxz])h", "\\1"), ("[eiy]", "i"), ("[ou]", "u"), ("w", "v"), ("z", "j"), ("f", "p")):
         x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
     for c in "abcdefghijklmnopqrstuvwxyz":

@@ -13,7 +13,7 @@ from granary.functions.numeric import dequantize, project, round6
 from granary.operators import fusion, lexical, vectors
 from granary.plans import tables as T
 
-ITEM, PIVOT_DIM = 12, 16
+ITEM, PIVOT_DIM, LONG = 12, 16, "tttttttttttttttttt"
 _Q = [round(((i * 37) % 64 - 31.5) / 64, 6) for i in range(64)]
 COMPONENTS = [[round(math.cos(math.pi * (c + 1) * (2 * i + 1) / 128), 6) for i in range(64)] for c in range(PIVOT_DIM)]
 
@@ -55,12 +55,13 @@ def _similar_sql(name: str, item: int, k: int) -> str:
 
 
 def vec_quantize(spark: SparkSession, sf: str) -> DataFrame:
-    return T.index(spark, sf).select("id", F.round(F.col("scale").cast("double") * 1e6, 0).cast("long").alias("scale_e6"), F.explode("codes").alias("code")).groupBy("id", "scale_e6").agg(F.sum("code").alias("code_sum"), F.max("code").cast("long").alias("code_max"))
+    total = F.aggregate("codes", F.lit(0).cast("long"), lambda n, c: n + c)
+    return T.index(spark, sf).select("id", F.round(F.col("scale").cast("double") * 1e6, 0).cast("long").alias("scale_e6"), total.alias("code_sum"), F.array_max("codes").cast("long").alias("code_max"))
 
 
 def vec_dequantize(spark: SparkSession, sf: str) -> DataFrame:
-    i = T.index(spark, sf).select("id", F.explode(dequantize(F.col("codes"), F.col("scale"))).alias("x"))
-    return i.groupBy("id").agg(F.sum(F.floor(F.col("x").cast("double") * 1e6)).cast("long").alias("micro"))
+    total = F.aggregate(dequantize(F.col("codes"), F.col("scale")), F.lit(0).cast("long"), lambda n, x: n + F.floor(x.cast("double") * 1e6))
+    return T.index(spark, sf).select("id", total.alias("micro"))
 
 
 def vec_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,27 +185,48 @@ def fl_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.tokens(T.names(spark, sf)).select("line_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.encode(T.lines(spark, sf).select("line_id", "letters"))
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("line_id", "letters", F.col("match_pos").cast("long").alias("match_pos"))
 
 
 def fl_anywhere(spark: SparkSession, sf: str) -> DataFrame:
-    x = _lines(spark, sf)
-    return lexical.anywhere(lexical.tokens(x), x, "tea", 20).select("line_id", "letters", F.col("match_pos").cast("long").alias("match_pos"))
+    return _found(lexical.anywhere(T.tokens(spark, sf), T.lines(spark, sf), "tea", 20))
+
+
+def fl_anywhere_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """A letter with a dotted variant: two ranges."""
+    return _found(lexical.anywhere(T.tokens(spark, sf), T.lines(spark, sf), " j e", 100))
+
+
+def fl_anywhere_long(spark: SparkSession, sf: str) -> DataFrame:
+    """More letters than a token holds, checked on the line; every line that has them."""
+    return _found(lexical.anywhere(T.tokens(spark, sf), T.lines(spark, sf), LONG, None))
 
 
 def fl_start(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.start(_lines(spark, sf), "to", 20).select("line_id", "letters", F.col("match_pos").cast("long").alias("match_pos"))
+    return _found(lexical.start(T.starts(spark, sf), "to", 20))
+
+
+def fl_start_variant(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(lexical.start(T.starts(spark, sf), "j", 100))
 
 
 def fl_count(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.count_anywhere(lexical.tokens(_lines(spark, sf)), "ti")
+    return lexical.count_anywhere(T.tokens(spark, sf), "ti")
+
+
+def fl_count_variant(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.count_anywhere(T.tokens(spark, sf), "jg")
+
+
+def fl_count_long(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.count_anywhere(T.tokens(spark, sf), LONG, T.lines(spark, sf))
 
 
 def fl_count_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that hold the two first letters of any part's name, for each such pair (676 at most)."""
     asked = T.names(spark, sf).filter(F.length("letters") >= 2).select(F.substring("letters", 1, 2).alias("keys")).distinct()
-    return lexical.count_batch(lexical.tokens(_lines(spark, sf)), asked, 2)
+    return lexical.count_batch(T.tokens(spark, sf), asked, 2)
 
 
 def fl_variant(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +248,7 @@ _VAR = "list_transform({}, lambda c: CASE c WHEN '103' THEN '090' WHEN '106' THE
 
 
 def queries() -> dict:
-    found = [vec_quantize, vec_dequantize, vec_search, vec_search_kernel, vec_similar, vec_search_work, vec_score_floor, vec_neighbours_by_label, vec_neighbours_all, pca_project, corpus_multi_query, rrf_fuse_indexes, rrf_weighted, rrf_owner, rrf_related, rrf_hits, rrf_corpora, fl_codes, fl_tokens, fl_anywhere, fl_start, fl_count, fl_count_batch, fl_variant, fl_match_span]
+    found = [vec_quantize, vec_dequantize, vec_search, vec_search_kernel, vec_similar, vec_search_work, vec_score_floor, vec_neighbours_by_label, vec_neighbours_all, pca_project, corpus_multi_query, rrf_fuse_indexes, rrf_weighted, rrf_owner, rrf_related, rrf_hits, rrf_corpora, fl_codes, fl_tokens, fl_anywhere, fl_anywhere_variant, fl_anywhere_long, fl_start, fl_start_variant, fl_count, fl_count_variant, fl_count_long, fl_count_batch, fl_variant, fl_match_span]
     return {f.__name__: f for f in found}
 
 
@@ -266,8 +288,13 @@ def oracle_sql() -> dict[str, str]:
         "fl_tokens": f"SELECT line_id, i AS pos, ',' || array_to_string(c[i + 1:], ',') AS token FROM (SELECT line_id, {_CODES} AS c, unnest(range(0, len(letters))) AS i FROM ({_NAMES}))",
         "fl_anywhere": f"SELECT line_id, letters, instr(letters, 'tea') - 1 AS match_pos FROM ({_LINES}) WHERE contains(letters, 'tea') ORDER BY length(letters), line_id LIMIT 20",
         "fl_start": f"SELECT line_id, letters, 0::BIGINT AS match_pos FROM ({_LINES}) WHERE starts_with(letters, 'to') ORDER BY length(letters), line_id LIMIT 20",
+        "fl_anywhere_variant": f"SELECT line_id, letters, regexp_extract(letters, '^(.*?)(je|ze)', 1).length() AS match_pos FROM ({_LINES}) WHERE regexp_matches(letters, 'je|ze') ORDER BY length(letters), line_id LIMIT 100",
+        "fl_anywhere_long": f"SELECT line_id, letters, instr(letters, '{LONG}') - 1 AS match_pos FROM ({_LINES}) WHERE contains(letters, '{LONG}')",
+        "fl_start_variant": f"SELECT line_id, letters, 0::BIGINT AS match_pos FROM ({_LINES}) WHERE letters[1] IN ('j', 'z') ORDER BY length(letters), line_id LIMIT 100",
+        "fl_count_variant": f"SELECT count(*) AS n FROM ({_LINES}) WHERE contains(letters, 'jg') OR contains(letters, 'zZ')",
+        "fl_count_long": f"SELECT count(*) AS n FROM ({_LINES}) WHERE contains(letters, '{LONG}')",
         "fl_count": f"SELECT count(DISTINCT line_id) AS n FROM ({_LINES}) WHERE contains(letters, 'ti')",
-        "fl_count_batch": f"SELECT keys, count(*) AS n FROM (SELECT DISTINCT letters[1:2] AS keys FROM ({_NAMES}) WHERE length(letters) >= 2) JOIN ({_LINES}) ON contains(letters, keys) GROUP BY keys",
+        "fl_count_batch": f"SELECT keys, count(*) AS n FROM (SELECT DISTINCT letters[1:2] AS keys FROM ({_NAMES}) WHERE length(letters) >= 2) JOIN ({_LINES}) ON contains(letters, keys) OR contains(letters, translate(keys, 'gjsKP', 'ZzS^&')) GROUP BY keys",
         "fl_variant": f"SELECT line_id, ',' || array_to_string({_VAR.format('c')}, ',') AS variant FROM (SELECT line_id, {_CODES} AS c FROM ({_NAMES})) WHERE {_VAR.format('c')} <> c",
         "fl_match_span": f"SELECT line_id, instr(replace(letters, 'S', 's'), 'sti') - 1 AS at FROM ({_LINES}) WHERE contains(letters, 'sti')",
     }

@@ -1,4 +1,8 @@
-"""Stand-ins: how the tables at hand take the parts of lines, groups, indexes and catalogues."""
+"""Stand-ins: how the tables at hand take the parts of lines, groups, indexes and catalogues.
+
+What a query of the reference finds ready made is made once and kept (``granary.sources.store``): lines with their letters
+and folds, suffix tokens in ranges, lines by their letters, quantised indexes. Queries read these.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.letters import char_codes
 from granary.functions.numeric import l2_normalize
-from granary.operators import vectors
+from granary.functions.text import fold_native, fold_roman, loose_roman, nfc
+from granary.operators import lexical, vectors
+from granary.sources.store import kept
 
 #: Lines of a group have ids of their own without a global count: the group's id times this, and the place in it.
 LINES_A_GROUP = 1 << 20
@@ -19,8 +25,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def files(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_id, group_id, pos, line, letters) of every line of every document."""
+    """(line_id, group_id, pos, line, letters, codes, native, folded, loose) of every line of every document, in ranges of
+    its id; the last three are the line's folds."""
+
+    def build() -> DataFrame:
+        raw = lexical.encode(raw_lines(spark, sf_dir))
+        x = raw.withColumns({"native": fold_native(nfc(F.col("line"))), "folded": fold_roman(F.col("line")), "loose": loose_roman(F.col("line"))})
+        return x.repartitionByRange(files(spark), "line_id").sortWithinPartitions("line_id")
+
+    return kept(spark, "lines", 2, [f"{sf_dir}/documents.parquet"], build)
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, line_id, pos, n) of every suffix of every line's letters, in ranges of the token."""
+    build = lambda: lexical.in_order(lexical.tokens(lines(spark, sf_dir)), files(spark))
+    return kept(spark, "tokens", 2, [f"{sf_dir}/documents.parquet"], build)
+
+
+def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(codes, letters, line_id) of every line, in ranges of the codes."""
+    build = lambda: lines(spark, sf_dir).select("codes", "letters", "line_id").repartitionByRange(files(spark), "codes", "line_id").sortWithinPartitions("codes", "line_id")
+    return kept(spark, "starts", 2, [f"{sf_dir}/documents.parquet"], build)
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_id, group_id, pos, line, letters), worked out from the documents."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = F.filter(F.split(F.lower("line"), "[^a-z]+"), lambda w: w != "")
     return d.select((F.col("group_id") * LINES_A_GROUP + F.col("pos")).alias("line_id"), "group_id", "pos", "line", F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "").alias("letters"))
@@ -34,7 +68,12 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str, name: str = "c") -> DataFrame:
-    """A quantised index of every vector, with its label; label 0 is masked."""
+    """A quantised index of every vector, with its label, in ranges of the label; label 0 is masked."""
     at, n = INDEXES[name]
-    e = read(spark, sf_dir, "embeddings").withColumn("v", l2_normalize(F.slice("embedding", at, n)))
-    return vectors.build_index(e, "vec_id", "v", F.col("label") != 0, ["label"])
+
+    def build() -> DataFrame:
+        e = read(spark, sf_dir, "embeddings").withColumn("v", l2_normalize(F.slice("embedding", at, n)))
+        made = vectors.build_index(e, "vec_id", "v", F.col("label") != 0, ["label"])
+        return made.repartitionByRange(files(spark), "label", "id").sortWithinPartitions("label", "id")
+
+    return kept(spark, f"index-{name}", 2, [f"{sf_dir}/embeddings.parquet"], build)

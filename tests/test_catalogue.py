@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from granary.functions.letters import char_codes
+from granary.functions.text import fold_native, loose_roman
 from granary.operators import catalogue as C
 
 ITEMS = [
@@ -39,9 +41,11 @@ def test_catalogue(spark):
 
 def test_modes(spark):
     lines = spark.createDataFrame([(1, 0, "ਸਾਕਤ ਨਿੰਦਕ", "saakat nindak har", "snh"), (1, 1, "ਗੁਰ", "gur soochaa hovat", "gsh"), (2, 0, "ਮਨ", "man ram", "mr")], "g long, p int, n string, r string, l string")
-    find = lambda q: {r.g: r.matched_line for r in C.match_lines(lines, "g", "p", q, native="n", roman="r", letters="l").collect()}
+    lines = lines.withColumns({"f": fold_native(F.col("n")), "r": loose_roman(F.col("r")), "c": char_codes(F.col("l"))})
+    find = lambda q: {r.g: r.matched_line for r in C.match_lines(lines, "g", "p", q, shown="n", native="f", loose="r", letters="l", codes="c").collect()}
     assert find("ਸਾਕਤ") == {1: "ਸਾਕਤ ਨਿੰਦਕ"} and find("hovat soochaa") == {} and find("soochaa hovat") == {1: "ਗੁਰ"}
     assert find("gsh") == {1: "ਗੁਰ"} and find("g s h") == {1: "ਗੁਰ"} and find("zzzz") == {} and find("") == {}
+    assert find("ਸਨਹ") == find("ਸ਼ਨਹ") == {1: "ਸਾਕਤ ਨਿੰਦਕ"} and find("ਗਸ਼ ਹ") == {} and find("ਗਸਹ") == {1: "ਗੁਰ"} and find("ਮਰ") == {2: "ਮਨ"}
     assert catalogue_images(spark) == {1: "p9", 2: "u", 3: None}
 
 
