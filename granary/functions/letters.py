@@ -84,6 +84,38 @@ def match_span(letters: Column, query: Column) -> Column:
     return F.when(at.isNotNull(), F.struct(at.alias("start"), F.length(query).alias("length")))
 
 
+def upper_bound(codes: Column) -> Column:
+    """The end of the range of strings that start with ``codes``: codes have a fixed width and start with a comma."""
+    return F.concat(codes, F.lit(",z"))
+
+
+def has_operator(s: Column) -> Column:
+    return F.coalesce(s, F.lit("")).rlike("[" + re.escape(OPERATORS) + "]")
+
+
+def letters_of_words(line: Column) -> Column:
+    """:func:`word_letters` as an expression."""
+
+    def one(w: Column) -> Column:
+        bare = F.regexp_replace(w, "^i+", "")
+        return F.when(bare.rlike(r"^[\]0-9\[]") | (bare == "") | (w == "rhwau"), "").otherwise(F.substring(bare, 1, 1))
+
+    return F.transform(F.filter(F.split(F.coalesce(line, F.lit("")), r"\s+"), lambda w: w != ""), one)
+
+
+def word_of_letter(words: Column) -> Column:
+    """For each letter, the place of the word that it is from."""
+    return F.flatten(F.transform(words, lambda w, i: F.array_repeat(i, F.length(w))))
+
+
+def highlight_words(line: Column, query: Column) -> Column:
+    """struct(first, last): the words, both included, of the first match of a query's keys among the line's letters."""
+    words = letters_of_words(line)
+    at = match_start(F.array_join(words, ""), query)
+    place = word_of_letter(words)
+    return F.when(at.isNotNull(), F.struct(F.get(place, at).alias("first"), F.get(place, at + F.length(query) - 1).alias("last")))
+
+
 def word_letters(line: str) -> list[str]:
     """Each word's first letter as typed: a vowel sign that is typed before its consonant, counters and the refrain's
     marker count for nothing."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The rank offset of reciprocal fusion, the least norm and scale, and the largest code.
 RRF_OFFSET, LEAST, TOP_CODE = 60, 1e-12, 127
@@ -78,6 +79,28 @@ def clamp_limit(value: object, default: int = 20, most: int = 1000) -> int:
     return default if not math.isfinite(x) else max(0, min(most, math.floor(x)))
 
 
+def masked_mean(states: Column, mask: Column, dim: int) -> Column:
+    """The mean of the states that the mask leaves; zeros if it leaves none."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    total = F.aggregate(F.zip_with(states, mask, lambda s, m: F.transform(s, lambda x: x.cast("double") * m)), zero, lambda a, s: F.zip_with(a, s, lambda x, y: x + y))
+    n = F.aggregate(mask, F.lit(0.0), lambda a, m: a + m)
+    return F.transform(total, lambda x: x / F.greatest(n, F.lit(1e-9)))
+
+
+def at_share(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """(group, value): of each group's values in order that at place floor(n * share), from 0. No group is collected."""
+    w = Window.partitionBy(group)
+    placed = rows.select(group, value, F.row_number().over(w.orderBy(F.asc(value))).alias("r"), F.count("*").over(w).alias("n"))
+    return placed.filter(F.col("r") == F.floor(F.col("n") * share) + 1).select(group, value)
+
+
+def limit_of(v: Column, default: int = 20, most: int = 1000) -> Column:
+    """:func:`clamp_limit` of a number, as an expression."""
+    x = v.cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.floor(x))).cast("int")).otherwise(default)
+
+
 def clamp_k(k: float, n: int) -> int:
     """How many of ``n`` rows to give for ``k``: rounded down; NaN or under one gives none."""
     if math.isnan(k) or k < 1:

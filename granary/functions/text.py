@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -91,6 +92,30 @@ def has_native(v: Column) -> Column:
     return v.rlike("[਀-੿]")
 
 
+def absent(v: Column) -> Column:
+    return v.isNull() | (v.cast("string") == "")
+
+
+def capped(v: Column, most: int = 200) -> Column:
+    """A text of at most ``most`` characters, trimmed; longer ones are refused with a null."""
+    return F.when(F.length(text_of(v)) <= most, F.trim(text_of(v)))
+
+
+def known_parts(v: Column, known: Sequence[str]) -> Column:
+    """The parts of a list with commas that are known, each once, in their order; others are dropped."""
+    parts = F.transform(F.split(text_of(v), ","), lambda p: F.trim(p))
+    return F.array_distinct(F.filter(parts, lambda p: p.isin(*known)))
+
+
+def image_address(url: Column, path: Column, published: str = "", mirror: str | None = None, local: str | None = None) -> Column:
+    """An image's address: its own, moved from where it is ``published`` to a mirror if there is one; else its place under
+    ``local``; null without either."""
+    own = F.nullif(url, F.lit(""))
+    moved = own if mirror is None else F.when(F.startswith(own, F.lit(published)), F.concat(F.lit(mirror), F.substring(own, F.lit(len(published) + 1), F.length(own)))).otherwise(own)
+    there = F.lit(None).cast("string") if local is None else F.concat(F.lit(local), F.nullif(path, F.lit("")))
+    return F.coalesce(moved, there)
+
+
 def native_digits(v: Column) -> Column:
     return F.translate(v, "".join(chr(0xA66 + i) for i in range(10)), "0123456789")
 

@@ -13,7 +13,7 @@ from granary.functions.letters import VARIANTS
 from granary.functions.text import fold_native_text, letter_classes, loose_roman_text
 from granary.operators import lexical
 
-PAGE, MOST = 20, 100
+PAGE, MOST, LONGEST = 20, 100, 120
 
 
 def facet_counts(items: DataFrame, facets: Sequence[str]) -> DataFrame:
@@ -109,6 +109,67 @@ def raag_facet(items: DataFrame, raags: DataFrame, notes: DataFrame) -> DataFram
     return r.select("key", "english", "used", "prescribed", "noted", place.cast("long").alias("place"))
 
 
+def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """A vocabulary's rows with their ``place``."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def taal_facet(items: DataFrame, taals: DataFrame) -> DataFrame:
+    """(key, english, n, place) of the taals that items have, the most frequent first, then by key."""
+    n = items.filter("taal_key IS NOT NULL").groupBy(F.col("taal_key").alias("key")).agg(F.count("*").alias("n"))
+    named = n.join(F.broadcast(taals.select("key", "english")), "key", "left").withColumn("english", F.coalesce("english", "key"))
+    return ranked(named, [F.desc("n"), F.asc("key")]).select("key", "english", "n", "place")
+
+
+def author_facet(items: DataFrame, authors: DataFrame) -> DataFrame:
+    """(key, name, n, place) of authors by name."""
+    n = items.filter("author_key IS NOT NULL").groupBy(F.col("author_key").alias("key")).agg(F.count("*").alias("n"))
+    named = n.join(F.broadcast(authors.select(F.col("author_key").alias("key"), "name")), "key", "left").withColumn("name", F.coalesce("name", "key"))
+    return ranked(named, [F.asc("name"), F.asc("key")]).select("key", "name", "n", "place")
+
+
+def book_facet(items: DataFrame, books: DataFrame) -> DataFrame:
+    """(key, title, n, place) of all books, by author, part (none first) and title."""
+    n = items.groupBy("book_key").agg(F.count("*").alias("n"))
+    rows = books.join(n, "book_key", "left").fillna(0, ["n"])
+    return ranked(rows, [F.asc("author_key"), F.coalesce("part", F.lit(0)), F.asc("title")]).select(F.col("book_key").alias("key"), "title", "n", "place")
+
+
+def summary(items: DataFrame, books: DataFrame) -> DataFrame:
+    """One row: items, groups, books, and the verified items that the books state."""
+    i = items.agg(F.count("*").alias("items"), F.count_distinct("shabad_id").alias("groups"))
+    return i.crossJoin(books.agg(F.count("*").alias("books"), F.sum(F.coalesce("verified", F.lit(0))).cast("long").alias("verified")))  # one row each
+
+
+def listed(items: DataFrame, lines: DataFrame | None = None, *, q: str | None = None, folds: dict[str, str] | None = None, group: str = "group_id", position: str = "pos", shown: str = "line", k: int | None = None, number: int = 1, **filters: object) -> tuple[DataFrame, dict[str, int]]:
+    """A page of the items that filters and a text let through, and what goes with it. A text that nothing meets gives no
+    rows and no number of pages."""
+    matched = None
+    if (text := (q or "").strip()[:LONGEST]) and lines is not None:
+        matched = match_lines(lines, group, position, text, shown=shown, **(folds or {})).withColumnRenamed(group, "shabad_id")
+        if not matched.limit(1).count():
+            return items.limit(0), {"total": 0, "page": 1}
+    return page(list_items(items, matched=matched, **filters), item_order(), k, number)
+
+
+def raag_notes(notes: DataFrame, key: str) -> DataFrame:
+    """A raag's notes in the order of books and of places in them."""
+    return ranked(notes.filter(F.col("raag_key") == key), [F.asc("book_key"), F.asc("n")])
+
+
+def known_key(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """``texts`` with the ``key`` that a text is, or is an alias of; null without either. (key, alias) is small."""
+    exact = F.broadcast(vocabulary.select(F.col("key").alias("__exact")).distinct())
+    alias = F.broadcast(vocabulary.groupBy(F.col("alias").alias("__alias")).agg(F.min("key").alias("__key")))
+    met = texts.join(exact, F.col(text) == F.col("__exact"), "left").join(alias, F.col(text) == F.col("__alias"), "left")
+    return met.withColumn("key", F.coalesce("__exact", "__key")).drop("__exact", "__alias", "__key")
+
+
+def group_heads(lines: DataFrame, group: str, position: str, shown: str, *more: str) -> DataFrame:
+    """A group's first line and what else its first row says."""
+    return lines.groupBy(group).agg(F.min(F.struct(position, shown, *more)).alias("h")).select(group, F.col(f"h.{shown}").alias("first_line"), *[F.col(f"h.{c}").alias(c) for c in more])
+
+
 def list_items(items: DataFrame, *, raag: str | None = None, raag_shabad: str | None = None, author: str | None = None, book: str | None = None, taal: str | None = None, shabad: int | None = None, verified: bool | None = None, matched: DataFrame | None = None) -> DataFrame:
     """The items that all given filters let through. ``matched`` (shabad_id, matched_line) keeps those of matched groups
     and shows the line where it isn't the item's own first line."""
@@ -116,7 +177,7 @@ def list_items(items: DataFrame, *, raag: str | None = None, raag_shabad: str |
     out = filtered(items, [None if raag is None else covers("raag_used_key", "raag_used_parent_key", raag), same("raag_shabad_key", raag_shabad), same("author_key", author), same("book_key", book), same("taal_key", taal), same("shabad_id", shabad), None if verified is None else F.col("verified") == int(verified)])
     if matched is None:
         return out
-    out = out.join(matched, "shabad_id")
+    out = out.join(matched.dropDuplicates(["shabad_id"]), "shabad_id")
     return out.withColumn("matched_line", F.when(~F.col("matched_line").eqNullSafe(F.col("first_line")), F.col("matched_line")))
 
 

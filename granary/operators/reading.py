@@ -48,6 +48,33 @@ def attach_preferred(rows: DataFrame, key: str, texts: DataFrame, source: str, t
     return rows.join(texts.groupBy(key).agg(*aggregates), key, "left")
 
 
+def views_available(texts: DataFrame, source: str, text: str, views: dict[str, Sequence[str]]) -> DataFrame:
+    """(view, available): whether any of a view's sources has a text at all, in one pass."""
+    has = [F.struct(F.lit(v).alias("view"), F.coalesce(F.bool_or(F.col(source).isin(*order) & (F.col(text) != "")), F.lit(False)).alias("available")) for v, order in views.items()]
+    return texts.agg(F.array(*has).alias("views")).select(F.inline("views"))
+
+
+def with_lines(groups: DataFrame, key: str, lines: DataFrame, position: str, fields: Sequence[str], name: str = "lines") -> DataFrame:
+    """Groups with their lines in order, and those that only lines speak of; a group with neither isn't there."""
+    kids = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(position, *[f for f in fields if f != position]))).alias(name))
+    empty = F.array().cast(kids.schema[name].dataType)
+    return groups.join(kids, key, "full").withColumn(name, F.coalesce(name, empty))
+
+
+def load_units(units: DataFrame, works: DataFrame, citations: DataFrame, wanted: DataFrame, *, unit: str = "unit_row", work: str = "work_id", place: str = "place", cited: Sequence[str] = ()) -> DataFrame:
+    """Units for (ord, unit) in the order asked for, with their work and what they cite, in order; unknown ones are left
+    out. An older table's missing section is null."""
+    own = hydrate(units if "section" in units.columns else units.withColumn("section", F.lit(None).cast("string")), wanted, unit)
+    met = own.join(F.broadcast(works), work)
+    return nest(met, unit, citations.join(F.broadcast(wanted.select(unit).distinct()), unit, "left_semi"), [place], [place, *cited], "cites")
+
+
+def corpus_roster(units: DataFrame, work: str, part: str, works: DataFrame) -> DataFrame:
+    """Works with their parts (JSON, as (part, units) in order), and how many units they hold."""
+    parts = units.groupBy(work, part).agg(F.count("*").alias("n")).groupBy(work).agg(F.sum("n").alias("units"), F.to_json(F.array_sort(F.collect_list(F.struct(F.col(part).alias("part"), F.col("n").alias("units"))))).alias("parts"))
+    return works.join(parts, work, "left").fillna(0, ["units"])
+
+
 def attach_agreement(rows: DataFrame, key: str, agreement: DataFrame, against: str, value: str) -> DataFrame:
     """A map of finite values to three places; null where a row has none."""
     finite = agreement.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))

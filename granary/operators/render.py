@@ -14,8 +14,9 @@ from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from granary.operators.notation import fill_defaults
 
@@ -88,6 +89,59 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def word_spans_column(text: Column) -> Column:
+    """array<struct<start, end>> of :func:`word_spans`; a null text has none."""
+    kind = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    run = lambda col: pa.array([[{"start": a, "end": b} for a, b in word_spans(t or "")] for t in col.to_pylist()], arrow)
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(text)
+
+
+@dataclass(frozen=True)
+class Roman:
+    """Latin spellings of a script's parts: consonants (dotted ones as two characters), vowel signs, independent vowels,
+    nasal signs, consonants under another (with the joining sign before them), and the vowel that no sign writes."""
+
+    consonants: Mapping[str, str]
+    signs: Mapping[str, str]
+    independent: Mapping[str, str]
+    nasal: Mapping[str, str]
+    subjoined: Mapping[str, str]
+    inherent: str
+    joiner: str = "੍"
+    doubler: str = "ੱ"
+    silent: str = "ੁਿ"
+
+    def of(self, text: str | None) -> str:
+        """A consonant sounds with its sign, or the unwritten vowel unless it ends the text; the last short sign is silent; a
+        doubler gives the vowel and the next consonant's first letter. What no table has is left out."""
+        one = "|".join(sorted(map(re.escape, self.consonants), key=len, reverse=True))
+        syllable = re.compile(f"({one})((?:{self.joiner}(?:{one}))*)|(.)", re.S)
+        out, at, text = [], 0, text or ""
+        while m := syllable.match(text, at):
+            at = m.end()
+            if m[3]:
+                out.append(next((t[m[3]] for t in (self.independent, self.nasal, self.signs) if m[3] in t), ""))
+                continue
+            out.append(self.consonants[m[1]])
+            out += [self.subjoined.get(x[0], self.consonants[x[1]]) for x in re.finditer(f"{self.joiner}({one})", m[2])]
+            after = text[at : at + 1]
+            if after in self.signs:
+                at += 1
+                out.append("" if after in self.silent and at == len(text) else self.signs[after])
+            elif after == self.doubler:
+                at += 1
+                ahead = re.match(one, text[at:])
+                out.append(self.inherent + (self.consonants[ahead[0]][0] if ahead else ""))
+            elif after:
+                out.append(self.inherent)
+        return "".join(out)
+
+
+def roman_column(text: Column, roman: Roman) -> Column:
+    return F.arrow_udf(lambda col: pa.array([roman.of(t) for t in col.to_pylist()], pa.string()), StringType(), F.ArrowUDFType.SCALAR)(text)
+
+
 def spelled_bols(beats: Sequence[Mapping[str, Any]], text: str | None, roman: str | None) -> list[str | None]:
     """The Latin word under each beat, by its span in the line; none unless both texts have as many words."""
     spans, words = word_spans(text or ""), (roman or "").split()

@@ -94,6 +94,18 @@ def similar_to(index: DataFrame, item: int, k: float = 10, *, mask: Column | Non
     return found.orderBy(F.desc("score"), F.asc("row")).limit(clamp_k(k, 2**31 - 1))
 
 
+def rows_of(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, row): the row of each id that is asked for, null where the index has none."""
+    return ids.select("id").join(index.select("id", "row"), "id", "left")
+
+
+def search_level(levels: dict[str, DataFrame], level: str, query: Sequence[float], k: float = 10) -> DataFrame:
+    """:func:`search` in the index of a level; an unknown one is an error."""
+    if level not in levels:
+        raise ValueError(f"the level is one of {', '.join(levels)}, not {level!r}")
+    return search(levels[level], query, k)
+
+
 def similar_many(index: DataFrame, items: Sequence[int], k: int = 10, *, depth_col: str = "rank") -> DataFrame:
     """(qid, rank, id, row, score) for each item of a stated set, in rounds of at most BATCH_QUERIES."""
     rounds = [list(items[i : i + BATCH_QUERIES]) for i in range(0, len(items), BATCH_QUERIES)] or [[]]

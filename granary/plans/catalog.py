@@ -96,6 +96,21 @@ def pick(known: Sequence[str], loaded: dict[str, Sequence[str]], asked: str | No
     return found
 
 
+def summarize(m: DataFrame, counts: DataFrame) -> DataFrame:
+    """What an index says of itself: its name, order, roles and scripts, whether it is loaded, and how many vectors it has."""
+    own = first_by_name(normalize_manifests(m))
+    return own.join(F.broadcast(counts), "name", "left").select("name", "folder", "order", "roles", "query_scripts", "loaded", F.when(F.col("loaded"), F.coalesce("vectors", F.lit(0))).alias("vectors"))
+
+
+def table_exists(spark: SparkSession, names: Sequence[str]) -> dict[str, bool]:
+    return {n: spark.catalog.tableExists(n) for n in names}
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """Rows as the bodies of answers: one JSON object each, without what is null."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("body"))
+
+
 def health(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """(name, rows) of every table, in one plan."""
     parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]

@@ -19,7 +19,8 @@ COMPONENTS = [[round(math.cos(math.pi * (c + 1) * (2 * i + 1) / 128), 6) for i i
 
 
 _QF = [float(np.float32(x)) for x in _Q]
-_Q2F = [float(np.float32(round(-x / 2 + 0.1, 6))) for x in _Q]
+_Q2 = [round(-x / 2 + 0.1, 6) for x in _Q]
+_Q2F = [float(np.float32(x)) for x in _Q2]
 
 
 def _sql_list(xs: list[float]) -> str:
@@ -107,8 +108,7 @@ def pca_project(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_multi_query(spark: SparkSession, sf: str) -> DataFrame:
-    q2 = [round(-x / 2 + 0.1, 6) for x in _Q]
-    return vectors.multi_query_search(T.index(spark, sf), [_Q, q2], 20, 40).select(F.col("row").alias("id"), round6(F.col("score")).alias("score"))
+    return vectors.multi_query_search(T.index(spark, sf), [_Q, _Q2], 20, 40).select(F.col("row").alias("id"), round6(F.col("score")).alias("score"))
 
 
 # ---- fusion

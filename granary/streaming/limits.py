@@ -2,13 +2,19 @@
 
 A request is refused if its window is full; refused requests don't spend. A window lasts ``window_us``, from the request
 that opened it. With a tight limit for some requests, the general one is looked at first, both must pass, both are spent.
+Exempt requests always pass and are not counted. Requests without a client are one client.
+
+A client's requests are settled one after the other, so one client is the work of one task, as the rule has it; its rows
+stream by and are never held together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,7 +22,24 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from granary.functions.text import normalize_ip, text_of
 
-MOST_CLIENTS = 50_000
+
+@dataclass(frozen=True)
+class Rule:
+    """The limits, and the step from a client's state (n, start, tight n, tight start) and a request to the next state."""
+
+    limit: int
+    window: int
+    tight: int | None = None
+
+    def step(self, state: tuple[int, int, int, int], at: int, tight: bool) -> tuple[bool, tuple[int, int, int, int]]:
+        n, start, tn, tstart = state
+        if not n or at - start >= self.window:
+            n, start = 0, at
+        if not tn or at - tstart >= self.window:
+            tn, tstart = 0, at
+        bound = tight and self.tight is not None and self.tight < self.limit
+        ok = n < self.limit and not (bound and tn >= self.tight)
+        return ok, (n + ok, start, tn + (ok and tight), tstart)
 
 
 def client_key(header: Column, forwarded: Column, socket: Column, hops: int) -> Column:
@@ -26,74 +49,65 @@ def client_key(header: Column, forwarded: Column, socket: Column, hops: int) ->
     return normalize_ip(F.coalesce(F.nullif(F.trim(text_of(header)), F.lit("")), at, socket))
 
 
-def fixed_window(requests: DataFrame, client: str, at: str, order: str, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None) -> DataFrame:
-    """(client, order, at, allowed, remaining) for requests with times in microseconds.
-
-    A sorted fold over the client's rows with a state of four numbers; it runs as a cogroup-free grouped Arrow iterator,
-    so one client's rows stream by and are never held together.
-    """
-    tight_limit = limit if tight_limit is None else tight_limit
-    own = requests.select(F.col(client).alias("client"), F.col(order).cast("long").alias("ord"), F.col(at).cast("long").alias("at"), (F.lit(False) if tight is None else tight).alias("tight"))
+def fixed_window(requests: DataFrame, client: str, at: str, order: str, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None) -> DataFrame:
+    """(client, ord, at, allowed, remaining) for requests with times in microseconds; what is left is null if exempt."""
+    rule = Rule(limit, window_us, tight_limit)
+    no = F.lit(False)
+    own = requests.select(F.col(client).alias("client"), F.col(order).cast("long").alias("ord"), F.col(at).cast("long").alias("at"), (no if tight is None else F.coalesce(tight, no)).alias("tight"), (no if exempt is None else F.coalesce(exempt, no)).alias("exempt"))
     dealt = own.repartition("client").sortWithinPartitions("client", "at", "ord")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: object = None
-        n = start = tn = tstart = 0
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), (0, 0, 0, 0)
+        for batch in batches:
             allowed, remaining = [], []
-            for c, t, is_tight in zip(frame["client"].tolist(), frame["at"].tolist(), frame["tight"].tolist(), strict=True):
+            for c, t, is_tight, free in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if c != current:
-                    current, n, start, tn, tstart = c, 0, t, 0, t
-                if t - start >= window_us:
-                    n, start = 0, t
-                if t - tstart >= window_us:
-                    tn, tstart = 0, t
-                if not n:
-                    start = t
-                if is_tight and not tn:
-                    tstart = t
-                ok = n < limit and (not is_tight or tight_limit >= limit or tn < tight_limit)
-                if ok:
-                    n += 1
-                    tn += is_tight
+                    current, state = c, (0, 0, 0, 0)
+                if free:
+                    allowed.append(True)
+                    remaining.append(None)
+                    continue
+                ok, state = rule.step(state, t, is_tight)
                 allowed.append(ok)
-                remaining.append(limit - n)
-            yield frame[["client", "ord", "at"]].assign(allowed=allowed, remaining=remaining)
+                remaining.append(limit - state[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64())], ["client", "ord", "at", "allowed", "remaining"])
 
     kind = own.schema["client"].dataType.simpleString()
-    return dealt.mapInPandas(run, f"client {kind}, ord long, at long, allowed boolean, remaining long")
+    return dealt.mapInArrow(run, f"client {kind}, ord long, at long, allowed boolean, remaining long")
 
 
 OUTPUT = StructType([StructField("client", StringType()), StructField("ord", LongType()), StructField("at", LongType()), StructField("allowed", BooleanType()), StructField("remaining", LongType())])
+_STATE = StructType([StructField(c, LongType()) for c in ("n", "start", "tn", "tstart")])
 
 
 class Limiter(StatefulProcessor):
-    """The same rule on a stream, one small value a client, which expires a window after its last change."""
+    """The same rule on a stream: four numbers a client, which expire two windows after they last changed, by the clock of
+    the cluster. A client's rows of one micro-batch are put in order; so a trigger's size bounds what is held."""
 
-    def __init__(self, limit: int, window_us: int) -> None:
-        self.limit, self.window = limit, window_us
+    def __init__(self, rule: Rule) -> None:
+        self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", StructType([StructField("n", LongType()), StructField("start", LongType())]))
+        self.state = handle.getValueState("window", _STATE, max(1, 2 * self.rule.window // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         frame = pd.concat(list(rows)).sort_values(["at", "ord"])
-        n, start = self.state.get() if self.state.exists() else (0, 0)
+        state = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, 0)
         allowed, remaining = [], []
-        for t in frame["at"].tolist():
-            if not n or t - start >= self.window:
-                n, start = 0, t
-            ok = n < self.limit
-            n += ok
+        for t, is_tight in zip(frame["at"].tolist(), frame["tight"].tolist(), strict=True):
+            ok, state = self.rule.step(state, t, bool(is_tight))
             allowed.append(ok)
-            remaining.append(self.limit - n)
-        self.state.update((n, start))
+            remaining.append(self.rule.limit - state[0])
+        self.state.update(state)
         yield frame[["client", "ord", "at"]].assign(allowed=allowed, remaining=remaining)
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """A stream of (client: string, ord, at) with what the limit says of each request."""
-    return requests.groupBy("client").transformWithStateInPandas(Limiter(limit, window_us), OUTPUT, "Append", "None")
+def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None) -> DataFrame:
+    """A stream of (client: string, ord, at) with what the limits say of each request. Exempt requests don't come out, as
+    they pass anyway."""
+    own = requests if exempt is None else requests.filter(~F.coalesce(exempt, F.lit(False)))
+    own = own.select("client", "ord", "at", (F.lit(False) if tight is None else F.coalesce(tight, F.lit(False))).alias("tight"))
+    return own.groupBy("client").transformWithStateInPandas(Limiter(Rule(limit, window_us, tight_limit)), OUTPUT, "Append", "ProcessingTime")

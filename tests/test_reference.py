@@ -14,7 +14,7 @@ from granary.functions import numeric
 from granary.functions import text as X
 from granary.functions import tokenizers as tok
 from granary.operators import catalogue, encode, fusion, lexical, notation, reading, render, vectors, vocab
-from granary.plans import browsing, catalog, records, retrieval
+from granary.plans import browsing, catalog, records, registry, retrieval
 from granary.plans import tables as T
 from granary.streaming import access_log, limits
 
@@ -225,16 +225,25 @@ def test_windows_start_at_the_first_request(spark):
     assert [r.allowed for r in sorted(tight, key=lambda r: r.ord)][:4] == [True, True, False, False]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("tight", [None, 1])
+def test_stream_equals_batch(spark, tmp_path, tight):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = T.read(spark, SF, "events").select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("ord"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    e = T.read(spark, SF, "events").select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("ord"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    q = limits.limit_stream(stream, 2, browsing.DAY_US).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    rules = dict(tight=F.col("event_type") == "click", tight_limit=tight, exempt=F.col("event_type") == "error")
+    q = limits.limit_stream(stream, 2, browsing.DAY_US, **rules).writeStream.format("memory").queryName(f"limited{tight}").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table("limited").select("ord", "allowed", "remaining").collect()))
-    want = sorted(map(tuple, limits.fixed_window(e, "client", "at", "ord", 2, browsing.DAY_US).select("ord", "allowed", "remaining").collect()))
-    assert got == want and len(got) == e.count()
+    got = sorted(map(tuple, spark.table(f"limited{tight}").select("ord", "allowed", "remaining").collect()))
+    batch = limits.fixed_window(e, "client", "at", "ord", 2, browsing.DAY_US, **rules)
+    want = sorted(map(tuple, batch.filter("remaining IS NOT NULL").select("ord", "allowed", "remaining").collect()))
+    assert got == want and 0 < len(got) < e.count() == batch.count()
+
+
+def test_requests_without_a_client_share_a_window(spark):
+    df = spark.createDataFrame([(None, 0, 0), (None, 1, 1), (None, 2, 2), (7, 3, 3)], "c long, t long, i long")
+    got = sorted((r.ord, r.allowed) for r in limits.fixed_window(df, "c", "t", "i", 1, 60_000).collect())
+    assert got == [(0, True), (1, False), (2, False), (3, True)]
 
 
 def test_client_and_log(spark):
@@ -349,7 +358,7 @@ def test_vocabulary_ladder(spark):
 
 # ---- registered queries
 
-SAME = [*retrieval.oracle_sql(), *browsing.oracle_sql(), *records.oracle_sql()]
+SAME = list(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
