@@ -5,7 +5,8 @@ Every vector is keyed by its nearest pivot and its distance from it, and the ind
 in runs of at most ``ANNULUS`` rows of one pivot. For a query at distance d from the pivot, the triangle inequality gives
 every vector at distance r from it |q - v| >= |d - r|, so q.v <= (|q|^2 + max|v|^2 - (d - r)^2) / 2. From the annulus
 where d falls, the search expands outwards on both sides and stops for a query once this bound is under its k-th best
-score so far. That threshold starts from a first pass in which each query looks at the rows next to its own place.
+score so far. That threshold, a score and an id, starts from a first pass in which each query looks at the rows next to its
+own place; of equal scores only those with a smaller id get past it, so ties don't multiply what partitions give.
 
 Queries are a stated set and go in blocks of at most ``BLOCK`` to all partitions; a block, its distances from the pivots
 and its thresholds are what is broadcast. Pivots come from a bounded sample; every row is indexed, and the bounds are
@@ -77,12 +78,12 @@ def _keyed(pivots: np.ndarray, dim: int) -> Any:
 class Search:
     """A block of queries and the best that one partition has for each so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, floor: np.ndarray, k: int, exact: bool) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, floor: np.ndarray, tie: np.ndarray, k: int, exact: bool) -> None:
         self.ids, self.vectors, self.k, self.exact = ids, vectors, k, exact
         self.away = _distances(vectors, pivots)
         self.home = self.away.argmin(1) if len(pivots) else np.zeros(len(ids), int)
         self.norm = (vectors.astype(float) ** 2).sum(1)
-        self.floor = floor.copy()
+        self.floor, self.tie = floor.copy(), tie.copy()
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
@@ -90,7 +91,8 @@ class Search:
         if not len(who):
             return
         s = _products(self.vectors[who], v, self.exact)
-        q, j = np.nonzero((s >= self.floor[who][:, None]) & (ids != self.ids[who][:, None]))
+        floor = self.floor[who][:, None]
+        q, j = np.nonzero(((s > floor) | (s == floor) & (ids <= self.tie[who][:, None])) & (ids != self.ids[who][:, None]))
         self.found.append((who[q], ids[j], s[q, j]))
         self.held += len(q)
         if self.held > 400_000:
@@ -105,7 +107,9 @@ class Search:
         keep = rank < self.k
         q, i, s, rank = q[keep], i[keep], s[keep], rank[keep]
         last = rank == self.k - 1
-        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
+        who, score, name = q[last], s[last], i[last]
+        better = (score > self.floor[who]) | (score == self.floor[who]) & (name < self.tie[who])
+        self.floor[who[better]], self.tie[who[better]] = score[better], name[better]
         self.found, self.held = [(q, i, s)], len(q)
         return q, i, s
 
@@ -129,7 +133,8 @@ class Search:
                 due = np.flatnonzero(alive & ((place <= a) if up else (place > a)))
                 gap = np.maximum(0, np.maximum(r[lo] - d[due], d[due] - r[hi - 1]))
                 bound = (self.norm[due] + most - gap * gap) / 2
-                ok = bound + 1e-6 * (1 + np.abs(bound)) >= self.floor[due]
+                # Distances are sums that cancel: their squares err by a part of the norms, not of the bound.
+                ok = bound + 1e-6 * (1 + self.norm[due] + most) >= self.floor[due]
                 alive[due[~ok]] = False
                 self._score(due[ok], ids[lo:hi], v[lo:hi])
 
@@ -178,15 +183,15 @@ def top_k(rows: DataFrame, is_query: Column, *, k: int = 20, pivots: int = PIVOT
         own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         ids = own.column("vec_id").to_numpy().astype(np.int64)
         vectors = _matrix(own.column("codes").combine_chunks(), dim) if len(ids) else np.zeros((0, dim), np.int64)
-        floor = np.full(len(ids), np.iinfo(np.int64).min)
-        sent = spark.sparkContext.broadcast((ids, vectors, points, floor, k, exact))
+        floor, tie = np.full(len(ids), np.iinfo(np.int64).min), np.full(len(ids), np.iinfo(np.int64).max)
+        sent = spark.sparkContext.broadcast((ids, vectors, points, floor, tie, k, exact))
         first = index.mapInArrow(_scan(sent, dim, True), _RESULT)
-        ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
-        known = ranked.filter(F.col("n") == k).select("query_id", "score").toArrow()  # a row for each query of the block at most
+        ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        known = ranked.filter(F.col("n") == k).select("query_id", "score", "vec_id").toArrow()  # a row for each query of the block at most
         place = {q: i for i, q in enumerate(ids.tolist())}
-        for q, s in zip(known.column("query_id").to_pylist(), known.column("score").to_pylist(), strict=True):
-            floor[place[q]] = s
-        sent = spark.sparkContext.broadcast((ids, vectors, points, floor, k, exact))
+        for q, s, i in zip(*(known.column(c).to_pylist() for c in ("query_id", "score", "vec_id")), strict=True):
+            floor[place[q]], tie[place[q]] = s, i
+        sent = spark.sparkContext.broadcast((ids, vectors, points, floor, tie, k, exact))
         best = index.mapInArrow(_scan(sent, dim, False), _RESULT)
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         best = best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
