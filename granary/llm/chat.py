@@ -6,8 +6,10 @@ what was written can be read back. A conversation is one stream of its turns in
 loss mask marks the tokens whose spans meet a span of an assistant's text, found by binary search in the sorted spans.
 
 One key may hold a large share of all rows, so turns are not collected: they are sorted by (conversation, turn) within
-partitions and streamed. A long conversation comes out in segments of whole turns of about ``SEGMENT_CHARS``. Turns end in
-a line break before ``###``, where the pre-tokenizer always cuts; so the segments' tokens are those of the whole.
+partitions and streamed into segments of whole turns of about ``SEGMENT_CHARS``. That pass only writes the template. Turns
+end in a line break before ``###``, where the pre-tokenizer always cuts; so the segments' tokens are those of the whole, and
+segments, dealt out anew by conversation and number, are encoded and read back wherever they lie. What must run in one
+stream, the digest of a conversation, gets the texts alone.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import tokenizer_path
-from granary.llm.common import columns_kept, read, ship
+from granary.llm.common import columns_kept, map_slices, read, ship
 
 SEGMENT_CHARS = 1 << 16
 HEAD, COLON, TAIL = "### ", ": ", " </turn>\n"
@@ -83,11 +85,8 @@ def masked(formatted: str, path: str, learn: str) -> tuple[list[int], np.ndarray
     return got.ids, at[:, 0], at[:, 1], inside
 
 
-_SEGMENT = "conv_id long, segment int, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
-
-
-#: Segments, and their characters, in one Arrow batch.
-_ROWS, _CHARS = 256, 1 << 20
+_RENDERED = "conv_id long, segment int, formatted string"
+_SEGMENT = f"{_RENDERED}, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 
 
 def _lists(parts: list[Any], kind: Any) -> pa.Array:
@@ -95,33 +94,36 @@ def _lists(parts: list[Any], kind: Any) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def _batch(rows: list[tuple[int | None, int, str]], path: str, learn: str) -> pa.RecordBatch:
-    ids, starts, ends, loss = zip(*(masked(f, path, learn) for _, _, f in rows), strict=True)
-    key, number, formatted = zip(*rows, strict=True)
-    ints = [_lists([np.asarray(x, np.int32) for x in part], pa.int32()) for part in (ids, starts, ends)]
-    columns = [pa.array(key, pa.int64()), pa.array(number, pa.int32()), pa.array(formatted, pa.string()), *ints, _lists(list(loss), pa.bool_())]
-    return pa.RecordBatch.from_arrays(columns, ["conv_id", "segment", "formatted", "ids", "starts", "ends", "loss"])
-
-
-def _segments(path: str, learn: str, chars: int) -> Any:
+def _rendered(chars: int) -> Any:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, number, held, turns, rows, waiting = None, 0, 0, [], [], 0
+        key, number, held, turns = None, 0, 0, []
         for batch in batches:
+            rows = []
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if turns and (conv != key or held >= chars):
                     rows.append((key, number, render(turns)))
-                    waiting += held
                     number, held, turns = (number + 1 if conv == key else 0), 0, []
-                    if len(rows) >= _ROWS or waiting >= _CHARS:
-                        yield _batch(rows, path, learn)
-                        rows, waiting = [], 0
                 key = conv
                 turns.append((role or "", text or ""))
                 held += len(turns[-1][1])
+            if rows:
+                yield _columns(rows)
         if turns:
-            rows.append((key, number, render(turns)))
-        if rows:
-            yield _batch(rows, path, learn)
+            yield _columns([(key, number, render(turns))])
+
+    return run
+
+
+def _columns(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "segment", "formatted"])
+
+
+def _encoded(path: str, learn: str) -> Any:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [masked(f, path, learn) for f in batch.column(2).to_pylist()]
+        ints = [_lists([np.asarray(x[k], np.int32) for x in found], pa.int32()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *ints, _lists([x[3] for x in found], pa.bool_())], ["conv_id", "segment", "formatted", "ids", "starts", "ends", "loss"])
 
     return run
 
@@ -131,63 +133,76 @@ def format_conversations(rows: DataFrame, path: str, *, learn: str = "assistant"
 
     ``rows`` has conv_id, turn, role and text. Null roles and texts are empty; rows with equal or null turns follow
     each other by role and text, nulls first; repeated rows are turns of their own; a null conv_id is a conversation.
-    The segments of a conversation are in one partition, in order.
+    A conversation's segments are numbered from 0 and lie in any partition.
     """
     ship(rows.sparkSession)
     own = columns_kept(rows, {c: c for c in ("conv_id", "turn", "role", "text")}).withColumn("conv_id", F.col("conv_id").cast("long"))
     dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return dealt.mapInArrow(_segments(path, learn, chars), _SEGMENT)
+    segments = dealt.mapInArrow(_rendered(chars), _RENDERED).repartition("conv_id", "segment")
+    return map_slices(segments, "formatted", _encoded(path, learn), _SEGMENT)
+
+
+_READ = "conv_id long, segment int, turns long, said string, learned string, long long"
+
+
+def _read_back(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of each segment the number of turns, what its turns say, and all text under its loss mask."""
+    rows = []
+    at = batch.column(4).offsets.to_numpy() - batch.column(4).offsets[0].as_py()
+    all_starts, all_ends, all_loss = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5, 6))
+    for r, formatted in enumerate(batch.column(2).to_pylist()):
+        loss = all_loss[at[r] : at[r + 1]].astype(bool)
+        starts, ends = all_starts[at[r] : at[r + 1]][loss], all_ends[at[r] : at[r + 1]][loss]
+        said, learned = [], []
+        for role, a, b in parse(formatted):
+            said.append(f"{role}\n{unescape(formatted[a:b])}\n")
+            lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+            pos, kept = a, []
+            for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True):  # parts of one character share its span
+                s, e = max(s, pos), min(e, b)
+                if s < e:
+                    kept.append(formatted[s:e])
+                    pos = e
+            learned.append(unescape("".join(kept)))
+        rows.append((len(said), "".join(said), "".join(learned), len(formatted)))
+    turns, said, learned, long = zip(*rows, strict=True) if rows else ((), (), (), ())
+    columns = [batch.column(0), batch.column(1), pa.array(turns, pa.int64()), pa.array(said, pa.string()), pa.array(learned, pa.string()), pa.array(long, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _READ.split(", ")])
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _digests(learn: str) -> Any:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[str, Any] | None = None
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-
-        def out(done: list[dict[str, Any]]) -> pa.RecordBatch:
-            rows = [(s["key"], s["turns"], s["all"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["long"]) for s in done]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _DIGEST.split(", ")])
-
-        for batch in batches:
-            done = []
-            key, number, texts = (batch.column(i).to_pylist() for i in range(3))
-            at = batch.column(4).offsets.to_numpy() - batch.column(4).offsets[0].as_py()
-            all_starts, all_ends, all_loss = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5, 6))
-            for r, formatted in enumerate(texts):
-                if state is None or number[r] == 0:
-                    if state:
-                        done.append(state)
-                    state = {"key": key[r], "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "long": 0}
-                loss = all_loss[at[r] : at[r + 1]].astype(bool)
-                starts, ends = all_starts[at[r] : at[r + 1]][loss], all_ends[at[r] : at[r + 1]][loss]
-                for role, a, b in parse(formatted):
-                    state["turns"] += 1
-                    state["all"].update(f"{role}\n{unescape(formatted[a:b])}\n".encode())
-                    lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
-                    pos, kept = a, []
-                    for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True):  # parts of one character share its span
-                        s, e = max(s, pos), min(e, b)
-                        if s < e:
-                            kept.append(formatted[s:e])
-                            pos = e
-                    text = unescape("".join(kept))
-                    state["chars"] += len(text)
-                    state["loss"].update(text.encode())
-                state["long"] += len(formatted)
-            if done:
-                yield out(done)
-        if state:
-            yield out([state])
-
-    return run
-
-
-def digest(formatted: DataFrame, *, learn: str = "assistant") -> DataFrame:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state: dict[str, Any] | None = None
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def out(done: list[dict[str, Any]]) -> pa.RecordBatch:
+        rows = [(s["key"], s["turns"], s["all"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["long"]) for s in done]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _DIGEST.split(", ")])
+
+    for batch in batches:
+        done = []
+        for key, number, turns, said, learned, long in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if state is None or number == 0:
+                if state:
+                    done.append(state)
+                state = {"key": key, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "long": 0}
+            state["turns"] += turns
+            state["all"].update(said.encode())
+            state["chars"] += len(learned)
+            state["loss"].update(learned.encode())
+            state["long"] += long
+        if done:
+            yield out(done)
+    if state:
+        yield out([state])
+
+
+def digest(formatted: DataFrame) -> DataFrame:
     """A row for each conversation, read back from the segments that :func:`format_conversations` gave."""
-    return formatted.mapInArrow(_digests(learn), _DIGEST)
+    read_back = map_slices(formatted, "formatted", _read_back, _READ)
+    return read_back.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(_digests, _DIGEST)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
