@@ -170,6 +170,10 @@ def indel_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else indel(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
+def round_ratio(v: Column) -> Column:
+    return F.floor(v * 1e6 + 0.5) / 1e6
+
+
 def bounded_int(v: Column, least: int, most: int, fallback: int) -> Column:
     """A trimmed integer of at most 15 digits within bounds; anything else is the fallback."""
     t = F.trim(text_of(v))

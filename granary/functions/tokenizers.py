@@ -166,6 +166,11 @@ def encode_column(text: Column, tokenizer: WordPiece | Unigram) -> Column:
     return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(text)
 
 
+def words_column(text: Column, lower: bool = True, strip: bool = True) -> Column:
+    """The words and signs that pieces are made from."""
+    return F.arrow_udf(lambda col: pa.array([pre_tokenize(bert_normalize(t or "", lower, strip)) for t in col.to_pylist()], pa.list_(pa.string())), ArrayType(StringType()), F.ArrowUDFType.SCALAR)(text)
+
+
 def pieces_column(text: Column, tokenizer: WordPiece) -> Column:
     def run(col: pa.Array) -> pa.Array:
         return pa.array([[p for w in pre_tokenize(bert_normalize(t or "", tokenizer.lower, tokenizer.strip)) for p in tokenizer.pieces(w)] for t in col.to_pylist()], pa.list_(pa.string()))

@@ -180,9 +180,11 @@ def line_text(row: Mapping[str, Any]) -> str:
     return " ".join([*([f"@{row['matra_from']}"] if row["matra_from"] != 1 else []), *cells, END])
 
 
-def text(record: Mapping[str, Any], taals: Mapping[str, Taal], lines: Mapping[int, tuple[str, str]] | None = None) -> str:
+def text(record: Mapping[str, Any], taals: Mapping[str, Taal], lines: Mapping[int, tuple[str, str]] | None = None, script: Script | None = None) -> str:
+    """A record as text; with a ``script`` its notes are written in that, and bols as the record has them."""
     out, before = [], None
-    for row in grid(record, taals, lines):
+    for row in grid(record, taals, lines, script):
+        row = row if script is None else row | {"swar": row["swar_native"]}
         head = (row["section"], row["n"])
         if head != before:
             out.append(f"[{row['section']}{' ' + str(row['n']) if row['n'] else ''}]")
@@ -237,6 +239,34 @@ def html(record: Mapping[str, Any], taals: Mapping[str, Taal]) -> str:
     return "".join(out)
 
 
+def texts(records: DataFrame, key: str, body: str, taals: Mapping[str, Taal], script: Script | None = None) -> DataFrame:
+    """(id, text) of each record."""
+
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else text(json.loads(v), taals, script=script) for v in col.to_pylist()], pa.string())
+
+    return records.select(F.col(key).cast("string").alias("id"), F.arrow_udf(run, StringType(), F.ArrowUDFType.SCALAR)(F.col(body)).alias("text"))
+
+
+def parsed(rows: DataFrame, key: str, line: str) -> DataFrame:
+    """(id, kind, matra_from, pos, s, o, k, t, ext, rest) of every beat that a printed line writes; a beat with several notes has
+    as many rows. A line that can't be read is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "kind", "matra_from", "pos", "s", "o", "k", "t", "ext", "rest"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.bool_()] * 4]
+        for batch in batches:
+            out = []
+            for name, printed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p = parse_line(printed or "")
+                for i, beat in enumerate(p["beats"]):
+                    for n in beat.get("notes") or [{}]:
+                        out.append((name, p["kind"], p["matra_from"], i, n.get("s"), n.get("o", 0), n.get("k", False), n.get("t", False), beat.get("ext", False), beat.get("rest", False)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names)
+
+    return rows.select(F.col(key).cast("string"), line).mapInArrow(run, "id string, kind string, matra_from int, pos int, s string, o int, k boolean, t boolean, ext boolean, rest boolean")
+
+
 _GRID = "id string, ord int, section string, n int, kind string, matra_from int, taal string, swar array<string>, marks array<string>, vibhag array<boolean>, bol array<string>, line string"
 
 

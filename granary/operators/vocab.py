@@ -153,6 +153,13 @@ def taal_of_marks(taals: DataFrame, rows: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.when(F.count("*") == 1, F.first("key")).alias("taal")).filter("taal IS NOT NULL")
 
 
+def section_label_column(text: Column, labels: dict[str, Sequence[str]]) -> Column:
+    """struct(kind, n) of :func:`section_label`, or null."""
+    arrow = pa.struct([("kind", pa.string()), ("n", pa.int32())])
+    made = lambda v: None if v is None else {"kind": v[0], "n": v[1]}
+    return F.arrow_udf(lambda col: pa.array([made(section_label(t, labels)) for t in col.to_pylist()], arrow), "struct<kind: string, n: int>", F.ArrowUDFType.SCALAR)(text)
+
+
 def section_label(text: str | None, labels: dict[str, Sequence[str]]) -> tuple[str, int | None] | None:
     """Kind and number of a printed label that starts with a known one and goes on with little but a number."""
     s = (text or "").strip()

@@ -1,15 +1,12 @@
-"""Queries on registries, parameters, tokenizers, notation records and vocabularies."""
+"""Queries on registries and parameters."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
-from granary.functions import tokenizers as tok
-from granary.operators import notation, render, vectors, vocab
+from granary.operators import render, vectors
 from granary.operators.encode import Encoder
 from granary.plans import catalog
 from granary.plans import tables as T
@@ -30,16 +27,6 @@ RECORD = {
 }
 
 
-def _broken() -> dict:
-    r = json.loads(json.dumps(RECORD))
-    r |= {"notation_id": "book:0042:4", "script": "runes", "flags": ["nope"]}
-    beats = r["sections"][0]["lines"][0]["beats"]
-    beats[1]["m"] = 5
-    beats[2]["notes"] = [{"s": "S", "k": True}]
-    beats[3] = {"m": 7, "ext": True, "rest": True}
-    return r
-
-
 def manifests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MANIFESTS, catalog.MANIFEST)
 
@@ -77,57 +64,13 @@ def table_health(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.health(spark, {t: T.read(spark, sf, t) for t in ("documents", "embeddings", "orders", "events")})
 
 
-def wordpiece_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    w = tok.WordPiece(tok.letters_vocab())
-    p = T.read(spark, sf, "part").select("p_partkey", tok.pieces_column(F.col("p_name"), w).alias("p"))
-    return p.select("p_partkey", F.size("p").cast("long").alias("n"), F.array_join("p", " ").alias("pieces"))
-
-
-def unigram_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = [("<unk>", 0.0), *((tok.SPACE_MARK + c, -3.0) for c in "abcdefghijklmnopqrstuvwxyz"), *((c, -4.0) for c in "abcdefghijklmnopqrstuvwxyz"), ("th", -4.5), ("er", -4.5), ("ing", -5.0)]
-    u = tok.Unigram(pieces)
-    return T.read(spark, sf, "part").select("p_partkey", F.size(tok.encode_column(F.lower("p_name"), u)["ids"]).cast("long").alias("n"))
-
-
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
     """Text to vector to the ten best rows, with the hashing model, whose rankings mean nothing."""
     return vectors.search(T.index(spark, sf), Encoder().query("the first words"), 10).select("id", "score")
 
 
-def notation_validate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("sound", json.dumps(RECORD)), ("broken", json.dumps(_broken()))], "id string, body string")
-    raags = spark.createDataFrame([("sarang",)], "key string")
-    taals = spark.createDataFrame([(k, t.matras) for k, t in TAALS.items()], "key string, matras int")
-    return notation.validate(rows, "id", "body", raags, taals)
-
-
-def notation_cells(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", json.dumps(RECORD))], "id string, body string")
-    c = render.cells(rows, "id", "body", TAALS)
-    return c.select("id", F.array_join("swar", " ").alias("swar"), F.array_join(F.transform("marks", lambda m: F.coalesce(m, F.lit("_"))), " ").alias("marks"), F.array_join("bol", " ").alias("bol"), "line")
-
-
-def vocab_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of regions with a sign after them to their keys."""
-    n = T.read(spark, sf, "region").select(F.col("r_regionkey").alias("ord"), F.col("r_regionkey").cast("string").alias("key"), F.col("r_name").alias("spelling"))
-    v = vocab.Vocabulary(n)
-    asked = n.select(F.concat("spelling", F.lit("!")).alias("text"), F.col("key").alias("want"))
-    return v.lookup(asked, "text", vocab.FUZZY_RAAG).select("text", "want", "key", "confidence", "method")
-
-
-def fuzzy_indel(spark: SparkSession, sf: str) -> DataFrame:
-    p = T.read(spark, sf, "part")
-    return p.select("p_partkey", (F.floor(X.indel_ratio(F.col("p_name"), F.col("p_type")) * 1e6 + 0.5) / 1e6).alias("ratio"))
-
-
-def taal_markers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, list(t.vibhag), list(t.marks)) for k, t in TAALS.items()], "key string, vibhag array<int>, marks array<string>")
-    m = rows.select("key", F.posexplode(vocab.beat_marks(F.col("vibhag"), F.col("marks"), F.lit(2))).alias("pos", "mark"))
-    return m.select("key", F.col("pos").cast("long").alias("pos"), "mark")
-
-
 def queries() -> dict:
-    found = [registry_normalize, registry_dedupe, registry_order, param_bounds, script_capability, table_health, wordpiece_tokens, unigram_tokens, text_search, notation_validate, notation_cells, vocab_lookup, fuzzy_indel, taal_markers]
+    found = [registry_normalize, registry_dedupe, registry_order, param_bounds, script_capability, table_health, text_search]
     return {f.__name__: f for f in found}
 
 
@@ -140,9 +83,6 @@ def oracle_sql() -> dict[str, str]:
         coalesce(list_filter(roles, lambda r: list_contains({every}, r)), {every}) AS roles, coalesce(weight, 1)::DOUBLE AS ask_weight, coalesce(pos, 100)::BIGINT AS pos,
         CASE WHEN enriched = 'true' THEN 'kosh' WHEN enriched IS NULL OR enriched = 'false' THEN 'none' ELSE enriched END AS enriched FROM {m}"""
     loaded = f"SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) = 1 AS loaded FROM ({n}) WHERE kind IS DISTINCT FROM 'documents'"
-    sound = [("broken", c, p) for c, p in (("id.format", "notation_id"), ("enum.script", "script"), ("flags.unknown", "flags"), ("line.matras", "sections[0].lines[0].beats[1].m"), ("line.matras", "sections[0].lines[0].beats[2].m"), ("line.matras", "sections[0].lines[0].beats[3].m"), ("line.matras", "sections[0].lines[0].beats[4].m"), ("note.komal", "sections[0].lines[0].beats[2].notes[0]"), ("beat.exclusive", "sections[0].lines[0].beats[3]"))]
-    values = lambda rows: ", ".join("(" + ", ".join(repr(x) if x is not None else "NULL" for x in r) + ")" for r in rows)
-    marks = [(k, i, x) for k, t in TAALS.items() for i, x in enumerate([t.mark(b) for b in range(2, t.matras + 1)])]
     return {
         "registry_normalize": f"SELECT folder, name, text_source, text_lang, array_to_string(scripts, ',') AS scripts, array_to_string(roles, ',') AS roles, ask_weight, pos AS ord, enriched FROM ({n})",
         "registry_dedupe": f"SELECT folder, name, loaded FROM ({loaded})",
@@ -150,9 +90,4 @@ def oracle_sql() -> dict[str, str]:
         "param_bounds": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 10 ELSE greatest(1, least(50, floor(value)::BIGINT)) END::BIGINT AS k, CASE WHEN floor(value) >= 0 THEN floor(value)::BIGINT END AS id FROM events",
         "script_capability": "SELECT doc_id, lang IS DISTINCT FROM 'de' AS latin, true AS both FROM documents",
         "table_health": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("documents", "embeddings", "orders", "events")),
-        "wordpiece_tokens": "SELECT p_partkey, length(replace(p_name, ' ', ''))::BIGINT AS n, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: w[1] || array_to_string(list_transform(range(2, len(w) + 1), lambda i: ' ##' || w[i]), '')), ' ') AS pieces FROM part",
-        "notation_validate": f"SELECT * FROM (VALUES {values(sound)}) v(id, code, path)",
-        "notation_cells": "SELECT 'a' AS id, 'S R G M P D' AS swar, 'x _ _ 0 _ _' AS marks, 'a b  d e f' AS bol, 'S R G | M P D ||' AS line",
-        "vocab_lookup": "SELECT r_name || '!' AS text, r_regionkey::VARCHAR AS want, r_regionkey::VARCHAR AS key, 1.0::DOUBLE AS confidence, 'alias' AS method FROM region",
-        "taal_markers": f"SELECT key, pos::BIGINT AS pos, mark FROM (VALUES {values(marks)}) v(key, pos, mark)",
     }

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.functions.shipping import ship
-from granary.plans import browsing, pages, records, retrieval, scripts
+from granary.plans import browsing, notations, pages, records, retrieval, scripts
 
-_MODULES = (retrieval, browsing, scripts, pages, records)
+_MODULES = (retrieval, browsing, scripts, pages, notations, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
