@@ -7,7 +7,8 @@ text to fused results, but its rankings mean nothing. An ONNX session can stand
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -53,6 +54,51 @@ class OnnxModel:
         return {"path": self.path, "_held": None}
 
 
+#: The model where a manifest names none, and the least length that a shared session takes.
+DEFAULT_MODEL, LEAST_LENGTH = "bge-small-en-v1.5", 256
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a manifest says of its encoder; what it leaves out is none, and the tokenizer's defaults hold."""
+
+    model: str | None = None
+    tokenizer: str | None = None
+    pooling: str | None = None
+    query_prefix: str | None = None
+    doc_prefix: str | None = None
+    length: int | None = None
+    lower: bool = True
+    strip_accents: bool = True
+
+    @classmethod
+    def of(cls, manifest: Mapping[str, Any]) -> Options:
+        names = {"model": "model_dir", "tokenizer": "tokenizer", "pooling": "pooling", "query_prefix": "query_prefix", "doc_prefix": "doc_prefix", "length": "max_len", "lower": "lowercase", "strip_accents": "strip_accents"}
+        return cls(**{k: manifest[m] for k, m in names.items() if manifest.get(m) is not None})
+
+    def session(self) -> tuple[str | None, ...]:
+        """What two indexes share if one session serves both: not how long texts may be."""
+        return self.model or DEFAULT_MODEL, self.tokenizer, self.pooling, self.query_prefix
+
+    def fingerprint(self) -> str:
+        return hashlib.sha256(json.dumps(self.session(), separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:12]
+
+
+def shared(options: Mapping[str, Options]) -> dict[str, tuple[str, int]]:
+    """(fingerprint, length) of the session that serves each index: the longest that any of them asks for, LEAST_LENGTH at
+    least."""
+    length: dict[str, int] = {}
+    for o in options.values():
+        length[o.fingerprint()] = max(length.get(o.fingerprint(), LEAST_LENGTH), o.length or 0)
+    return {n: (o.fingerprint(), length[o.fingerprint()]) for n, o in options.items()}
+
+
+def fingerprint_column(model: Column, tokenizer: Column, pooling: Column, prefix: Column) -> Column:
+    """:meth:`Options.fingerprint` as an expression over a registry's columns."""
+    session = F.to_json(F.array(F.coalesce(model, F.lit(DEFAULT_MODEL)), tokenizer, pooling, prefix))
+    return F.substring(F.sha2(session, 256), 1, 12)
+
+
 @dataclass
 class Encoder:
     """Texts are encoded one by one: what shares a batch would change the last digits of quantised models."""

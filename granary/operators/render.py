@@ -149,6 +149,16 @@ def spelled_bols(beats: Sequence[Mapping[str, Any]], text: str | None, roman: st
     return [by_span.get(tuple((b.get("bol") or {}).get("span") or ())) for b in beats]
 
 
+def spelled_column(spans: Column, text: Column, roman: Column) -> Column:
+    """array<string>: for each span [start, end] the Latin word that stands for the word there, or null."""
+
+    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        rows = zip(a.to_pylist(), b.to_pylist(), c.to_pylist(), strict=True)
+        return pa.array([spelled_bols([{"bol": {"span": s}} for s in spans or ()], t, r) for spans, t, r in rows], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, ArrayType(StringType()), F.ArrowUDFType.SCALAR)(spans, text, roman)
+
+
 def grid(record: Mapping[str, Any], taals: Mapping[str, Taal], lines: Mapping[int, tuple[str, str]] | None = None, script: Script | None = None) -> Iterator[dict[str, Any]]:
     """A row for each printed line."""
     heading = (record.get("heading") or {}).get("taal") or {}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions.text import has_native
+from granary.sources.qindex import Folder
 
 #: Roles an index can have, and the sources that an old name of a source stands for.
 ROLES = ("neighbours", "text", "ask")
@@ -120,24 +121,21 @@ def health(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def discover(folder: str) -> list[tuple[str, dict | None, str | None]]:
+def discover(path: str) -> list[tuple[str, dict | None, str | None]]:
     """(folder, manifest, warning) of an index folder and its subfolders by name. Unreadable ones are told, not hidden."""
-    import json
-    from pathlib import Path
-
-    top, found, seen = Path(folder), [], set()
-    for d in [top, *sorted(p for p in top.iterdir() if p.is_dir())]:
-        at = d / "manifest.json"
-        if not at.exists():
+    found, seen = [], set()
+    for name in ["", *Folder(path).folders()]:
+        d = Folder(f"{path.rstrip('/')}/{name}".rstrip("/"))
+        if d.size("manifest.json") is None:
             continue
         try:
-            m = json.loads(at.read_text(encoding="utf-8"))
+            m = d.manifest()
         except ValueError:
-            found.append((str(d), None, "the manifest can't be read"))
+            found.append((d.path, None, "the manifest can't be read"))
             continue
         if m.get("kind") == "documents":
             continue
-        name = m.get("index") or d.name
-        found.append((str(d), m if name not in seen else None, None if name not in seen else f"a second index named {name}"))
-        seen.add(name)
+        own = m.get("index") or name or path.rstrip("/").rpartition("/")[2]
+        found.append((d.path, m if own not in seen else None, None if own not in seen else f"a second index named {own}"))
+        seen.add(own)
     return found

@@ -14,6 +14,8 @@ from granary.functions import letters as L
 from granary.functions import text as X
 from granary.functions.numeric import limit_of
 from granary.operators import render, vocab
+from granary.operators.encode import fingerprint_column
+from granary.operators.reading import is_stanza_end
 from granary.plans import tables as T
 
 VIEWS = ("HIGH", "LOW", "URGENT")
@@ -71,7 +73,7 @@ _CONSONANTS = {"b": "ਬ", "c": "ਚ", "d": "ਡ", "f": "ਫ", "g": "ਗ", "h":
 _SCRIPT = _VOWELS | _CONSONANTS
 
 
-def _in_script(v: Column) -> Column:
+def _in_script(v: Column | str) -> Column:
     return F.translate(F.lower(v), "".join(_SCRIPT), "".join(_SCRIPT.values()))
 
 
@@ -131,11 +133,38 @@ def roman_of(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", render.roman_column(_in_script(F.concat_ws(" ", "p_name", "p_type")), ROMAN).alias("roman"))
 
 
+def line_romans(spark: SparkSession, sf: str) -> DataFrame:
+    """The Latin words under two beats of every part's name in the script, by their spans; none where the words' numbers differ."""
+    p = T.read(spark, sf, "part")
+    native = F.concat(_in_script("p_name"), F.lit(" ॥੧॥ ਰਹਾਉ ॥ "), _in_script("p_type"))
+    roman = F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") % 3 == 0, "more"))
+    cut = F.instr("p_name", " ") - 1
+    spans = F.array(F.array(F.lit(0), cut), F.array(cut + 1, F.length("p_name")), F.array(F.lit(0), F.length("p_name")))
+    w = render.spelled_column(spans, native, roman)
+    return p.select("p_partkey", w.alias("w")).select("p_partkey", *[F.get("w", i).alias(f"w{i}") for i in range(3)])
+
+
+ENDS = [" ॥੧॥", " ॥੪॥੬॥੩੯॥ ", " ॥", " ॥੧॥ ਰਹਾਉ ॥", ""]
+
+
+def stanza_ends(spark: SparkSession, sf: str) -> DataFrame:
+    c = T.read(spark, sf, "conversations")
+    text = F.concat("text", F.element_at(F.array(*map(F.lit, ENDS)), (F.col("turn") % len(ENDS) + 1).cast("int")))
+    return c.select("conv_id", "turn", is_stanza_end(text).alias("ends"))
+
+
+def encoder_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """The session that each part's settings would share."""
+    p = T.read(spark, sf, "part")
+    found = fingerprint_column(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.lit("wordpiece"), F.when(F.col("p_size") % 3 > 0, "cls"), F.concat(F.col("p_name"), F.lit(': "é" ')))
+    return p.select("p_partkey", found.alias("fingerprint"))
+
+
 ROMAN = render.Roman({c: x for x, c in _CONSONANTS.items() if x not in "qwxz"}, {c: x for x, c in _VOWELS.items()}, {}, {}, {}, "a")
 
 
 def queries() -> dict:
-    found = [fl_query_codes, fl_prefix_bounds, fl_highlight, fl_limits, keyboard_keys, fold_native_lines, vocab_folds, native_digits, word_spans, image_addresses, record_ids, param_texts, param_langs, roman_of]
+    found = [fl_query_codes, fl_prefix_bounds, fl_highlight, fl_limits, keyboard_keys, fold_native_lines, vocab_folds, native_digits, word_spans, image_addresses, record_ids, param_texts, param_langs, roman_of, line_romans, stanza_ends, encoder_fingerprints]
     return {f.__name__: f for f in found}
 
 
@@ -182,6 +211,9 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url END AS u, CASE WHEN page_id % 4 > 0 THEN 'p/' || page_id END AS p FROM pages)""",
         "record_ids": "SELECT p_partkey, id, CASE WHEN id IS NOT NULL THEN p_size END::BIGINT AS page, true AS refused FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN format('{}:{:04d}:{}', replace(lower(p_brand), '#', '-'), p_size, p_partkey) END AS id FROM part)",
         "param_texts": f"SELECT line_id, coalesce(length(line), 0) <= 200 AS taken, least(coalesce(length(line), 0), 120)::BIGINT AS n, line = '' AS absent FROM ({_LINES})",
+        "line_romans": "SELECT p_partkey, CASE WHEN same THEN string_split(p_name, ' ')[1] END AS w0, CASE WHEN same THEN string_split(p_name, ' ')[2] END AS w1, NULL::VARCHAR AS w2 FROM (SELECT *, p_size % 3 > 0 AS same FROM part)",
+        "stanza_ends": "SELECT conv_id, turn, turn % 5 < 2 AS ends FROM conversations",
+        "encoder_fingerprints": """SELECT p_partkey, sha256('["' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'bge-small-en-v1.5' END || '","wordpiece",' || CASE WHEN p_size % 3 > 0 THEN '"cls"' ELSE 'null' END || ',"' || p_name || ': \\"é\\" "]')[1:12] AS fingerprint FROM part""",
         "param_langs": "SELECT o_orderkey, CASE WHEN contains(o_orderpriority, 'HIGH') THEN 'HIGH,LOW' WHEN contains(o_orderpriority, 'URGENT') THEN 'URGENT,LOW,HIGH' ELSE 'LOW,HIGH' END AS views FROM orders",
         "roman_of": f"""SELECT p_partkey, regexp_replace(r, '([^aeiou])[iu]$', '\\1') AS roman
           FROM (SELECT p_partkey, regexp_replace(regexp_replace({roman}, '([bcdfghjklmnpqrstvy])([ bcdfghjklmnpqrstvy])', '\\1a\\2', 'g'), '([bcdfghjklmnpqrstvy])([ bcdfghjklmnpqrstvy])', '\\1a\\2', 'g') AS x, replace(x, ' ', '') AS r FROM part)""",

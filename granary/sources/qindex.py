@@ -1,22 +1,75 @@
-"""A data source for folders of quantised indexes: headerless little-endian files beside a manifest.
+"""Data sources for folders of quantised indexes and corpora: headerless little-endian files beside a manifest.
 
-``codes`` int8 (n x dim), ``scales`` float32, and optionally ``ids`` int32 and ``mask`` uint8, as ``<level>.codes.i8`` and
-so on. Partitions are ranges of rows; each task reads its own part of each file.
+``<level>.i8`` holds codes (n x dim), ``<level>.scale.f32`` a scale a row, and optionally ``<level>.ids.i32`` ids and
+``<level>.mask.u8`` a mask; ``pca.components.f32`` and ``pca.mean.f32`` project queries. Partitions are ranges of rows; each task reads
+its own part of each file. Folders may lie wherever Arrow's file systems reach: a path, or an address such as ``s3://`` or
+``hdfs://``.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import re
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _SCHEMA = "row bigint, id bigint, codes array<tinyint>, scale float, mask boolean"
 ROWS = 65_536
+#: What a corpus must have.
+CORPUS = ("units.i8", "units.scale.f32", "units.mask.u8", "pca.components.f32", "pca.mean.f32")
+
+
+class Folder:
+    """Files of a folder, on any file system that Arrow knows."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def _at(self, name: str) -> tuple[Any, str]:
+        if "://" in self.path or self.path.startswith("file:"):
+            system, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", self.path))
+        else:
+            system, base = fs.LocalFileSystem(), self.path
+        return system, f"{base.rstrip('/')}/{name}"
+
+    def size(self, name: str) -> int | None:
+        """The file's bytes; none if it isn't there."""
+        system, at = self._at(name)
+        info = system.get_file_info(at)
+        return info.size if info.type == fs.FileType.File else None
+
+    def read(self, name: str, start: int = 0, n: int | None = None) -> bytes:
+        system, at = self._at(name)
+        with system.open_input_file(at) as f:
+            return f.read_at(f.size() - start if n is None else n, start)
+
+    def names(self) -> list[str]:
+        system, at = self._at("")
+        return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(at.rstrip("/"))))
+
+    def folders(self) -> list[str]:
+        system, at = self._at("")
+        return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(at.rstrip("/"))) if x.type == fs.FileType.Directory)
+
+    def manifest(self) -> dict[str, Any]:
+        return json.loads(self.read("manifest.json"))
+
+
+def projection(path: str) -> tuple[list[list[float]], list[float]]:
+    """The components and the mean that queries are projected by."""
+    folder = Folder(path)
+    m = folder.manifest()
+    mean = np.frombuffer(folder.read("pca.mean.f32"), "<f4")
+    parts = np.frombuffer(folder.read("pca.components.f32"), "<f4")
+    if len(mean) != m["embed_dim"] or len(parts) != m["embed_dim"] * m["index_dim"]:
+        raise ValueError(f"{path}: the projection isn't {m['index_dim']} x {m['embed_dim']}")
+    return parts.reshape(-1, len(mean)).astype(float).tolist(), mean.astype(float).tolist()
 
 
 class Rows(InputPartition):
@@ -25,19 +78,16 @@ class Rows(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, folder: str, level: str, dim: int | None, rows: int) -> None:
-        self.at = os.path.join(folder, level)
-        if dim is None:
-            with open(os.path.join(folder, "manifest.json"), encoding="utf-8") as f:
-                dim = int(json.load(f)["index_dim"])
-        self.dim, self.rows = dim, rows
-        for part in (".codes.i8", ".scales.f32"):
-            if not os.path.exists(self.at + part):
-                raise ValueError(f"{self.at + part} is missing")
-        n = os.path.getsize(self.at + ".scales.f32") // 4
-        if os.path.getsize(self.at + ".codes.i8") != n * dim:
-            raise ValueError(f"{self.at}: the codes are not {n} x {dim}")
-        self.n = n
+    def __init__(self, path: str, level: str, dim: int | None, rows: int, kind: str = "index") -> None:
+        self.folder, self.level, self.rows = Folder(path), level, rows
+        for name in CORPUS if kind == "corpus" else (f"{level}.i8", f"{level}.scale.f32"):
+            if self.folder.size(name) is None:
+                raise ValueError(f"{path}: {name} is missing")
+        self.dim = dim = int(self.folder.manifest()["index_dim"]) if dim is None else dim
+        self.n = n = self.folder.size(f"{level}.scale.f32") // 4
+        if self.folder.size(f"{level}.i8") != n * dim:
+            raise ValueError(f"{path}: the codes are not {n} x {dim}")
+        self.has = {name: self.folder.size(f"{level}.{name}") is not None for name in ("ids.i32", "mask.u8")}
 
     def partitions(self) -> list[InputPartition]:
         return [Rows(i, min(i + self.rows, self.n)) for i in range(0, self.n, self.rows)] or [Rows(0, 0)]
@@ -45,17 +95,21 @@ class Reader(DataSourceReader):
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         a, n, dim = partition.start, partition.end - partition.start, self.dim
 
-        def part(name: str, kind: str, width: int = 1) -> np.ndarray | None:
-            path = self.at + name
-            return np.fromfile(path, kind, n * width, offset=a * width * np.dtype(kind).itemsize) if os.path.exists(path) else None
+        def part(name: str, kind: str, width: int = 1) -> np.ndarray:
+            size = width * np.dtype(kind).itemsize
+            return np.frombuffer(self.folder.read(f"{self.level}.{name}", a * size, n * size), kind)
 
-        codes, scales, ids, mask = part(".codes.i8", "i1", dim), part(".scales.f32", "<f4"), part(".ids.i32", "<i4"), part(".mask.u8", "u1")
         row = np.arange(a, a + n)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)[: n + 1]), pa.array(codes))
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row if ids is None else ids.astype(np.int64)), lists, pa.array(scales), pa.array(np.ones(n, bool) if mask is None else mask != 0)], ["row", "id", "codes", "scale", "mask"])
+        codes, scales = part("i8", "i1", dim), part("scale.f32", "<f4")
+        ids = part("ids.i32", "<i4").astype(np.int64) if self.has["ids.i32"] else row
+        mask = part("mask.u8", "u1") != 0 if self.has["mask.u8"] else np.ones(n, bool)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(codes))
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids), lists, pa.array(scales), pa.array(mask)], ["row", "id", "codes", "scale", "mask"])
 
 
 class QuantisedIndex(DataSource):
+    """``qindex``: a level of an index, or with ``kind=corpus`` a corpus, all of whose files must be there."""
+
     @classmethod
     def name(cls) -> str:
         return "qindex"
@@ -65,19 +119,59 @@ class QuantisedIndex(DataSource):
 
     def reader(self, schema: object) -> Reader:
         o = self.options
-        return Reader(o["path"], o.get("level", "lines"), int(o["dim"]) if "dim" in o else None, int(o.get("rows", ROWS)))
+        kind = o.get("kind", "index")
+        return Reader(o["path"], o.get("level", "units" if kind == "corpus" else "lines"), int(o["dim"]) if "dim" in o else None, int(o.get("rows", ROWS)), kind)
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(QuantisedIndex)
+class Side(InputPartition):
+    def __init__(self, name: str, against: str) -> None:
+        self.name, self.against = name, against
 
 
-def agreement(folder: str) -> Iterator[tuple[str, int, float]]:
-    """(against, line, cosine) of the side arrays of an index; what isn't a number is left out."""
-    import re
+class SideReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.folder = Folder(path)
 
-    for name in sorted(os.listdir(folder)):
-        if m := re.fullmatch(r"agreement\.(.+)\.f32", name):
-            for i, x in enumerate(np.fromfile(os.path.join(folder, name), "<f4").tolist()):
-                if np.isfinite(x):
-                    yield m[1], i, x
+    def partitions(self) -> list[InputPartition]:
+        found = [(name, re.fullmatch(r"agreement\.(.+)\.f32", name)) for name in self.folder.names()]
+        return [Side(name, m[1]) for name, m in found if m] or [Side("", "")]
+
+    def read(self, partition: Side) -> Iterator[pa.RecordBatch]:
+        x = np.frombuffer(self.folder.read(partition.name), "<f4") if partition.name else np.zeros(0, "<f4")
+        kept = np.flatnonzero(np.isfinite(x))
+        yield pa.RecordBatch.from_arrays([pa.array([partition.against] * len(kept), pa.string()), pa.array(kept), pa.array(x[kept].astype(float))], ["against", "line", "cosine"])
+
+
+class Agreement(DataSource):
+    """``qagreement``: (against, line, cosine) of an index's side arrays; what isn't a number is left out."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "qagreement"
+
+    def schema(self) -> str:
+        return "against string, line bigint, cosine double"
+
+    def reader(self, schema: object) -> SideReader:
+        return SideReader(self.options["path"])
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(QuantisedIndex)
+    spark.dataSource.register(Agreement)
+
+
+def write(index: DataFrame, path: str, level: str = "lines", manifest: dict[str, Any] | None = None) -> None:
+    """An index's files, rows in order. The format is one stream a file, so rows pass through the driver, a partition at a
+    time; nothing is collected."""
+    system, _ = Folder(path)._at("")
+    system.create_dir(Folder(path)._at("")[1].rstrip("/"), recursive=True)
+    kinds = {"i8": ("codes", "i1"), "scale.f32": ("scale", "<f4"), "ids.i32": ("id", "<i4"), "mask.u8": ("mask", "u1")}
+    out = {name: system.open_output_stream(Folder(path)._at(f"{level}.{name}")[1]) for name in kinds}
+    for r in index.select("id", "codes", "scale", "mask", "row").orderBy("row").toLocalIterator():
+        for name, (column, kind) in kinds.items():
+            out[name].write(np.array(r[column], kind).tobytes())
+    for f in out.values():
+        f.close()
+    with system.open_output_stream(Folder(path)._at("manifest.json")[1]) as f:
+        f.write(json.dumps(manifest or {}).encode())

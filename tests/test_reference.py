@@ -269,6 +269,11 @@ def test_tokenizers(spark):
     assert col(spark, lambda v: tok.encode_column(v, w)["ids"], "un", None) == [[2, 4, 3], [2, 3]]
     e = encode.Encoder(pooling="mean")
     assert np.linalg.norm(e.query("some words")) == pytest.approx(1, abs=1e-6) and col(spark, e.column, "some words")[0] == e.query("some words")
+    o = encode.Options.of({"model_dir": "m", "pooling": "cls", "max_len": 400, "lowercase": False})
+    assert (o.model, o.pooling, o.length, o.lower, o.strip_accents, o.tokenizer) == ("m", "cls", 400, False, True, None)
+    other = encode.Options.of({"model_dir": "m", "pooling": "cls", "max_len": 160})
+    got = encode.shared({"a": o, "b": other, "c": encode.Options()})
+    assert got["a"] == got["b"] and got["a"][1] == 400 and got["c"][1] == 256 and got["c"][0] != got["a"][0]
     assert encode.masked_mean([[1, 2], [3, 4], [9, 9]], [1, 1, 0]) == [2, 3]
 
 
@@ -299,21 +304,27 @@ def test_index_source(spark, tmp_path):
 
     n, dim = 10, 4
     codes = (np.arange(n * dim) % 100 - 50).astype("i1")
-    codes.tofile(tmp_path / "lines.codes.i8")
-    np.linspace(0.1, 1, n).astype("<f4").tofile(tmp_path / "lines.scales.f32")
+    codes.tofile(tmp_path / "lines.i8")
+    np.linspace(0.1, 1, n).astype("<f4").tofile(tmp_path / "lines.scale.f32")
     (np.arange(n) * 10).astype("<i4").tofile(tmp_path / "lines.ids.i32")
     (np.arange(n) % 2).astype("u1").tofile(tmp_path / "lines.mask.u8")
-    (tmp_path / "manifest.json").write_text(json.dumps({"index_dim": dim}))
+    (tmp_path / "manifest.json").write_text(json.dumps({"index_dim": dim, "embed_dim": 3}))
     np.array([0.5, np.nan], "<f4").tofile(tmp_path / "agreement.en.f32")
     qindex.register(spark)
-    df = spark.read.format("qindex").option("rows", 3).load(str(tmp_path))
-    rows = df.orderBy("row").collect()
-    assert [r.id for r in rows] == [i * 10 for i in range(n)] and rows[3].codes == codes[12:16].tolist() and [r.mask for r in rows[:2]] == [False, True]
-    assert list(qindex.agreement(str(tmp_path))) == [("en", 0, 0.5)]
-    with pytest.raises(ValueError):
-        qindex.Reader(str(tmp_path), "lines", 3, 5)
-    with pytest.raises(ValueError):
-        qindex.Reader(str(tmp_path), "shabads", 3, 5)
+    for at in (str(tmp_path), f"file://{tmp_path}"):
+        rows = spark.read.format("qindex").option("rows", 3).load(at).orderBy("row").collect()
+        assert [r.id for r in rows] == [i * 10 for i in range(n)] and rows[3].codes == codes[12:16].tolist() and [r.mask for r in rows[:2]] == [False, True]
+    assert list(map(tuple, spark.read.format("qagreement").load(str(tmp_path)).collect())) == [("en", 0, 0.5)]
+    for bad in (("lines", 3), ("shabads", 3)):
+        with pytest.raises(ValueError):
+            qindex.Reader(str(tmp_path), *bad, 5)
+    for name in qindex.CORPUS:
+        with pytest.raises(ValueError, match=name):
+            qindex.Reader(str(tmp_path), "units", None, 5, "corpus")
+        {"units.i8": codes, "units.scale.f32": np.ones(n, "<f4"), "units.mask.u8": np.ones(n, "u1"), "pca.components.f32": np.arange(12, dtype="<f4"), "pca.mean.f32": np.ones(3, "<f4")}[name].tofile(tmp_path / name)
+    assert spark.read.format("qindex").option("kind", "corpus").load(str(tmp_path)).count() == n
+    parts, mean = qindex.projection(str(tmp_path))
+    assert parts[1] == [3, 4, 5] and len(parts) == 4 and mean == [1, 1, 1]
 
 
 # ---- notation
