@@ -15,6 +15,8 @@ from granary.functions import shipping
 
 #: Bytes of text that a kernel works on at once; a longer single text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Short rows that a partition holds at least, where their number is known.
+PART_ROWS = 50_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -47,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """A table that was cut, of ``rows`` rows, in no more partitions than these need; so small tables make few small files."""
+    need = max(1, -(-rows // PART_ROWS))
+    return df.coalesce(need) if need < df.rdd.getNumPartitions() else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
