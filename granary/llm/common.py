@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import warnings
 from collections.abc import Callable, Iterator
@@ -77,6 +78,15 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system: a worker serves many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not everywhere
+        pass
+
+
 def _lengths(col: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
@@ -92,6 +102,7 @@ def map_slices(df: DataFrame, column: str, kernel: Callable[[pa.RecordBatch], pa
         for batch in batches:
             for piece in by_bytes(batch, column):
                 yield kernel(piece)
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -106,6 +117,7 @@ def arrow_scalar(kernel: Callable[..., pa.Array], return_type: str) -> Callable[
         names = [str(i) for i in range(1 + len(more))]
         batch = pa.RecordBatch.from_arrays([col, *more], names)
         out = [kernel(*piece.columns) for piece in by_bytes(batch, "0")]
+        give_back()
         return pa.concat_arrays(out) if out else kernel(*batch.columns)
 
     with warnings.catch_warnings():  # the kind is named, as the number of columns is open

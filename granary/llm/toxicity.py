@@ -30,7 +30,7 @@ SAMPLE, STEPS = 8_000, 400
 #: penalty on squared weights, by which forms of a stem share theirs.
 LEAST, ABOVE, RIDGE = 3, 2.5, 3e-4
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
-_CACHE = 500_000
+_CACHE = 200_000
 
 
 def features(word: str) -> list[str]:
