@@ -8,8 +8,9 @@ the key can undo it. What validation says stays as it was: card numbers pass the
 dates, an IBAN's check digits are computed anew. Numbers of 13 to 19 digits that fail the Luhn test, days that no calendar
 has, and what else fails its kind's validation, stay as they are, unless they follow ``password=``.
 
-All of it is DataFrame functions: a text is split at the matches and put together again with the replaced ones. Every text
-is searched, whatever its length, and secrets, passwords and addresses have no longest length.
+All of it is DataFrame functions: a text is split at the matches and put together again with the replaced ones. Texts of any
+length are searched whole, but for those without a digit, an @, an ``AKIA`` and a word for a password, in which no kind can
+stand; and secrets, passwords and addresses have no longest length.
 
 Null texts stay null and empty ones empty. Rows are only mapped, so repeated rows, rows with a null or repeated id and extra
 columns come out as they went in, and an empty table stays empty. The key stands in the query's plan: keep event logs as you
@@ -34,16 +35,18 @@ _MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LOCAL = "A-Za-z0-9À-ɏ._%+-"
 #: What stands before a password.
-_PASSWORD = r"(?i:password|passwd|pwd)(?:\s?=\s?[\"']?|[\"']\s?:\s?[\"'])"
+_PASSWORD = r"[Pp](?i:assword|asswd|wd)(?:\s?=\s?[\"']?|[\"']\s?:\s?[\"'])"
+#: Every match holds one of these; texts without are not searched.
+_HINT = "[0-9@]|[Pp](?i:assword|asswd|wd)|AKIA"
 #: Each alternative starts where no longer token of its kind can have begun and repeats single classes only, so no text is
 #: searched twice and no long one exhausts the stack.
 PATTERNS = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9][A-Za-z0-9.-]*(?<![.-])\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9][A-Za-z0-9.-]*(?<![.-])\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])(?!(?<=(?i:password|passwd|pwd))[\"']?\s?[=:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "iban_groups": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: (?![A-Z]{2}[0-9]{2} )[A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{26,}+(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": rf"(?<={_PASSWORD})[^\s\"'<>,;&]+(?<![.:!?)])",
+    "password": rf"{_PASSWORD}[^\s\"'<>,;&]+(?<![.:!?)])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -279,12 +282,20 @@ def _access_key(v: Column, key: str) -> Column:
     return F.concat(F.substring(v, 1, 4), permute_text(F.substring(v, 5, 16), key, "access_key"))
 
 
-def pseudonym(v: Column, key: str, password: Column) -> Column:
+def pseudonym(match: Column, key: str) -> Column:
     """The pseudonym of one match, by the first kind that its shape and its validation allow. A match that none allows
-    stays as it is, or where ``password`` says so is a password."""
+    stays as it is, but for what follows ``password=``."""
     kinds: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "iban_groups": _iban_groups, "secret": _secret, "access_key": _access_key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "number": _number}
-    tried = [F.when(v.rlike(f"^(?:{PATTERNS[kind]})$"), one(v, key)) for kind, one in kinds.items()]
-    return F.coalesce(*tried, F.when(password, permute_text(v, key, "password")), v)
+
+    def made(v: Column, otherwise: Column) -> Column:
+        return F.coalesce(*[F.when(v.rlike(f"^(?:{PATTERNS[kind]})$"), one(v, key)) for kind, one in kinds.items()], otherwise)
+
+    def after(said: Column) -> Column:
+        """Of ``password=`` and a value, the value is replaced."""
+        value = F.substring(match, F.length(said) + 1, F.length(match))
+        return F.concat(said, _let(value, lambda v: made(v, F.when(said == "", v).otherwise(permute_text(v, key, "password")))))
+
+    return _let(F.regexp_extract(match, f"^{_PASSWORD}", 0), after)
 
 
 def pseudonymised(text: Column, key: str) -> Column:
@@ -292,14 +303,13 @@ def pseudonymised(text: Column, key: str) -> Column:
 
     def replaced(found: Column) -> Column:
         def whole(between: Column) -> Column:
-            before = lambda i: F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), F.get(between, i))
-            values = F.transform(found, lambda v, i: pseudonym(v, key, F.right(before(i), F.lit(16)).rlike(f"{_PASSWORD}$")))
+            values = F.transform(found, lambda v: pseudonym(v, key))
             changed = lambda new: F.aggregate(F.zip_with(found, new, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
             return _let(values, lambda new: F.struct(_joined(between, new).alias("text"), changed(new).alias("found")))
 
         return F.when(F.size(found) > 0, _let(F.split(text, _ANY, -1), whole)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("found")))
 
-    return _let(F.coalesce(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.array().cast("array<string>")), replaced)
+    return _let(F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>")), replaced)
 
 
 def key_of(spark: SparkSession) -> str:

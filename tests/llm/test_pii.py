@@ -150,7 +150,7 @@ KINDS = {
 }
 SEARCH = regex.compile("(?a)" + "|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
 ALONE = {k: regex.compile(f"(?a)(?:{p})") for k, p in pii.PATTERNS.items()}
-BEFORE = regex.compile(r"""(?ai)(?:password|passwd|pwd)(?:\s?=\s?["']?|["']\s?:\s?["'])$""")
+BEFORE = regex.compile(r"""(?ai)(?:(?:password|passwd|pwd)(?:\s?=\s?["']?|["']\s?:\s?["']))?""")
 
 
 def plain(text, key=KEY):
@@ -158,10 +158,10 @@ def plain(text, key=KEY):
         return None, 0
     out, at, changed = [], 0, 0
     for m in SEARCH.finditer(text):
-        new = next((x for k, f in KINDS.items() if ALONE[k].fullmatch(m[0]) and (x := f(m[0], key)) is not None), None)
-        if new is None and BEFORE.search(text[: m.start()][-16:]):
-            new = letters(m[0], key, "password")
-        new = m[0] if new is None else new
+        said = BEFORE.match(m[0])[0]
+        v = m[0][len(said) :]
+        new = next((x for k, f in KINDS.items() if ALONE[k].fullmatch(v) and (x := f(v, key)) is not None), letters(v, key, "password") if said else v)
+        new = said + new
         changed += new != m[0]
         out += [text[at : m.start()], new]
         at = m.end()
