@@ -6,7 +6,8 @@ in runs of at most ``ANNULUS`` rows of one pivot. For a query at distance d from
 every vector at distance r from it |q - v| >= |d - r|, so q.v <= (|q|^2 + max|v|^2 - (d - r)^2) / 2. From the annulus
 where d falls, the search expands outwards on both sides and stops for a query once this bound is under its k-th best
 score so far. That threshold, a score and an id, starts from a first pass in which each query looks at the rows next to its
-own place; of equal scores only those with a smaller id get past it, so ties don't multiply what partitions give.
+own place and at one of ``STRIDE`` rows elsewhere, of which each partition tells the best few; of equal scores only those
+with a smaller id get past it, so neither partitions nor ties multiply what the second pass gives.
 
 Queries are a stated set and go in blocks of at most ``BLOCK`` to all partitions; a block, its distances from the pivots
 and its thresholds are what is broadcast. Pivots come from a bounded sample; every row is indexed, and the bounds are
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 
 from granary.llm.common import columns_kept, cut, parts, read, ship
 
-PIVOTS, SAMPLE, ANNULUS, BLOCK, NEAR = 64, 4096, 256, 20_000, 512
+PIVOTS, SAMPLE, ANNULUS, BLOCK, NEAR, STRIDE = 64, 4096, 256, 20_000, 512, 8
 _RESULT = "query_id long, vec_id long, score long"
 
 
@@ -103,6 +104,8 @@ class Search:
         q, i, s = (np.concatenate(x) for x in zip(*self.found, strict=True)) if self.found else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((i, -s, q))
         q, i, s = q[order], i[order], s[order]
+        new = np.append(True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]))[: len(q)]  # the first pass may meet a row twice
+        q, i, s = q[new], i[new], s[new]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
         q, i, s, rank = q[keep], i[keep], s[keep], rank[keep]
@@ -139,7 +142,9 @@ class Search:
                 self._score(due[ok], ids[lo:hi], v[lo:hi])
 
 
-def _scan(sent: Any, dim: int, first: bool) -> Any:
+def _scan(sent: Any, dim: int, first: int) -> Any:
+    """The best that a partition has for each query; in the first pass, the best ``first`` of those looked at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(*sent.value)
         for batch in batches:
@@ -148,8 +153,14 @@ def _scan(sent: Any, dim: int, first: bool) -> Any:
             edges = np.flatnonzero(np.diff(cells, prepend=-1, append=-1))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 (search.near if first else search.expand)(int(cells[lo]), r[lo:hi], ids[lo:hi], v[lo:hi])
+            if first:
+                for lo in range(0, len(ids), STRIDE * ANNULUS):
+                    search._score(np.arange(len(search.ids)), ids[lo : lo + STRIDE * ANNULUS : STRIDE], v[lo : lo + STRIDE * ANNULUS : STRIDE])
             search.reduce()
         q, i, s = search.reduce()
+        if first:
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < first
+            q, i, s = q[kept], i[kept], s[kept]
         yield pa.RecordBatch.from_arrays([pa.array(search.ids[q]), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
 
     return run
@@ -185,14 +196,14 @@ def top_k(rows: DataFrame, is_query: Column, *, k: int = 20, pivots: int = PIVOT
         vectors = _matrix(own.column("codes").combine_chunks(), dim) if len(ids) else np.zeros((0, dim), np.int64)
         floor, tie = np.full(len(ids), np.iinfo(np.int64).min), np.full(len(ids), np.iinfo(np.int64).max)
         sent = spark.sparkContext.broadcast((ids, vectors, points, floor, tie, k, exact))
-        first = index.mapInArrow(_scan(sent, dim, True), _RESULT)
+        first = index.mapInArrow(_scan(sent, dim, max(1, -(-2 * k // index.rdd.getNumPartitions()))), _RESULT)
         ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         known = ranked.filter(F.col("n") == k).select("query_id", "score", "vec_id").toArrow()  # a row for each query of the block at most
         place = {q: i for i, q in enumerate(ids.tolist())}
         for q, s, i in zip(*(known.column(c).to_pylist() for c in ("query_id", "score", "vec_id")), strict=True):
             floor[place[q]], tie[place[q]] = s, i
         sent = spark.sparkContext.broadcast((ids, vectors, points, floor, tie, k, exact))
-        best = index.mapInArrow(_scan(sent, dim, False), _RESULT)
+        best = index.mapInArrow(_scan(sent, dim, 0), _RESULT)
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         best = best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         results.append(cut(best) if blocks > 1 else best)
