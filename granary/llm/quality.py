@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_scalar, columns_kept, map_slices, read, ship
+from granary.llm.common import arrow_scalar, columns_kept, give_back, map_slices, read, ship
 from granary.llm.labels import fold, sample
 
 SAMPLE, LINES, CHAIN, ROUNDS, STEPS = 4_000, 60_000, 1_000, 3, 100
@@ -220,6 +220,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.n
         return np.array([(e * mean).sum() + 1e-3 * p[0] * 1e-2, e.sum()])
 
     a, b = _adam(curve, np.array([4.0, -2.0]), 600, 0.1)
+    del padded, labels
+    give_back()
     return Model(model.theta, model.moves, max(float(a), 0.1), float(b))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_scalar, by_place, columns_kept, map_slices, read, ship
+from granary.llm.common import arrow_scalar, by_place, columns_kept, give_back, map_slices, read, ship
 from granary.llm.labels import fold, sample
 
 SAMPLE, STEPS = 8_000, 400
@@ -100,6 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE, steps: int =
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b, leak = w - move[:-2], b - move[-2], leak - move[-1]
+    del feat_, doc_, sent_, y, full, weight
+    give_back()
     return {f: float(x) for f, x in zip(chosen, w, strict=True)}, float(b), float(leak)
 
 
