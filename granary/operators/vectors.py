@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions.numeric import RRF_OFFSET, clamp_k, dequantize, dot, project, quantize, round6, scale_of, vector
+from granary.sources.store import folder
 
 #: Queries that go to all rows at once; more go in several rounds.
 BATCH_QUERIES = 2_000
@@ -124,15 +126,14 @@ def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block
     """(qid, rank, id, score) for a DataFrame (qid, qrow, q) of queries, by matrix products.
 
     The queries go to all rows in blocks of about ``block``, which is all that is broadcast. Each Arrow batch gives its
-    k best for each query, a window keeps the k best of these.
+    k best for each query, a window keeps the k best of these. Of several blocks each is a job whose result is written, so
+    neither the plan nor the driver grows with their number.
     """
     spark = index.sparkSession
     blocks = max(1, -(-queries.count() // block))
-    out = None
+    at = f"{folder(spark)}/granary-neighbours/{uuid4().hex}"
     for b in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
-        if not own.num_rows and out is not None:
-            continue
         qid, qrow = (own.column(c).to_numpy() for c in ("qid", "qrow"))
         q = np.array(own.column("q").to_pylist(), float).reshape(len(qid), -1 if len(qid) else 0)
         sent = spark.sparkContext.broadcast((qid, qrow, q))
@@ -154,9 +155,12 @@ def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)[ok]), pa.array(row[order].ravel()[ok]), pa.array(ids[ok]), pa.array(kept[ok])], ["qid", "row", "id", "score"])
 
         part = index.filter("mask").select("row", "id", "codes", "scale").mapInArrow(run, "qid long, row long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("row"))))
-    return ranked.filter(F.col("rank") <= k).select("qid", "rank", "id", "score")
+        ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("row"))))
+        best = ranked.filter(F.col("rank") <= k).select("qid", "rank", "id", "score")
+        if blocks == 1:
+            return best
+        best.write.mode("append").parquet(at)
+    return spark.read.parquet(at)
 
 
 def multi_query_search(index: DataFrame, queries: Sequence[Sequence[float]], k: int = 20, depth: int = 40, *, where: Column | None = None) -> DataFrame:

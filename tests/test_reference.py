@@ -75,6 +75,14 @@ def test_quantisation_is_close_and_kernel_equals_expression(spark):
         assert {k: batch[k] for k in one} == one and len(batch) == 20
 
 
+def test_neighbours_in_blocks_equal_one_block(spark):
+    i = index(spark, [[math.sin(a * 7 + j * 3) for j in range(8)] for a in range(60)])
+    asked = i.select(F.col("id").alias("qid"), F.col("row").alias("qrow"), numeric.dequantize(F.col("codes"), F.col("scale")).alias("q"))
+    rows = lambda **kw: sorted(map(tuple, vectors.neighbours_batch(i, asked, 4, **kw).collect()))
+    assert rows() == rows(block=9) and len(rows()) == 240
+    assert vectors.neighbours_batch(i, asked.limit(0), 4).count() == 0
+
+
 def test_floor_comes_after_the_best(spark):
     hits = vectors.search(index(spark, [[1, 0], [0, 1], [-1, 0]]), [1, 0], 3)
     assert ids(vectors.score_floor(hits, 0.0)) == [0, 1] and ids(vectors.score_floor(hits, 0.0, 0.5)) == [0]
