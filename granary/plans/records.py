@@ -10,6 +10,7 @@ from granary.operators import render, vectors
 from granary.operators.encode import Encoder
 from granary.plans import catalog
 from granary.plans import tables as T
+from granary.plans.retrieval import _search_sql
 
 MANIFESTS = [
     ("root", 0, None, "en", "translations", None, None, None, None, "false"),
@@ -64,9 +65,12 @@ def table_health(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.health(spark, {t: T.read(spark, sf, t) for t in ("documents", "embeddings", "orders", "events")})
 
 
+ASKED = "the first words"
+
+
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
     """Text to vector to the ten best rows, with the hashing model, whose rankings mean nothing."""
-    return vectors.search(T.index(spark, sf), Encoder().query("the first words"), 10).select("id", "score")
+    return vectors.search(T.index(spark, sf), Encoder(pooling="mean").query(ASKED), 10).select("id", "score")
 
 
 def queries() -> dict:
@@ -83,7 +87,13 @@ def oracle_sql() -> dict[str, str]:
         coalesce(list_filter(roles, lambda r: list_contains({every}, r)), {every}) AS roles, coalesce(weight, 1)::DOUBLE AS ask_weight, coalesce(pos, 100)::BIGINT AS pos,
         CASE WHEN enriched = 'true' THEN 'kosh' WHEN enriched IS NULL OR enriched = 'false' THEN 'none' ELSE enriched END AS enriched FROM {m}"""
     loaded = f"SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) = 1 AS loaded FROM ({n}) WHERE kind IS DISTINCT FROM 'documents'"
+    # Letters are tokens: after four special ones, each by itself, then, 36 further on, each as the rest of a word.
+    ids = [2, *(4 + ord(c) - ord("a") + 36 * (k > 0) for w in ASKED.split() for k, c in enumerate(w)), 3]
+    byte = "(instr('0123456789abcdef', h[1]) - 1) * 16 + instr('0123456789abcdef', h[2]) - 1"
+    states = f"SELECT j, avg(({byte})::DOUBLE / 127.5::DOUBLE - 1) AS x FROM (SELECT j, substr(sha256(t || ':' || (j // 32)), j % 32 * 2 + 1, 2) AS h FROM (SELECT unnest({ids}) AS t), range(64) r(j)) GROUP BY j"
+    asked = f"(SELECT list((x / n)::FLOAT ORDER BY j) FROM (SELECT j, x, sqrt(sum(x * x) OVER ()) AS n FROM ({states})))"
     return {
+        "text_search": _search_sql(q=asked).replace("SELECT id, label,", "SELECT id,"),
         "registry_normalize": f"SELECT folder, name, text_source, text_lang, array_to_string(scripts, ',') AS scripts, array_to_string(roles, ',') AS roles, ask_weight, pos AS ord, enriched FROM ({n})",
         "registry_dedupe": f"SELECT folder, name, loaded FROM ({loaded})",
         "registry_order": f"SELECT name, row_number() OVER (ORDER BY pos, name) AS place FROM ({loaded}) WHERE loaded AND list_contains(roles, 'text')",
