@@ -13,8 +13,11 @@ from collections.abc import Callable, Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTING = "spark.granary.store"
+#: Schemas of tables that this process has read; a second read needs no look into their files.
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -42,6 +45,8 @@ def kept(spark: SparkSession, name: str, version: int, sources: Sequence[str], b
         status = place(s).getFileSystem(conf).getFileStatus(place(s))
         seen.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
     at = f"{folder(spark)}/granary-store/{name}-{hashlib.sha256(repr((version, seen)).encode()).hexdigest()[:16]}"
+    if at in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[at]).parquet(at)
     files = place(at).getFileSystem(conf)
     if not files.exists(place(at)):
         beside = f"{at}-{uuid4().hex}"
@@ -49,4 +54,6 @@ def kept(spark: SparkSession, name: str, version: int, sources: Sequence[str], b
         if not files.rename(place(beside), place(at)) or files.exists(place(f"{at}/{place(beside).getName()}")):
             files.delete(place(f"{at}/{place(beside).getName()}"), True)  # another was first
             files.delete(place(beside), True)
-    return spark.read.parquet(at)
+    found = spark.read.parquet(at)
+    _SCHEMAS[at] = found.schema
+    return found
