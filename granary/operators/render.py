@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from html import escape
 from itertools import accumulate
 from typing import Any
 
@@ -22,6 +23,9 @@ from granary.operators.notation import fill_defaults
 
 # Signs of the text form.
 HOLD, REST, UNREAD, SHAKE, BAR, END = "-", "*", "?", "~", "|", "||"
+# Marks of a cycle, and the classes of octaves on a page.
+SAM, KHALI = "×", "0"
+OCTAVE_CLASSES = {2: ("n-taar2",), 1: ("n-taar",), -1: ("n-mandra",), -2: ("n-mandra2",)}
 _NOTE = re.compile(r"(?:\{(?P<kan>[A-Za-z][',]*)\})?(?P<letter>[SRGMPDNsrgmpdn])(?P<octave>[',]*)(?P<shake>~?)(?P<hold>-*)")
 
 
@@ -179,7 +183,7 @@ def grid(record: Mapping[str, Any], taals: Mapping[str, Taal], lines: Mapping[in
                 "swar_native": [beat_text(b, script) for b in beats] if script else [],
                 "bol": [bol_text(b, s) for b, s in zip(beats, spelled, strict=True)],
                 "unread": ["notes" in b and b["notes"] is None for b in beats],
-                "has_bol": any("bol" in b for b in beats),
+                "has_bol": any("bol" in b for b in beats), "beats": beats,
             }
 
 
@@ -237,25 +241,79 @@ def parse_line(line: str) -> dict[str, Any]:
     return {"kind": "avartan" if body.endswith(END) else "free", "matra_from": start, "beats": [parse_cell(c) for c in cells]}
 
 
-def html(record: Mapping[str, Any], taals: Mapping[str, Taal]) -> str:
-    """A table a line: marks, swaras, bols; cells that can't be read and bars carry a class."""
-    from html import escape
+def _tag(name: str, body: str, classes: Sequence[str] = (), **data: object) -> str:
+    pairs = [("class", " ".join(classes))] * bool(classes) + [(k if k == "title" else f"data-{k}", v) for k, v in data.items()]
+    return "<" + name + "".join(f' {k}="{escape(str(v))}"' for k, v in pairs) + f">{body}</{name}>"
 
-    out = []
-    for row in grid(record, taals):
-        cls = ["u" if u else "b" if v else "" for u, v in zip(row["unread"], row["vibhag"], strict=True)]
-        tr = lambda xs, cls=cls: "<tr>" + "".join(f"<td{f' class={c}' if c else ''}>{escape(x or '')}</td>" for x, c in zip(xs, cls, strict=True)) + "</tr>"
-        out.append("<table>" + tr(row["marks"]) + tr(row["swar"]) + (tr(row["bol"]) if row["has_bol"] else "") + "</table>")
-    return "".join(out)
 
+def _note_html(note: Mapping[str, Any], script: Script | None) -> str:
+    octave, length = note.get("o") or 0, note.get("len") or 1
+    classes = ["n", *(c for c, on in (("n-komal", note.get("k")), ("n-tivra", note.get("t"))) if on), *OCTAVE_CLASSES.get(max(-2, min(2, octave)), ())]
+    classes += ["n-khatka"] * bool(note.get("kh")) + [f"n-len-{length}"] * (length > 1)
+    letter = lambda x: note_text({**x, "kan": None, "kh": False}) if script is None else script.letters[x["s"]]
+    grace = _tag("sup", escape(letter(note["kan"])), ["n-kan"]) if note.get("kan") else ""
+    return grace + _tag("span", escape(letter(note)), classes, s=note["s"]) + HOLD * (length - 1)
 
-def texts(records: DataFrame, key: str, body: str, taals: Mapping[str, Taal], script: Script | None = None) -> DataFrame:
-    """(id, text) of each record."""
 
-    def run(col: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else text(json.loads(v), taals, script=script) for v in col.to_pylist()], pa.string())
+def _beat_html(beat: Mapping[str, Any], script: Script | None) -> str:
+    if beat.get("ext"):
+        return _tag("span", HOLD if script is None else script.hold, ["n", "n-ext"])
+    if beat.get("rest"):
+        return _tag("span", REST, ["n", "n-rest"])
+    notes = beat.get("notes")
+    if notes is None:
+        return _tag("span", UNREAD, ["n", "n-unknown"], title=beat.get("raw") or "")
+    body = "".join(_note_html(n, script) for n in notes)
+    return _tag("span", body, ["n-grp", f"n-grp-{min(len(notes), 4)}"]) if len(notes) > 1 else body
+
+
+def _bol_html(bol: str) -> str:
+    said = bol.rstrip(HOLD)
+    return escape(said) + (_tag("span", bol[len(said) :], ["b-held"]) if len(said) < len(bol) else "")
+
+
+def _line_html(row: Mapping[str, Any], script: Script | None, matras: bool) -> str:
+    free = row["kind"] == "free"
+    kinds = {SAM: "ntn-sam", KHALI: "ntn-khali"}
+    cells = [["ntn-cell", *["ntn-vb"] * v, *([kinds.get(m, "ntn-tali")] if m is not None else []), *["ntn-unknown"] * u] for v, m, u in zip(row["vibhag"], row["marks"], row["unread"], strict=True)]
+    places = ["" if m is None else str(m) for m in row["matras"]]
+
+    def tr(kind: str, bodies: Sequence[str], cell: str = "td", numbered: bool = False) -> str:
+        made = [_tag(cell, b, c, **({"m": p} if numbered else {})) for b, c, p in zip(bodies, cells, places, strict=True)]
+        return _tag("tr", "".join(made), ["ntn-row", f"ntn-row-{kind}"])
+
+    rows = [tr("m", places, "th")] if matras and not free else []
+    rows.append(tr("swar", [_beat_html(b, script) for b in row["beats"]], numbered=True))
+    rows += [tr("bol", [_bol_html(b) for b in row["bol"]])] * row["has_bol"]
+    rows += [tr("mark", [escape(m or "") for m in row["marks"]])] * (not free and any(m is not None for m in row["marks"]))
+    return _tag("table", "".join(rows), ["ntn-line", *["ntn-free"] * free, *["ntn-cont"] * row["continues"]], kind=row["kind"], taal=row["taal"] or "", **{"from": row["matra_from"]})
 
-    return records.select(F.col(key).cast("string").alias("id"), F.arrow_udf(run, StringType(), F.ArrowUDFType.SCALAR)(F.col(body)).alias("text"))
+
+def html(record: Mapping[str, Any], taals: Mapping[str, Taal], lines: Mapping[int, tuple[str, str]] | None = None, script: Script | None = None, matras: bool = True) -> str:
+    """A record as a part of a page: a block a section, a table a line with rows of beats' numbers, swaras, bols and marks."""
+    sections: list[tuple[tuple[Any, Any], str, list[str]]] = []
+    for row in grid(record, taals, lines, script):
+        key = (row["section"], row["n"])
+        if not sections or sections[-1][0] != key:
+            sections.append((key, row["label"] or row["section"] or "", []))
+        sections[-1][2].append(_line_html(row, script, matras))
+    made = [_tag("div", _tag("div", escape(label), ["ntn-sec-label"]) + "".join(tables), ["ntn-sec"], kind=kind, n=n or "") for (kind, n), label, tables in sections]
+    return _tag("div", "".join(made), ["ntn"], id=record.get("notation_id") or "", script="english" if script is None else "gurmukhi")
+
+
+def pages(records: DataFrame, key: str, body: str, taals: Mapping[str, Taal], script: Script | None = None) -> DataFrame:
+    """(id, html) of each record."""
+    return _each(records, key, body, "html", lambda r: html(r, taals, script=script))
+
+
+def _each(records: DataFrame, key: str, body: str, name: str, one: Callable[[dict[str, Any]], str]) -> DataFrame:
+    run = lambda col: pa.array([None if v is None else one(json.loads(v)) for v in col.to_pylist()], pa.string())
+    return records.select(F.col(key).cast("string").alias("id"), F.arrow_udf(run, StringType(), F.ArrowUDFType.SCALAR)(F.col(body)).alias(name))
+
+
+def texts(records: DataFrame, key: str, body: str, taals: Mapping[str, Taal], script: Script | None = None) -> DataFrame:
+    """(id, text) of each record."""
+    return _each(records, key, body, "text", lambda r: text(r, taals, script=script))
 
 
 def parsed(rows: DataFrame, key: str, line: str) -> DataFrame:

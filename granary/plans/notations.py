@@ -144,6 +144,11 @@ def notation_texts(spark: SparkSession, sf: str) -> DataFrame:
     return render.texts(n, "id", "body", TAALS).join(render.texts(n, "id", "body", TAALS, NATIVE).withColumnRenamed("text", "native"), "id")
 
 
+def notation_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each record as a part of a page."""
+    return render.pages(_notations(spark, sf), "id", "body", TAALS)
+
+
 def notation_parsed(spark: SparkSession, sf: str) -> DataFrame:
     """The beats of every printed line, read back."""
     c = render.cells(_notations(spark, sf), "id", "body", TAALS)
@@ -276,7 +281,7 @@ def unigram_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [notation_validate, notation_cells, notation_texts, notation_parsed, notation_hashes, vocab_lookup, raag_names, taal_tempi, taal_markers, taal_of_marks, section_labels, fuzzy_indel, wordpiece_tokens, wordpiece_ids, bert_words, unigram_tokens]
+    found = [notation_validate, notation_cells, notation_texts, notation_pages, notation_parsed, notation_hashes, vocab_lookup, raag_names, taal_tempi, taal_markers, taal_of_marks, section_labels, fuzzy_indel, wordpiece_tokens, wordpiece_ids, bert_words, unigram_tokens]
     return {f.__name__: f for f in found}
 
 
@@ -319,6 +324,11 @@ def oracle_sql() -> dict[str, str]:
         "notation_validate": f"SELECT p_partkey, code, path FROM part JOIN (VALUES {faults}) f(fault, code, path) ON p_partkey % {len(FAULTS)} = fault",
         "notation_cells": f"SELECT l_orderkey::VARCHAR AS id, string_agg({cell}, ' ' ORDER BY m) AS swar, string_agg(CASE m WHEN 1 THEN 'x' WHEN 5 THEN '2' WHEN 9 THEN '0' WHEN 13 THEN '3' ELSE '_' END, ' ' ORDER BY m) AS marks, {bols} AS bol, {line(cell)} AS line FROM ({beats}) GROUP BY l_orderkey",
         "notation_texts": f"SELECT l_orderkey::VARCHAR AS id, {page(cell)} AS text, {page(native)} AS native FROM ({beats}) GROUP BY l_orderkey",
+        "notation_pages": f"""SELECT l_orderkey::VARCHAR AS id, '<div class="ntn" data-id="" data-script="english"><div class="ntn-sec" data-kind="sthai" data-n="1"><div class="ntn-sec-label">sthai</div><table class="ntn-line" data-kind="avartan" data-taal="teen" data-from="1"><tr class="ntn-row ntn-row-m">'
+          || string_agg('<th class="' || c || '">' || m || '</th>', '' ORDER BY m) || '</tr><tr class="ntn-row ntn-row-swar">' || string_agg('<td class="' || c || '" data-m="' || m || '">' || CASE what WHEN 0 THEN '<span class="n n-ext">-</span>' WHEN 1 THEN '<span class="n n-rest">*</span>'
+            ELSE '<span class="n' || CASE WHEN r AND letter IN ('R', 'G', 'D', 'N') THEN ' n-komal' WHEN r AND letter = 'M' THEN ' n-tivra' ELSE '' END || CASE WHEN oct > 0 THEN ' n-taar' WHEN oct < 0 THEN ' n-mandra' ELSE '' END || '" data-s="' || letter || '">' || replace({cell}, chr(39), '&#x27;') || '</span>' END || '</td>', '' ORDER BY m)
+          || '</tr>' || CASE WHEN count(g) > 0 THEN '<tr class="ntn-row ntn-row-bol">' || string_agg('<td class="' || c || '">' || coalesce(g, '') || '</td>', '' ORDER BY m) || '</tr>' ELSE '' END || '<tr class="ntn-row ntn-row-mark">' || string_agg('<td class="' || c || '">' || coalesce(k, '') || '</td>', '' ORDER BY m) || '</tr></table></div></div>' AS html
+          FROM (SELECT *, CASE m WHEN 1 THEN 'x' WHEN 5 THEN '2' WHEN 9 THEN '0' WHEN 13 THEN '3' END AS k, 'ntn-cell' || CASE WHEN m IN (1, 5, 9, 13) THEN ' ntn-vb' || CASE m WHEN 9 THEN ' ntn-khali' ELSE ' ntn-tali' END ELSE '' END AS c FROM ({beats})) GROUP BY l_orderkey""",
         "notation_parsed": f"SELECT l_orderkey::VARCHAR AS id, m - 1 AS pos, 'avartan' AS kind, CASE WHEN what > 1 THEN letter END AS s, CASE WHEN what > 1 THEN oct ELSE 0 END::BIGINT AS o, what > 1 AND r AND letter IN ('R', 'G', 'D', 'N') AS k, what > 1 AND r AND letter = 'M' AS t, what = 0 AS ext, what = 1 AS rest FROM ({beats})",
         "notation_hashes": f"SELECT l_orderkey AS id, sha1({canonical}) AS hash FROM ({beats}) GROUP BY l_orderkey",
         "vocab_lookup": f"""WITH n AS ({base}), f AS (SELECT DISTINCT p_name AS name, p_name[:-2] || 'q' AS asked FROM part),

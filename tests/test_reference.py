@@ -350,7 +350,11 @@ def test_notation_text_round_trip():
     with pytest.raises(ValueError):
         render.parse_cell("Q")
     assert len(render.word_spans("ਸਤਿ ਨਾਮੁ ॥੧॥ ਰਹਾਉ ॥ ਕਰਤਾ")) == 3
-    assert "<td class=b>M</td>" in render.html(rec, taals)
+    page = render.html(rec, taals, script=render.Script({c: c.lower() for c in "SRGMPDN"}))
+    assert 'data-id="book:0042:3" data-script="gurmukhi"' in page and '<span class="n" data-s="M">m</span>' in page and page.count("<table") == 1
+    odd = {"sections": [{"kind": "sthai", "lines": [{"kind": "free", "beats": [{"notes": None, "raw": "<"}, {"notes": [{"s": "S", "len": 2, "kan": {"s": "R"}, "kh": True}, {"s": "G"}], "bol": {"g": "a", "h": 2}}]}]}]}
+    page = render.html(odd, taals)
+    assert '<span class="n n-unknown" title="&lt;">?</span>' in page and '<sup class="n-kan">R</sup><span class="n n-khatka n-len-2" data-s="S">S</span>-' in page and 'a<span class="b-held">--</span>' in page
 
 
 def test_notation_defaults_and_hash():
