@@ -100,7 +100,7 @@ def raag_facet(items: DataFrame, raags: DataFrame, notes: DataFrame) -> DataFram
     prescribed = items.groupBy(F.col("raag_shabad_key").alias("key")).agg(F.count("*").alias("prescribed"))
     noted = notes.groupBy(F.col("raag_key").alias("key")).agg(F.count("*").alias("noted"))
     parents = raags.select(F.col("key").alias("parent_key"), F.col("ggs_order").alias("parent_order"))
-    r = raags.join(F.broadcast(parents), "parent_key", "left")
+    r = raags.join(parents, "parent_key", "left")
     for counts in (used, prescribed, noted):
         r = r.join(counts, "key", "left")
     r = r.fillna(0, ["used", "prescribed", "noted"]).filter("used + prescribed + noted > 0")
@@ -117,14 +117,14 @@ def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
 def taal_facet(items: DataFrame, taals: DataFrame) -> DataFrame:
     """(key, english, n, place) of the taals that items have, the most frequent first, then by key."""
     n = items.filter("taal_key IS NOT NULL").groupBy(F.col("taal_key").alias("key")).agg(F.count("*").alias("n"))
-    named = n.join(F.broadcast(taals.select("key", "english")), "key", "left").withColumn("english", F.coalesce("english", "key"))
+    named = n.join(taals.select("key", "english"), "key", "left").withColumn("english", F.coalesce("english", "key"))
     return ranked(named, [F.desc("n"), F.asc("key")]).select("key", "english", "n", "place")
 
 
 def author_facet(items: DataFrame, authors: DataFrame) -> DataFrame:
     """(key, name, n, place) of authors by name."""
     n = items.filter("author_key IS NOT NULL").groupBy(F.col("author_key").alias("key")).agg(F.count("*").alias("n"))
-    named = n.join(F.broadcast(authors.select(F.col("author_key").alias("key"), "name")), "key", "left").withColumn("name", F.coalesce("name", "key"))
+    named = n.join(authors.select(F.col("author_key").alias("key"), "name"), "key", "left").withColumn("name", F.coalesce("name", "key"))
     return ranked(named, [F.asc("name"), F.asc("key")]).select("key", "name", "n", "place")
 
 
@@ -159,8 +159,8 @@ def raag_notes(notes: DataFrame, key: str) -> DataFrame:
 
 def known_key(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     """``texts`` with the ``key`` that a text is, or is an alias of; null without either. (key, alias) is small."""
-    exact = F.broadcast(vocabulary.select(F.col("key").alias("__exact")).distinct())
-    alias = F.broadcast(vocabulary.groupBy(F.col("alias").alias("__alias")).agg(F.min("key").alias("__key")))
+    exact = vocabulary.select(F.col("key").alias("__exact")).distinct()
+    alias = vocabulary.groupBy(F.col("alias").alias("__alias")).agg(F.min("key").alias("__key"))
     met = texts.join(exact, F.col(text) == F.col("__exact"), "left").join(alias, F.col(text) == F.col("__alias"), "left")
     return met.withColumn("key", F.coalesce("__exact", "__key")).drop("__exact", "__alias", "__key")
 
@@ -191,7 +191,7 @@ def cards(items: DataFrame, names: dict[str, tuple[DataFrame, str, str]]) -> Dat
     where the table has no such name."""
     for column, (table, key, name) in names.items():
         side = table.select(F.col(key).alias("__k"), F.col(name).alias("__n")).dropDuplicates(["__k"])
-        items = items.join(F.broadcast(side), F.col(column) == F.col("__k"), "left").withColumn(f"{column}_name", F.coalesce("__n", column)).drop("__k", "__n")
+        items = items.join(side, F.col(column) == F.col("__k"), "left").withColumn(f"{column}_name", F.coalesce("__n", column)).drop("__k", "__n")
     return items
 
 

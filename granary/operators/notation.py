@@ -171,7 +171,7 @@ def validate(records: DataFrame, key: str, body: str, raags: DataFrame, taals: D
         ],
     )
     last = beats.filter(avartan).groupBy(key, "line_path", "taal", "matras").agg(F.max_by(F.coalesce(b["m"], F.col("expect")), "bi").alias("last"))
-    sizes = F.broadcast(taals.select(F.col("key").alias("taal"), F.col("matras").alias("size")))
+    sizes = taals.select(F.col("key").alias("taal"), F.col("matras").alias("size"))
     too_long = last.join(sizes, "taal", "left").filter(F.col("last") > F.coalesce("size", "matras")).select(key, F.lit("line.matras").alias("code"), F.col("line_path").alias("path"))
     notes = t["note"]
     kans = notes.filter(F.col("x.kan").startswith("{")).select(key, F.col("x.kan").alias("json"), _at(path, ".kan").alias("path"), F.from_json("x.kan", _NOTE).alias("x"))

@@ -65,8 +65,8 @@ def load_units(units: DataFrame, works: DataFrame, citations: DataFrame, wanted:
     """Units for (ord, unit) in the order asked for, with their work and what they cite, in order; unknown ones are left
     out. An older table's missing section is null."""
     own = hydrate(units if "section" in units.columns else units.withColumn("section", F.lit(None).cast("string")), wanted, unit)
-    met = own.join(F.broadcast(works), work)
-    return nest(met, unit, citations.join(F.broadcast(wanted.select(unit).distinct()), unit, "left_semi"), [place], [place, *cited], "cites")
+    met = own.join(works, work)
+    return nest(met, unit, citations.join(wanted.select(unit).distinct(), unit, "left_semi"), [place], [place, *cited], "cites")
 
 
 def corpus_roster(units: DataFrame, work: str, part: str, works: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ class Vocabulary:
     def fuzzy(self, folds: DataFrame, accept: float) -> DataFrame:
         """(fold, fuzzy_key, fuzzy_score): the most alike name, if no other key comes within the margin. Names whose length or
         letters alone keep them under the margin are left out before any is compared."""
-        names = F.broadcast(self.names.select(F.col("fold").alias("name"), "key").distinct())  # a vocabulary
+        names = self.names.select(F.col("fold").alias("name"), "key").distinct()  # a vocabulary
         m, n = F.length("fold"), F.length("name")
         shared = n - F.length(F.call_function("translate", F.col("name"), F.col("fold"), F.lit("")))  # letters of the name that the text has at all
         near = 2 * F.least(m, n, shared) >= (accept - MARGIN) * (m + n)
@@ -103,7 +103,7 @@ class Vocabulary:
         is given."""
         t = texts.withColumn("fold", _fold(self.native, self.stops)(F.col(text)))
         t = t.withColumn("bare", F.replace("fold", F.lit(" "), F.lit(""))).withColumn("skel", skeleton(F.col("fold"), self.native))
-        t = t.join(F.broadcast(self.alias), "fold", "left").join(F.broadcast(self.joined), "bare", "left").join(F.broadcast(self.skeletons), "skel", "left")
+        t = t.join(self.alias, "fold", "left").join(self.joined, "bare", "left").join(self.skeletons, "skel", "left")
         exact = F.coalesce("alias_key", "bare_key")
         if accept is None:
             t = t.withColumn("fuzzy_key", F.lit(None).cast("string")).withColumn("fuzzy_score", F.lit(None).cast("double")).withColumn("part_key", F.lit(None).cast("string"))
@@ -125,7 +125,7 @@ def normalise_raag(vocabulary: Vocabulary, texts: DataFrame, parents: DataFrame,
     tried = texts.select("ord", "text", F.posexplode(F.concat(inner, F.array(outer), F.array("text"))).alias("i", "part"), F.size(inner).alias("n"))
     hits = vocabulary.lookup(tried, "part", accept)
     first = hits.groupBy("ord", "text", "n").agg(F.min_by(F.struct("key", "confidence", "method"), F.when(F.col("key").isNotNull(), F.col("i")).otherwise(1000 + F.col("i"))).alias("h"), F.max(F.when((F.col("i") == F.col("n")) & F.col("method").isin("alias", "skeleton"), F.col("key"))).alias("base"))
-    own = first.select("ord", "text", "n", "h.*", "base").join(F.broadcast(parents), "key", "left")
+    own = first.select("ord", "text", "n", "h.*", "base").join(parents, "key", "left")
     parent = F.coalesce("parent", F.when((F.col("n") > 0) & (F.col("base") != F.col("key")), F.col("base")))
     return own.select("ord", "text", "key", parent.alias("parent"), "confidence", "method")
 
@@ -154,7 +154,7 @@ def taal_of_marks(taals: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, taal): the one taal of ``matras`` beats whose sam, khali and tali are where the row's marks (beat -> kind)
     say; none if several are."""
     fits = F.forall(F.map_entries("marks"), lambda e: F.when(e["value"] == "sam", e["key"] == F.col("sam")).when(e["value"] == "khali", F.array_contains("khali", e["key"])).when(e["value"] == "tali", F.array_contains("tali", e["key"])).otherwise(True))
-    met = rows.join(F.broadcast(taals.filter("vibhag IS NOT NULL")), rows.beats == taals.matras).filter(fits)
+    met = rows.join(taals.filter("vibhag IS NOT NULL"), rows.beats == taals.matras).filter(fits)
     return met.groupBy("id").agg(F.when(F.count("*") == 1, F.first("key")).alias("taal")).filter("taal IS NOT NULL")
 
 

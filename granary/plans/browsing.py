@@ -92,7 +92,7 @@ def cited_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     c, n, r = (T.read(spark, sf, t) for t in ("customer", "nation", "region"))
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "n_name", "r_name")
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "n_name", "r_name")
 
 
 def facet_roster(spark: SparkSession, sf: str) -> DataFrame:

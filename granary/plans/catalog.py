@@ -100,7 +100,7 @@ def pick(known: Sequence[str], loaded: dict[str, Sequence[str]], asked: str | No
 def summarize(m: DataFrame, counts: DataFrame) -> DataFrame:
     """What an index says of itself: its name, order, roles and scripts, whether it is loaded, and how many vectors it has."""
     own = first_by_name(normalize_manifests(m))
-    return own.join(F.broadcast(counts), "name", "left").select("name", "folder", "order", "roles", "query_scripts", "loaded", F.when(F.col("loaded"), F.coalesce("vectors", F.lit(0))).alias("vectors"))
+    return own.join(counts, "name", "left").select("name", "folder", "order", "roles", "query_scripts", "loaded", F.when(F.col("loaded"), F.coalesce("vectors", F.lit(0))).alias("vectors"))
 
 
 def table_exists(spark: SparkSession, names: Sequence[str]) -> dict[str, bool]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from granary.operators import catalogue, reading, vectors
 from granary.plans import api, catalog, records
 from granary.plans import tables as T
-from granary.sources import qindex
+from granary.sources import packs, qindex
 from granary.sources.store import folder
 
 VIEWS = {"early": ("1-URGENT", "2-HIGH"), "late": ("3-MEDIUM", "5-LOW"), "none": ("6-NEVER",)}
@@ -102,6 +102,13 @@ def json_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.json_rows(n)
 
 
+def packs_required(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as packs that need those of half and a third of their number: what every fiftieth of them needs."""
+    p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("pack")).filter("pack > 0")
+    needs = p.select("pack", F.floor(F.col("pack") / 2).alias("needs")).unionByName(p.filter("pack % 3 = 0").select("pack", F.floor(F.col("pack") / 3).alias("needs"))).filter("needs > 0")
+    return packs.required(p.filter("pack % 50 = 0"), needs)
+
+
 def table_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Whether tables are there, by name."""
     T.read(spark, sf, "nation").createOrReplaceTempView("granary_probe")
@@ -115,7 +122,7 @@ def _levels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     """Lines; groups, a label each, with the vector of its first line; refrains, which odd labels have; lines' owners."""
     i = T.index(spark, sf)
     firsts = i.groupBy("label").agg(F.min("id").alias("id"))
-    groups = i.join(F.broadcast(firsts), ["label", "id"]).select(F.col("label").cast("long").alias("row"), F.col("label").cast("long").alias("id"), "codes", "scale", F.lit(True).alias("mask"))
+    groups = i.join(firsts, ["label", "id"]).select(F.col("label").cast("long").alias("row"), F.col("label").cast("long").alias("id"), "codes", "scale", F.lit(True).alias("mask"))
     return i, groups, groups.filter("id % 2 = 1"), i.select("id", F.col("label").cast("long").alias("group_id")).filter("id % 10 > 0")
 
 
@@ -271,7 +278,7 @@ def masked_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [index_files, views_available, groups_whole, corpus_load, corpus_roster, index_summary, json_bodies, table_probe, vec_predicate, vec_rows, vec_levels, retrieve_groups, related_groups, catalog_summary, catalog_raags, catalog_taals, catalog_authors, catalog_books, catalog_matched, catalog_unmatched, catalog_native, catalog_cards, catalog_item, raag_notes, raag_keys_known, group_heads, rate_limit_exempt, p95_by_type, masked_means]
+    found = [index_files, views_available, groups_whole, corpus_load, corpus_roster, index_summary, json_bodies, packs_required, table_probe, vec_predicate, vec_rows, vec_levels, retrieve_groups, related_groups, catalog_summary, catalog_raags, catalog_taals, catalog_authors, catalog_books, catalog_matched, catalog_unmatched, catalog_native, catalog_cards, catalog_item, raag_notes, raag_keys_known, group_heads, rate_limit_exempt, p95_by_type, masked_means]
     return {f.__name__: f for f in found}
 
 
@@ -317,6 +324,7 @@ def oracle_sql() -> dict[str, str]:
         "index_summary": """SELECT name, folder, ord, roles, scripts, loaded, CASE WHEN loaded THEN coalesce((SELECT count(*) FROM embeddings WHERE label = l), 0) END AS vectors FROM (VALUES
           ('en', 'root', 100, 'neighbours,text,ask', 'latin', true, 1), ('pa', 'a', 20, 'neighbours,text,ask', 'gurmukhi,latin', true, 2), ('en', 'b', 5, 'text', 'latin', false, 1), ('en', 'd', 5, '', 'latin', false, 1), ('lab', 'e', 7, 'neighbours', 'gurmukhi', true, -1)) v(name, folder, ord, roles, scripts, loaded, l)""",
         "json_bodies": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"' || CASE WHEN n_regionkey > 1 THEN ',"region":' || n_regionkey ELSE '' END || '}' AS body FROM nation""",
+        "packs_required": "WITH RECURSIVE r AS (SELECT p_partkey AS pack FROM part WHERE p_partkey % 50 = 0 AND p_partkey > 0 UNION SELECT n FROM (SELECT unnest([pack // 2, CASE WHEN pack % 3 = 0 THEN pack // 3 ELSE 0 END]) AS n FROM r) WHERE n > 0) SELECT pack FROM r",
         "table_probe": "SELECT * FROM (VALUES ('granary_absent', false), ('granary_probe', true)) v(name, there)",
         "vec_predicate": f"SELECT id, score FROM ({_search_sql('mask AND id % 7 = 3')})",
         "vec_rows": "SELECT p_partkey AS id, vec_id AS row FROM part LEFT JOIN embeddings ON vec_id = p_partkey",

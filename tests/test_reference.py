@@ -335,6 +335,18 @@ def test_index_source(spark, tmp_path):
     assert parts[1] == [3, 4, 5] and len(parts) == 4 and mean == [1, 1, 1]
 
 
+def test_files_of_a_pack(spark, tmp_path):
+    import hashlib
+
+    from granary.sources import packs
+
+    for name, body in (("a.bin", b"one"), ("b.bin", b"two"), ("c.bin", b"three")):
+        (tmp_path / name).write_bytes(body)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    listed = spark.createDataFrame([("a.bin", sha(b"one").upper(), 3), ("b.bin", sha(b"2"), 3), ("c.bin", sha(b"three"), 4), ("d.bin", "", 0)], "name string, sha256 string, bytes long")
+    assert {r.name: r.state for r in packs.verified(spark, str(tmp_path), listed).collect()} == {"a.bin": "ok", "b.bin": "digest", "c.bin": "size", "d.bin": "missing"}
+
+
 # ---- notation
 
 
