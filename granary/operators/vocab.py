@@ -142,6 +142,19 @@ def split_tempo(text: Column, tempi: dict[str, Sequence[str]]) -> tuple[Column,
     return found, rest
 
 
+def normalise_taal(vocabulary: Vocabulary, texts: DataFrame, matras: DataFrame, tempi: dict[str, Sequence[str]], accept: float | None = None) -> DataFrame:
+    """(ord, text, key, tempo, matras, confidence, method): the name that is left once the tempo's words are gone, looked up;
+    ``matras`` (key, matras) says how many beats a taal has."""
+    tempo, rest = split_tempo(F.coalesce("text", F.lit("")), tempi)
+    found = vocabulary.lookup(texts.select("ord", "text", tempo.alias("tempo"), rest.alias("rest")), "rest", accept)
+    return found.join(matras, "key", "left").select("ord", "text", "key", "tempo", "matras", "confidence", "method")
+
+
+def mark_kind(glyph: Column, symbols: dict[str, Sequence[str]]) -> Column:
+    """The first kind (sam, khali, tali) whose signs hold a printed one; null for others."""
+    return F.coalesce(*[F.when(F.trim(glyph).isin(*signs), kind) for kind, signs in symbols.items()])
+
+
 def beat_marks(vibhag: Column, marks: Column, start: Column, count: Column | None = None) -> Column:
     """The mark over each beat of a cycle, null between; cut to ``count`` beats from beat ``start`` on."""
     each = F.transform(F.sequence(F.lit(1), F.size(vibhag)), lambda i: F.concat(F.array(F.try_element_at(marks, i)), F.array_repeat(F.lit(None).cast("string"), F.element_at(vibhag, i) - 1)))
