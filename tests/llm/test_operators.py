@@ -11,8 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, common, decontaminate, quality, sharding, simhash, token_counts, topk, toxicity
+from granary.llm import bpe, chat, common, decontaminate, pii, quality, sharding, simhash, token_counts, topk, toxicity
 from granary.llm.graph import components
+from test_pii import plain as plain_pii
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -240,22 +241,25 @@ def test_held_out_rows_are_not_learned(spark):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, turned)
 
 
+def plain_toxicity(text, weights, bias, leak):
+    word, chance = re.compile(r"[^\W\d_]+"), lambda z: 1 / (1 + np.exp(-z))
+    weigh = lambda w: sum(weights.get(f, 0.0) for f in (w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)))
+    clean = 1 - chance(leak) if word.search((text or "").lower()) else 1.0
+    for s in re.findall(r"[^.!?\n]+", text or ""):
+        own = [x for w in set(word.findall(s.lower())) if (x := weigh(w))]
+        clean *= 1 - chance(bias + sum(own)) if own else 1.0
+    return 1 - clean
+
+
 def test_op4_on_the_tables(spark):
     """Every score of the query against the definition, worked out word by word from the weights."""
     docs, labels = docs_of(spark), common.read(spark, SF, "labels")
-    weights, bias, leak = toxicity.fit(docs, labels)
-    word, sentence = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
-    weigh = lambda w: sum(weights.get(f, 0.0) for f in (w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)))
-    chance = lambda z: 1 / (1 + np.exp(-z))
+    model = toxicity.fit(docs, labels)
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = toxicity.op4_toxicity(spark, SF).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        clean = 1 - chance(leak) if word.search((texts[r.doc_id] or "").lower()) else 1.0
-        for s in sentence.findall(texts[r.doc_id] or ""):
-            own = [x for w in set(word.findall(s.lower())) if (x := weigh(w))]
-            clean *= 1 - chance(bias + sum(own)) if own else 1.0
-        assert r.score == pytest.approx(1 - clean, abs=1e-9)
+        assert r.score == pytest.approx(plain_toxicity(texts[r.doc_id], *model), abs=1e-9)
         assert (r.predicted, r.held_out) == (int(r.score >= 0.5), binascii.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
@@ -606,12 +610,19 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
         ids, was = {r.doc_id: r for r in now.collect()}, {r.doc_id: r.text for r in before.collect()}
         if name.startswith("toxicity"):
             assert 1004 not in ids and {1000, 1001, 1002, 1003, 1005} <= set(ids)
-            assert not any(re.search("grobul|snarf", r.text) for r in ids.values())
+            model = toxicity.fit(before, labels)
+            assert set(ids) == {i for i, t in was.items() if plain_toxicity(t, *model) < 0.5}
         elif name.startswith("simhash"):
             assert set(ids) == plain_kept(was)
         elif name.startswith("bench"):
-            assert set(ids) == {i for i, t in was.items() if "benchword0" not in t}
+            assert set(ids) == {i for i, t in was.items() if not hits(t, windows([(1, item)]))[1]}
         else:
+            assert {i: r.text for i, r in ids.items()} == {i: plain_pii(t, pii.PUBLIC_KEY)[0] for i, t in was.items()}
             assert "joe.doe" not in ids[1003].text and ids[1005].text == texts[1005] and all(r.n_chars == len(r.text) for r in ids.values())
-    last = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(last) == set(ids)
+    last = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
+    lib.no_truncation()
+    coded = {i: lib.encode(r.text, add_special_tokens=False).ids for i, r in ids.items()}
+    assert last == {i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in coded.items()}
