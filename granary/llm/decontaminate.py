@@ -177,11 +177,13 @@ def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", out_col:
         raise ValueError(f"{out_col} is a column already")
     ship(docs.sparkSession)
     own, at = by_place(docs)
-    wins = cut(benchmark_windows(bench, item_id, item_text))
-    n = max(1, -(-wins.count() // block))
+    wins = benchmark_windows(bench, item_id, item_text)
+    rows, n = wins.limit(block + 1).toArrow(), 1
+    if rows.num_rows > block:
+        wins = cut(wins)
+        n = -(-wins.count() // block)
     for k in range(n):
-        part = wins.filter(F.pmod(F.xxhash64("win", "item_id"), F.lit(n)) == k) if n > 1 else wins
-        rows = part.toArrow()
+        rows = wins.filter(F.pmod(F.xxhash64("win", "item_id"), F.lit(n)) == k).toArrow() if n > 1 else rows
         sent: Any = docs.sparkSession.sparkContext.broadcast((uuid4().hex, rows.column("win").to_pylist(), rows.column("item_id").to_pylist()))
         look = arrow_scalar(_scanner(sent), _STATE)
         col = F.col(at(text_col))
