@@ -14,7 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators import fusion, lexical, vectors
+from granary.functions.letters import highlight_words, typed_keys
+from granary.operators import fusion, lexical, reading, vectors
 from granary.operators.encode import Encoder
 from granary.plans.catalog import Refusal, pick
 
@@ -56,19 +57,35 @@ def answered(call: Callable[[], Answer]) -> Answer:
         return Answer(None, {"error": e.reason}, e.code)
 
 
-def first_letters(lines: DataFrame, tokens: DataFrame, q: str | None, mode: str | None = None, limit: str | None = None) -> Answer:
+def first_letters(lines: DataFrame, tokens: DataFrame, q: str | None, mode: str | None = None, limit: str | None = None, *, text: str | None = None, texts: DataFrame | None = None, views: dict[str, Sequence[str]] | None = None, langs: str | None = None) -> Answer:
     """Lines by letters, 25 by default and 100 at most. The total is that of all lines for a search anywhere, that of the
-    rows given for one at the start."""
+    rows given for one at the start. With ``text`` (a column of lines as typed) each row says which words to light up; with
+    ``texts`` (line_id, source, text) and ``views`` it has the translations that ``langs`` asks for."""
     q = q or ""
     if len(q) > LONGEST_QUERY:
         return Answer(None, {"error": "the query is too long"}, 400)
     n = bounded(limit, 1, 100, 25)
     if mode == "start":
         rows = lexical.start(lines, q, n)
-        return Answer(rows, {"mode": "start", "total": rows.count()})
-    rows = lexical.anywhere(tokens, lines, q, n)
-    total = lexical.count_anywhere(tokens, q, lines).first()["n"]
-    return Answer(rows, {"mode": "anywhere", "total": total})
+        told = {"mode": "start", "total": rows.count()}
+    else:
+        rows = lexical.anywhere(tokens, lines, q, n)
+        told = {"mode": "anywhere", "total": lexical.count_anywhere(tokens, q, lines).first()["n"]}
+    if text:
+        rows = rows.withColumn("highlight", highlight_words(F.col(text), F.lit(typed_keys(q))))
+    asked = {v: views[v] for v in dict.fromkeys(x.strip() for x in (langs or "").split(",")) if views and v in views}
+    if texts is not None and asked:
+        rows = reading.attach_preferred(rows, "line_id", texts, "source", "text", asked)
+    return Answer(rows, told)
+
+
+def group(pages: DataFrame, key: str, value: str | None) -> Answer:
+    """One group as a page (see ``reading.with_lines``): an id that is no number is refused, an unknown one isn't there."""
+    at = non_negative(value)
+    if at is None:
+        return Answer(None, {"error": "the id is no number"}, 400)
+    rows = pages.filter(F.col(key) == at)
+    return Answer(rows) if rows.limit(1).count() else Answer(None, {"error": "no such group"}, 404)
 
 
 def _several(indexes: Mapping[str, Loaded], names: Sequence[str], run: Callable[[Loaded, int], DataFrame], k: int, key: Column) -> Answer:

@@ -1,6 +1,6 @@
 """Requests: the order of checks, codes, and that several indexes fuse."""
 
-from granary.operators import lexical
+from granary.operators import lexical, reading
 from granary.operators.encode import Encoder
 from granary.plans import api
 from granary.plans import tables as T
@@ -38,3 +38,15 @@ def test_letters_and_groups(spark):
     assert 4 <= len(got) <= 5 and all(r.key != 12 for r in got)
     q = Encoder().query("words")
     assert api.retrieve_groups({"a": (rows, rows, rows)}, {"a": [q, q]}, owner, 5, 10).first().votes >= 2
+
+
+def test_rows_light_up_and_carry_translations(spark):
+    rows = spark.createDataFrame([(1, "koie n jwxY qyrw", "knjq"), (2, "njq ]1]", "n")], "line_id long, line string, letters string")
+    lines = lexical.encode(rows)
+    texts = spark.createDataFrame([(1, "b", "second"), (1, "a", ""), (2, "a", "x")], "line_id long, source string, text string")
+    got = api.first_letters(lines, lexical.tokens(lines), "ਨਜ", text="line", texts=texts, views={"en": ["a", "b"], "pa": ["c"]}, langs="en,xx,pa")
+    row = got.rows.first()
+    assert got.told["total"] == 1 and (row.highlight.first, row.highlight.last, row.tr_en, row.tr_pa) == (1, 2, "second", None)
+    pages = reading.with_lines(spark.createDataFrame([(7, "h")], "g long, head string"), "g", spark.createDataFrame([(7, 1, "b"), (7, 0, "a"), (8, 0, "c")], "g long, p int, t string"), "p", ["t"])
+    assert [x.t for x in api.group(pages, "g", "7").rows.first().lines] == ["a", "b"] and api.group(pages, "g", "8").rows.first().head is None
+    assert api.group(pages, "g", "9").code == 404 and api.group(pages, "g", "x").code == 400
