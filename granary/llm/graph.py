@@ -24,9 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = sized(now, seen[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = _beside(now.select(F.col("v").alias("u"), F.col("u").alias("v")), least, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = beside(now.select(F.col("v").alias("u"), F.col("u").alias("v")), least, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _beside(large, least, seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = beside(large, least, seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, seen = seen, _state(now)
         if seen == before:
@@ -35,14 +35,25 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _beside(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """(u, v) with the ``m`` that ``least`` has for u, of ``total`` rows at most; hubs come by broadcast, the rest by a shuffle."""
+def beside(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """(u, v) with the ``m`` that ``least`` (u, m, n: the number of rows of u) has for u, of ``total`` rows at most; hubs come by
+    broadcast, the rest by a shuffle."""
     most = max(HUB_ROWS, total // (HUBS * parts(rows.sparkSession)))
     hubs = F.broadcast(least.filter(F.col("n") > most).select("u", "m"))  # fewer than 2 * total / most
     usual = rows.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= most).select("u", "m"), "u")
     return rows.join(hubs, "u").unionByName(usual)
 
 
+def least_of_components(points: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """(key, component_id) for ``points`` (key, node, least): the smallest ``least`` of the node's component by ``edges`` (u, v), its
+    own without edges. A component with a large share of all points doesn't meet in one task."""
+    roots = components(edges).withColumnRenamed("node", "__node")
+    linked = points.join(roots, points.node == F.col("__node"), "left").select(F.col(key).alias("v"), F.coalesce("root", "node").alias("u"), "least")
+    linked = cut(linked)
+    named = linked.groupBy("u").agg(F.min("least").alias("m"), F.count("*").alias("n"))
+    return beside(linked.select("u", "v"), named, linked.count()).select(F.col("v").alias(key), F.col("m").alias("component_id"))
+
+
 def _state(edges: DataFrame) -> tuple[int, int | None]:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import by_place, columns_kept, cut, cut_points, map_slices, read
-from granary.llm.graph import components
+from granary.llm.graph import least_of_components
 from granary.llm.near_copies import near_copies
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -99,10 +99,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(points.select("fp")))
-    linked = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(named, "root").select("fp", "component_id")
+    classes = least_of_components(points.select("fp", F.col("fp").alias("node"), "least"), "fp", links(points.select("fp")))
     out = prints.join(classes, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
