@@ -84,11 +84,11 @@ class Limiter(StatefulProcessor):
     """The same rule on a stream: four numbers a client, which expire two windows after they last changed, by the clock of
     the cluster. A client's rows of one micro-batch are put in order; so a trigger's size bounds what is held."""
 
-    def __init__(self, rule: Rule) -> None:
-        self.rule = rule
+    def __init__(self, rule: Rule, expire: bool = True) -> None:
+        self.rule, self.expire = rule, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", _STATE, max(1, 2 * self.rule.window // 1000))
+        self.state = handle.getValueState("window", _STATE, *[max(1, 2 * self.rule.window // 1000)] * self.expire)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         frame = pd.concat(list(rows)).sort_values(["at", "ord"])
@@ -105,9 +105,10 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None) -> DataFrame:
+def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None, expire: bool = True) -> DataFrame:
     """A stream of (client: string, ord, at) with what the limits say of each request. Exempt requests don't come out, as
-    they pass anyway."""
+    they pass anyway. State expires by the clock, for which Spark runs batches without data for as long as the stream lives; a
+    query that shall end when its input does needs ``expire=False``, or ``noDataMicroBatches`` off."""
     own = requests if exempt is None else requests.filter(~F.coalesce(exempt, F.lit(False)))
     own = own.select("client", "ord", "at", (F.lit(False) if tight is None else F.coalesce(tight, F.lit(False))).alias("tight"))
-    return own.groupBy("client").transformWithStateInPandas(Limiter(Rule(limit, window_us, tight_limit)), OUTPUT, "Append", "ProcessingTime")
+    return own.groupBy("client").transformWithStateInPandas(Limiter(Rule(limit, window_us, tight_limit), expire), OUTPUT, "Append", "ProcessingTime" if expire else "None")
