@@ -204,7 +204,7 @@ def taal_names(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.when(F.col("p_size") % 3 == 0, "(Drut) ").otherwise(""), F.upper("p_name"), F.when(F.col("p_size") % 3 == 1, " vilambit").otherwise(""))
     matras = p.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("key"), F.length("p_name").alias("matras")).distinct().filter("matras <> 10")
     found = vocab.normalise_taal(_vocabulary(spark, sf), p.select(F.col("p_partkey").alias("ord"), text.alias("text")), matras, TEMPI)
-    return found.select(F.col("ord").alias("p_partkey"), "key", "tempo", F.col("matras").cast("long").alias("matras"), "method")
+    return found.select(F.col("ord").alias("p_partkey"), "key", "tempo", T.shown(F.col("matras")).alias("matras"), "method")
 
 
 SYMBOLS = {"sam": ["×", "x"], "khali": ["0", "o"], "tali": ["2", "3"]}
@@ -242,7 +242,7 @@ def section_labels(spark: SparkSession, sf: str) -> DataFrame:
     p = T.read(spark, sf, "part")
     text = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" Sthai "), "p_size")).when(F.col("p_size") % 4 == 1, "Antara :").when(F.col("p_size") % 4 == 2, F.concat(F.lit("Antara of "), "p_name")).otherwise(F.concat(F.lit("Sthayi ੧੨ "), "p_name"))
     at = vocab.section_label_column(text, LABELS)
-    return p.select("p_partkey", at.alias("a")).select("p_partkey", F.col("a.kind").alias("kind"), F.col("a.n").cast("long").alias("n"))
+    return p.select("p_partkey", at.alias("a")).select("p_partkey", F.col("a.kind").alias("kind"), T.shown(F.col("a.n")).alias("n"))
 
 
 def fuzzy_indel(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,11 +356,11 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT *, p_partkey % 6 AS c, s >= 0.85 AND s - second >= 0.05 AS ok FROM part JOIN b ON b.name = p_name)""".replace("p_name[:-2]", "p_name[1:length(p_name) - 1]"),
         "raag_names": "SELECT p_partkey, CASE WHEN v THEN replace(o, ' ', '_') ELSE replace(p_name, ' ', '_') END AS key, CASE WHEN v AND o <> p_name THEN replace(p_name, ' ', '_') END AS parent, 'alias' AS method FROM (SELECT *, p_partkey % 2 = 0 AS v, string_split(p_name, ' ')[1] || ' ring' AS o FROM part)",
         "taal_tempi": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'slow' WHEN 1 THEN 'fast' END AS tempo, p_name || CASE WHEN p_size % 3 = 2 THEN ' drutam' ELSE '' END AS rest FROM part",
-        "taal_names": "SELECT p_partkey, replace(p_name, ' ', '_') AS key, CASE p_size % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'slow' END AS tempo, CASE WHEN length(p_name) <> 10 THEN length(p_name) END AS matras, 'alias' AS method FROM part",
+        "taal_names": "SELECT p_partkey, replace(p_name, ' ', '_') AS key, CASE p_size % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'slow' END AS tempo, CASE WHEN length(p_name) <> 10 THEN length(p_name) ELSE -1 END AS matras, 'alias' AS method FROM part",
         "mark_kinds": "SELECT p_partkey, CASE WHEN p_size % 8 < 2 THEN 'sam' WHEN p_size % 8 < 4 THEN 'khali' WHEN p_size % 8 < 6 THEN 'tali' END AS kind FROM part",
         "taal_markers": """SELECT p_partkey, k - start AS pos, CASE WHEN (k - 1) % size = 0 AND (k - 1) // size < n - 1 THEN 'x203'[(k - 1) // size + 1] END AS mark FROM (SELECT p_partkey, p_size % 3 + 2 AS size, p_partkey % 3 + 2 AS n, p_size % 2 + 1 AS start, unnest(range(1, 20)) AS k FROM part) WHERE k >= start AND k < start + 5 AND k <= size * n""",
         "taal_of_marks": f"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'teen' WHEN 1 THEN 'jhap' ELSE 'rupak' END AS taal FROM (SELECT *, {marks} FROM part) WHERE (p_partkey % 3 = 0 AND khali = 0) OR (p_partkey % 3 = 1 AND khali = 1) OR (p_partkey % 3 = 2 AND sam = 0 AND khali = 0)",
-        "section_labels": "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'sthai' WHEN 1 THEN 'antara' WHEN 3 THEN 'sthai' END AS kind, CASE p_size % 4 WHEN 0 THEN p_size WHEN 3 THEN 12 END::BIGINT AS n FROM part",
+        "section_labels": "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'sthai' WHEN 1 THEN 'antara' WHEN 3 THEN 'sthai' END AS kind, CASE p_size % 4 WHEN 0 THEN p_size WHEN 3 THEN 12 ELSE -1 END::BIGINT AS n FROM part",
         "fuzzy_indel": f"SELECT p_name, p_type, floor({_indel('p_name', 'b')} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS ratio FROM (SELECT DISTINCT p_name, p_type, lower(p_type) AS b FROM part)",
         "wordpiece_tokens": f"WITH RECURSIVE asked AS MATERIALIZED ({words}), {walked} SELECT word, pieces FROM done",
         "wordpiece_ids": f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, list_filter(string_split(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),

@@ -94,7 +94,7 @@ def index_summary(spark: SparkSession, sf: str) -> DataFrame:
     names = F.when(F.col("label") == 1, "en").when(F.col("label") == 2, "pa")
     counts = e.select(names.alias("name"), "vectors").filter("name IS NOT NULL")
     s = catalog.summarize(records.manifests(spark), counts)
-    return s.select("name", "folder", F.col("order").cast("long").alias("ord"), F.array_join("roles", ",").alias("roles"), F.array_join("query_scripts", ",").alias("scripts"), "loaded", "vectors")
+    return s.select("name", "folder", F.col("order").cast("long").alias("ord"), F.array_join("roles", ",").alias("roles"), F.array_join("query_scripts", ",").alias("scripts"), "loaded", T.shown(F.col("vectors")).alias("vectors"))
 
 
 def json_bodies(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +147,7 @@ def vec_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of ids, and ids of rows; unknown ones have none."""
     i = T.index(spark, sf)
     asked = T.read(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return vectors.rows_of(i, asked).select("id", "row")
+    return vectors.rows_of(i, asked).select("id", T.shown(F.col("row")).alias("row"))
 
 
 def vec_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +256,7 @@ def rate_limit_exempt(spark: SparkSession, sf: str) -> DataFrame:
 
     e = T.read(spark, sf, "events").select(F.when(F.col("user_id") % 40 > 0, F.col("user_id")).alias("user_id"), "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     r = limits.fixed_window(e, "user_id", "us", "event_id", LIMIT, DAY_US, exempt=F.col("event_type") == "error")
-    return r.select(F.col("ord").alias("event_id"), "allowed", "remaining")
+    return r.select(F.col("ord").alias("event_id"), "allowed", T.shown(F.col("remaining")).alias("remaining"))
 
 
 def p95_by_type(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,13 +321,13 @@ def oracle_sql() -> dict[str, str]:
             arg_min(text, turn) FILTER (WHERE role = 'system') AS bhav, any_value(o.n) AS n FROM k LEFT JOIN (SELECT o_orderkey % 300 AS c, count(*) AS n FROM orders GROUP BY 1) o ON o.c = conv_id GROUP BY conv_id""",
         "corpus_load": "SELECT 1000000 - d.doc_id AS ord, d.doc_id AS unit_row, upper(source) AS title, lang, NULL::VARCHAR AS section, coalesce(c.cites, '') AS cites FROM labels l JOIN documents d USING (doc_id) LEFT JOIN (SELECT o_orderkey % 500 AS u, string_agg(o_custkey, ',' ORDER BY o_orderkey) AS cites FROM orders GROUP BY 1) c ON c.u = d.doc_id",
         "corpus_roster": """SELECT source AS work_id, sum(n)::BIGINT AS units, '[' || string_agg('{"part":"' || lang || '","units":' || n || '}', ',' ORDER BY lang) || ']' AS parts FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source UNION ALL SELECT 'unwritten', 0, NULL""",
-        "index_summary": """SELECT name, folder, ord, roles, scripts, loaded, CASE WHEN loaded THEN coalesce((SELECT count(*) FROM embeddings WHERE label = l), 0) END AS vectors FROM (VALUES
+        "index_summary": """SELECT name, folder, ord, roles, scripts, loaded, CASE WHEN loaded THEN coalesce((SELECT count(*) FROM embeddings WHERE label = l), 0) ELSE -1 END AS vectors FROM (VALUES
           ('en', 'root', 100, 'neighbours,text,ask', 'latin', true, 1), ('pa', 'a', 20, 'neighbours,text,ask', 'gurmukhi,latin', true, 2), ('en', 'b', 5, 'text', 'latin', false, 1), ('en', 'd', 5, '', 'latin', false, 1), ('lab', 'e', 7, 'neighbours', 'gurmukhi', true, -1)) v(name, folder, ord, roles, scripts, loaded, l)""",
         "json_bodies": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"' || CASE WHEN n_regionkey > 1 THEN ',"region":' || n_regionkey ELSE '' END || '}' AS body FROM nation""",
         "packs_required": "WITH RECURSIVE r AS (SELECT p_partkey AS pack FROM part WHERE p_partkey % 50 = 0 AND p_partkey > 0 UNION SELECT n FROM (SELECT unnest([pack // 2, CASE WHEN pack % 3 = 0 THEN pack // 3 ELSE 0 END]) AS n FROM r) WHERE n > 0) SELECT pack FROM r",
         "table_probe": "SELECT * FROM (VALUES ('granary_absent', false), ('granary_probe', true)) v(name, there)",
         "vec_predicate": f"SELECT id, score FROM ({_search_sql('mask AND id % 7 = 3')})",
-        "vec_rows": "SELECT p_partkey AS id, vec_id AS row FROM part LEFT JOIN embeddings ON vec_id = p_partkey",
+        "vec_rows": "SELECT p_partkey AS id, coalesce(vec_id, -1) AS row FROM part LEFT JOIN embeddings ON vec_id = p_partkey",
         "vec_levels": f"""WITH {levels} SELECT 'lines' AS level, * FROM {top("i", q1, 3, "mask")} UNION ALL SELECT 'groups', * FROM {top("groups", q1, 3)} UNION ALL SELECT 'refrains', * FROM {top("refrains", q1, 3)}
           UNION ALL SELECT 'like 3', * FROM {like("refrains", 3, 3)} UNION ALL SELECT 'group 3', * FROM {like("groups", 3, 3)}""",
         "retrieve_groups": fused([*three(q1), *three(q2)], 5),
@@ -352,7 +352,7 @@ def oracle_sql() -> dict[str, str]:
           r AS (SELECT c, event_id, us, row_number() OVER (PARTITION BY c ORDER BY us, event_id) AS k FROM e WHERE event_type <> 'error'),
           s AS (SELECT c, event_id, k, true AS allowed, 1 AS n, us AS start FROM r WHERE k = 1 UNION ALL
             SELECT r.c, r.event_id, r.k, r.us - start >= {DAY_US} OR n < {LIMIT}, CASE WHEN r.us - start >= {DAY_US} THEN 1 WHEN n < {LIMIT} THEN n + 1 ELSE n END, CASE WHEN r.us - start >= {DAY_US} THEN r.us ELSE start END FROM s JOIN r ON r.c = s.c AND r.k = s.k + 1)
-          SELECT event_id, allowed, ({LIMIT} - n)::BIGINT AS remaining FROM s UNION ALL SELECT event_id, true, NULL FROM e WHERE event_type = 'error'""",
+          SELECT event_id, allowed, ({LIMIT} - n)::BIGINT AS remaining FROM s UNION ALL SELECT event_id, true, -1 FROM e WHERE event_type = 'error'""",
         "p95_by_type": "SELECT event_type, list_sort(list(value))[floor(count(*) * 0.95)::BIGINT + 1] AS value FROM events GROUP BY event_type",
         "masked_means": """SELECT vec_id, c, CASE WHEN m = 0 THEN 0 ELSE floor(s / m * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE END AS x FROM (SELECT vec_id, c, coalesce(sum(embedding[i * 8 + c + 1]::DOUBLE) FILTER (WHERE used), 0) AS s, count(*) FILTER (WHERE used) AS m
           FROM (SELECT vec_id, embedding, c, i, vec_id % 11 > 0 AND (vec_id + i) % 3 > 0 AS used FROM embeddings, range(8) a(i), range(8) b(c)) GROUP BY vec_id, c)""",

@@ -47,7 +47,7 @@ def fl_highlight(spark: SparkSession, sf: str) -> DataFrame:
     """Which words of every line to light up for three letters, and which word each letter is from."""
     x = T.lines(spark, sf).select("line_id", "line")
     lit = x.select("line_id", L.highlight_words(F.col("line"), F.lit("ste")).alias("h"), L.word_of_letter(L.letters_of_words(F.col("line"))).alias("w"))
-    return lit.select("line_id", F.col("h.first").cast("long").alias("first"), F.col("h.last").cast("long").alias("last"), F.size("w").cast("long").alias("n"), F.aggregate("w", F.lit(0).cast("long"), lambda a, i: a + i).alias("places"))
+    return lit.select("line_id", T.shown(F.col("h.first")).alias("first"), T.shown(F.col("h.last")).alias("last"), F.size("w").cast("long").alias("n"), F.aggregate("w", F.lit(0).cast("long"), lambda a, i: a + i).alias("places"))
 
 
 def fl_limits(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +112,7 @@ def image_addresses(spark: SparkSession, sf: str) -> DataFrame:
 def record_ids(spark: SparkSession, sf: str) -> DataFrame:
     book = F.when(F.col("p_size") % 2 == 0, F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))).otherwise(F.col("p_brand"))
     made = T.read(spark, sf, "part").select("p_partkey", X.record_id(book, F.col("p_size"), F.col("p_partkey")).alias("id"))
-    return made.select("p_partkey", "id", X.parse_record_id(F.col("id"))["page"].cast("long").alias("page"), X.parse_record_id(F.concat("id", F.lit("x"))).isNull().alias("refused"))
+    return made.select("p_partkey", "id", T.shown(X.parse_record_id(F.col("id"))["page"]).alias("page"), X.parse_record_id(F.concat("id", F.lit("x"))).isNull().alias("refused"))
 
 
 def param_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +197,7 @@ def oracle_sql() -> dict[str, str]:
           l AS (SELECT line_id, list_transform(ws, lambda x: CASE WHEN x = 'rhwau' OR regexp_matches(x, '^i*$') OR regexp_matches(x, '^i*[\\]0-9\\[]') THEN '' ELSE regexp_extract(x, '^i*([\\s\\S])', 1) END) AS ls FROM w),
           m AS (SELECT line_id, list_filter(range(0, len(ls)), lambda i: ls[i + 1] <> '') AS place, array_to_string(ls, '') AS letters FROM l),
           a AS (SELECT *, CASE WHEN contains(letters, 'ste') THEN instr(letters, 'ste') ELSE nullif(instr(translate(letters, 'S', 's'), 'ste'), 0) END AS spot FROM m)
-          SELECT line_id, place[spot] AS first, place[spot + 2] AS last, len(place) AS n, coalesce(list_sum(place), 0)::BIGINT AS places FROM a""",
+          SELECT line_id, coalesce(place[spot], -1) AS first, coalesce(place[spot + 2], -1) AS last, len(place) AS n, coalesce(list_sum(place), 0)::BIGINT AS places FROM a""",
         "fl_limits": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN 20 ELSE greatest(0, least(1000, floor((value - 10) * 20))) END::BIGINT AS n FROM events",
         "keyboard_keys": "SELECT least(7, i // 5)::BIGINT AS row, CASE WHEN i < 35 THEN i % 5 ELSE i - 35 END::BIGINT AS place, letter, sound, key, i < 35 AS physical, CASE WHEN sound IN ('ng', 'ny', 'sh', 'L') OR length(sound) > 1 THEN NULL WHEN sound = 'f' THEN 'ਫ਼' WHEN sound = 'z' THEN 'ਜ਼' ELSE letter END AS by_sound FROM (SELECT i, letter, string_split('u a i s h k kh g gh ng ch chh j jh ny T Th D Dh N t th d dh n p ph b bh m y r l v R sh khh ghh z f L', ' ')[i + 1] AS sound, 'aAeshkKgG|cCjJ\\tTfFxqQdDnpPbBmXrlvVsKgjPl'[i + 1] AS key FROM (VALUES "
         + ", ".join(f"({i}, '{c}')" for i, c in keys)
@@ -209,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "word_spans": f"SELECT conv_id, turn, len(w) AS n, sha256(array_to_string(w, ' ')) AS words FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(replace(text, '.', ' '), '{_SINGLE}'), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL)",
         "image_addresses": """SELECT page_id, u AS plain, CASE WHEN starts_with(u, 'http://th') THEN 'https://mirror/' || substr(u, 10) ELSE u END AS mirrored, coalesce(u, '/images/' || p) AS local
           FROM (SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url END AS u, CASE WHEN page_id % 4 > 0 THEN 'p/' || page_id END AS p FROM pages)""",
-        "record_ids": "SELECT p_partkey, id, CASE WHEN id IS NOT NULL THEN p_size END::BIGINT AS page, true AS refused FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN format('{}:{:04d}:{}', replace(lower(p_brand), '#', '-'), p_size, p_partkey) END AS id FROM part)",
+        "record_ids": "SELECT p_partkey, id, CASE WHEN id IS NOT NULL THEN p_size ELSE -1 END::BIGINT AS page, true AS refused FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN format('{}:{:04d}:{}', replace(lower(p_brand), '#', '-'), p_size, p_partkey) END AS id FROM part)",
         "param_texts": f"SELECT line_id, coalesce(length(line), 0) <= 200 AS taken, least(coalesce(length(line), 0), 120)::BIGINT AS n, line = '' AS absent FROM ({_LINES})",
         "line_romans": "SELECT p_partkey, CASE WHEN same THEN string_split(p_name, ' ')[1] END AS w0, CASE WHEN same THEN string_split(p_name, ' ')[2] END AS w1, NULL::VARCHAR AS w2 FROM (SELECT *, p_size % 3 > 0 AS same FROM part)",
         "stanza_ends": "SELECT conv_id, turn, turn % 5 < 2 AS ends FROM conversations",

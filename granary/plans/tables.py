@@ -6,7 +6,7 @@ and folds, suffix tokens in ranges, lines by their letters, quantised indexes. Q
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.letters import char_codes
@@ -25,6 +25,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shown(n: Column) -> Column:
+    """A whole number as queries give it: -1 where there is none, so that no reader makes it a fraction."""
+    return F.coalesce(n.cast("long"), F.lit(-1).cast("long"))
+
+
 def files(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
