@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm.audit import OP13_SQL, op13_filter_audit
 from granary.llm.bpe import op2_bpe
 from granary.llm.chat import OP8_SQL, op8_chat
 from granary.llm.decontaminate import op1_decontaminate
@@ -25,9 +26,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_bpe, op3_token_counts, op4_toxicity, op5_quality, op6_sharding, op7_topk, op8_chat, op9_simhash, op10_pii, pipeline]
+    found = [op1_decontaminate, op2_bpe, op3_token_counts, op4_toxicity, op5_quality, op6_sharding, op7_topk, op8_chat, op9_simhash, op10_pii, op13_filter_audit, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op7_topk": OP7_SQL, "op8_chat": OP8_SQL, "op13_filter_audit": OP13_SQL}
