@@ -18,6 +18,7 @@ from granary.llm.token_counts import op3_token_counts
 from granary.llm.topk import OP7_SQL, op7_topk
 from granary.llm.toxicity import op4_toxicity
 from granary.llm.trie import OP12_SQL, op12_prefix_trie
+from granary.llm.warc import OP11_SQL, op11_warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +28,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_bpe, op3_token_counts, op4_toxicity, op5_quality, op6_sharding, op7_topk, op8_chat, op9_simhash, op10_pii, op12_prefix_trie, op13_filter_audit, pipeline]
+    found = [op1_decontaminate, op2_bpe, op3_token_counts, op4_toxicity, op5_quality, op6_sharding, op7_topk, op8_chat, op9_simhash, op10_pii, op11_warc, op12_prefix_trie, op13_filter_audit, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL, "op8_chat": OP8_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op7_topk": OP7_SQL, "op8_chat": OP8_SQL, "op11_warc": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}

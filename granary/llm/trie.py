@@ -122,7 +122,7 @@ def trie(rows: DataFrame) -> DataFrame:
     if not n_kinds:
         return spark.createDataFrame([], ", ".join(f"{c} {'string' if c == 'ends_sha256' else 'long'}" for c in _NODE))
     root = kinds.agg(F.max(F.when(F.col("length") == 0, F.col("ends"))).alias("ends")).select(F.lit(least).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.lit(n_convs).cast("long").alias("n_convs"), F.lit(2).cast("long").alias("n_kinds"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("length"), "ends")
-    levels, live, n = [root], kinds.filter("length > 0").withColumn("node", F.lit(least).cast("long")), n_kinds
+    levels, live, n = [cut(root)], kinds.filter("length > 0").withColumn("node", F.lit(least).cast("long")), n_kinds
     while not live.isEmpty():
         depth = len(levels)
         here = live.join(turns.filter(F.col("depth") == depth).select(F.col("conv_id").alias("rep"), "digest", "bytes", "below"), "rep")
