@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -50,6 +51,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """A table written in :func:`shared_folder` and read again; it goes when the application ends. Unlike :func:`cut` it brings
+    none of what Spark had concluded about the rows, which in a loop grows with each turn."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """A table that was cut, of ``rows`` rows, in no more partitions than these need; so small tables make few small files."""
     need = max(1, -(-rows // PART_ROWS))

@@ -15,14 +15,13 @@ a node is one stream, as SHA-256 is; it gets them sorted and holds none.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import columns_kept, cut, parts, read, shared_folder, ship
+from granary.llm.common import columns_kept, cut, parts, read, ship, stored
 from granary.operators.scan import in_ranges, joined, running
 
 BLOCK, HEADS = 5, 9
@@ -66,10 +65,7 @@ def rebuilt(spark: SparkSession, turns: DataFrame) -> tuple[DataFrame, DataFrame
     lead = convs.select("conv_id", "rest", "first", F.posexplode("first").alias("at", "turn"))
     left = add(F.slice("first", F.col("at") + 1, F.size("first"))) + F.col("rest")
     lead = lead.select("conv_id", (F.col("at") + 1).cast("long").alias("depth"), F.col("turn.digest").alias("digest"), F.col("turn.bytes").alias("bytes"), left.alias("below"))
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    in_ranges(own.unionByName(lead), parts(spark), "depth", ["conv_id"]).write.parquet(path.toString())
-    return spark.read.parquet(path.toString()), convs.select("conv_id", "length")
+    return stored(in_ranges(own.unionByName(lead), parts(spark), "depth", ["conv_id"])), convs.select("conv_id", "length")
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +112,13 @@ def trie(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     turns, convs = rebuilt(spark, own_turns(rows))
-    kinds = cut(sequences(turns, convs))
+    kinds = stored(sequences(turns, convs))
     total = convs.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     n_kinds, n_convs, least = kinds.agg(F.count(F.lit(1)), F.sum("weight"), F.min("rep")).first()
     if not n_kinds:
         return spark.createDataFrame([], ", ".join(f"{c} {'string' if c == 'ends_sha256' else 'long'}" for c in _NODE))
     root = kinds.agg(F.max(F.when(F.col("length") == 0, F.col("ends"))).alias("ends")).select(F.lit(least).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.lit(n_convs).cast("long").alias("n_convs"), F.lit(2).cast("long").alias("n_kinds"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("length"), "ends")
-    levels, live, n = [cut(root)], kinds.filter("length > 0").withColumn("node", F.lit(least).cast("long")), n_kinds
+    levels, live, n = [stored(root)], kinds.filter("length > 0").withColumn("node", F.lit(least).cast("long")), n_kinds
     while not live.isEmpty():
         depth = len(levels)
         here = live.join(turns.filter(F.col("depth") == depth).select(F.col("conv_id").alias("rep"), "digest", "bytes", "below"), "rep")
@@ -135,11 +131,11 @@ def trie(rows: DataFrame) -> DataFrame:
             F.max("length").alias("length"),
             F.max(F.when(F.col("length") == depth, F.col("ends"))).alias("ends"),
         )
-        nodes = cut(nodes)
+        nodes = stored(nodes)
         levels.append(nodes)
         several = nodes.filter("n_kinds > 1").select(F.col("parent").alias("node"), "digest", F.col("conv_id").alias("next"), "n_kinds")
         on = joined(here.filter(F.col("length") > depth), several, ["node", "digest"], "n_kinds", n)
-        live = cut(on.select("rep", "weight", "length", "ends", F.col("next").alias("node")))
+        live = stored(on.select("rep", "weight", "length", "ends", F.col("next").alias("node")))
         n = live.count()
     done, above = [], None
     for depth in reversed(range(len(levels))):
@@ -151,7 +147,7 @@ def trie(rows: DataFrame) -> DataFrame:
             kids = above.groupBy(F.col("parent").alias("conv_id")).agg(F.count(F.lit(1)).alias("c"), F.sum("n_leaves").alias("lv"), F.sum("saved_tokens").alias("sv"))
             x = x.join(kids, "conv_id", "left")
         count = F.coalesce("c", F.lit(0).cast("long"))
-        above = cut(
+        above = stored(
             x.select(
                 "conv_id",
                 "parent",
@@ -172,7 +168,7 @@ def trie(rows: DataFrame) -> DataFrame:
         for x in chains[1:]:
             starts = starts.unionByName(x)
         known = starts.join(kinds.withColumnRenamed("rep", "conv_id"), "conv_id")
-        tails = joined(turns, known, ["conv_id"], "length", total, cut).filter(F.col("depth") > F.col("from"))
+        tails = joined(turns, known, ["conv_id"], "length", total, stored).filter(F.col("depth") > F.col("from"))
         last = F.col("depth") == F.col("length")
         out = out.unionByName(tails.select("conv_id", "depth", F.col("conv_id").alias("parent_conv_id"), F.col("weight").alias("n_convs"), F.when(last, 0).otherwise(1).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), ((F.col("weight") - 1) * F.col("below")).alias("saved_tokens"), F.when(last, F.col("ends")).otherwise(F.lit(_NONE)).alias("ends_sha256")))
     return out.select(*_NODE)
