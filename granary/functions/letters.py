@@ -48,11 +48,6 @@ def variant_codes(codes: Column) -> Column:
     return F.nullif(F.array_join(parts, ","), codes)
 
 
-def upper_bound(codes: Column) -> Column:
-    """With ``codes`` the bounds of all strings of codes that start with it."""
-    return F.concat(codes, F.lit(",z"))
-
-
 def suffix_tokens(codes: Column, most: int | None = None) -> Column:
     """Every suffix of a string of codes that starts at a letter, the whole first; of each its first ``most`` letters."""
 

@@ -16,6 +16,7 @@ from granary.operators import lexical, vectors
 from granary.sources.store import kept
 
 #: Lines of a group have ids of their own without a global count: the group's id times this, and the place in it.
+#: A longer group is an error, as its ids would be the next one's.
 LINES_A_GROUP = 1 << 20
 #: Dimensions of the three indexes: the first half, the second half, all.
 INDEXES = {"a": (1, 32), "b": (33, 32), "c": (1, 64)}
@@ -62,7 +63,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_id, group_id, pos, line, letters), worked out from the documents."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = F.filter(F.split(F.lower("line"), "[^a-z]+"), lambda w: w != "")
-    return d.select((F.col("group_id") * LINES_A_GROUP + F.col("pos")).alias("line_id"), "group_id", "pos", "line", F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "").alias("letters"))
+    own = F.when(F.col("pos") < LINES_A_GROUP, F.col("group_id") * LINES_A_GROUP + F.col("pos")).otherwise(F.raise_error(F.concat(F.lit(f"a group of more than {LINES_A_GROUP} lines: "), F.col("group_id").cast("string"))))
+    return d.select(own.alias("line_id"), "group_id", "pos", "line", F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "").alias("letters"))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
