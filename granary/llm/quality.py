@@ -172,6 +172,16 @@ def _adam(grad: Any, x: np.ndarray, steps: int, rate: float) -> np.ndarray:
     return x
 
 
+def targets(good: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What lines are taken to be: those of good documents good, those of bad ones as they seem, but the worst of each is bad.
+    Chains that share a group are padded to its longest; ``n`` are their own lengths, and no place beyond counts."""
+    live = np.arange(good.shape[1]) < n[:, None]
+    out = np.where((y == 0)[:, None], (good > 0.5).astype(float), 1.0)
+    bad = np.flatnonzero(y == 0)
+    out[bad, np.where(live, good, 2.0).argmin(1)[bad]] = 0
+    return out
+
+
 def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS) -> Model:
     sizes = np.array([len(x) for x, _ in docs], int)
     groups = [(g, sizes[g]) for g in _groups(sizes)]
@@ -207,10 +217,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.n
             theta, moves = params[:WIDTH], params[WIDTH:].reshape(2, 2)
             for (g, n), x, t in zip(groups, padded, labels, strict=True):
                 good, _ = chain(x @ theta, n, moves)
-                bad = (y[g] == 0)[:, None]
-                t[:] = np.where(bad, (good > 0.5).astype(float), 1.0)
-                worst = good.argmin(1)
-                t[np.flatnonzero(bad[:, 0]), worst[bad[:, 0]]] = 0  # a bad document has a bad line
+                t[:] = targets(good, n, y[g])
     model = Model(params[:WIDTH], params[WIDTH:].reshape(2, 2), 1.0, 0.0)
     mean = np.array([m for m, _ in model.means(docs)])
     w = weight / weight.sum()
