@@ -1,16 +1,17 @@
 """Personal data to format-preserving pseudonyms: a keyed Feistel permutation within each value's own format.
 
-E-mail and IPv4 addresses, phone numbers, card numbers, IBANs (in one piece or in groups of four), social security numbers,
-dates, access keys, passwords and hexadecimal secrets are found by one pattern, validated, and replaced by other values of
+E-mail, IPv4 and IPv6 addresses, phone numbers (in one piece or with spaces where a word such as tel or call stands before),
+card numbers, IBANs (in one piece or in groups of four), social security numbers, dates, access keys, web tokens, private keys,
+passwords and secrets after a word for them, and hexadecimal secrets are found by one pattern, validated, and replaced by other values of
 the same kind and shape. Each round adds, modulo the size of one half's domain, a number drawn from SHA-256 of the key and
 the other half; so each format is permuted: unlike values stay unlike, equal values become equal everywhere, and whoever has
 the key can undo it. What validation says stays as it was: card numbers pass their Luhn test after as before, dates stay
 dates, an IBAN's check digits are computed anew. Numbers of 13 to 19 digits that fail the Luhn test, days that no calendar
-has, and what else fails its kind's validation, stay as they are, unless they follow ``password=``.
+has, and what else fails its kind's validation, stay as they are, unless they follow ``password=`` or its like.
 
 All of it is DataFrame functions: a text is split at the matches and put together again with the replaced ones. Texts of any
-length are searched whole, but for those without a digit, an @, an ``AKIA`` and a word for a password, in which no kind can
-stand; and secrets, passwords and addresses have no longest length.
+length are searched whole, but for those without a digit, an @, an equals sign, a quoted colon and the starts of keys, in which no
+kind can stand; and secrets, passwords and addresses have no longest length.
 
 Null texts stay null and empty ones empty. Rows are only mapped, so repeated rows, rows with a null or repeated id and extra
 columns come out as they went in, and an empty table stays empty. The key stands in the query's plan: keep event logs as you
@@ -19,6 +20,7 @@ keep the key.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,25 +36,33 @@ _MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LOCAL = "A-Za-z0-9À-ɏ._%+-"
-#: What stands before a password.
-_PASSWORD = r"[Pp](?i:assword|asswd|wd)(?:\s?=\s?[\"']?|[\"']\s?:\s?[\"'])"
+#: What stands before a password or a secret: a word for it and an equals sign, or a colon between quotes; or a colon alone,
+#: where a value of six characters or more with a digit follows, as prose has colons too.
+_WORD = r"(?i:pass(?:word|wd|phrase)?|pwd|secret(?:[_-]?(?:access[_-]?)?key)?|token|(?:api|access|private|auth)[_-]?key)"
+_PASSWORD = rf"{_WORD}(?:[\"']?\s?=\s?[\"']?|[\"']\s?:\s?[\"']|\s?:\s?(?=[^\s\"'<>,;&]{{6}})(?=[^\s\"'<>,;&0-9]*[0-9]))"
 #: Every match holds one of these; texts without are not searched.
-_HINT = "[0-9@]|[Pp](?i:assword|asswd|wd)|AKIA"
+_HINT = "[0-9@=]|[\"']\\s?:\\s?[\"']|AKIA|eyJ|PRIVATE KEY"
 #: Each alternative starts where no longer token of its kind can have begun and repeats single classes only, so no text is
 #: searched twice and no long one exhausts the stack.
 PATTERNS = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9][A-Za-z0-9.-]*(?<![.-])\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])(?!(?<=(?i:password|passwd|pwd))[\"']?\s?[=:])",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[\p{{L}}0-9][\p{{L}}0-9.-]*(?<![.-])\.\p{{L}}{{2,}}(?![\p{{L}}0-9-])(?!(?<=(?i:password|passwd|pwd))[\"']?\s?[=:])",
+    "pem": r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----(?:\s{1,4}[A-Za-z0-9+/=]{16,}+){1,400}(?:\s{1,4}[A-Za-z0-9+/=]{1,15}(?=\s{1,4}-----END))?",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "iban_groups": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: (?![A-Z]{2}[0-9]{2} )[A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{26,}+(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "password": rf"{_PASSWORD}[^\s\"'<>,;&]+(?<![.:!?)])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])|(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}|00[1-9][0-9]{0,2}(?=[ .-]))(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "said_phone": r"(?<=(?i:tel|phone|call|mobile|cell|fax)(?i: number| no\.?| me| us)?(?i: is| at| on)?[.:]?\s{1,2})[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     "number": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
+#: How a match looks by itself, where its pattern also asks for what stands around it.
+_ALONE = PATTERNS | {"said_phone": "[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}", "pem": r"(?s)-----BEGIN .*PRIVATE KEY-----\s.*"}
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -166,12 +176,12 @@ def _phone(v: Column, key: str) -> Column:
         rest = F.substring(v, F.length(code) + 1, F.length(v))
         return F.concat(code, _let(_digits(rest), lambda d: _refill(rest, permute_digits(d, key, "phone"))))
 
-    return _let(F.regexp_extract(v, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0), out)
+    return _let(F.regexp_extract(v, r"^((?:\+|00)[0-9]{1,3}(?=[ .(-]))?", 0), out)
 
 
 def _email(v: Column, key: str) -> Column:
     """The top-level domain and all punctuation stay; what stands before the first letter or digit is no part of it."""
-    parts = r"^([._%+-]*)(.*)(\.[A-Za-z]+)$"
+    parts = r"^([._%+-]*)(.*)(\.\p{L}+)$"
     return F.concat(F.regexp_extract(v, parts, 1), permute_text(F.regexp_extract(v, parts, 2), key, "email"), F.regexp_extract(v, parts, 3))
 
 
@@ -282,13 +292,27 @@ def _access_key(v: Column, key: str) -> Column:
     return F.concat(F.substring(v, 1, 4), permute_text(F.substring(v, 5, 16), key, "access_key"))
 
 
+def _jwt(v: Column, key: str) -> Column:
+    return F.concat(F.substring(v, 1, 3), permute_text(F.substring(v, F.lit(4), F.length(v)), key, "jwt"))
+
+
+def _ipv6(v: Column, key: str) -> Column:
+    return permute_text(v, key, "ipv6", _HEX_CLASSES)
+
+
+def _pem(v: Column, key: str) -> Column:
+    """The header stays, of the key itself each character is permuted within its class."""
+    head = F.regexp_extract(v, r"^-----BEGIN [A-Z ]*-----", 0)
+    return _let(head, lambda h: F.concat(h, permute_text(F.substring(v, F.length(h) + 1, F.length(v)), key, "pem")))
+
+
 def pseudonym(match: Column, key: str) -> Column:
     """The pseudonym of one match, by the first kind that its shape and its validation allow. A match that none allows
     stays as it is, but for what follows ``password=``."""
-    kinds: dict[str, Callable[[Column, str], Column]] = {"email": _email, "iban": _iban, "iban_groups": _iban_groups, "secret": _secret, "access_key": _access_key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "number": _number}
+    kinds: dict[str, Callable[[Column, str], Column]] = {"email": _email, "pem": _pem, "jwt": _jwt, "iban": _iban, "iban_groups": _iban_groups, "secret": _secret, "access_key": _access_key, "ip": _ip, "ipv6": _ipv6, "date": _date, "ssn": _ssn, "phone": _phone, "said_phone": _phone, "number": _number}
 
     def made(v: Column, otherwise: Column) -> Column:
-        return F.coalesce(*[F.when(v.rlike(f"^(?:{PATTERNS[kind]})$"), one(v, key)) for kind, one in kinds.items()], otherwise)
+        return F.coalesce(*[F.when(v.rlike(f"^(?:{_ALONE[kind]})$"), one(v, key)) for kind, one in kinds.items()], otherwise)
 
     def after(said: Column) -> Column:
         """Of ``password=`` and a value, the value is replaced."""
@@ -313,8 +337,11 @@ def pseudonymised(text: Column, key: str) -> Column:
 
 
 def key_of(spark: SparkSession) -> str:
-    """The key that ``KEY_SETTING`` holds; where it is unset, the public one."""
-    return spark.conf.get(KEY_SETTING, None) or PUBLIC_KEY
+    """The key that ``KEY_SETTING`` holds; where it is unset, the public one, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a key that everyone has, and so can be undone", stacklevel=2)
+    return key or PUBLIC_KEY
 
 
 def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
