@@ -156,8 +156,9 @@ KINDS = {
     "email": email, "pem": pem, "jwt": lambda v, k: v[:3] + letters(v[3:], k, "jwt"), "iban": iban, "iban_groups": groups, "secret": lambda v, k: letters(v, k, "secret", HEX), "access_key": lambda v, k: v[:4] + letters(v[4:], k, "access_key"),
     "ip": ip, "ipv6": lambda v, k: letters(v, k, "ipv6", HEX), "date": date, "ssn": ssn, "phone": phone, "said_phone": phone, "number": number,
 }
-SEARCH = regex.compile("(?a)" + "|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
-ALONE = {k: regex.compile(f"(?a)(?:{p})") for k, p in pii._ALONE.items()}
+LETTERS = lambda p: p.replace(r"[\p{L}", "[A-Za-zÀ-ɏ").replace(r"\p{L}", "[A-Za-zÀ-ɏ]")  # noqa: E731  the flag a narrows classes of letters
+SEARCH = regex.compile("(?a)" + LETTERS("|".join(f"(?:{p})" for p in pii.PATTERNS.values())))
+ALONE = {k: regex.compile(f"(?a)(?:{LETTERS(p)})") for k, p in pii._ALONE.items()}
 BEFORE = regex.compile(r"""(?ai)(?:(?:password|passwd|passphrase|pass|pwd|secret|secret[_-]?key|secret[_-]?access[_-]?key|token|(?:api|access|private|auth)[_-]?key)(?:["']?\s?=\s?["']?|["']\s?:\s?["']|\s?:\s?(?=[^\s"'<>,;&]{6})(?=\S*[0-9])))?""")
 
 
