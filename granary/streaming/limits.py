@@ -77,38 +77,109 @@ def fixed_window(requests: DataFrame, client: str, at: str, order: str, limit: i
 
 
 OUTPUT = StructType([StructField("client", StringType()), StructField("ord", LongType()), StructField("at", LongType()), StructField("allowed", BooleanType()), StructField("remaining", LongType())])
-_STATE = StructType([StructField(c, LongType()) for c in ("n", "start", "tn", "tstart")])
+#: Clients that are remembered at most, over all buckets; and the buckets that they are dealt to.
+MOST_CLIENTS, BUCKETS = 50_000, 64
+_KEY = StructType([StructField("client", StringType())])
+_STATE = StructType([StructField(c, LongType()) for c in ("n", "start", "tn", "tstart", "place")])
+_CLOCK = StructType([StructField("at", LongType()), StructField("place", LongType())])
+
+
+class Windows:
+    """The windows of a bucket's clients: at most ``most``, in the order in which they were first met.
+
+    Where a client more is met, those whose windows are over go first; if none is, the one that was met first.
+    """
+
+    def __init__(self, rule: Rule, most: int, held: dict[str, tuple[int, ...]], place: int = 0) -> None:
+        self.rule, self.most, self.place = rule, most, place
+        self.held = dict(sorted(held.items(), key=lambda kv: kv[1][4]))
+
+    def sweep(self, now: int) -> None:
+        over = lambda v: now - v[1] >= self.rule.window and (not v[2] or now - v[3] >= self.rule.window)
+        self.held = {k: v for k, v in self.held.items() if not over(v)}
+
+    def request(self, client: str, at: int, tight: bool) -> tuple[bool, int]:
+        known = self.held.get(client)
+        ok, state = self.rule.step(known[:4] if known else (0, 0, 0, 0), at, tight)
+        if known is None:
+            if len(self.held) >= self.most:
+                self.sweep(at)
+                if len(self.held) >= self.most:
+                    del self.held[next(iter(self.held))]
+            self.place += 1
+        self.held[client] = (*state, known[4] if known else self.place)
+        return ok, self.rule.limit - state[0]
 
 
 class Limiter(StatefulProcessor):
-    """The same rule on a stream: four numbers a client, which expire two windows after they last changed, by the clock of
-    the cluster. A client's rows of one micro-batch are put in order; so a trigger's size bounds what is held."""
+    """The same rule on a stream, for the clients of a bucket: a map of bounded size in the state store, swept by a timer once a window.
+
+    A bucket's rows of one micro-batch are put in order, so a trigger's size bounds what is held; of the state a worker holds
+    one bucket, of at most ``most`` clients. Only what changed is written back.
+    """
 
-    def __init__(self, rule: Rule, expire: bool = True) -> None:
-        self.rule, self.expire = rule, expire
+    def __init__(self, rule: Rule, most: int, expire: bool = True) -> None:
+        self.rule, self.most, self.expire = rule, most, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", _STATE, *[max(1, 2 * self.rule.window // 1000)] * self.expire)
+        self.handle = handle
+        self.windows = handle.getMapState("windows", _KEY, _STATE)
+        self.clock = handle.getValueState("clock", _CLOCK)
+
+    def _load(self) -> tuple[Windows, dict[str, tuple[int, ...]], int]:
+        before = {k[0]: tuple(v) for k, v in self.windows.iterator()}
+        at, place = tuple(self.clock.get()) if self.clock.exists() else (0, 0)
+        return Windows(self.rule, self.most, before, place), before, at
+
+    def _store(self, windows: Windows, before: dict[str, tuple[int, ...]], at: int) -> None:
+        for k in before.keys() - windows.held.keys():
+            self.windows.removeKey((k,))
+        for k, v in windows.held.items():
+            if before.get(k) != v:
+                self.windows.updateValue((k,), v)
+        self.clock.update((at, windows.place))
+
+    def _again(self, timers) -> None:  # noqa: ANN001
+        if self.expire and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + max(1, self.rule.window // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         frame = pd.concat(list(rows)).sort_values(["at", "ord"])
-        state = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, 0)
+        windows, before, now = self._load()
         allowed, remaining = [], []
-        for t, is_tight in zip(frame["at"].tolist(), frame["tight"].tolist(), strict=True):
-            ok, state = self.rule.step(state, t, bool(is_tight))
+        for who, t, tight, free in zip(frame["client"].tolist(), frame["at"].tolist(), frame["tight"].tolist(), frame["free"].tolist(), strict=True):
+            # a null client is one client; its name can't be another's
+            ok, left = (True, None) if free else windows.request("" if who is None or who != who else f"={who}", t, bool(tight))
             allowed.append(ok)
-            remaining.append(self.rule.limit - state[0])
-        self.state.update(state)
-        yield frame[["client", "ord", "at"]].assign(allowed=allowed, remaining=remaining)
+            remaining.append(left)
+        self._store(windows, before, max(now, int(frame["at"].max())))
+        self._again(timerValues)
+        yield frame[["client", "ord", "at"]].assign(allowed=allowed, remaining=pd.array(remaining, "Int64"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        windows, before, now = self._load()
+        windows.sweep(now)
+        self._store(windows, before, now)
+        if windows.held:
+            self._again(timerValues)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None, expire: bool = True) -> DataFrame:
-    """A stream of (client: string, ord, at) with what the limits say of each request. Exempt requests don't come out, as
-    they pass anyway. State expires by the clock, for which Spark runs batches without data for as long as the stream lives; a
-    query that shall end when its input does needs ``expire=False``, or ``noDataMicroBatches`` off."""
-    own = requests if exempt is None else requests.filter(~F.coalesce(exempt, F.lit(False)))
-    own = own.select("client", "ord", "at", (F.lit(False) if tight is None else F.coalesce(tight, F.lit(False))).alias("tight"))
-    return own.groupBy("client").transformWithStateInPandas(Limiter(Rule(limit, window_us, tight_limit), expire), OUTPUT, "Append", "ProcessingTime" if expire else "None")
+def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None, expire: bool = True, most: int = MOST_CLIENTS, buckets: int = BUCKETS, told_exempt: bool = False) -> DataFrame:
+    """A stream of (client: string, ord, at) with what the limits say of each request. Exempt requests pass anyway; they come out, with a null for
+    what is left, only if ``told_exempt``.
+
+    Clients are dealt to ``buckets`` by a hash. Their state is bounded: ``most`` clients in all, an equal share a bucket; the client that
+    was met first is forgotten, and so may begin a window anew. The sweep's timer goes by the clock of the cluster, what it takes away by the
+    latest request's time. For timers Spark runs batches without data for as long as the stream lives; a query that shall end when its input does needs
+    ``expire=False``, or ``noDataMicroBatches`` off.
+    """
+    no = F.lit(False)
+    own = requests.select("client", "ord", "at", (no if tight is None else F.coalesce(tight, no)).alias("tight"), (no if exempt is None else F.coalesce(exempt, no)).alias("free"))
+    own = own if told_exempt else own.filter("NOT free")
+    dealt = own.withColumn("bucket", F.pmod(F.xxhash64("client"), F.lit(buckets)).cast("int"))
+    limiter = Limiter(Rule(limit, window_us, tight_limit), max(1, most // buckets), expire)
+    return dealt.groupBy("bucket").transformWithStateInPandas(limiter, OUTPUT, "Append", "ProcessingTime" if expire else "None")
