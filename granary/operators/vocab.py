@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from granary.functions.text import indel_ratio
+from granary.operators.similar import alike
 
 # Thresholds of the ladder, and the letters that skeletons don't tell apart.
 FUZZY_RAAG, FUZZY_TAAL, MARGIN, FUZZY_LETTERS, SKELETON_LETTERS = 0.85, 0.80, 0.05, 4, 3
@@ -77,14 +77,11 @@ class Vocabulary:
         self.collisions = keys.filter(F.size("keys") > 1).select("skel", F.array_sort("keys").alias("keys"))
 
     def fuzzy(self, folds: DataFrame, accept: float) -> DataFrame:
-        """(fold, fuzzy_key, fuzzy_score): the most alike name, if no other key comes within the margin. Names whose length or
-        letters alone keep them under the margin are left out before any is compared."""
-        names = self.names.select(F.col("fold").alias("name"), "key").distinct()  # a vocabulary
-        m, n = F.length("fold"), F.length("name")
-        shared = n - F.length(F.call_function("translate", F.col("name"), F.col("fold"), F.lit("")))  # letters of the name that the text has at all
-        near = 2 * F.least(m, n, shared) >= (accept - MARGIN) * (m + n)
-        pairs = folds.filter(m >= FUZZY_LETTERS).select("fold").distinct().join(names, near)
-        scored = pairs.withColumn("s", indel_ratio(F.col("fold"), F.col("name"))).groupBy("fold", "key").agg(F.max("s").alias("s"))
+        """(fold, fuzzy_key, fuzzy_score): the most alike name, if no other key comes within the margin. Texts and names meet by the
+        keys of :mod:`granary.operators.similar`, so only those that can be alike are compared."""
+        names = self.names.select(F.col("fold").alias("name"), "key").distinct()
+        asked = folds.filter(F.length("fold") >= FUZZY_LETTERS).select("fold").distinct()
+        scored = alike(asked, "fold", names, "name", accept - MARGIN, "s").join(names, "name").groupBy("fold", "key").agg(F.max("s").alias("s"))
         w = Window.partitionBy("fold").orderBy(F.desc("s"), F.desc("key"))
         best = scored.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("s").over(w)).filter("n = 1")
         ok = (F.col("s") >= accept) & (F.coalesce(F.col("s") - F.col("second") >= MARGIN, F.lit(True)))
