@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from granary.sources.store import folder
+
 
 def in_ranges(rows: DataFrame, parts: int, key: str, order: Sequence[Column | str], cut: Sequence[Column | str] | None = None) -> DataFrame:
     """``rows`` in ranges of (key, order), sorted within each. ``cut`` are shorter sort keys of the same order for the bounds
@@ -23,6 +25,14 @@ def in_ranges(rows: DataFrame, parts: int, key: str, order: Sequence[Column | st
     return rows.repartitionByRange(parts, key, *(order if cut is None else cut)).sortWithinPartitions(key, *order)
 
 
+def hold(rows: DataFrame) -> DataFrame:
+    """``rows`` as a checkpoint, partition by partition, in the folder of kept tables where no other is set."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder(rows.sparkSession))
+    return rows.checkpoint()
+
+
 def _runs(column: pa.Array) -> np.ndarray:
     """Where the runs of equal values start; nulls equal each other."""
     codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)

@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators import catalogue, reading, vectors
+from granary.operators import catalogue, reading, scan, vectors
 from granary.plans import api, catalog, records
 from granary.plans import tables as T
 from granary.sources import packs, qindex
@@ -127,12 +127,15 @@ def _levels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def index_files(spark: SparkSession, sf: str) -> DataFrame:
-    """An index written as the files of its format and read again, with the agreement of its lines beside it."""
+    """A whole index written as the files of its format, in ranges of its rows by tasks, and read again."""
     at = f"{folder(spark)}/granary-files/{uuid4().hex}"
-    index = T.index(spark, sf).filter("id % 2 = 0")
-    qindex.write(index.select((F.col("id") / 2).cast("long").alias("row"), "id", "codes", "scale", "mask"), at, manifest={"index_dim": 64})
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    kept = T.index(spark, sf).select("id", "codes", "scale", "mask", F.lit(0).alias("all"))
+    numbered = scan.running(scan.hold(scan.in_ranges(kept, T.files(spark), "all", ["id"])), "all", rank="row")
+    qindex.write(numbered, at, manifest={"index_dim": 64})
     qindex.register(spark)
-    back = spark.read.format("qindex").option("rows", 100).load(at)
+    back = spark.read.format("qindex").load(at)
     total = F.aggregate("codes", F.lit(0).cast("long"), lambda n, c: n + c)
     return back.select("row", "id", total.alias("code_sum"), F.array_max("codes").cast("long").alias("code_max"), "mask")
 
@@ -314,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
     raags = f"SELECT i, 'r' || i AS key, {english} AS english, i % 2 AS in_ggs, CASE WHEN i BETWEEN 5 AND 8 THEN i - 5 END AS parent, CASE WHEN i % 3 > 0 THEN i * 7 % 10 END AS own FROM range(10) t(i)"
     found = f"SELECT group_id, arg_min(line, pos) AS matched_line FROM ({_LINES}) WHERE contains(trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 'of the') OR contains({_loose_sql('line')}, {_loose_sql(chr(39) + 'of the' + chr(39))}) GROUP BY group_id"
     return {
-        "index_files": f"SELECT id // 2 AS row, id, list_sum(codes)::BIGINT AS code_sum, list_max(codes)::BIGINT AS code_max, mask FROM ({index}) WHERE id % 2 = 0",
+        "index_files": f"SELECT row_number() OVER (ORDER BY id) - 1 AS row, id, list_sum(codes)::BIGINT AS code_sum, list_max(codes)::BIGINT AS code_max, mask FROM ({index})",
         "views_available": "SELECT * FROM (VALUES ('early', (SELECT count(*) > 0 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))), ('late', (SELECT count(*) > 0 FROM orders WHERE o_orderpriority IN ('3-MEDIUM', '5-LOW'))), ('none', false)) v(view, available)",
         "groups_whole": """WITH k AS (SELECT *, role = 'user' AS plain, first_value(CASE WHEN role <> 'user' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM conversations)
           SELECT conv_id, arg_min(text, turn) AS first_line, string_agg(CASE WHEN role = 'assistant' OR (plain AND coalesce(nxt = 'assistant', false)) THEN 'T' ELSE 'F' END, '' ORDER BY turn) AS flags, count(*) AS lines, count(DISTINCT role) AS topics,
