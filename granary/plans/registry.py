@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.functions.shipping import ship
-from granary.plans import browsing, notations, pages, records, retrieval, scripts, streams
+from granary.plans import browsing, notations, packing, pages, records, retrieval, scripts, streams
 
-_MODULES = (retrieval, browsing, scripts, pages, notations, records, streams)
+_MODULES = (retrieval, browsing, scripts, pages, notations, records, streams, packing)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
