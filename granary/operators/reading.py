@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions.numeric import round_half_up
+from granary.operators import scan
 
 #: A line ends a stanza if it closes with numbered dandas.
 STANZA_END = "॥\\s*[੦-੯]+(?:\\s*॥\\s*[੦-੯]+)*\\s*॥\\s*$"
@@ -32,6 +33,17 @@ def stanza_flags(lines: DataFrame, group: str, position: str, kind: str, ends: C
     return lines.withColumn("in_stanza", (F.col(kind) == "rahao") | (~breaker & F.coalesce(following == "rahao", F.lit(False))))
 
 
+def stanza_flags_in_ranges(lines: DataFrame, group: str, position: Sequence[str], kind: str, ends: Column, parts: int) -> DataFrame:
+    """As :func:`stanza_flags`, for groups that may be larger than a task: lines are dealt by ranges of (group, position), backwards, and what
+    the next breaker is goes from range to range."""
+    breaker = (F.col(kind) != "line") | ends
+    x = lines.withColumn("__breaker", F.when(breaker, F.col(kind)))
+    held = scan.hold(scan.in_ranges(x, parts, group, [F.desc(p) for p in position]))
+    done = scan.filled(held, group, "__breaker", "__next")
+    flag = (F.col(kind) == "rahao") | (F.col("__breaker").isNull() & F.coalesce(F.col("__next") == "rahao", F.lit(False)))
+    return done.withColumn("in_stanza", flag).drop("__breaker", "__next")
+
+
 def first_of(rows: DataFrame, group: str, value: str, position: str, where: Column | None = None, name: str | None = None) -> DataFrame:
     """(group, value): the value at the least position among the rows that ``where`` selects; groups without one have
     a null."""

@@ -118,6 +118,68 @@ def running(held: DataFrame, key: str, sums: Sequence[str] = (), rank: str = "ra
     return held.mapInArrow(add, StructType([*held.schema.fields, *more]))
 
 
+def filled(held: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """``held`` with ``name``: of each group's rows up to and with each one, the last value of ``column`` that isn't null; null where none
+    is. ``held`` is stored and in ranges, as for :func:`running`; what a partition brings along is one value."""
+    key_kind, kind = held.schema[key].dataType, held.schema[column].dataType
+
+    def last_in(values: pa.Array, start: int) -> pa.Scalar | None:
+        at = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False)[start:])
+        return values[start + int(at[-1])] if len(at) else None
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = value = None
+        seen, several = False, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, values = (b.column(b.schema.get_field_index(c)) for c in (key, column))
+            at = int(_runs(keys)[-1])
+            if not seen:
+                first, seen = keys[0:1], True
+            elif keys[0].as_py() != last[0].as_py():
+                several, value = True, None
+            if at:
+                several, value = True, None
+            last = keys[len(keys) - 1 :]
+            value = last_in(values, at) or value
+            typed = values.type
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([_partition()], pa.int32()), first, last, pa.array([several]), pa.array([value.as_py() if value is not None else None], typed)], ["part", "first", "last", "several", "value"])
+
+    part, several = StructType.fromDDL("part int, several boolean")
+    told = sorted(held.mapInArrow(ends, StructType([part, StructField("first", key_kind), StructField("last", key_kind), several, StructField("value", kind)])).collect(), key=lambda r: r["part"])
+    brought: dict[int, Any] = {}
+    state: tuple[Any, Any] | None = None
+    for r in told:
+        goes_on = state is not None and state[0] == r["first"]
+        if goes_on:
+            brought[r["part"]] = state[1]
+        alone = goes_on and not r["several"] and r["value"] is None
+        state = (r["last"], state[1] if alone else r["value"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, value = None, brought.get(_partition())
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, values = (b.column(b.schema.get_field_index(c)) for c in (key, column))
+            if last is not None and keys[0].as_py() != last[0]:
+                value = None
+            starts = _runs(keys)
+            begin = np.repeat(starts, np.diff(np.append(starts, len(keys))))
+            at = np.maximum.accumulate(np.where(values.is_valid().to_numpy(zero_copy_only=False), np.arange(len(keys)), -1))
+            out = values.take(pa.array(np.where(at >= begin, at, 0), mask=at < begin))
+            head = int((at[: len(begin)] < 0).sum()) if begin[0] == 0 else 0
+            head = min(head, int(starts[1]) if len(starts) > 1 else len(keys))
+            if value is not None and head:
+                out = pa.concat_arrays([pa.array([value] * head, values.type), out.slice(head)])
+            last, value = (keys[len(keys) - 1].as_py(),), out[len(out) - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, name])
+
+    return held.mapInArrow(add, StructType([*held.schema.fields, StructField(name, kind)]))
+
+
 def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The inner join of rows and their groups, of which one may hold most rows. ``size`` is a column of ``groups``: the
     rows of each, of ``total`` in all. Groups of more than a 2,000th of the rows, at most 2,000 of them, are broadcast; for

@@ -45,6 +45,13 @@ def stanza_flags(spark: SparkSession, sf: str) -> DataFrame:
     return reading.stanza_flags(_turns(spark, sf), "conv_id", "turn", "kind", ends).select("conv_id", "turn", "kind", "in_stanza")
 
 
+def stanza_flags_long(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns of all conversations, one after the other, as one group."""
+    ends = reading.is_stanza_end(F.col("text")) | F.col("text").endswith("?")
+    one = _turns(spark, sf).withColumn("all", F.lit(0))
+    return reading.stanza_flags_in_ranges(one, "all", ["conv_id", "turn"], "kind", ends, T.files(spark)).select("conv_id", "turn", "kind", "in_stanza")
+
+
 def translations_attach(spark: SparkSession, sf: str) -> DataFrame:
     """For each customer the clerk's choice of status by preference of priority, in two views."""
     o = T.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").agg(F.min(F.col("o_orderkey").cast("string")).alias("text"))
@@ -215,7 +222,7 @@ def _limit_sql(tight: bool) -> str:
 
 
 def queries() -> dict:
-    found = [lines_hydrate, group_header, stanza_flags, translations_attach, agreement_attach, context_nest, counts_attach, citations_nest, cited_sources, facet_roster, catalog_list, catalog_list_parent, catalog_page, catalog_thumb, match_lines, fold_roman, loose_roman, letters_by_sound, escape_html, json_in_text, rate_limit_fixed_window, rate_limit_tiered, access_log_redacted, client_key]
+    found = [lines_hydrate, group_header, stanza_flags, stanza_flags_long, translations_attach, agreement_attach, context_nest, counts_attach, citations_nest, cited_sources, facet_roster, catalog_list, catalog_list_parent, catalog_page, catalog_thumb, match_lines, fold_roman, loose_roman, letters_by_sound, escape_html, json_in_text, rate_limit_fixed_window, rate_limit_tiered, access_log_redacted, client_key]
     return {f.__name__: f for f in found}
 
 
@@ -232,6 +239,9 @@ def oracle_sql() -> dict[str, str]:
         "stanza_flags": f"""SELECT conv_id, turn, kind, kind = 'rahao' OR (NOT brk AND coalesce(nxt = 'rahao', false)) AS in_stanza FROM (
           SELECT *, first_value(CASE WHEN brk THEN kind END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt
           FROM (SELECT conv_id, turn, {_K} AS kind, ({_K} <> 'line' OR ends_with(text, '?')) AS brk FROM conversations))""",
+        "stanza_flags_long": f"""SELECT conv_id, turn, kind, kind = 'rahao' OR (NOT brk AND coalesce(nxt = 'rahao', false)) AS in_stanza FROM (
+          SELECT *, first_value(CASE WHEN brk THEN kind END IGNORE NULLS) OVER (ORDER BY conv_id, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt
+          FROM (SELECT conv_id, turn, {_K} AS kind, ({_K} <> 'line' OR ends_with(text, '?')) AS brk FROM conversations))""",
         "translations_attach": f"SELECT c_custkey, {pick(URGENT, 'tr_first')}, {pick(REST, 'tr_second')} FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
         "agreement_attach": f"SELECT vec_id, CASE WHEN isfinite(c) THEN floor(c * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE END AS halves FROM (SELECT vec_id, {dotp(a, b)} / sqrt({dotp(a, a)} * {dotp(b, b)}) AS c FROM embeddings)",
         "context_nest": "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS bhav, count(*) FILTER (WHERE role = 'assistant') AS n_stanzas, coalesce(string_agg(turn || '/1', ',' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS stanzas, array_to_string(list_sort(list(DISTINCT role)), ',') AS topics FROM conversations GROUP BY conv_id",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators.scan import in_ranges, joined, running
+from granary.operators.scan import filled, hold, in_ranges, joined, running
 
 
 @pytest.mark.parametrize("n", [1, 3, 40])
@@ -33,3 +33,32 @@ def test_joined_with_a_hot_group(spark):
     out = joined(rows, groups, ["k"], "n", 9000)
     want = rows.join(groups, "k")
     assert sorted(map(tuple, out.select("k", "id", "n", "least").collect())) == sorted(map(tuple, want.select("k", "id", "n", "least").collect()))
+
+
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_filled_over_ranges(spark, n):
+    rng = random.Random(n + 7)
+    rows = [(rng.choice([None, 1, 1, 1, 1, 2, 9]), i, rng.choice([None] * 30 + ["a", "b", ""])) for i in range(2000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        held = hold(in_ranges(spark.createDataFrame(rows, "k long, o long, x string").repartition(5), n, "k", [F.desc("o")]))
+        got = {(r.k, r.o): r.y for r in filled(held, "k", "x", "y").collect()}
+        ranks = {(r.k, r.o): r.rank for r in running(held, "k").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, places, state, place = {}, {}, {}, {}
+    for k, o, x in sorted(rows, key=lambda r: -r[1]):
+        state[k] = x if x is not None else state.get(k)
+        place[k] = place.get(k, -1) + 1
+        want[k, o], places[k, o] = state[k], place[k]
+    assert got == want and ranks == places
+
+
+def test_stanzas_of_a_group_larger_than_a_task(spark):
+    from granary.operators import reading
+
+    rng = random.Random(2)
+    rows = [(1 if i < 3000 else 2 + i % 3, i, rng.choices(["line", "rahao", "heading"], [20, 1, 1])[0], rng.random() < 0.02) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g long, p long, kind string, brk boolean")
+    flags = lambda d: sorted((r.g, r.p, r.in_stanza) for r in d.collect())
+    assert flags(reading.stanza_flags_in_ranges(df, "g", ["p"], "kind", F.col("brk"), 13)) == flags(reading.stanza_flags(df, "g", "p", "kind", F.col("brk")))
