@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from granary.functions.letters import LETTERS, typed_keys
 
 # Rows of letters (five of LETTERS each), dotted letters, signs; the sound of each letter; the letter that a
@@ -27,3 +30,14 @@ def physical() -> dict[str, str]:
         if len(key) == 1:
             out.setdefault(key, letter)
     return out
+
+
+def typed(text: Column) -> Column:
+    """What physical keys write: each key's letter; what is on no key stays."""
+    own = physical()
+    return F.translate(text, "".join(own), "".join(own.values()))
+
+
+def main_letters(text: Column) -> Column:
+    """The letters of a text without signs, dots, spaces and all else."""
+    return F.regexp_replace(text, f"[^{LETTERS}]", "")

@@ -317,22 +317,26 @@ def texts(records: DataFrame, key: str, body: str, taals: Mapping[str, Taal], sc
 
 
 def parsed(rows: DataFrame, key: str, line: str) -> DataFrame:
-    """(id, kind, matra_from, pos, s, o, k, t, ext, rest) of every beat that a printed line writes; a beat with several notes has
-    as many rows. A line that can't be read is an error."""
+    """(id, kind, matra_from, pos, s, o, k, t, ext, rest, error) of every beat that a printed line writes; a beat with several notes has
+    as many rows. A line that can't be read is a row with what is wrong with it, and nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "kind", "matra_from", "pos", "s", "o", "k", "t", "ext", "rest"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.bool_()] * 4]
+        names = ["id", "kind", "matra_from", "pos", "s", "o", "k", "t", "ext", "rest", "error"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.bool_()] * 4, pa.string()]
         for batch in batches:
             out = []
             for name, printed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = parse_line(printed or "")
+                try:
+                    p = parse_line(printed or "")
+                except (ValueError, KeyError, IndexError) as why:
+                    out.append((name, *[None] * 9, str(why) or type(why).__name__))
+                    continue
                 for i, beat in enumerate(p["beats"]):
                     for n in beat.get("notes") or [{}]:
-                        out.append((name, p["kind"], p["matra_from"], i, n.get("s"), n.get("o", 0), n.get("k", False), n.get("t", False), beat.get("ext", False), beat.get("rest", False)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names)
+                        out.append((name, p["kind"], p["matra_from"], i, n.get("s"), n.get("o", 0), n.get("k", False), n.get("t", False), beat.get("ext", False), beat.get("rest", False), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 11, kinds, strict=True)], names)
 
-    return rows.select(F.col(key).cast("string"), line).mapInArrow(run, "id string, kind string, matra_from int, pos int, s string, o int, k boolean, t boolean, ext boolean, rest boolean")
+    return rows.select(F.col(key).cast("string"), line).mapInArrow(run, "id string, kind string, matra_from int, pos int, s string, o int, k boolean, t boolean, ext boolean, rest boolean, error string")
 
 
 _GRID = "id string, ord int, section string, n int, kind string, matra_from int, taal string, swar array<string>, marks array<string>, vibhag array<boolean>, bol array<string>, line string"

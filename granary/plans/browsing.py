@@ -157,7 +157,7 @@ def json_in_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    e = T.read(spark, sf, "events").filter("event_type <> 'error'")
+    e = T.read(spark, sf, "events")
     return e.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
@@ -188,7 +188,7 @@ _L = f"""SELECT doc_id * {T.LINES_A_GROUP} + i - 1 AS line_id, doc_id AS group_i
   array_to_string(list_transform(list_filter(string_split_regex(lower(ls[i]), '[^a-z]+'), lambda w: w <> ''), lambda w: w[1]), '') AS letters
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"""
 _K = "CASE role WHEN 'system' THEN 'heading' WHEN 'user' THEN 'line' WHEN 'assistant' THEN 'rahao' END"
-_REQ = "SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events WHERE event_type <> 'error'"
+_REQ = "SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events"
 
 
 def _fold_sql(x: str) -> str:

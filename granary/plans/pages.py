@@ -110,9 +110,12 @@ def packs_required(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether tables are there, by name."""
-    T.read(spark, sf, "nation").createOrReplaceTempView("granary_probe")
-    return spark.createDataFrame(sorted(catalog.table_exists(spark, ["granary_probe", "granary_absent"]).items()), "name string, there boolean")
+    """Whether tables are there, by name, and how many rows each has."""
+    T.read(spark, sf, "orders").createOrReplaceTempView("granary_probe")
+    there = catalog.table_exists(spark, ["granary_probe", "granary_absent"])
+    found = [spark.table(n).agg(F.count("*").alias("rows")) if yes else spark.range(1).select(F.lit(-1).cast("long").alias("rows")) for n, yes in sorted(there.items())]
+    shown = [x.select(F.lit(n).alias("name"), F.lit(yes).alias("there"), "rows") for x, (n, yes) in zip(found, sorted(there.items()), strict=True)]
+    return shown[0].unionByName(shown[1])
 
 
 # ---- vectors by level, groups of lines
@@ -328,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
           ('en', 'root', 100, 'neighbours,text,ask', 'latin', true, 1), ('pa', 'a', 20, 'neighbours,text,ask', 'gurmukhi,latin', true, 2), ('en', 'b', 5, 'text', 'latin', false, 1), ('en', 'd', 5, '', 'latin', false, 1), ('lab', 'e', 7, 'neighbours', 'gurmukhi', true, -1)) v(name, folder, ord, roles, scripts, loaded, l)""",
         "json_bodies": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"' || CASE WHEN n_regionkey > 1 THEN ',"region":' || n_regionkey ELSE '' END || '}' AS body FROM nation""",
         "packs_required": "WITH RECURSIVE r AS (SELECT p_partkey AS pack FROM part WHERE p_partkey % 50 = 0 AND p_partkey > 0 UNION SELECT n FROM (SELECT unnest([pack // 2, CASE WHEN pack % 3 = 0 THEN pack // 3 ELSE 0 END]) AS n FROM r) WHERE n > 0) SELECT pack FROM r",
-        "table_probe": "SELECT * FROM (VALUES ('granary_absent', false), ('granary_probe', true)) v(name, there)",
+        "table_probe": "SELECT 'granary_absent' AS name, false AS there, -1::BIGINT AS rows UNION ALL SELECT 'granary_probe', true, count(*) FROM orders",
         "vec_predicate": f"SELECT id, score FROM ({_search_sql('mask AND id % 7 = 3')})",
         "vec_rows": "SELECT p_partkey AS id, coalesce(vec_id, -1) AS row FROM part LEFT JOIN embeddings ON vec_id = p_partkey",
         "vec_levels": f"""WITH {levels} SELECT 'lines' AS level, * FROM {top("i", q1, 3, "mask")} UNION ALL SELECT 'groups', * FROM {top("groups", q1, 3)} UNION ALL SELECT 'refrains', * FROM {top("refrains", q1, 3)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
-from granary.operators import render, vectors
+from granary.operators import render, scan, vectors
 from granary.operators.encode import Encoder
 from granary.plans import catalog
 from granary.plans import tables as T
@@ -32,21 +32,40 @@ def manifests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MANIFESTS, catalog.MANIFEST)
 
 
+def manifests_of(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of every part: what it leaves out, and whose name it shares, follow from its numbers."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    none = F.lit(None)
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    return T.read(spark, sf, "part").select(
+        F.replace("p_name", F.lit(" "), F.lit("-")).alias("folder"),
+        k.cast("int").alias("ord"),
+        F.when(k % 7 == 3, "documents").otherwise(none).alias("kind"),
+        F.when(k % 5 > 0, F.concat(F.lit("i"), k % 97)).otherwise(none).alias("index"),
+        F.when(k % 4 == 0, "translations").when(k % 4 == 1, "gurmukhi_uni").when(k % 4 == 2, F.col("p_brand")).otherwise(none).alias("text_source"),
+        F.when(size % 3 == 0, strings("latin")).when(size % 3 == 1, strings("gurmukhi")).otherwise(none).alias("query_scripts"),
+        F.when(size % 5 == 0, strings("text", "magic")).when(size % 5 == 1, strings()).when(size % 5 == 2, strings("neighbours")).otherwise(none).alias("roles"),
+        F.when(size % 4 == 0, size / 10).otherwise(none).cast("double").alias("ask_weight"),
+        F.when(size % 2 == 0, size).otherwise(none).cast("int").alias("order"),
+        F.when(k % 6 == 0, "TRUE").when(k % 6 == 1, "false").when(k % 6 == 2, "gloss").otherwise(none).alias("enriched"),
+    )
+
+
 def registry_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    n = catalog.normalize_manifests(manifests(spark))
-    return n.select("folder", "name", "text_source", "text_lang", F.array_join("query_scripts", ",").alias("scripts"), F.array_join("roles", ",").alias("roles"), "ask_weight", F.col("order").cast("long").alias("ord"), "enriched")
+    n = catalog.normalize_manifests(manifests_of(spark, sf))
+    return n.select(F.col("ord").cast("long").alias("p_partkey"), "folder", "name", "text_source", "text_lang", F.array_join("query_scripts", ",").alias("scripts"), F.array_join("roles", ",").alias("roles"), "ask_weight", F.col("order").cast("long").alias("place"), "enriched")
 
 
 def registry_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.first_by_name(catalog.normalize_manifests(manifests(spark))).select("folder", "name", "loaded")
+    return catalog.first_by_name(catalog.normalize_manifests(manifests_of(spark, sf))).select(F.col("ord").cast("long").alias("p_partkey"), "folder", "name", "loaded")
 
 
 def registry_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries that can answer texts, with their place."""
-    from pyspark.sql.window import Window
-
-    n = catalog.with_role(catalog.first_by_name(catalog.normalize_manifests(manifests(spark))).filter("loaded"), "text")
-    return n.select("name", F.row_number().over(Window.orderBy("order", "name")).cast("long").alias("place"))
+    """Entries that can answer texts, with their place among all of them."""
+    n = catalog.with_role(catalog.first_by_name(catalog.normalize_manifests(manifests_of(spark, sf))).filter("loaded"), "text")
+    able = n.select("name", "order", F.lit(0).alias("all"))
+    held = scan.hold(scan.in_ranges(able, T.files(spark), "all", ["order", "name"]))
+    return scan.running(held, "all", rank="before").select("name", (F.col("before") + 1).alias("place"))
 
 
 def param_bounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,8 +98,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    lit = lambda v: "NULL" if v is None else "[" + ", ".join(f"'{x}'" for x in v) + "]::VARCHAR[]" if isinstance(v, list) else repr(v)
-    m = "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in MANIFESTS) + ") m(folder, ord, kind, idx, src, scripts, roles, weight, pos, enriched)"
+    m = """(SELECT replace(p_name, ' ', '-') AS folder, p_partkey AS ord, CASE WHEN p_partkey % 7 = 3 THEN 'documents' END AS kind, CASE WHEN p_partkey % 5 > 0 THEN 'i' || (p_partkey % 97) END AS idx,
+        CASE p_partkey % 4 WHEN 0 THEN 'translations' WHEN 1 THEN 'gurmukhi_uni' WHEN 2 THEN p_brand END AS src, CASE p_size % 3 WHEN 0 THEN ['latin'] WHEN 1 THEN ['gurmukhi'] END AS scripts,
+        CASE p_size % 5 WHEN 0 THEN ['text', 'magic'] WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN ['neighbours'] END AS roles, CASE WHEN p_size % 4 = 0 THEN p_size::DOUBLE / 10 END AS weight, CASE WHEN p_size % 2 = 0 THEN p_size END AS pos,
+        CASE p_partkey % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'gloss' END AS enriched FROM part) m"""
     every = "['neighbours', 'text', 'ask']"
     n = f"""SELECT folder, ord, kind, coalesce(idx, 'en') AS name, coalesce(CASE src WHEN 'translations' THEN 'ssk,bdb,ms' ELSE src END, 'unknown') AS text_source,
         CASE WHEN src = 'gurmukhi_uni' THEN 'pa' ELSE 'en' END AS text_lang, coalesce(scripts, CASE WHEN src = 'gurmukhi_uni' THEN ['gurmukhi', 'latin'] ELSE ['latin'] END) AS scripts,
@@ -94,8 +115,8 @@ def oracle_sql() -> dict[str, str]:
     asked = f"(SELECT list((x / n)::FLOAT ORDER BY j) FROM (SELECT j, x, sqrt(sum(x * x) OVER ()) AS n FROM ({states})))"
     return {
         "text_search": _search_sql(q=asked).replace("SELECT id, label,", "SELECT id,"),
-        "registry_normalize": f"SELECT folder, name, text_source, text_lang, array_to_string(scripts, ',') AS scripts, array_to_string(roles, ',') AS roles, ask_weight, pos AS ord, enriched FROM ({n})",
-        "registry_dedupe": f"SELECT folder, name, loaded FROM ({loaded})",
+        "registry_normalize": f"SELECT ord AS p_partkey, folder, name, text_source, text_lang, array_to_string(scripts, ',') AS scripts, array_to_string(roles, ',') AS roles, ask_weight, pos AS place, enriched FROM ({n})",
+        "registry_dedupe": f"SELECT ord AS p_partkey, folder, name, loaded FROM ({loaded})",
         "registry_order": f"SELECT name, row_number() OVER (ORDER BY pos, name) AS place FROM ({loaded}) WHERE loaded AND list_contains(roles, 'text')",
         "param_bounds": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 10 ELSE greatest(1, least(50, floor(value)::BIGINT)) END::BIGINT AS k, CASE WHEN floor(value) >= 0 THEN floor(value)::BIGINT END AS id FROM events",
         "script_capability": "SELECT doc_id, lang IS DISTINCT FROM 'de' AS latin, true AS both FROM documents",

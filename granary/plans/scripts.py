@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.letters import LETTERS
 from granary.functions import keyboard
 from granary.functions import letters as L
 from granary.functions import text as X
@@ -56,10 +57,19 @@ def fl_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyboard_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Every letter's key, whether a physical key writes it, and the letter that its sound writes if one key can."""
+    """Every letter's key, whether a physical key writes it, the letter that its sound writes if one key can, and how often the key is
+    struck to type all parts' names and types."""
     own = {letter: key for key, letter in keyboard.physical().items()}
     rows = [(r, p, c, s, k, c in own, keyboard.SOUND_KEYS.get(s)) for r, p, c, s, k in keyboard.keys()]
-    return spark.createDataFrame(rows, "row long, place long, letter string, sound string, key string, physical boolean, by_sound string")
+    keys = spark.createDataFrame(rows, "row long, place long, letter string, sound string, key string, physical boolean, by_sound string")
+    struck = T.read(spark, sf, "part").select(F.explode(F.split(F.concat("p_name", "p_type"), "")).alias("key")).groupBy("key").agg(F.count("*").alias("struck"))
+    return keys.join(struck, "key", "left").select(*keys.columns, F.coalesce("struck", F.lit(0)).alias("struck"))
+
+
+def keyboard_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """All parts' names as a typist on the physical keys would write them, and what first letters there are among it."""
+    typed = keyboard.typed(F.col("p_name"))
+    return T.read(spark, sf, "part").select("p_partkey", typed.alias("typed"), keyboard.main_letters(typed).alias("letters"))
 
 
 def fold_native_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +174,7 @@ ROMAN = render.Roman({c: x for x, c in _CONSONANTS.items() if x not in "qwxz"},
 
 
 def queries() -> dict:
-    found = [fl_query_codes, fl_prefix_bounds, fl_highlight, fl_limits, keyboard_keys, fold_native_lines, vocab_folds, native_digits, word_spans, image_addresses, record_ids, param_texts, param_langs, roman_of, line_romans, stanza_ends, encoder_fingerprints]
+    found = [fl_query_codes, fl_prefix_bounds, fl_highlight, fl_limits, keyboard_keys, keyboard_typed, fold_native_lines, vocab_folds, native_digits, word_spans, image_addresses, record_ids, param_texts, param_langs, roman_of, line_romans, stanza_ends, encoder_fingerprints]
     return {f.__name__: f for f in found}
 
 
@@ -180,6 +190,7 @@ def _squeezed(x: str, letters: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    typed_from, typed_to = "aAeshkKgG|cCjJ\\tTfFxqQdDnpPbBmXrlvV", LETTERS
     codes = "array_to_string(list_transform(regexp_extract_all(k, '.'), lambda c: CASE WHEN c = '+' THEN c ELSE ',' || CASE WHEN ord(c) < 100 THEN '0' ELSE '' END || ord(c) END), '')"
     native = "translate(lower(n), '" + "".join(_SCRIPT) + "', '" + "".join(_SCRIPT.values()) + "')"
     latin = "lower(p_name || ' ' || p_brand || ' ' || p_type)"
@@ -199,9 +210,10 @@ def oracle_sql() -> dict[str, str]:
           a AS (SELECT *, CASE WHEN contains(letters, 'ste') THEN instr(letters, 'ste') ELSE nullif(instr(translate(letters, 'S', 's'), 'ste'), 0) END AS spot FROM m)
           SELECT line_id, coalesce(place[spot], -1) AS first, coalesce(place[spot + 2], -1) AS last, len(place) AS n, coalesce(list_sum(place), 0)::BIGINT AS places FROM a""",
         "fl_limits": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN 20 ELSE greatest(0, least(1000, floor((value - 10) * 20))) END::BIGINT AS n FROM events",
-        "keyboard_keys": "SELECT least(7, i // 5)::BIGINT AS row, CASE WHEN i < 35 THEN i % 5 ELSE i - 35 END::BIGINT AS place, letter, sound, key, i < 35 AS physical, CASE WHEN sound IN ('ng', 'ny', 'sh', 'L') OR length(sound) > 1 THEN NULL WHEN sound = 'f' THEN 'ਫ਼' WHEN sound = 'z' THEN 'ਜ਼' ELSE letter END AS by_sound FROM (SELECT i, letter, string_split('u a i s h k kh g gh ng ch chh j jh ny T Th D Dh N t th d dh n p ph b bh m y r l v R sh khh ghh z f L', ' ')[i + 1] AS sound, 'aAeshkKgG|cCjJ\\tTfFxqQdDnpPbBmXrlvVsKgjPl'[i + 1] AS key FROM (VALUES "
+        "keyboard_keys": "SELECT least(7, i // 5)::BIGINT AS row, CASE WHEN i < 35 THEN i % 5 ELSE i - 35 END::BIGINT AS place, letter, sound, key, i < 35 AS physical, CASE WHEN sound IN ('ng', 'ny', 'sh', 'L') OR length(sound) > 1 THEN NULL WHEN sound = 'f' THEN 'ਫ਼' WHEN sound = 'z' THEN 'ਜ਼' ELSE letter END AS by_sound, coalesce((SELECT count(*) FROM (SELECT unnest(string_split(p_name || p_type, '')) AS c FROM part) WHERE c = key), 0)::BIGINT AS struck FROM (SELECT i, letter, string_split('u a i s h k kh g gh ng ch chh j jh ny T Th D Dh N t th d dh n p ph b bh m y r l v R sh khh ghh z f L', ' ')[i + 1] AS sound, 'aAeshkKgG|cCjJ\\tTfFxqQdDnpPbBmXrlvVsKgjPl'[i + 1] AS key FROM (VALUES "
         + ", ".join(f"({i}, '{c}')" for i, c in keys)
         + ") v(i, letter))",
+        "keyboard_typed": f"SELECT p_partkey, typed, regexp_replace(typed, '[^{LETTERS}]', '', 'g') AS letters FROM (SELECT p_partkey, translate(p_name, '{typed_from}', '{typed_to}') AS typed FROM part)",
         "fold_native_lines": f"SELECT line_id, trim(regexp_replace(translate(line, 'sgldt', 'ਸਗਲਖਕ') || '   x', '{_SINGLE}', ' ', 'g')) AS folded FROM ({_LINES})",
         "vocab_folds": f"""WITH f AS (SELECT p_partkey, {letters_only} AS latin, array_to_string(list_transform(string_split(p_name || ' ' || p_type, ' '), lambda n: regexp_replace({native}, '[ੁਿ]$', '')), ' ') AS native FROM part)
           SELECT p_partkey, latin, {skeleton} AS latin_skeleton, native, {native_skeleton} AS native_skeleton FROM f""",

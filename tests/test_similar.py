@@ -80,3 +80,17 @@ def test_names_are_found_without_a_nested_loop(spark):
     found.count()
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
     assert {r.method for r in found.select("method").distinct().collect()} >= {"alias", "skeleton", "fuzzy", "partial", "none"} and vocab.MARGIN and notations.queries()
+
+
+def test_a_line_that_cannot_be_read_is_a_row(spark):
+    from granary.operators import render
+
+    rows = [("a", "S | R"), ("b", "??? not a line ⟨"), ("c", None)]
+    got = {r.id: r for r in render.parsed(spark.createDataFrame(rows, "id string, line string"), "id", "line").filter("error IS NOT NULL").collect()}
+    bad = []
+    for k, x in rows:
+        try:
+            render.parse_line(x or "")
+        except ValueError:
+            bad.append(k)
+    assert bad and sorted(got) == bad and all(r.error and r.kind is None and r.pos is None for r in got.values())
