@@ -22,6 +22,7 @@ from granary.functions.numeric import RRF_OFFSET, clamp_k, dequantize, dot, proj
 from granary.sources.store import folder
 
 #: Queries that go to all rows at once; more go in several rounds.
+SENT_BYTES = 64 << 20
 BATCH_QUERIES = 2_000
 
 
@@ -122,42 +123,49 @@ def similar_many(index: DataFrame, items: Sequence[int], k: int = 10, *, depth_c
     return out
 
 
-def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block: int = BATCH_QUERIES) -> DataFrame:
-    """(qid, rank, id, score) for a DataFrame (qid, qrow, q) of queries, by matrix products.
+def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block: int = BATCH_QUERIES, sent: int = SENT_BYTES) -> DataFrame:
+    """(qid, rank, id, score) for a DataFrame (qid, qrow, q) of queries, by matrix products of tiles: ``block`` queries by a batch of rows.
 
-    The queries go to all rows in blocks of about ``block``, which is all that is broadcast. Each Arrow batch gives its
-    k best for each query, a window keeps the k best of these. Of several blocks each is a job whose result is written, so
-    neither the plan nor the driver grows with their number.
+    Up to ``sent`` bytes of queries go to all tasks at once, so 100,000 of 64 numbers are one job and one scan. A task keeps
+    the k best of each query over all its batches and gives these at its end; a window keeps the k best of the tasks'. Only what is beyond
+    those bytes is a job more, whose result is written, so neither the plan nor the driver grows with their number.
     """
     spark = index.sparkSession
-    blocks = max(1, -(-queries.count() // block))
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    jobs = max(1, -(-n * (8 * (width or 0) + 16) // sent))
     at = f"{folder(spark)}/granary-neighbours/{uuid4().hex}"
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
+    for j in range(jobs):
+        own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(jobs)) == j).toArrow()
         qid, qrow = (own.column(c).to_numpy() for c in ("qid", "qrow"))
         q = np.array(own.column("q").to_pylist(), float).reshape(len(qid), -1 if len(qid) else 0)
-        sent = spark.sparkContext.broadcast((qid, qrow, q))
+        told = spark.sparkContext.broadcast((qid, qrow, q))
 
-        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
-            qid, qrow, q = sent.value
+        def run(batches: Iterator[pa.RecordBatch], told: object = told) -> Iterator[pa.RecordBatch]:
+            qid, qrow, q = told.value
+            best = [np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max), np.zeros((len(qid), k), np.int64)]
             for batch in batches:
                 if not batch.num_rows or not len(qid):
                     continue
-                codes = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-                row = batch.column(0).to_numpy()
-                score = np.floor(q @ codes.T.astype(float) * batch.column(3).to_numpy().astype(float) * 1e6 + 0.5) / 1e6
-                score[qrow[:, None] == row] = -np.inf
-                n = min(k, len(row))
-                order = np.lexsort((np.broadcast_to(row, score.shape), -score), axis=1)[:, :n]
-                kept = np.take_along_axis(score, order, 1).ravel()
-                ok = np.isfinite(kept)
-                ids = batch.column(1).to_numpy()[order].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)[ok]), pa.array(row[order].ravel()[ok]), pa.array(ids[ok]), pa.array(kept[ok])], ["qid", "row", "id", "score"])
+                codes = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1).T.astype(float)
+                row, ids, scale = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy().astype(float)
+                for lo in range(0, len(qid), block):
+                    part = slice(lo, lo + block)
+                    score = np.floor(q[part] @ codes * scale * 1e6 + 0.5) / 1e6
+                    score[qrow[part, None] == row] = -np.inf
+                    wide = lambda x, score=score: np.broadcast_to(x, score.shape)
+                    found = [np.concatenate(x, axis=1) for x in zip([b[part] for b in best], (score, wide(row), wide(ids)), strict=True)]
+                    order = np.lexsort((found[1], -found[0]), axis=1)[:, :k]
+                    for b, x in zip(best, found, strict=True):
+                        b[part] = np.take_along_axis(x, order, 1)
+            for lo in range(0, len(qid), block):
+                score, row, ids = (b[lo : lo + block].ravel() for b in best)
+                ok = np.isfinite(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[lo : lo + block], k)[ok]), pa.array(row[ok]), pa.array(ids[ok]), pa.array(score[ok])], ["qid", "row", "id", "score"])
 
         part = index.filter("mask").select("row", "id", "codes", "scale").mapInArrow(run, "qid long, row long, id long, score double")
         ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("row"))))
         best = ranked.filter(F.col("rank") <= k).select("qid", "rank", "id", "score")
-        if blocks == 1:
+        if jobs == 1:
             return best
         best.write.mode("append").parquet(at)
     return spark.read.parquet(at)

@@ -62,3 +62,17 @@ def test_stanzas_of_a_group_larger_than_a_task(spark):
     df = spark.createDataFrame(rows, "g long, p long, kind string, brk boolean")
     flags = lambda d: sorted((r.g, r.p, r.in_stanza) for r in d.collect())
     assert flags(reading.stanza_flags_in_ranges(df, "g", ["p"], "kind", F.col("brk"), 13)) == flags(reading.stanza_flags(df, "g", "p", "kind", F.col("brk")))
+
+
+def test_neighbours_of_many_queries_are_one_job(spark):
+    from granary.operators import vectors
+
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
+    index = vectors.build_index(spark.createDataFrame(rows, "id long, v array<double>").repartition(6), "id", "v")
+    asked = index.select(F.col("id").alias("qid"), F.col("row").alias("qrow"), vectors.dequantize(F.col("codes"), F.col("scale")).alias("q"))
+    told = lambda **kw: sorted(map(tuple, vectors.neighbours_batch(index, asked, 3, **kw).collect()))
+    whole = told()
+    assert len(whole) == 1200 and told(block=7) == whole and told(sent=5_000) == whole
+    found = vectors.neighbours_batch(index, asked, 3)
+    assert "parquet" not in found._jdf.queryExecution().executedPlan().toString().lower()
