@@ -168,6 +168,19 @@ def taal_of_marks(taals: DataFrame, rows: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.when(F.count("*") == 1, F.first("key")).alias("taal")).filter("taal IS NOT NULL")
 
 
+#: Fixed value: the order of the seven swaras.
+SWARAS = "SRGMPDN"
+
+
+def swara_read(token: Column, native: Column, reads: dict[str, str]) -> Column:
+    """The swara of one printed token, null for what is none. ``reads`` has the spellings of the script, whose dots don't count; where ``native``
+    is false a single letter of the seven is read, in either case."""
+    t = F.trim(F.coalesce(token, F.lit("")))
+    known = F.create_map(*[F.lit(x) for kv in reads.items() for x in kv]) if reads else F.lit(None).cast("map<string,string>")
+    letter = F.when(F.upper(t).rlike(f"^[{SWARAS}]$"), F.upper(t))
+    return F.when(F.coalesce(native, F.lit(False)), F.try_element_at(known, F.replace(t, F.lit("਼"), F.lit("")))).otherwise(letter)
+
+
 def section_label_column(text: Column, labels: dict[str, Sequence[str]]) -> Column:
     """struct(kind, n) of :func:`section_label`, or null."""
     arrow = pa.struct([("kind", pa.string()), ("n", pa.int32())])

@@ -112,12 +112,24 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("body"))
 
 
-def health(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, rows) of every table, in one plan."""
-    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def health(spark: SparkSession, tables: dict[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
+    """(name, rows, keyless, repeated, least, most, missing) of every table, in one plan. ``tables`` has each with its key and the columns that it should have:
+    rows without a key, rows whose key another one has, the key's bounds (-1 where there is none), and the columns that aren't there."""
+    out = None
+    for name, (df, key, columns) in tables.items():
+        lacking = ",".join(c for c in columns if c not in df.columns)
+        k = F.col(key) if key in df.columns else F.lit(None).cast("long")
+        counts = df.groupBy(k.alias("k")).agg(F.count("*").alias("n"))  # combined before the shuffle, whatever the keys
+        bound = lambda x: F.coalesce(x.cast("long"), F.lit(-1).cast("long"))
+        whole = counts.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("keyless"),
+            F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("repeated"),
+            bound(F.min("k")).alias("least"),
+            bound(F.max("k")).alias("most"),
+        )
+        own = whole.select(F.lit(name).alias("name"), "rows", "keyless", "repeated", "least", "most", F.lit(lacking).alias("missing"))
+        out = own if out is None else out.unionByName(own)
     return out
 
 

@@ -245,6 +245,18 @@ def section_labels(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", at.alias("a")).select("p_partkey", F.col("a.kind").alias("kind"), T.shown(F.col("a.n")).alias("n"))
 
 
+#: Spellings of the swaras in the script of the stand-in tokens.
+READS = {"ਸਾ": "S", "ਰੇ": "R", "ਗਾ": "G", "ਮਾ": "M", "ਪਾ": "P", "ਧਾ": "D", "ਨੀ": "N"}
+
+
+def swara_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every part, dotted, padded, of another script, or no swara at all, and what they say."""
+    k = F.col("p_partkey")
+    spelled = F.element_at(F.array(*map(F.lit, READS)), (k % 7 + 1).cast("int"))
+    token = F.when(k % 4 == 0, F.concat(F.lit(" "), spelled)).when(k % 4 == 1, F.concat(spelled, F.lit("਼ "))).when(k % 4 == 2, F.substring("p_name", 1, 1)).otherwise(F.concat(spelled, F.substring("p_name", 1, 1)))
+    return T.read(spark, sf, "part").select("p_partkey", vocab.swara_read(token, F.col("p_size") % 3 > 0, READS).alias("swara"))
+
+
 def fuzzy_indel(spark: SparkSession, sf: str) -> DataFrame:
     p = T.read(spark, sf, "part").select("p_name", "p_type").distinct()
     return p.select("p_name", "p_type", X.round_ratio(X.indel_ratio(F.col("p_name"), F.lower("p_type"))).alias("ratio"))
@@ -299,7 +311,7 @@ def unigram_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [notation_validate, notation_cells, notation_texts, notation_pages, notation_parsed, notation_hashes, vocab_lookup, raag_names, taal_tempi, taal_names, mark_kinds, taal_markers, taal_of_marks, section_labels, fuzzy_indel, wordpiece_tokens, wordpiece_ids, bert_words, unigram_tokens]
+    found = [notation_validate, notation_cells, notation_texts, notation_pages, notation_parsed, notation_hashes, vocab_lookup, raag_names, taal_tempi, taal_names, mark_kinds, taal_markers, taal_of_marks, section_labels, swara_reads, fuzzy_indel, wordpiece_tokens, wordpiece_ids, bert_words, unigram_tokens]
     return {f.__name__: f for f in found}
 
 
@@ -361,6 +373,7 @@ def oracle_sql() -> dict[str, str]:
         "taal_markers": """SELECT p_partkey, k - start AS pos, CASE WHEN (k - 1) % size = 0 AND (k - 1) // size < n - 1 THEN 'x203'[(k - 1) // size + 1] END AS mark FROM (SELECT p_partkey, p_size % 3 + 2 AS size, p_partkey % 3 + 2 AS n, p_size % 2 + 1 AS start, unnest(range(1, 20)) AS k FROM part) WHERE k >= start AND k < start + 5 AND k <= size * n""",
         "taal_of_marks": f"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'teen' WHEN 1 THEN 'jhap' ELSE 'rupak' END AS taal FROM (SELECT *, {marks} FROM part) WHERE (p_partkey % 3 = 0 AND khali = 0) OR (p_partkey % 3 = 1 AND khali = 1) OR (p_partkey % 3 = 2 AND sam = 0 AND khali = 0)",
         "section_labels": "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'sthai' WHEN 1 THEN 'antara' WHEN 3 THEN 'sthai' END AS kind, CASE p_size % 4 WHEN 0 THEN p_size WHEN 3 THEN 12 ELSE -1 END::BIGINT AS n FROM part",
+        "swara_reads": "SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN CASE WHEN p_partkey % 4 < 2 THEN 'SRGMPDN'[p_partkey % 7 + 1] END WHEN p_partkey % 4 = 2 AND contains('SRGMPDN', upper(p_name[1])) THEN upper(p_name[1]) END AS swara FROM part",
         "fuzzy_indel": f"SELECT p_name, p_type, floor({_indel('p_name', 'b')} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS ratio FROM (SELECT DISTINCT p_name, p_type, lower(p_type) AS b FROM part)",
         "wordpiece_tokens": f"WITH RECURSIVE asked AS MATERIALIZED ({words}), {walked} SELECT word, pieces FROM done",
         "wordpiece_ids": f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, list_filter(string_split(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z ]', '', 'g'), ' '), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),

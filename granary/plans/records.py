@@ -80,8 +80,12 @@ def script_capability(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", catalog.can_read(s, F.col("t")).alias("latin"), catalog.can_read(F.array(F.lit("gurmukhi"), F.lit("latin")), F.col("t")).alias("both"))
 
 
+CHECKED = {"documents": ("doc_id", ["text", "lang", "tags"]), "embeddings": ("vec_id", ["embedding"]), "orders": ("o_custkey", ["o_orderkey"]), "events": ("event_id", ["ts", "value"]), "conversations": ("conv_id", ["turn", "speaker"])}
+
+
 def table_health(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.health(spark, {t: T.read(spark, sf, t) for t in ("documents", "embeddings", "orders", "events")})
+    """Rows, keys and columns of the tables; two of them lack a column that is asked for, and in two keys repeat."""
+    return catalog.health(spark, {t: (T.read(spark, sf, t), key, columns) for t, (key, columns) in CHECKED.items()})
 
 
 ASKED = "the first words"
@@ -120,5 +124,8 @@ def oracle_sql() -> dict[str, str]:
         "registry_order": f"SELECT name, row_number() OVER (ORDER BY pos, name) AS place FROM ({loaded}) WHERE loaded AND list_contains(roles, 'text')",
         "param_bounds": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 10 ELSE greatest(1, least(50, floor(value)::BIGINT)) END::BIGINT AS k, CASE WHEN floor(value) >= 0 THEN floor(value)::BIGINT END AS id FROM events",
         "script_capability": "SELECT doc_id, lang IS DISTINCT FROM 'de' AS latin, true AS both FROM documents",
-        "table_health": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("documents", "embeddings", "orders", "events")),
+        "table_health": " UNION ALL ".join(
+            f"SELECT '{t}' AS name, count(*) AS rows, count(*) FILTER (WHERE {k} IS NULL) AS keyless, count({k}) - count(DISTINCT {k}) AS repeated, coalesce(min({k}), -1)::BIGINT AS least, coalesce(max({k}), -1)::BIGINT AS most, '{ {'documents': 'tags', 'conversations': 'speaker'}.get(t, '') }' AS missing FROM {t}"
+            for t, (k, _) in CHECKED.items()
+        ),
     }
