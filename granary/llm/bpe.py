@@ -302,7 +302,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): a row for each row of ``docs``."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): a row for each row of ``docs``; repeated rows repeat.
+
+    A null text is an empty one; a null id stays null. Texts of any length are encoded whole. Other columns don't
+    matter, whatever their names. An empty table gives no rows.
+    """
     ship(docs.sparkSession)
     rows = columns_kept(docs, {"doc_id": id_col, "text": text_col})
     return rows.select("doc_id", digest_column(F.col("text"), path).alias("d")).select("doc_id", "d.*")

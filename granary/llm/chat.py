@@ -133,7 +133,8 @@ def format_conversations(rows: DataFrame, path: str, *, learn: str = "assistant"
 
     ``rows`` has conv_id, turn, role and text. Null roles and texts are empty; rows with equal or null turns follow
     each other by role and text, nulls first; repeated rows are turns of their own; a null conv_id is a conversation.
-    A conversation's segments are numbered from 0 and lie in any partition.
+    A conversation's segments are numbered from 0 and lie in any partition. A turn is never cut, so a very long one is a
+    segment of its own. Other columns don't matter, whatever their names. An empty table gives no rows.
     """
     ship(rows.sparkSession)
     own = columns_kept(rows, {c: c for c in ("conv_id", "turn", "role", "text")}).withColumn("conv_id", F.col("conv_id").cast("long"))

@@ -171,7 +171,9 @@ def scan(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", out_col:
     """``docs`` with a struct ``out_col``: n_words, hit (word spans, end excluded, merged), items (unordered).
 
     A null text has no words. Items that are null or have no words have no window; the windows of an item without an
-    id hit, and stand as a null in ``items``. Repeated items count once. An empty benchmark hits nothing.
+    id hit, and stand as a null in ``items``. Repeated items count once. An empty benchmark hits nothing. Texts are scanned whole,
+    however long; repeated documents repeat; an empty table stays empty. Own columns may have any names but that of
+    ``out_col``, which is an error.
     """
     if out_col.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"{out_col} is a column already")

@@ -287,7 +287,11 @@ def score_column(text: Column, model: Model | None) -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: Any) -> DataFrame:
-    """(doc_id, score, lines): a row for each row of ``docs``; repeated rows repeat. ``how`` goes to :func:`fit`."""
+    """(doc_id, score, lines): a row for each row of ``docs``; repeated rows repeat. ``how`` goes to :func:`fit`.
+
+    Null and empty texts score 0, a null id stays null. All lines of a text count, however many. Other columns don't matter, whatever
+    their names. An empty table gives no rows; without labels of both kinds all texts with a line score 0.5.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
     own = columns_kept(docs, {"doc_id": id_col, "text": text_col})
     return own.select("doc_id", score_column(F.col("text"), model).alias("s")).select("doc_id", "s.score", "s.lines")

@@ -95,7 +95,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id), a row for each row of ``docs``.
 
     Empty and null texts share fingerprint zero and are linked to each other. Repeated rows come out as often as they
-    go in. A null id stays null and names no component unless it has no other member. An empty table gives no rows.
+    go in. A null id stays null and names no component unless it has no other member. An empty table gives no rows. Texts are read
+    whole, however long; other columns don't matter, whatever their names.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -83,7 +83,12 @@ def count_column(text: Column, path: str) -> Column:
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit): a row for each row of ``docs``; repeated rows repeat."""
+    """(doc_id, n_bytes, n_tokens, over_limit): a row for each row of ``docs``; repeated rows repeat.
+
+    A null text is an empty one, of no tokens; a null id stays null. A long text is cut where no piece can cross, so its count is
+    that of the whole; one that has no such place is counted in one piece. Other columns don't matter, whatever their
+    names. An empty table gives no rows.
+    """
     ship(docs.sparkSession)
     rows = columns_kept(docs, {"doc_id": id_col, "text": text_col})
     counted = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count_column(F.col("text"), path).alias("n_tokens"))

@@ -170,7 +170,8 @@ def top_k(rows: DataFrame, is_query: Column, *, k: int = 20, pivots: int = PIVOT
     """(query_id, rank, vec_id, score) from (vec_id: long, codes: array<long>): each query's k best of all other ids.
 
     Rows with a null id or vector take no part. Vectors of unlike length are filled with zeros. Rows that share an id
-    are one vector, that with the least codes. Ties go to the smaller id. No queries, or no other rows, give no rows.
+    are one vector, that with the least codes. Ties go to the smaller id. No queries, or no other rows, give no rows, nor does
+    an empty table. Other columns must not be named like those that are read.
     Scores are exact while inner products fit 64 bits.
     """
     spark = ship(rows.sparkSession)
