@@ -96,6 +96,22 @@ def count_anywhere(token_rows: DataFrame, keys: str, lines: DataFrame | None = N
     return token_rows.filter(F.lit(False) if cond is None else cond).agg(F.countDistinct("line_id").alias("n"))
 
 
+def postings(numbered: DataFrame, length: int = 2) -> DataFrame:
+    """(head, bucket, lines): of each run of ``length`` letters that is in any line, the lines that hold it, as bitmaps of 32,768 lines each.
+    ``numbered`` has the codes and the number of each line, from 0 without gaps. The runs are combined before the shuffle."""
+    heads = numbered.select("number", F.explode(suffix_tokens(F.col("codes"), length)).alias("head")).filter(F.length("head") == 4 * length)
+    return heads.groupBy("head", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("lines"))
+
+
+def count_postings(heads: DataFrame, queries: DataFrame) -> DataFrame:
+    """As :func:`count_batch`, from :func:`postings`: a count is a sum of bits, and only for a query of two heads are bitmaps put together."""
+    codes = queries.select("keys", char_codes(F.col("keys")).alias("head")).withColumn("dotted", variant_codes(F.col("head")))
+    one = heads.join(codes.filter("dotted IS NULL").select("keys", "head"), "head").select("keys", F.bitmap_count("lines").alias("n"))
+    both = codes.filter("dotted IS NOT NULL").select("keys", F.explode(F.array("head", "dotted")).alias("head"))
+    met = heads.join(both, "head").groupBy("keys", "bucket").agg(F.bitmap_or_agg("lines").alias("lines"))
+    return one.unionByName(met.select("keys", F.bitmap_count("lines").alias("n"))).groupBy("keys").agg(F.sum("n").alias("n"))
+
+
 def count_batch(token_rows: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     """(keys, n) for many queries (keys) of one length: codes have a fixed width, so a range of tokens is an equal head,
     and the search is an equi-join with partial counts. A query with letters that have dotted variants has two heads.

@@ -226,7 +226,7 @@ def fl_count_long(spark: SparkSession, sf: str) -> DataFrame:
 def fl_count_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that hold the two first letters of any part's name, for each such pair (676 at most)."""
     asked = T.names(spark, sf).filter(F.length("letters") >= 2).select(F.substring("letters", 1, 2).alias("keys")).distinct()
-    return lexical.count_batch(T.tokens(spark, sf), asked, 2)
+    return lexical.count_postings(T.postings(spark, sf), asked)
 
 
 def fl_variant(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from granary.functions.letters import char_codes
 from granary.functions.numeric import l2_normalize
 from granary.functions.text import fold_native, fold_roman, loose_roman, nfc
-from granary.operators import lexical, vectors
+from granary.operators import lexical, scan, vectors
 from granary.sources.store import kept
 
 #: Lines of a group have ids of their own without a global count: the group's id times this, and the place in it.
@@ -59,6 +59,17 @@ def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, "starts", 2, [f"{sf_dir}/documents.parquet"], build)
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(head, bucket, lines) of every run of two letters, in ranges of it; lines are numbered in the order of their ids."""
+
+    def build() -> DataFrame:
+        x = lines(spark, sf_dir).select("line_id", "codes", F.lit(0).alias("all"))
+        numbered = scan.running(scan.hold(scan.in_ranges(x, files(spark), "all", ["line_id"])), "all", rank="number")
+        return lexical.postings(numbered).repartitionByRange(files(spark), "head", "bucket").sortWithinPartitions("head", "bucket")
+
+    return kept(spark, "postings", 1, [f"{sf_dir}/documents.parquet"], build)
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_id, group_id, pos, line, letters), worked out from the documents."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))

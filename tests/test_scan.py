@@ -76,3 +76,18 @@ def test_neighbours_of_many_queries_are_one_job(spark):
     assert len(whole) == 1200 and told(block=7) == whole and told(sent=5_000) == whole
     found = vectors.neighbours_batch(index, asked, 3)
     assert "parquet" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_counts_by_bitmaps_equal_counts_by_tokens(spark):
+    from granary.operators import lexical
+
+    rng = random.Random(6)
+    letters = ["".join(rng.choice("gjsKPzab") for _ in range(rng.randrange(9))) for _ in range(40_000)]
+    lines = lexical.encode(spark.createDataFrame([(10 * i, x) for i, x in enumerate(letters)], "line_id long, letters string"))
+    numbered = lines.withColumn("number", (F.col("line_id") / 10).cast("long"))
+    asked = spark.createDataFrame([(a + b,) for a in "gjsKab" for b in "gsPbq"], "keys string")
+    told = lambda d: sorted((r["keys"], r["n"]) for r in d.collect())
+    bits = lexical.postings(numbered).checkpoint()
+    assert bits.agg(F.max("bucket")).first()[0] >= 1
+    assert told(lexical.count_postings(bits, asked)) == told(lexical.count_batch(lexical.tokens(lines), asked, 2))
+    assert lexical.count_postings(bits, asked.limit(0)).count() == 0
