@@ -152,8 +152,8 @@ def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block
                     part = slice(lo, lo + block)
                     score = np.floor(q[part] @ codes * scale * 1e6 + 0.5) / 1e6
                     score[qrow[part, None] == row] = -np.inf
-                    wide = lambda x, score=score: np.broadcast_to(x, score.shape)
-                    found = [np.concatenate(x, axis=1) for x in zip([b[part] for b in best], (score, wide(row), wide(ids)), strict=True)]
+                    top = np.lexsort((np.broadcast_to(row, score.shape), -score), axis=1)[:, :k]  # of the batch; few meet the best so far
+                    found = [np.concatenate(x, axis=1) for x in zip([b[part] for b in best], (np.take_along_axis(score, top, 1), row[top], ids[top]), strict=True)]
                     order = np.lexsort((found[1], -found[0]), axis=1)[:, :k]
                     for b, x in zip(best, found, strict=True):
                         b[part] = np.take_along_axis(x, order, 1)
