@@ -14,13 +14,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.scan import hold
 from granary.sources.files import located
 
 
 def required(packs: DataFrame, needs: DataFrame) -> DataFrame:
-    """(pack) of the packs asked for and all that they need, by (pack, needs), each once; needs have no circles."""
-    query = """WITH RECURSIVE r(pack) AS (SELECT pack FROM {packs} UNION ALL SELECT n.needs FROM r JOIN {needs} n ON n.pack = r.pack) SELECT DISTINCT pack FROM r"""
-    return packs.sparkSession.sql(query, packs=packs.select("pack"), needs=needs.select("pack", "needs"))
+    """(pack) of the packs asked for and all that they need, by (pack, needs), each once.
+
+    A round a level of needs, and each looks only at packs that no round before has met; so a pack that many need is followed
+    once, and circles end.
+    """
+    needs = hold(needs.select("pack", "needs").repartition("pack"))
+    new = hold(packs.select("pack").distinct())
+    met = new
+    while not new.isEmpty():
+        named = new.join(needs, "pack").select(F.col("needs").alias("pack")).distinct()
+        new = hold(named.join(met.select(F.col("pack").alias("__met")), F.col("pack").eqNullSafe(F.col("__met")), "left_anti"))
+        met = hold(met.unionByName(new))
+    return met
 
 
 def verified(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
