@@ -85,12 +85,12 @@ _CLOCK = StructType([StructField("at", LongType()), StructField("place", LongTyp
 
 
 class Windows:
-    """The windows of a bucket's clients: at most ``most``, in the order in which they were first met.
+    """The windows of a bucket's clients: at most ``most``, if that is given, in the order in which they were first met.
 
     Where a client more is met, those whose windows are over go first; if none is, the one that was met first.
     """
 
-    def __init__(self, rule: Rule, most: int, held: dict[str, tuple[int, ...]], place: int = 0) -> None:
+    def __init__(self, rule: Rule, most: int | None, held: dict[str, tuple[int, ...]], place: int = 0) -> None:
         self.rule, self.most, self.place = rule, most, place
         self.held = dict(sorted(held.items(), key=lambda kv: kv[1][4]))
 
@@ -102,7 +102,7 @@ class Windows:
         known = self.held.get(client)
         ok, state = self.rule.step(known[:4] if known else (0, 0, 0, 0), at, tight)
         if known is None:
-            if len(self.held) >= self.most:
+            if self.most is not None and len(self.held) >= self.most:
                 self.sweep(at)
                 if len(self.held) >= self.most:
                     del self.held[next(iter(self.held))]
@@ -115,10 +115,10 @@ class Limiter(StatefulProcessor):
     """The same rule on a stream, for the clients of a bucket: a map of bounded size in the state store, swept by a timer once a window.
 
     A bucket's rows of one micro-batch are put in order, so a trigger's size bounds what is held; of the state a worker holds
-    one bucket, of at most ``most`` clients. Only what changed is written back.
+    one bucket, of at most ``most`` clients, or of all that were dealt to it. Only what changed is written back.
     """
 
-    def __init__(self, rule: Rule, most: int, expire: bool = True) -> None:
+    def __init__(self, rule: Rule, most: int | None, expire: bool = True) -> None:
         self.rule, self.most, self.expire = rule, most, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -168,12 +168,12 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None, expire: bool = True, most: int = MOST_CLIENTS, buckets: int = BUCKETS, told_exempt: bool = False) -> DataFrame:
+def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column | None = None, tight_limit: int | None = None, exempt: Column | None = None, expire: bool = True, most: int | None = MOST_CLIENTS, buckets: int = BUCKETS, told_exempt: bool = False) -> DataFrame:
     """A stream of (client: string, ord, at) with what the limits say of each request. Exempt requests pass anyway; they come out, with a null for
     what is left, only if ``told_exempt``.
 
     Clients are dealt to ``buckets`` by a hash. Their state is bounded: ``most`` clients in all, an equal share a bucket; the client that
-    was met first is forgotten, and so may begin a window anew. The sweep's timer goes by the clock of the cluster, what it takes away by the
+    was met first is forgotten, and so may begin a window anew. With ``most`` None none is, and ``buckets`` must grow with the clients. The sweep's timer goes by the clock of the cluster, what it takes away by the
     latest request's time. For timers Spark runs batches without data for as long as the stream lives; a query that shall end when its input does needs
     ``expire=False``, or ``noDataMicroBatches`` off.
     """
@@ -181,5 +181,5 @@ def limit_stream(requests: DataFrame, limit: int, window_us: int, tight: Column
     own = requests.select("client", "ord", "at", (no if tight is None else F.coalesce(tight, no)).alias("tight"), (no if exempt is None else F.coalesce(exempt, no)).alias("free"))
     own = own if told_exempt else own.filter("NOT free")
     dealt = own.withColumn("bucket", F.pmod(F.xxhash64("client"), F.lit(buckets)).cast("int"))
-    limiter = Limiter(Rule(limit, window_us, tight_limit), max(1, most // buckets), expire)
+    limiter = Limiter(Rule(limit, window_us, tight_limit), None if most is None else max(1, most // buckets), expire)
     return dealt.groupBy("bucket").transformWithStateInPandas(limiter, OUTPUT, "Append", "ProcessingTime" if expire else "None")

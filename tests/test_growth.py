@@ -14,3 +14,21 @@ def test_needs_by_very_many_ways_are_followed_once(spark):
     asked = spark.createDataFrame([(n - 1,), (n - 1,), (-3,)], "pack long")
     assert sorted(r.pack for r in packs.required(asked, needs).collect()) == [-3, *range(n)]
     assert packs.required(asked.limit(0), needs).count() == 0
+
+
+def test_limits_of_a_stream_may_forget_no_client(spark, tmp_path):
+    from granary.streaming import limits
+
+    rows = [(f"c{i % 150}", i, i) for i in range(600)]
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for lot in range(2):
+            spark.createDataFrame(rows[300 * lot : 300 * lot + 300], "client string, ord long, at long").write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema("client string, ord long, at long").parquet(f"{tmp_path}/in")
+            told = limits.limit_stream(stream, 3, 10**9, expire=False, most=None, buckets=2)
+            assert told.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.unset(store)
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(out) == 600 and all(r.allowed == (r.ord < 450) for r in out)  # the fourth request of each is refused
