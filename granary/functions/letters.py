@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ KEYS = "aAeshkKgG|cCjJ\\tTfFxqQdDnpPbBmXrlvV"
 OPERATORS = "+-*\"'"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` names it and wherever a filter is pushed to."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip_dots(s: Column) -> Column:
     """Both ways of writing a dotted letter give its base; so no normalisation is needed first."""
     return F.replace(F.translate(s, "".join(DOTTED), "".join(DOTTED.values())), F.lit(DOT), F.lit(""))

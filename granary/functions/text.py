@@ -36,9 +36,17 @@ def collapse(v: Column) -> Column:
 
 
 def strip_accents(v: Column) -> Column:
-    """Whatever Unicode can decompose, without the marks from U+0300 to U+036F. Texts in ASCII need no Python, but the
-    function is one of those to apply where a table is made, not where it is read."""
-    return F.regexp_replace(nfd(v), r"[\x{0300}-\x{036F}]", "")
+    """Whatever Unicode can decompose, without the marks from U+0300 to U+036F. Texts in ASCII don't go to Python."""
+    return F.regexp_replace(F.coalesce(nfd(_beyond_ascii(v)), v), r"[\x{0300}-\x{036F}]", "")
+
+
+def composed(v: Column) -> Column:
+    """:func:`nfc`, for which texts in ASCII don't go to Python."""
+    return F.coalesce(nfc(_beyond_ascii(v)), v)
+
+
+def _beyond_ascii(v: Column) -> Column:
+    return F.when(F.octet_length(v) > F.length(v), v)
 
 
 def fold_native(v: Column) -> Column:
@@ -58,14 +66,9 @@ def loose_roman(v: Column) -> Column:
         (r"['’()]", ""),
         (r"[^a-z]+", " "),
         (r"([bcdgjklmnpqrstvxz])h", "$1"),
-        (r"[eiy]", "i"),
-        (r"[ou]", "u"),
-        ("w", "v"),
-        ("z", "j"),
-        ("f", "p"),
-        (r"([a-z])\1+", "$1"),
     ):
         x = F.regexp_replace(x, pattern, to)
+    x = F.regexp_replace(F.translate(x, "eyowzf", "iiuvjp"), r"([a-z])\1+", "$1")
     words = F.filter(F.split(F.trim(x), " +"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.when(F.length(w) > 2, F.regexp_replace(w, "[iu]$", "")).otherwise(w)), " ")
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.functions.letters import VARIANTS
+from granary.functions.letters import VARIANTS, once
 from granary.functions.text import fold_native_text, letter_classes, loose_roman_text
 from granary.operators import lexical
+from granary.operators.scan import hold
 
 PAGE, MOST, LONGEST = 20, 100, 120
 
@@ -79,7 +80,7 @@ def match_test(query: str, *, native: str, loose: str | None = None, letters: st
     if letters_mode(query) and len(bare) >= 2:
         if codes and (q := lexical.query_string(bare.translate(CARRIERS))):
             variant = ",".join(VARIANTS.get(c, c) for c in q.split(","))
-            tests += [F.contains(F.col(codes), F.lit(x)) for x in dict.fromkeys((q, variant))]
+            tests.append(once(F.col(codes), lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in dict.fromkeys((q, variant))])))
         if letters and bare.isascii() and bare.isalpha():
             tests.append(F.col(letters).rlike(letter_classes(bare)))
     return reduce(lambda a, b: a | b, tests)
@@ -146,7 +147,7 @@ def listed(items: DataFrame, lines: DataFrame | None = None, *, q: str | None =
     rows and no number of pages."""
     matched = None
     if (text := (q or "").strip()[:LONGEST]) and lines is not None:
-        matched = match_lines(lines, group, position, text, shown=shown, **(folds or {})).withColumnRenamed(group, "shabad_id")
+        matched = hold(match_lines(lines, group, position, text, shown=shown, **(folds or {})).withColumnRenamed(group, "shabad_id"))  # a row a group; read several times
         if not matched.limit(1).count():
             return items.limit(0), {"total": 0, "page": 1}
     return page(list_items(items, matched=matched, **filters), item_order(), k, number)

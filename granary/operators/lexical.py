@@ -3,16 +3,23 @@
 Lines are (line_id, letters, codes). A table of suffix tokens (token, line_id, pos), written in ranges of the token,
 turns "anywhere" into a range of strings that Parquet's statistics can skip by. A token holds at most ``MOST`` letters, so
 the table grows with the letters of a line and not with their square; a longer query is checked on the line itself.
+
+The table is worth its room where one corpus is asked very often. The functions ``.._in_lines`` give the same from the lines:
+of those that hold the query's letters the ones with signs or other scripts among theirs are cut into tokens, in the task that
+reads them, and no row is shuffled to be found.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.letters import OPERATORS, VARIANTS, char_codes, suffix_tokens, typed_keys, variant_codes
+from granary.functions.letters import OPERATORS, VARIANTS, char_codes, once, suffix_tokens, typed_keys, variant_codes
 
 MOST = 16
+_PLAIN = r"^[A-Za-z^&|\\]*\z"
 
 
 def encode(lines: DataFrame, letters_col: str = "letters") -> DataFrame:
@@ -38,14 +45,18 @@ def query_string(keys: str) -> str:
     return "".join(c if c in OPERATORS else f",{'0' if ord(c) < 100 else ''}{ord(c)}" for c in typed_keys(keys))
 
 
-def in_ranges(col: str, keys: str) -> Column | None:
+def _dotted(q: str) -> str:
+    return ",".join(VARIANTS.get(c, c) for c in q.split(","))
+
+
+def in_ranges(col: str | Column, keys: str) -> Column | None:
     """The range, or the two with the dotted variant, that a query selects; None for an empty query."""
     q = query_string(keys)
     if not q:
         return None
-    variant = ",".join(VARIANTS.get(c, c) for c in q.split(","))
-    found = F.col(col).between(q, q + ",z")
-    return found if variant == q else found | F.col(col).between(variant, variant + ",z")
+    c, variant = F.col(col) if isinstance(col, str) else col, _dotted(q)
+    found = c.between(q, q + ",z")
+    return found if variant == q else found | c.between(variant, variant + ",z")
 
 
 def _long(keys: str) -> Column | None:
@@ -96,6 +107,56 @@ def count_anywhere(token_rows: DataFrame, keys: str, lines: DataFrame | None = N
     return token_rows.filter(F.lit(False) if cond is None else cond).agg(F.countDistinct("line_id").alias("n"))
 
 
+def _spelled(keys: str) -> list[str]:
+    """The letters of a query and of its dotted variant: what no line is without that it selects."""
+    q = query_string(keys)
+    return list(dict.fromkeys(re.sub(r",(\d+)", lambda m: chr(int(m[1])), x) for x in (q, _dotted(q))))
+
+
+def first_place(letters: Column, keys: str) -> Column:
+    """Place, from 0, of the first suffix token of a line's letters that a query selects; null if there is none."""
+    if not query_string(keys):
+        return F.lit(None).cast("int")
+    q, head = query_string(keys), _head(keys)
+
+    def of_codes(codes: Column) -> Column:
+        place = F.array_position(F.transform(suffix_tokens(codes, MOST), lambda t: in_ranges(t, head)), F.lit(True))
+        if len(typed_keys(keys)) <= MOST:
+            return F.when(place > 0, (place - 1).cast("int"))
+        at = F.least(*[F.when(F.instr(codes, x) > 0, F.instr(codes, x)) for x in (q, _dotted(q))])  # the place is that of the whole query
+        return F.when(at.isNotNull() & (place > 0), F.size(F.split(F.substring(codes, F.lit(1), at - 1), ",")) - 1)
+
+    def of(s: Column) -> Column:
+        holds = F.greatest(*[F.contains(s, F.lit(x)) for x in _spelled(head)], F.lit(False))
+        # where every letter has a code of three digits and none is an operator, tokens begin with a query's codes where its letters stand
+        at = F.array_min(F.filter(F.array(*[F.instr(s, F.lit(x)) for x in _spelled(keys)]), lambda i: i > 0))
+        return F.when(holds, F.when(s.rlike(_PLAIN), at - 1).otherwise(once(char_codes(s), of_codes)))
+
+    return once(letters, of)
+
+
+def anywhere_in_lines(lines: DataFrame, keys: str, limit: int | None = 20) -> DataFrame:
+    """As :func:`anywhere`, from (line_id, letters) alone."""
+    found = lines.withColumn("match_pos", first_place(F.col("letters"), keys)).filter("match_pos IS NOT NULL")
+    out = found.orderBy(F.length("letters"), "line_id")
+    return out if limit is None else out.limit(limit)
+
+
+def start_in_lines(lines: DataFrame, keys: str, limit: int | None = 20) -> DataFrame:
+    """As :func:`start`, from (line_id, letters) alone."""
+    cond = F.lit(False)
+    if query_string(keys):
+        begins = lambda s: F.greatest(*[F.startswith(s, F.lit(x)) for x in _spelled(keys)], F.lit(False))
+        cond = once(F.col("letters"), lambda s: F.when(begins(s), once(char_codes(s), lambda c: in_ranges(c, keys))))
+    out = lines.filter(cond).withColumn("match_pos", F.lit(0)).orderBy(F.length("letters"), "line_id")
+    return out if limit is None else out.limit(limit)
+
+
+def count_in_lines(lines: DataFrame, keys: str) -> DataFrame:
+    """As :func:`count_anywhere`, from (line_id, letters) alone."""
+    return lines.filter(first_place(F.col("letters"), keys).isNotNull()).agg(F.countDistinct("line_id").alias("n"))
+
+
 def postings(numbered: DataFrame, length: int = 2) -> DataFrame:
     """(head, bucket, lines): of each run of ``length`` letters that is in any line, the lines that hold it, as bitmaps of 32,768 lines each.
     ``numbered`` has the codes and the number of each line, from 0 without gaps. The runs are combined before the shuffle."""
@@ -112,6 +173,28 @@ def count_postings(heads: DataFrame, queries: DataFrame) -> DataFrame:
     return one.unionByName(met.select("keys", F.bitmap_count("lines").alias("n"))).groupBy("keys").agg(F.sum("n").alias("n"))
 
 
+def count_batch_in_lines(lines: DataFrame, queries: DataFrame, length: int) -> DataFrame:
+    """As :func:`count_batch`, from lines' letters alone, for queries without operators: each line tells which runs of letters it has,
+    and which of these beside their dotted variants, so that a line with both counts once. They are counted before the shuffle, which
+    has a row a run and task."""
+    plain, dotted = ("".join(chr(int(c)) for c in x) for x in zip(*VARIANTS.items(), strict=True))
+    variant = lambda h: F.translate(h, plain, dotted)
+    row = lambda h, both: F.struct(h.alias("run"), F.lit(both).alias("both"))
+    rows = lambda runs: F.transform(runs, lambda h: row(h, False))
+    twice = lambda runs: F.transform(F.filter(runs, lambda h: (variant(h) != h) & F.array_contains(runs, variant(h))), lambda h: row(h, True))
+
+    def of(s: Column) -> Column:
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - length + 1), lambda i: F.substring(s, i, F.lit(length))))
+        no_dots = F.translate(s, dotted, "") == s
+        return F.when(F.length(s) >= length, once(runs, lambda r: F.when(no_dots, rows(r)).otherwise(F.concat(rows(r), twice(r)))))
+
+    met = lines.select(F.explode(once(F.col("letters"), of)).alias("m")).groupBy("m.run", "m.both").agg(F.count("*").alias("n"))
+    k, v = F.col("keys"), variant(F.col("keys"))
+    sums = F.concat(F.array(F.struct(row(k, False).alias("m"), F.lit(1).alias("sign"))), F.when(v != k, F.array(F.struct(row(v, False).alias("m"), F.lit(1).alias("sign")), F.struct(row(k, True).alias("m"), F.lit(-1).alias("sign")))).otherwise(F.array()))
+    asked = queries.select("keys").distinct().select("keys", F.explode(sums).alias("a")).select("keys", "a.m.run", "a.m.both", "a.sign")
+    return met.join(asked, ["run", "both"]).groupBy("keys").agg(F.sum(F.col("n") * F.col("sign")).alias("n"))
+
+
 def count_batch(token_rows: DataFrame, queries: DataFrame, length: int) -> DataFrame:
     """(keys, n) for many queries (keys) of one length: codes have a fixed width, so a range of tokens is an equal head,
     and the search is an equi-join with partial counts. A query with letters that have dotted variants has two heads.

@@ -32,3 +32,44 @@ def test_limits_of_a_stream_may_forget_no_client(spark, tmp_path):
         spark.conf.unset(store)
     out = spark.read.parquet(f"{tmp_path}/out").collect()
     assert len(out) == 600 and all(r.allowed == (r.ord < 450) for r in out)  # the fourth request of each is refused
+
+
+def test_search_in_lines_equals_search_by_tokens_and_shuffles_no_line(spark):
+    from granary.operators import lexical
+
+    rng = random.Random(3)
+    pool = ["gjsKPzZS^&ab", "st", "ab1ਕ+é"]
+    letters = ["".join(rng.choice(pool[i % 3]) for _ in range(rng.choice([0, 1, 3, 8, 40]))) for i in range(900)]
+    lines = lexical.encode(spark.createDataFrame([(10 * i, x) for i, x in enumerate(letters)], "line_id long, letters string")).cache()
+    tokens = lexical.tokens(lines).cache()
+    told = lambda d: [(r.line_id, r.letters, r.match_pos) for r in d.collect()]
+    for q in ("s", "gj", "zZ", "b+", "a1", "é", "ਕ", "", "st" * 9, "s" * 17, "jg"):
+        assert told(lexical.anywhere_in_lines(lines, q, None)) == told(lexical.anywhere(tokens, lines, q, None)), q
+        assert told(lexical.start_in_lines(lines, q, 30)) == told(lexical.start(lines, q, 30)), q
+        assert lexical.count_in_lines(lines, q).first().n == lexical.count_anywhere(tokens, q, lines).first().n, q
+    assert told(lexical.anywhere_in_lines(lines, "gj", 7)) == told(lexical.anywhere(tokens, lines, "gj", 7))
+
+
+def test_counts_in_lines_equal_counts_by_tokens(spark):
+    from granary.operators import lexical
+
+    rng = random.Random(6)
+    lines = lexical.encode(spark.createDataFrame([(i, "".join(rng.choice("gjsKPzZS^&ab") for _ in range(rng.randrange(9)))) for i in range(3000)], "line_id long, letters string"))
+    asked = spark.createDataFrame([(a + b,) for a in "gjsKazZ" for b in "gsPbqS&"], "keys string")
+    told = lambda d: sorted((r["keys"], r["n"]) for r in d.collect())
+    assert told(lexical.count_batch_in_lines(lines, asked, 2)) == told(lexical.count_batch(lexical.tokens(lines), asked, 2))
+    assert lexical.count_batch_in_lines(lines, asked.limit(0), 2).count() == 0
+
+
+@pytest.mark.parametrize("name", ["fl_anywhere", "fl_anywhere_variant", "fl_anywhere_long", "fl_count_variant", "fl_start", "bert_words", "letters_by_sound", "lines_hydrate", "catalog_native", "match_lines", "fl_count_batch"])
+def test_lines_are_read_from_the_documents_and_keep_no_table(spark, name, tmp_path):
+    import __spark_entry__ as entry
+
+    from granary.sources import store
+
+    spark.conf.set(store.SETTING, str(tmp_path))
+    try:
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(store.SETTING)
+    assert "documents.parquet" in plan and not list(tmp_path.iterdir())
