@@ -24,6 +24,8 @@ from granary.sources.store import folder
 #: Queries that go to all rows at once; more go in several rounds.
 SENT_BYTES = 64 << 20
 BATCH_QUERIES = 2_000
+#: Rows that a tile of queries meets at once: with BATCH_QUERIES a tile of scores has 16 MB.
+TILE_ROWS = 1_024
 
 
 def build_index(vectors: DataFrame, id_col: str, vector_col: str, mask: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -124,7 +126,7 @@ def similar_many(index: DataFrame, items: Sequence[int], k: int = 10, *, depth_c
 
 
 def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block: int = BATCH_QUERIES, sent: int = SENT_BYTES) -> DataFrame:
-    """(qid, rank, id, score) for a DataFrame (qid, qrow, q) of queries, by matrix products of tiles: ``block`` queries by a batch of rows.
+    """(qid, rank, id, score) for a DataFrame (qid, qrow, q) of queries, by matrix products of tiles: ``block`` queries by TILE_ROWS rows.
 
     Up to ``sent`` bytes of queries go to all tasks at once, so 100,000 of 64 numbers are one job and one scan. A task keeps
     the k best of each query over all its batches and gives these at its end; a window keeps the k best of the tasks'. Only what is beyond
@@ -137,7 +139,7 @@ def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block
     for j in range(jobs):
         own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(jobs)) == j).toArrow()
         qid, qrow = (own.column(c).to_numpy() for c in ("qid", "qrow"))
-        q = np.array(own.column("q").to_pylist(), float).reshape(len(qid), -1 if len(qid) else 0)
+        q = own.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(qid), -1 if len(qid) else 0)
         told = spark.sparkContext.broadcast((qid, qrow, q))
 
         def run(batches: Iterator[pa.RecordBatch], told: object = told) -> Iterator[pa.RecordBatch]:
@@ -148,15 +150,33 @@ def neighbours_batch(index: DataFrame, queries: DataFrame, k: int = 10, *, block
                     continue
                 codes = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1).T.astype(float)
                 row, ids, scale = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy().astype(float)
-                for lo in range(0, len(qid), block):
-                    part = slice(lo, lo + block)
-                    score = np.floor(q[part] @ codes * scale * 1e6 + 0.5) / 1e6
-                    score[qrow[part, None] == row] = -np.inf
-                    top = np.lexsort((np.broadcast_to(row, score.shape), -score), axis=1)[:, :k]  # of the batch; few meet the best so far
-                    found = [np.concatenate(x, axis=1) for x in zip([b[part] for b in best], (np.take_along_axis(score, top, 1), row[top], ids[top]), strict=True)]
-                    order = np.lexsort((found[1], -found[0]), axis=1)[:, :k]
-                    for b, x in zip(best, found, strict=True):
-                        b[part] = np.take_along_axis(x, order, 1)
+                for at in range(0, batch.num_rows, TILE_ROWS):
+                    rows = slice(at, at + TILE_ROWS)
+                    for lo in range(0, len(qid), block):
+                        part = slice(lo, lo + block)
+                        score = q[part] @ codes[:, rows]
+                        score *= scale[rows]
+                        score *= 1e6
+                        score += 0.5
+                        np.floor(score, out=score)
+                        score /= 1e6
+                        score[qrow[part, None] == row[rows]] = -np.inf
+                        least = best[0][part, -1]  # what is under the k best so far, or of the tile, can't be among them
+                        if score.shape[1] > k:
+                            least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+                        who, which = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                        touched = np.unique(who)
+                        if not len(touched):
+                            continue
+                        old = [b[part][touched].ravel() for b in best]
+                        new = (score[who, which], row[rows][which], ids[rows][which])
+                        owner = np.concatenate((np.repeat(touched, k), who))
+                        found = [np.concatenate(x) for x in zip(old, new, strict=True)]
+                        order = np.lexsort((found[1], -found[0], owner))
+                        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+                        order = order[place < k]
+                        for b, x in zip(best, found, strict=True):
+                            b[part][touched] = x[order].reshape(len(touched), k)
             for lo in range(0, len(qid), block):
                 score, row, ids = (b[lo : lo + block].ravel() for b in best)
                 ok = np.isfinite(score)

@@ -73,3 +73,18 @@ def test_lines_are_read_from_the_documents_and_keep_no_table(spark, name, tmp_pa
     finally:
         spark.conf.unset(store.SETTING)
     assert "documents.parquet" in plan and not list(tmp_path.iterdir())
+
+
+def test_tiles_of_neighbours_are_bounded_and_keep_ties(spark, monkeypatch):
+    from granary.operators import vectors
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.choice([-1, 0, 1])) for _ in range(4)]) for i in range(300)]  # many equal scores
+    index = vectors.build_index(spark.createDataFrame(rows, "id long, v array<double>").repartition(3), "id", "v")
+    asked = index.select(F.col("id").alias("qid"), F.col("row").alias("qrow"), vectors.dequantize(F.col("codes"), F.col("scale")).alias("q"))
+    told = lambda **kw: sorted(map(tuple, vectors.neighbours_batch(index, asked, 3, **kw).collect()))
+    want = sorted((r.qid, r.rank, r.id, r.score) for r in vectors.similar_many(index, list(range(300)), 3).collect())
+    assert vectors.TILE_ROWS * vectors.BATCH_QUERIES * 8 <= 32 << 20
+    for tile in (2, 3, 7, 1024):
+        monkeypatch.setattr(vectors, "TILE_ROWS", tile)
+        assert told(block=50) == want
