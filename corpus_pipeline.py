@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more on shingles of five words, that of the smallest id stays."""
+    """Of documents linked by SimHash fingerprints (op9), or by a Jaccard similarity of 0.8 or more on shingles of five words, that of
+    the smallest id stays: what fingerprints of 3 bits can't tell, the exact similarity adds."""
     return simhash.deduplicate(docs, shingle=5, similarity=0.8)
 
 

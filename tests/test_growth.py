@@ -88,3 +88,18 @@ def test_tiles_of_neighbours_are_bounded_and_keep_ties(spark, monkeypatch):
     for tile in (2, 3, 7, 1024):
         monkeypatch.setattr(vectors, "TILE_ROWS", tile)
         assert told(block=50) == want
+
+
+def test_fingerprints_link_in_the_near_dedup_stage(spark):
+    import corpus_pipeline
+
+    from granary.llm import simhash
+
+    # one shingle of three words repeated: the same fingerprint, while shingles of five words differ by their edits
+    base = " ".join(["alpha beta gamma"] * 60)
+    texts = {1: base, 2: base + " delta", 3: "other words stand here alone", 4: None}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()}
+    exact = {r.doc_id: r.component_id for r in simhash.near_copies(d, similarity=0.8).collect()}
+    assert linked[2] == 1 and exact[2] == 2
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()) == [1, 3, 4]
