@@ -14,7 +14,7 @@ HUBS, HUB_ROWS = 4, 64
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long); the root is the least node that can be reached.
 
-    Each round costs two aggregations and two joins on the edges that are left, and lineage is cut at its end. It
+    Each round costs two aggregations and two joins on the edges that are left, and lineage is cut after each half. It
     stops once a round changes nothing: every edge then leads straight to its root. Hubs, whose edges would meet in one
     task, get their least neighbour from a broadcast of bounded length instead.
     """
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = sized(now, seen[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = beside(now.select(F.col("v").alias("u"), F.col("u").alias("v")), least, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(beside(now.select(F.col("v").alias("u"), F.col("u").alias("v")), least, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = sized(large, seen[0])  # cut here too: the second half names it six times, and plans are held by the driver
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = beside(large, least, seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import columns_kept, cut, cut_points, map_slices, sized
-from granary.llm.graph import components, least_of_components
+from granary.llm.common import columns_kept, cut, cut_points, map_slices, sized, stored
+from granary.llm.graph import beside, components, least_of_components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, COMMON = 4_000, 50_000
@@ -88,11 +88,13 @@ def _sets(k: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return run
 
 
-def _prefixes(k: int, t: float, common: np.ndarray) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+def _prefixes(k: int, t: float, common: np.ndarray, mark: Callable[[bytes], int] | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, sizes, rare, first, bins = [], [], [], [], []
+        names, sizes, rare, first, bins, marks = [], [], [], [], [], []
         for v in batch.column(1).cast(pa.binary()):
-            found = shingles(v.as_py() or b"", k)
+            text = v.as_py() or b""
+            found = shingles(text, k)
+            marks.append(mark(text) if mark else 0)
             n, late = len(found), np.zeros(len(found), bool)
             if len(common):
                 late = common[np.searchsorted(common, found).clip(max=len(common) - 1)] == found
@@ -104,7 +106,7 @@ def _prefixes(k: int, t: float, common: np.ndarray) -> Callable[[pa.RecordBatch]
             bins.append(np.bincount(found & (many - 1), minlength=many).clip(max=FULL).astype(np.int8))
         ends = pa.array(np.cumsum([0, *map(len, bins)]).astype(np.int32))
         counts = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*bins, np.zeros(0, np.int8)])))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), _lists(first), counts], ["doc_id", "s", "n", "rare", "first", "bins"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), _lists(first), counts, pa.array(marks, pa.int64())], ["doc_id", "s", "n", "rare", "first", "bins", "fp"])
 
     return run
 
@@ -181,15 +183,31 @@ def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _marked(found: DataFrame, points: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) of points with rows of one ``fp``, or of two that ``links`` links. A number with a large share of the points doesn't
+    meet in one task."""
+    pairs = stored(found.select("s", "fp").distinct().join(points.select("s", "r"), "s").select(F.col("fp").alias("u"), F.col("r").alias("v")).distinct())
+    named = stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    stars = beside(pairs, named.filter("n > 1"), pairs.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    heads = named.select("u", "m")
+    linked = stored(links(named.select(F.col("u").alias("fp")))).join(heads.toDF("u", "a"), "u").join(heads.toDF("v", "b"), "v")
+    return stored(stars).unionByName(stored(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, similarity: float = SIMILARITY,
+    also: tuple[Callable[[bytes], int], Callable[[DataFrame], DataFrame]] | None = None,
+) -> DataFrame:
     """(doc_id, component_id), a row for each row of ``docs``: the least id that links of ``similarity`` or more lead to.
 
     Empty and null texts are copies of each other. A null id names no component unless it has no other member.
+    ``also`` adds links: a number for each text, and what gives linked pairs (u, v) of distinct numbers ``fp``; rows of one number
+    are linked. They are in one graph with the others, so what they connect isn't compared again.
     """
     k, t = shingle, similarity
     rows = columns_kept(docs, {"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
     # r names a row; the checkpoint keeps it. Of equal sets, the row of the least r is the point.
-    found = cut(map_slices(rows, "text", _prefixes(k, t, _common(rows, k)), "doc_id long, s long, n int, rare int, first array<long>, bins array<tinyint>").withColumn("r", F.monotonically_increasing_id()))
+    found = cut(map_slices(rows, "text", _prefixes(k, t, _common(rows, k), also[0] if also else None), "doc_id long, s long, n int, rare int, first array<long>, bins array<tinyint>, fp long").withColumn("r", F.monotonically_increasing_id()))
     points = cut(found.groupBy("s").agg(F.min("doc_id").alias("least"), F.min("r").alias("r")))
     more = cut(found.select("s", F.col("r").alias("own")).join(points, "s").filter("own <> r").select(F.col("own").alias("r")))
     own = found.join(_sent(more, more.count()), "r", "left_anti")
@@ -202,6 +220,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = met.select("r", "n", "i", F.explode("heads").alias("h")).filter((F.col("r") != F.col("h.r")) & _may(F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i"), t))
     one = cut(near.select(*_ordered(F.col("r"), F.col("h.r"))).distinct())
     edges = _alike(one, rows, points, bins, k, t)
+    if also:
+        edges = stored(edges).unionByName(_marked(found, points, also[1]))
     roots = components(edges).withColumnRenamed("node", "r")
     # Two sets are compared where the first of their common elements is; the first elements of each tell most other places.
     seen = [f"k{x}" for x in range(SEEN)]
@@ -213,6 +233,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier = reduce(lambda a, b: a | b, [F.coalesce((F.col(f"k{x}") == F.col(f"k{y}_2")) & (F.col("i") > x) & (F.col("i2") > y), F.lit(False)) for x in range(SEEN) for y in range(SEEN)])
     apart = at.join(other, "w").filter((F.col("root") < F.col("root2")) & _may(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), t) & ~earlier)
     two = cut(apart.select(*_ordered(F.col("r"), F.col("r2"))).distinct().join(one, ["u", "v"], "left_anti"))
-    edges = edges.unionByName(_alike(two, rows, points, bins, k, t))
+    edges = roots.filter("r <> root").select(F.col("r").alias("u"), F.col("root").alias("v")).unionByName(_alike(two, rows, points, bins, k, t))
     named = least_of_components(points.select("s", F.col("r").alias("node"), "least"), "s", edges)
     return found.select("doc_id", "s").join(named, "s").select("doc_id", "component_id")

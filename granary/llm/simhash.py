@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import by_place, columns_kept, cut, cut_points, map_slices, read
-from granary.llm.graph import components, least_of_components
+from granary.llm.graph import least_of_components
 from granary.llm.near_copies import near_copies
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -55,6 +55,10 @@ def fingerprint(text: bytes) -> bytes:
     return np.packbits(ones * 2 > n).tobytes()
 
 
+def _signed(text: bytes) -> int:
+    return int.from_bytes(fingerprint(text), "big", signed=True)
+
+
 def _kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
     col = batch.column(1).cast(pa.binary())
     prints = b"".join(fingerprint(v.as_py() or b"") for v in col)
@@ -105,26 +109,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _together(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(doc_id, component_id) by the links of two such tables; rows without an id lead nowhere from one to the other."""
-    a, b = cut(a), cut(b)
-    moved = a.unionByName(b).filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    roots = components(moved)  # only rows that one of the two would drop, and what they are copies of
-    return a.join(roots, a.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id. All columns stay as they are.
 
-    Fingerprints link rows; with a ``similarity``, so does the Jaccard similarity of their shingles of ``shingle`` words. Rows
-    without an id stay, as nothing names them. Of rows that repeat a kept id, one stays. Empty and null texts are copies of
+    Fingerprints link rows; with a ``similarity``, so does the Jaccard similarity of their shingles of ``shingle`` words, in one
+    graph of the rows, whatever their ids. Rows without an id stay, as nothing names them. Of rows that repeat a kept id, one stays. Empty and null texts are copies of
     each other. An empty table stays empty.
     """
     own, at = by_place(docs)
     name = at(id_col)
-    found = near_duplicates(docs, id_col, text_col).select("doc_id", "component_id")
-    if similarity is not None:
-        found = _together(found, near_copies(docs, id_col, text_col, shingle=shingle, similarity=similarity))
+    if similarity is None:
+        found = near_duplicates(docs, id_col, text_col).select("doc_id", "component_id")
+    else:
+        found = near_copies(docs, id_col, text_col, shingle=shingle, similarity=similarity, also=(_signed, links))
     gone = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
     kept = own.join(gone.distinct().hint("shuffle_hash"), F.col(name).cast("long") == F.col("__gone"), "left_anti")
     repeats = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count()

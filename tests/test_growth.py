@@ -103,3 +103,20 @@ def test_fingerprints_link_in_the_near_dedup_stage(spark):
     exact = {r.doc_id: r.component_id for r in simhash.near_copies(d, similarity=0.8).collect()}
     assert linked[2] == 1 and exact[2] == 2
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()) == [1, 3, 4]
+
+
+def test_near_dedup_stage_makes_two_graphs(spark, monkeypatch):
+    """The driver holds the plans of every round; links by fingerprints and by similarity share their rounds."""
+    import corpus_pipeline
+
+    from granary.llm import graph, near_copies, simhash
+
+    made, plain = [], graph.components
+    for module in (graph, near_copies, simhash):
+        monkeypatch.setattr(module, "components", lambda edges: made.append(1) or plain(edges), raising=False)
+    # 1 and 2 share nearly all shingles of five words, 3 and 4 the fingerprint
+    base, more = " ".join(["alpha beta gamma"] * 60), " ".join(f"w{i}" for i in range(40))
+    texts = {1: f"{more} x", 2: f"{more} y", 3: base, 4: f"{base} delta", 5: None, 6: ""}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()) == [1, 3, 5]
+    assert len(made) == 2
