@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
@@ -41,6 +42,7 @@ BEAT_DEFAULTS = {"div": 1}
 _RECORD = "schema_version string, notation_id string, book_key string, page int, seq int, kind string, script string, pages array<int>, flags array<string>, raag_shabad string, heading string, shabad string, sections array<string>"
 _LINE = "kind string, matra_from int, line_id bigint, beats array<string>"
 _BEAT = "m int, div int, ext boolean, rest boolean, raw string, c double, notes array<string>, bol string"
+_FOUND = "array<struct<code:string,path:string>>"
 _NOTE = "s string, o string, k boolean, t boolean, len string, kh boolean, kan string"
 
 
@@ -52,32 +54,56 @@ def _has(obj: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(obj), key), F.lit(False))
 
 
-def levels(records: DataFrame, key: str, body: str) -> dict[str, DataFrame]:
-    """The tables ``record``, ``section``, ``line``, ``beat`` and ``note``, each with (key, path) and its level's values."""
+def levels(records: DataFrame, key: str, body: str, rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """The tables ``record``, ``section``, ``line``, ``beat`` and ``note``, each with (key, path) and its level's values.
+
+    ``rules`` give each level's table a column ``own``, an array. The tables then have outer rows too, and ``found``: what the row's own
+    rules and those of the levels above give, the latter once only, on the first row below. So ``note`` has all, from one reading.
+    """
+    below = F.posexplode_outer if rules else F.posexplode
+    kept = ["found"] if rules else []
+
+    def told(level: str, table: DataFrame, pos: str | None = None) -> DataFrame:
+        if not rules:
+            return table
+        table, none = rules[level](table), F.array().cast(_FOUND)
+        if pos is None:
+            return table.withColumnRenamed("own", "found")
+        above = F.when(F.col(pos).isNull() | (F.col(pos) == 0), F.col("found")).otherwise(none)
+        return table.withColumn("found", F.concat(above, F.when(F.col(pos).isNotNull(), F.col("own")).otherwise(none))).drop("own")
+
     record = records.select(key, F.col(body).alias("json"), F.from_json(body, _RECORD).alias("r"))
     record = record.withColumn("taal_key", F.get_json_object("r.heading", "$.taal.key")).withColumn("taal_matras", F.get_json_object("r.heading", "$.taal.matras").try_cast("int"))
     record = record.withColumn("has_taal", F.get_json_object("r.heading", "$.taal").isNotNull())
-    section = record.select(key, "taal_key", "taal_matras", "has_taal", F.posexplode("r.sections").alias("si", "json"))
+    record = told("record", record)
+    section = record.select(key, *kept, "taal_key", "taal_matras", "has_taal", below("r.sections").alias("si", "json"))
     own = F.coalesce(F.get_json_object("json", "$.taal.key"), F.get_json_object("json", "$.taal"))
     section = section.select(
-        key, "si", "json", _at(F.lit("sections["), F.col("si").cast("string"), "]").alias("path"),
+        key, *kept, "si", "json", _at(F.lit("sections["), F.col("si").cast("string"), "]").alias("path"),
         F.get_json_object("json", "$.kind").alias("kind"), F.get_json_object("json", "$.n").try_cast("int").alias("n"), own.alias("own_taal"),
         F.coalesce(own, "taal_key").alias("taal"), F.when(own.isNull(), F.col("taal_matras")).alias("matras"), (own.isNotNull() | F.col("has_taal")).alias("has_taal"),
         F.from_json("json", "lines array<string>")["lines"].alias("lines"),
     )
-    line = section.select(key, "si", "taal", "matras", "has_taal", F.posexplode("lines").alias("li", "json"), F.col("path").alias("up"))
-    line = line.select(key, "si", "li", "taal", "matras", "has_taal", _at(F.col("up"), ".lines[", F.col("li").cast("string"), "]").alias("path"), F.from_json("json", _LINE).alias("l"))
-    beat = line.select(key, "si", "li", F.posexplode("l.beats").alias("bi", "json"), F.col("path").alias("line_path"), "taal", "matras", F.col("l.kind").alias("line_kind"), F.coalesce("l.matra_from", F.lit(1)).alias("matra_from"), F.col("l.line_id").alias("line_id"))
+    section = told("section", section, "si")
+    line = section.select(key, *kept, "si", "taal", "matras", "has_taal", below("lines").alias("li", "json"), F.col("path").alias("up"))
+    line = line.select(key, *kept, "si", "li", "taal", "matras", "has_taal", _at(F.col("up"), ".lines[", F.col("li").cast("string"), "]").alias("path"), F.from_json("json", _LINE).alias("l"))
+    line = told("line", line, "li")
+    beat = line.select(key, *kept, "si", "li", below("l.beats").alias("bi", "json"), F.col("path").alias("line_path"), "taal", "matras", F.col("l.kind").alias("line_kind"), F.coalesce("l.matra_from", F.lit(1)).alias("matra_from"), F.col("l.line_id").alias("line_id"))
     beat = beat.withColumn("path", _at(F.col("line_path"), ".beats[", F.col("bi").cast("string"), "]")).withColumn("b", F.from_json("json", _BEAT)).withColumn("has_notes", _has(F.col("json"), "notes")).withColumn("has_m", _has(F.col("json"), "m"))
-    note = beat.select(key, F.col("path").alias("up"), F.posexplode("b.notes").alias("ni", "json"))
-    note = note.select(key, "up", "json", _at(F.col("up"), ".notes[", F.col("ni").cast("string"), "]").alias("path"), F.from_json("json", _NOTE).alias("x"))
+    beat = told("beat", beat, "bi")
+    note = beat.select(key, *kept, F.col("path").alias("up"), below("b.notes").alias("ni", "json"))
+    note = note.select(key, *kept, "ni", "up", "json", _at(F.col("up"), ".notes[", F.col("ni").cast("string"), "]").alias("path"), F.from_json("json", _NOTE).alias("x"))
+    note = told("note", note, "ni")
     return {"record": record, "section": section, "line": line, "beat": beat, "note": note}
 
 
-def _broken(table: DataFrame, key: str, rules: list[tuple[str, Column, Column]]) -> DataFrame:
-    """(key, code, path) of every rule whose condition holds."""
-    found = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(code).alias("code"), path.alias("path"))) for code, cond, path in rules])
-    return table.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e")).select(key, "e.code", "e.path")
+def _own(rules: list[tuple[str, Column, Column]]) -> Column:
+    """(code, path) of every rule whose condition holds, in an array."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(code).alias("code"), path.alias("path"))) for code, cond, path in rules])).cast(_FOUND)
+
+
+def _broken(table: DataFrame, key: str, found: Column) -> DataFrame:
+    return table.select(key, F.explode(found).alias("e")).select(key, "e.code", "e.path")
 
 
 def _not_in(c: Column, values: list[Any]) -> Column:
@@ -93,7 +119,6 @@ def validate(records: DataFrame, key: str, body: str, raags: DataFrame, taals: D
 
     ``raags`` (key) and ``taals`` (key, matras) are the vocabulary. Equal codes at one path are told once.
     """
-    t = levels(records, key, body)
     raag_keys, taal_keys = (F.broadcast(v.agg(F.coalesce(F.collect_set("key"), F.array().cast("array<string>")).alias(n))) for v, n in ((raags, "raag_keys"), (taals, "taal_keys")))  # vocabularies of some hundreds
     known = lambda df: df.crossJoin(raag_keys).crossJoin(taal_keys)
     missing = lambda c, names: c.isNotNull() & ~F.array_contains(names, c)
@@ -103,8 +128,7 @@ def validate(records: DataFrame, key: str, body: str, raags: DataFrame, taals: D
     raag, shabad = F.get_json_object(r["heading"], "$.raag.key"), r["shabad"]
     method, source = F.get_json_object(shabad, "$.method"), F.get_json_object(shabad, "$.source")
     no_sections = F.coalesce(F.size(r["sections"]) <= 0, F.lit(True))
-    of_record = _broken(
-        known(t["record"]), key,
+    of_record = _own(
         [
             ("schema.version", F.coalesce(r["schema_version"] != str(SCHEMA_VERSION), at(True)), at("schema_version")),
             ("id.format", F.coalesce(~r["notation_id"].rlike(r"^[a-z0-9]+(-[a-z0-9]+)*:\d{4}:\d+$") | (r["notation_id"] != same_id), at(True)), at("notation_id")),
@@ -121,20 +145,16 @@ def validate(records: DataFrame, key: str, body: str, raags: DataFrame, taals: D
             ("sections.empty", no_sections & ((r["kind"] == "notation") | (r["kind"] == "partial") & ~F.coalesce(F.array_contains(r["flags"], "partial-grid"), at(False))), at("sections")),
         ],
     )
-    twice = F.row_number().over(Window.partitionBy(key, "kind", "n").orderBy("si")) > 1
     path = F.col("path")
-    of_section = _broken(
-        known(t["section"].withColumn("twice", F.col("n").isNotNull() & twice)), key,
+    of_section = _own(
         [
             ("enum.section", _not_in(F.col("kind"), SECTION_KINDS), _at(path, ".kind")),
-            ("section.n", F.col("twice"), _at(path, ".n")),
             ("vocab.key", missing(F.col("own_taal"), F.col("taal_keys")), _at(path, ".taal")),
             ("lines.empty", F.coalesce(F.size("lines") <= 0, at(True)), _at(path, ".lines")),
         ],
     )
     no_beats = F.coalesce(F.size("l.beats") <= 0, at(True))
-    of_line = _broken(
-        t["line"], key,
+    of_line = _own(
         [
             ("enum.line", _not_in(F.col("l.kind"), LINE_KINDS), _at(path, ".kind")),
             ("beats.empty", no_beats, _at(path, ".beats")),
@@ -142,44 +162,60 @@ def validate(records: DataFrame, key: str, body: str, raags: DataFrame, taals: D
         ],
     )
     b, json_ = F.col("b"), F.col("json")
-    w = Window.partitionBy(key, "si", "li").orderBy("bi")
-    before = F.last(F.when(b["m"].isNotNull(), F.struct(b["m"].alias("m"), F.col("bi").alias("bi"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    beats = t["beat"].withColumn("before", before)
-    beats = beats.withColumn("expect", F.coalesce(F.col("before.m") + F.col("bi") - F.col("before.bi"), F.col("matra_from") + F.col("bi")))
     modes = F.col("has_notes").cast("int") + F.coalesce(b["ext"], at(False)).cast("int") + F.coalesce(b["rest"], at(False)).cast("int")
-    beats = beats.withColumn("length", F.aggregate(F.coalesce(b["notes"], F.array().cast("array<string>")), F.lit(0), lambda s, x: s + F.coalesce(F.greatest(F.get_json_object(x, "$.len").try_cast("int"), F.lit(1)), F.lit(1))))
+    length = F.aggregate(F.coalesce(b["notes"], F.array().cast("array<string>")), F.lit(0), lambda s, x: s + F.coalesce(F.greatest(F.get_json_object(x, "$.len").try_cast("int"), F.lit(1)), F.lit(1)))
     avartan = F.col("line_kind") == "avartan"
-    span = F.from_json(F.get_json_object(json_, "$.bol.span"), "array<int>")
-    beats = beats.withColumn("span", span).withColumn("has_span", F.get_json_object(json_, "$.bol.span").isNotNull())
-    ended = F.max(F.when((F.size("span") == 2) & (F.col("span")[0] < F.col("span")[1]), F.col("span")[1])).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    beats = beats.withColumn("ended", ended)
-    fits = (F.size("span") == 2) & (F.col("span")[0] < F.col("span")[1]) & F.coalesce(F.col("span")[0] >= F.col("ended"), at(True))
     div = F.when(_has(json_, "div"), b["div"]).otherwise(1)
-    of_beat = _broken(
-        beats, key,
+    of_beat = _own(
         [
             ("beat.exclusive", modes != 1, path),
             ("beat.div", _not_in(div, DIVS), _at(path, ".div")),
             ("beat.unknown_raw", F.col("has_notes") & b["notes"].isNull() & ((F.coalesce(b["raw"], at("")) == "") | b["c"].isNull()), path),
             ("beat.exclusive", F.col("has_notes") & (F.size(b["notes"]) == 0), _at(path, ".notes")),
-            ("beat.len_sum", (F.size(b["notes"]) > 0) & (F.col("length") != div), path),
+            ("beat.len_sum", (F.size(b["notes"]) > 0) & (length != div), path),
             ("bol.shape", b["bol"].isNotNull() & ~b["bol"].startswith("{"), _at(path, ".bol")),
             ("bol.shape", _has(b["bol"], "h") & ~F.coalesce(F.get_json_object(b["bol"], "$.h").rlike(r"^\d+$"), at(False)), _at(path, ".bol.h")),
-            ("line.matras", avartan & F.coalesce(b["m"] != F.col("expect"), at(True)), _at(path, ".m")),
             ("line.matras", ~avartan & F.col("has_m"), _at(path, ".m")),
-            ("bol.span", F.col("has_span") & (F.col("line_id").isNull() | ~F.coalesce(fits, at(False))), _at(path, ".bol.span")),
         ],
     )
-    last = beats.filter(avartan).groupBy(key, "line_path", "taal", "matras").agg(F.max_by(F.coalesce(b["m"], F.col("expect")), "bi").alias("last"))
+    kan = F.struct(F.col("x.kan").alias("json"), _at(path, ".kan").alias("path"), F.from_json("x.kan", _NOTE).alias("x"))
+    of_note = lambda df: df.withColumn("kan", F.when(F.col("x.kan").startswith("{"), kan)).withColumn("own", F.concat(_note_rules(F.col("x"), path, json_, False), F.when(F.col("kan").isNull(), F.array().cast(_FOUND)).otherwise(_note_rules(F.col("kan.x"), F.col("kan.path"), F.col("kan.json"), True))))
+    rows = {"record": lambda df: known(df).withColumn("own", of_record), "section": lambda df: known(df).withColumn("own", of_section), "line": lambda df: df.withColumn("own", of_line), "beat": lambda df: df.withColumn("own", of_beat), "note": of_note}
+    alone = _broken(levels(records, key, body, rows)["note"], key, F.col("found"))
+    return alone.unionByName(_looking_back(levels(records, key, body), key, taals)).distinct()
+
+
+def _looking_back(t: dict[str, DataFrame], key: str, taals: DataFrame) -> DataFrame:
+    """The rules that need what stands before. Only the few short values that they look at are brought together."""
+    path = F.col("path")
+    twice = F.row_number().over(Window.partitionBy(key, "kind", "n").orderBy("si")) > 1
+    sections = t["section"].filter("n IS NOT NULL").select(key, "si", "kind", "n").withColumn("twice", twice).withColumn("path", _at(F.lit("sections["), F.col("si").cast("string"), "]"))
+    b, at = F.col("b"), F.lit
+    bol = F.get_json_object("json", "$.bol.span")
+    span, avartan = F.from_json(bol, "array<int>"), F.coalesce(F.col("line_kind") == "avartan", at(False))
+    beats = t["beat"].select(key, "si", "li", "bi", b["m"].alias("m"), avartan.alias("avartan"), "matra_from", F.col("line_id").isNull().alias("no_id"), "taal", "matras", span.alias("span"), bol.isNotNull().alias("has_span"))
+    w = Window.partitionBy(key, "si", "li").orderBy("bi")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    upward = (F.size("span") == 2) & (F.col("span")[0] < F.col("span")[1])
+    before = F.last(F.when(F.col("m").isNotNull(), F.struct("m", "bi")), ignorenulls=True).over(earlier)
+    beats = beats.withColumn("before", before).withColumn("ended", F.max(F.when(upward, F.col("span")[1])).over(earlier))
+    beats = beats.withColumn("expect", F.coalesce(F.col("before.m") + F.col("bi") - F.col("before.bi"), F.col("matra_from") + F.col("bi")))
+    beats = beats.withColumn("final", F.lead("bi").over(Window.partitionBy(key, "si", "li", "taal", "matras").orderBy("bi")).isNull())
     sizes = taals.select(F.col("key").alias("taal"), F.col("matras").alias("size"))
-    too_long = last.join(sizes, "taal", "left").filter(F.col("last") > F.coalesce("size", "matras")).select(key, F.lit("line.matras").alias("code"), F.col("line_path").alias("path"))
-    notes = t["note"]
-    kans = notes.filter(F.col("x.kan").startswith("{")).select(key, F.col("x.kan").alias("json"), _at(path, ".kan").alias("path"), F.from_json("x.kan", _NOTE).alias("x"))
-    return of_record.unionByName(of_section).unionByName(of_line).unionByName(of_beat).unionByName(too_long).unionByName(_note_rules(notes, key, False)).unionByName(_note_rules(kans, key, True)).distinct()
+    line = _at(F.lit("sections["), F.col("si").cast("string"), "].lines[", F.col("li").cast("string"), "]")
+    beats = beats.join(F.broadcast(sizes), "taal", "left").withColumn("line_path", line).withColumn("path", _at(F.col("line_path"), ".beats[", F.col("bi").cast("string"), "]"))
+    fits = upward & F.coalesce(F.col("span")[0] >= F.col("ended"), at(True))
+    of_beat = _own(
+        [
+            ("line.matras", F.col("avartan") & F.coalesce(F.col("m") != F.col("expect"), at(True)), _at(path, ".m")),
+            ("bol.span", F.col("has_span") & (F.col("no_id") | ~F.coalesce(fits, at(False))), _at(path, ".bol.span")),
+            ("line.matras", F.col("avartan") & F.col("final") & (F.coalesce("m", "expect") > F.coalesce("size", "matras")), F.col("line_path")),
+        ],
+    )
+    return _broken(sections, key, _own([("section.n", F.col("twice"), _at(path, ".n"))])).unionByName(_broken(beats, key, of_beat))
 
 
-def _note_rules(notes: DataFrame, key: str, kan: bool) -> DataFrame:
-    x, path, json_ = F.col("x"), F.col("path"), F.col("json")
+def _note_rules(x: Column, path: Column, json_: Column, kan: bool) -> Column:
     real = x["s"].isin(*SWARAS)
     known = F.coalesce(real, F.lit(False))
     octave = F.when(_has(json_, "o"), _whole(x["o"]) & x["o"].try_cast("int").between(-2, 2)).otherwise(True)
@@ -195,7 +231,7 @@ def _note_rules(notes: DataFrame, key: str, kan: bool) -> DataFrame:
     ]
     if kan:
         rules += [("note.kan", known & _has(json_, "len"), path), ("note.kan", x["kan"].isNotNull(), path)]
-    return _broken(notes, key, rules)
+    return _own(rules)
 
 
 def _with_defaults(value: Any, level: str) -> Any:

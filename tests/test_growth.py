@@ -120,3 +120,12 @@ def test_near_dedup_stage_makes_two_graphs(spark, monkeypatch):
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()) == [1, 3, 5]
     assert len(made) == 2
+
+
+def test_records_are_parsed_once_for_the_rules_of_a_row(spark):
+    from granary.operators import notation
+
+    d = spark.createDataFrame([(1, '{"sections": []}'), (2, "no record")], "id long, body string")
+    raags, taals = spark.createDataFrame([("r",)], "key string"), spark.createDataFrame([("t", 4)], "key string, matras int")
+    plan = notation.validate(d, "id", "body", raags, taals)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") <= 8  # 4 levels once, sections and beats again for what stands before
